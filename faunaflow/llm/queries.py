@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faunaflow.llm import chat_format, secret_scan
+from faunaflow.llm import bpe, chat_format, packing, secret_scan
 from faunaflow.llm.common import sha256, table
 from faunaflow.llm.exact_dedup import exact_dedup
 from faunaflow.llm.fingerprints import edited_fingerprints
@@ -87,12 +87,41 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.secret_spans(table(spark, sf_dir, "documents")))
 
 
+def tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def pattern() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), pattern())
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = bpe.encode_decode(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_multi_50k.tiktoken"), pattern())
+    return rows.select(
+        "doc_id",
+        F.expr("cast(octet_length(ids) div 4 as bigint)").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def queries() -> dict:
     return {
         "op1_exact_dedup": op1_exact_dedup,
         "op2_fingerprints": op2_fingerprints,
+        "op6_packing": op6_packing,
         "op8_chat_format": op8_chat_format,
         "op9_secret_scan": op9_secret_scan,
+        "op10_bpe": op10_bpe,
     }
 
 
