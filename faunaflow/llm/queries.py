@@ -9,6 +9,7 @@ from faunaflow.llm import bpe, chat_format, packing, secret_scan
 from faunaflow.llm.common import sha256, table
 from faunaflow.llm.exact_dedup import exact_dedup
 from faunaflow.llm.fingerprints import edited_fingerprints
+from faunaflow.llm.jaccard import jaccard_components
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,6 +100,10 @@ def pattern() -> str:
     return public_tokenizers.PATTERN
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), pattern())
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -118,6 +123,7 @@ def queries() -> dict:
     return {
         "op1_exact_dedup": op1_exact_dedup,
         "op2_fingerprints": op2_fingerprints,
+        "op5_jaccard_join": op5_jaccard_join,
         "op6_packing": op6_packing,
         "op8_chat_format": op8_chat_format,
         "op9_secret_scan": op9_secret_scan,
