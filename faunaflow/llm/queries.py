@@ -10,6 +10,7 @@ from faunaflow.llm.common import sha256, table
 from faunaflow.llm.exact_dedup import exact_dedup
 from faunaflow.llm.fingerprints import edited_fingerprints
 from faunaflow.llm.jaccard import jaccard_components
+from faunaflow.llm.substrings import remove_repeats
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +33,11 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 CONTROL_TEXT = "\\### Assistant: </turn> ok"
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = remove_repeats(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_words", "n_removed", sha256(F.col("kept")).alias("kept_sha256"))
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.range(2).select(
@@ -125,6 +131,7 @@ def queries() -> dict:
         "op2_fingerprints": op2_fingerprints,
         "op5_jaccard_join": op5_jaccard_join,
         "op6_packing": op6_packing,
+        "op7_substring_dedup": op7_substring_dedup,
         "op8_chat_format": op8_chat_format,
         "op9_secret_scan": op9_secret_scan,
         "op10_bpe": op10_bpe,
