@@ -10,7 +10,9 @@ from faunaflow.llm.common import sha256, table
 from faunaflow.llm.exact_dedup import exact_dedup
 from faunaflow.llm.fingerprints import edited_fingerprints
 from faunaflow.llm.jaccard import jaccard_components
+from faunaflow.llm.quality import quality
 from faunaflow.llm.substrings import remove_repeats
+from faunaflow.llm.toxicity import toxicity
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,6 +108,23 @@ def pattern() -> str:
     return public_tokenizers.PATTERN
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quality(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"), table(spark, sf_dir, "labels"))
+    return rows.select(
+        "doc_id",
+        F.col("q_held_out").alias("held_out"),
+        F.col("q_evidence").alias("evidence"),
+        F.col("q_host_rate").alias("host_rate"),
+        F.col("q_path_rate").alias("path_rate"),
+        F.col("q_score").alias("score"),
+        F.col("q_keep").alias("keep"),
+    )
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -129,6 +148,8 @@ def queries() -> dict:
     return {
         "op1_exact_dedup": op1_exact_dedup,
         "op2_fingerprints": op2_fingerprints,
+        "op3_quality": op3_quality,
+        "op4_toxicity": op4_toxicity,
         "op5_jaccard_join": op5_jaccard_join,
         "op6_packing": op6_packing,
         "op7_substring_dedup": op7_substring_dedup,
