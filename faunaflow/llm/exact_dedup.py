@@ -30,23 +30,31 @@ def _hot(norm: DataFrame, sample_rows: int, hot_share: float) -> list[int]:
 
 
 def exact_dedup(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 20_000, hot_share: float = 1e-3
+    df: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    columns: tuple[str, ...] = (),
+    sample_rows: int = 20_000,
+    hot_share: float = 1e-3,
 ) -> DataFrame:
-    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
+    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256, and ``row`` with these columns of df, if any.
 
     Texts are equal when identical after each run of ASCII white space became one space; null is empty.
     Of equal texts the smallest id stays; of rows that share text and id exactly one stays. Rows with a
     null id stay only where their whole group has none. Other columns are not read. An empty table
     gives no rows.
     """
-    norm = documents(df, id_col, text_col).select("doc_id", F.regexp_replace("text", SPACE, " ").alias("norm"))
+    plain = F.regexp_replace("text", SPACE, " ").alias("norm")
+    norm = documents(df, id_col, text_col).select("doc_id", plain)
     hot = _hot(norm, sample_rows, hot_share)
     tie = F.xxhash64("norm")
     salt = F.when(tie.isin(hot), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).otherwise(F.lit(0)) if hot else F.lit(0).cast("long")
-    keys = ["head", "tie", "salt"]
-    dealt = norm.select(
-        "doc_id", "norm", F.substring("norm", 1, HEAD_CHARS).alias("head"), tie.alias("tie"), salt.cast("long").alias("salt")
-    ).repartitionByRange(*keys)
+    keys, row = ["head", "tie", "salt"], ["row"] if columns else []
+    whole = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *([F.struct(*columns).alias("row")] if columns else []))
+    dealt = whole.select("*", plain).select(
+        "doc_id", "text", *row, F.substring("norm", 1, HEAD_CHARS).alias("head"), tie.alias("tie"), salt.cast("long").alias("salt")
+    )
+    dealt = dealt.repartitionByRange(*keys).select("doc_id", *row, *keys, plain)
     equal = Window.partitionBy(*keys, "norm")
     rows = dealt.select(
         "doc_id",
@@ -54,6 +62,7 @@ def exact_dedup(
         F.min("doc_id").over(equal).alias("keep_id"),
         F.count(F.lit(1)).over(equal).alias("group_size"),
         sha256(F.col("norm")).alias("text_sha256"),
+        *row,
     )
     if hot:
         # whole texts are compared here too; at most 1 / hot_share rows result
@@ -65,6 +74,7 @@ def exact_dedup(
             F.when(F.col("is_hot"), F.col("hot_id")).otherwise(F.col("keep_id")).alias("keep_id"),
             F.coalesce("hot_size", "group_size").alias("group_size"),
             "text_sha256",
+            *row,
         )
     kept = (F.col("place") == 1) & F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    return rows.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256")
+    return rows.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256", *row)

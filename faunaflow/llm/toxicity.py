@@ -74,7 +74,7 @@ class Restorer:
     apart = re.compile(rf"{letter}(?:[.\-_*·' ]{letter}){{2,}}")
     repeated = re.compile(rf"({letter})\1\1")
     mixed = re.compile(rf"[{re.escape(''.join(LEET))}]?(?:{letter}+[{re.escape(''.join(LEET))}]+)+{letter}*|[{re.escape(''.join(LEET))}]{letter}{{2,}}")
-    edges = re.compile(r"^[\W_]*?(?=[@$!|€]?\w)|[\W_]+$")
+    signs = frozenset("@$!|€")
 
     def __init__(self, counts: np.ndarray):
         c = counts.reshape(SYMBOLS, SYMBOLS, SYMBOLS).astype(float)
@@ -85,7 +85,13 @@ class Restorer:
         self.cost = (-np.log((c + 5 * p2[None]) / (c.sum(2, keepdims=True) + 5))).tolist()
 
     def bare(self, word: str) -> str:
-        return self.edges.sub("", word)
+        """The word without the signs around it, but for one that may stand for a first letter."""
+        start, end = 0, len(word)
+        while end and not word[end - 1].isalnum():
+            end -= 1
+        while start < end and not word[start].isalnum():
+            start += 1
+        return word[start - 1 if end and start and word[start - 1] in self.signs else start : end]
 
     def disguised(self, word: str) -> bool:
         return bool(self.repeated.search(word) or self.apart.fullmatch(word) or (self.mixed.fullmatch(word) and sum(map(str.isalpha, word)) >= 2))
