@@ -39,7 +39,11 @@ def anchor_places(n_words: int) -> np.ndarray:
 
 
 def window_starts(places: np.ndarray, n_words: int) -> np.ndarray:
-    """Starts of the full windows that hold an anchor at one of these places at an offset below the period."""
+    """Starts of the full windows that hold an anchor at one of these places at an offset below the period.
+
+    Places beyond the text, from a longer one under the same id, are passed over.
+    """
+    places = places[places + ANCHOR <= n_words]
     edge = np.zeros(n_words + 2, dtype=np.int64)
     np.add.at(edge, np.maximum(places - PERIOD + 1, 0), 1)
     np.add.at(edge, places + 1, -1)
