@@ -19,6 +19,7 @@ from faunaflow.llm.common import documents, sha256, written
 
 WHOLE, BITS = 4, 32
 LANE = 0xFFFFFFFF
+NO_ID = -(1 << 63)
 
 
 def _whole(i: int) -> str:
@@ -92,16 +93,19 @@ def edited_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "
     ids repeat, every row is returned, and "the next document" is the least text of the next id. A row
     with a null id has an empty next document.
     """
-    docs = documents(df, id_col, text_col)
-    order = ring(docs.select("doc_id"))
-    lengths = docs.groupBy("doc_id").agg(F.max(F.length("text")).alias("n"))
+    # null ids get a key of their own, so that both readers of the join below share one shuffle of the texts
+    docs = documents(df, id_col, text_col).select("text", F.coalesce("doc_id", F.lit(NO_ID)).alias("key"))
+    real = F.nullif(F.col("key"), F.lit(NO_ID)).alias("doc_id")
+    order = ring(docs.select(real))
+    lengths = docs.groupBy(real).agg(F.max(F.length("text")).alias("n"))
     asks = order.join(lengths, "doc_id").select(F.col("next_id").alias("of"), F.col("doc_id").alias("by"), F.expr("cast(n div 2 as int)").alias("need"))
-    asks = order.join(asks, order["doc_id"] == asks["of"]).select(order["doc_id"], "next_id", "by", "need")
-    found = docs.join(asks, "doc_id", "left")
-    heads = found.where("by is not null").groupBy(F.col("by").alias("doc_id")).agg(F.min(F.expr("left(text, need)")).alias("head"))
-    own = found.select("doc_id", "next_id", "text", F.length("text").alias("n")).join(heads, "doc_id", "left")
+    asks = order.join(asks, order["doc_id"] == asks["of"]).select(order["doc_id"].alias("key"), "next_id", "by", "need")
+    found = docs.join(asks, "key", "left")
+    heads = found.where("by is not null").groupBy(F.col("by").alias("key")).agg(F.min(F.expr("left(text, need)")).alias("head"))
+    own = found.select("key", real, "next_id", "text", F.length("text").alias("n")).join(heads, "key", "left")
     half = F.expr("cast(n div 2 as int)")
     both = own.select(
+        "key",
         "doc_id",
         "next_id",
         "n",
@@ -110,9 +114,9 @@ def edited_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "
         F.concat(F.expr("left(text, cast(n - n div 2 as int))"), F.coalesce(F.left(F.col("head"), half), F.lit(""))).alias("edited"),
     )
     each = both.select(
-        "doc_id", "next_id", "row", "n", sha256(F.col("edited")).alias("edited_sha256"), F.posexplode(F.array("text", "edited")).alias("kind", "body")
+        "key", "doc_id", "next_id", "row", "n", sha256(F.col("edited")).alias("edited_sha256"), F.posexplode(F.array("text", "edited")).alias("kind", "body")
     )
-    keys = ["doc_id", "next_id", "row", "n", "edited_sha256"]
+    keys = ["key", "doc_id", "next_id", "row", "n", "edited_sha256"]
     prints = fingerprint(each, [*keys, "kind"], "body")
     lanes = prints.groupBy(*keys).agg(F.max(F.when(F.col("kind") == 0, F.col("lanes"))).alias("a"), F.max(F.when(F.col("kind") == 1, F.col("lanes"))).alias("b"))
     lanes = written(lanes)
