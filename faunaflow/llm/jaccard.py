@@ -143,14 +143,14 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame, hot) -> DataFrame:
 
 
 def _rare_prefixes(sets: DataFrame) -> DataFrame:
-    """token, cls, n, i: the shared tokens of each prefix under the order of rarity, i their place in the set."""
+    """token, cls, n, i, u: the shared tokens of each prefix under the order of rarity, i their place, u the set's unshared tokens."""
     by = Window.partitionBy("token")
     cold = sets.select("cls", "n", F.explode("cold").alias("token")).withColumn("c", F.count(F.lit(1)).over(by)).where("c > 1")
     hot = sets.select("cls", "n", F.explode("hot").alias("token"), F.lit(HOT).alias("c"))
     own = Window.partitionBy("cls")
     rank = F.row_number().over(own.orderBy("c", "token"))
-    placed = cold.unionByName(hot).select("token", "cls", "n", (F.col("n") - F.count(F.lit(1)).over(own) + rank - 1).alias("i"))
-    return placed.where(f"i < {PREFIX}")
+    placed = cold.unionByName(hot).select("token", "cls", "n", (F.col("n") - F.count(F.lit(1)).over(own)).alias("u"), rank.alias("r"))
+    return placed.select("token", "cls", "n", (F.col("u") + F.col("r") - 1).alias("i"), "u").where(f"i < {PREFIX}")
 
 
 #: Of two rows of one token: sizes, and the room that is left behind their places, allow the overlap.
@@ -159,8 +159,13 @@ def _room(x: str, y: str) -> str:
 
 
 def _contested(rows: DataFrame, round_: int) -> DataFrame:
-    """token with a pivot row, for tokens whose classes are not yet all in one component."""
-    row = F.struct(F.xxhash64(F.lit(round_), "cls").alias("h"), "cls", "n", "i", "comp")
+    """token with a pivot row, for tokens whose classes are not yet all in one component.
+
+    The class with the fewest unshared tokens is nearest to the middle of a group of near copies, so most
+    of the others link to it; every other round draws the pivot by a hash.
+    """
+    middle = F.col("u") if round_ % 2 == 0 else F.lit(0).cast("long")
+    row = F.struct(middle.alias("m"), F.xxhash64(F.lit(round_), "cls").alias("h"), "cls", "n", "i", "comp")
     groups = rows.groupBy("token").agg(F.min(row).alias("p"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     return groups.where("lo <> hi").select("token", "p")
 
@@ -238,7 +243,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     for round_ in range(STAR_ROUNDS + 1):
         now = rows.withColumn("comp", F.col("cls"))
         if comps is not None:
-            now = rows.join(comps, rows["cls"] == comps["node"], "left").select("token", "cls", "n", "i", F.coalesce("root", "cls").alias("comp"))
+            now = rows.join(comps, rows["cls"] == comps["node"], "left").select("token", "cls", "n", "i", "u", F.coalesce("root", "cls").alias("comp"))
         now = written(now)
         pivots = written(_contested(now, round_))
         last = round_ == STAR_ROUNDS
