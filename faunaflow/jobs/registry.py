@@ -6,7 +6,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["tracking"]
+MODULES = ["tracking", "shaping"]
 
 
 def _modules() -> list:
