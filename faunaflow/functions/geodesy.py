@@ -8,13 +8,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 A, FLAT = 6378137.0, 1 / 298.257223563
 B = A * (1 - FLAT)
 
 
-@pandas_udf("dist double, azimuth double")
+@pandas_udf(T.StructType().add("dist", T.DoubleType()).add("azimuth", T.DoubleType()))
 def inverse(lon1: pd.Series, lat1: pd.Series, lon2: pd.Series, lat2: pd.Series) -> pd.DataFrame:
     """Distance in metres and forward azimuth in [0, 360), by Vincenty's iteration; equal points have 0 and 0.
 
