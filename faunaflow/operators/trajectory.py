@@ -13,28 +13,34 @@ from faunaflow.functions.times import at_micros, micros, seconds
 SEGMENT = ["groupby_col", "segment_start", "segment_end", "timespan_seconds", "dist_meters", "speed_kmhr", "heading", "x1", "y1", "x2", "y2", "junk_status", "nsd"]
 
 
-def from_fixes(df: DataFrame, tie: list[str] = ()) -> DataFrame:
+def from_fixes(df: DataFrame, tie: list[str] = (), chunk: str = "month") -> DataFrame:
     """One segment from each fix to the subject's next; extra columns and the flag come from its start.
 
-    A subject of one fix has none. nsd is the squared distance of the segment's end from the subject's first fix, in km2. One shuffle by
-    subject serves both windows; ``tie`` orders fixes of one time.
+    A subject of one fix has none. nsd is the squared distance of the segment's end from the subject's first fix, in km2.
+    ``tie`` orders fixes of one time. A task sorts one subject's fixes of one chunk of time, so a long history does not meet in one
+    task; the last fix of a chunk is paired with the head of the subject's next chunk, from a table of one row for each chunk.
     """
-    w = Window.partitionBy("groupby_col").orderBy("fixtime", *tie)
     extra = [c for c in df.columns if c.startswith("extra__")]
-    rows = df.where("groupby_col is not null").select(
+    rows = df.where("groupby_col is not null").withColumn("chunk", F.date_trunc(chunk, "fixtime").cast("timestamp_ntz"))
+    head = F.struct(F.col("fixtime").alias("t"), F.col("lon").alias("x"), F.col("lat").alias("y"))
+    heads = rows.groupBy("groupby_col", "chunk").agg(F.min_by(head, F.struct("fixtime", *tie)).alias("head"))
+    along = Window.partitionBy("groupby_col").orderBy("chunk")
+    heads = heads.select("groupby_col", "chunk", F.lead("head").over(along).alias("after"), F.first("head").over(along).alias("origin"))
+    w = Window.partitionBy("groupby_col", "chunk").orderBy("fixtime", *tie)
+    rows = rows.withColumn("ahead", F.lead(head).over(w)).join(heads, ["groupby_col", "chunk"]).withColumn("ahead", F.coalesce("ahead", "after"))
+    rows = rows.where("ahead is not null").select(
         "groupby_col",
         F.col("fixtime").alias("segment_start"),
-        F.lead("fixtime").over(w).alias("segment_end"),
+        F.col("ahead.t").alias("segment_end"),
         F.col("lon").alias("x1"),
         F.col("lat").alias("y1"),
-        F.lead("lon").over(w).alias("x2"),
-        F.lead("lat").over(w).alias("y2"),
-        F.first("lon").over(w).alias("x0"),
-        F.first("lat").over(w).alias("y0"),
+        F.col("ahead.x").alias("x2"),
+        F.col("ahead.y").alias("y2"),
+        F.col("origin.x").alias("x0"),
+        F.col("origin.y").alias("y0"),
         "junk_status",
         *extra,
     )
-    rows = rows.where("segment_end is not null")
     rows = with_geodesic(rows, "x1", "y1", "x2", "y2", "dist_meters", "heading")
     rows = with_geodesic(rows, "x0", "y0", "x2", "y2", "from_first")
     rows = rows.withColumn("timespan_seconds", seconds("segment_start", "segment_end"))

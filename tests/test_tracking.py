@@ -58,6 +58,7 @@ def test_trajectory_pairs_fixes(spark):
     assert [(r.groupby_col, r.extra__note, r.timespan_seconds) for r in got] == [("a", "p", 3600.0), ("a", "q", 3600.0)]
     assert got[0].heading == pytest.approx(90, abs=1e-6) and got[1].heading == pytest.approx(0, abs=1e-6)
     assert got[0].speed_kmhr == pytest.approx(got[0].dist_meters / 1000)
+    assert trajectory.from_fixes(fixes(spark, PATH), chunk="hour").orderBy("segment_start").collect() == got
     shuffled = trajectory.from_fixes(fixes(spark, PATH[::-1])).orderBy("segment_start").collect()
     assert shuffled == got
 
