@@ -57,17 +57,17 @@ ALLOW = r"^(?:[0-9]+|(?:0123456789abcdef)+|(?:[0-9a-f]{8}-(?:0{4}-){3}0{12})|[0-
 
 
 def _spans(text: str, pattern: str, kind: str, order: int, long_enough) -> Column:
-    """Array of (start, end, order, kind, hit) for the matches of pattern that are long enough."""
+    """Array of (start, order, end, kind, hit) for the matches of pattern that are long enough; so they sort by start, then kind."""
     quoted = F.lit(pattern)
     hits = F.regexp_extract_all(F.col(text), quoted, F.lit(0))
     gaps = F.transform(F.split(F.col(text), pattern, -1), F.length)
     pieces = F.zip_with(gaps, hits, lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
-    at = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<start:int,end:int,ord:int,kind:string,hit:string>>").alias("out"))
+    at = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<start:int,ord:int,end:int,kind:string,hit:string>>").alias("out"))
 
     def step(a: Column, p: Column) -> Column:
         start = a["end"] + p["gap"]
         end = start + F.coalesce(F.length(p["hit"]), F.lit(0))
-        span = F.struct(start.alias("start"), end.alias("end"), F.lit(order).alias("ord"), F.lit(kind).alias("kind"), p["hit"].alias("hit"))
+        span = F.struct(start.alias("start"), F.lit(order).alias("ord"), end.alias("end"), F.lit(kind).alias("kind"), p["hit"].alias("hit"))
         return F.struct(end.alias("end"), F.when(long_enough(p["hit"]), F.array_append(a["out"], span)).otherwise(a["out"]).alias("out"))
 
     found = F.aggregate(pieces, at, step, lambda a: a["out"])
