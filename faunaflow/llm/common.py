@@ -30,6 +30,18 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+#: Bytes of texts in one Arrow batch; without a bound a batch holds 10,000 texts of whatever length.
+BATCH = {"spark.sql.execution.arrow.maxBytesPerBatch": "4m", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound what a Python worker holds at once, by settings of the session that any caller may replace."""
+    for key, value in BATCH.items():
+        if spark.conf.get(f"faunaflow.set.{key}", None) is None:
+            spark.conf.set(f"faunaflow.set.{key}", "true")
+            spark.conf.set(key, value)
+
+
 def written(df: DataFrame) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet in the shared folder and read it back.
 
@@ -59,6 +71,7 @@ def dropped(*frames: DataFrame) -> None:
 
 def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the two columns that an operator needs, null text as empty, under names of its own."""
+    small_batches(df.sparkSession)
     return df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 

@@ -32,7 +32,7 @@ WORDS = 5
 SAMPLE_ROWS, HOT_SHARE = 4096, 0.005
 #: Classes whose ids may be broadcast (16 bytes each); more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
-STAR_ROUNDS = 3
+STAR_ROUNDS = 2
 HOT = 1 << 40
 #: A prefix of a quarter is exact for a similarity of 3/4; it is lengthened by 1/12 of the set.
 PREFIX, LONGER, SHARED = "(n div 4 + 1)", 12, 16

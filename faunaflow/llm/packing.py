@@ -22,6 +22,8 @@ from faunaflow.llm.common import documents
 
 WINDOW = 1024
 END = 0
+#: Pieces in an Arrow batch: 2 MB of ids.
+ROWS = 512
 K1, B = 1.2, 0.75
 
 
@@ -180,9 +182,9 @@ def pack(
         kind: pa.DataType = None
 
         def batch_of() -> pa.RecordBatch:
-            columns = list(zip(*rows))
+            columns = list(zip(*rows[:ROWS]))
             out = [pa.array(columns[0], kind), *(pa.array(c, pa.binary() if n == "ids" else pa.int64()) for n, c in zip(names, columns[1:]))]
-            rows.clear()
+            del rows[:ROWS]
             return pa.RecordBatch.from_arrays(out, ["doc_id", *names])
 
         for batch in batches:
@@ -197,10 +199,10 @@ def pack(
                     parts.append((doc, full, ids[full:].copy(), len(ids)))
                 if len(parts) >= shard_docs:
                     flush()
-                if len(rows) >= 8192:
+                while len(rows) >= ROWS:
                     yield batch_of()
         flush()
-        if rows:
+        while rows:
             yield batch_of()
 
     return docs.mapInArrow(run, schema)

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from faunaflow.llm.common import written
+from faunaflow.llm.common import small_batches, written
 from faunaflow.llm.learning import Logistic, bounded, held_out, training_labels
 
 #: Labelled rows that the regression is fitted on, at most; rates use all.
@@ -123,6 +123,7 @@ def quality(
     smoothed rate of what there is, 0.5 of nothing. Columns of df whose names start with ``q_`` are
     replaced. Labels of held-out rows are never used.
     """
+    small_batches(df.sparkSession)
     joined = lambda cols: F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols])
     plain = df.select(*[c for c in df.columns if not c.startswith("q_")])
     docs = plain.withColumns(

@@ -10,7 +10,7 @@ import pandas as pd
 #: Odd, so it has an inverse modulo 2^64 and a window's sum does not depend on where it starts.
 MULTIPLIER = 0x9E3779B97F4A7C15
 #: Words hashed at once; bounds memory, not results.
-CHUNK = 1_000_000
+CHUNK = 50_000
 
 
 def powers(base: int, n: int) -> np.ndarray:
