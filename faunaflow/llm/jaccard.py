@@ -144,12 +144,14 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame, hot) -> DataFrame:
 
 def _rare_prefixes(sets: DataFrame) -> DataFrame:
     """token, cls, n, i, u: the shared tokens of each prefix under the order of rarity, i their place, u the set's unshared tokens."""
-    by = Window.partitionBy("token")
-    cold = sets.select("cls", "n", F.explode("cold").alias("token")).withColumn("c", F.count(F.lit(1)).over(by)).where("c > 1")
-    hot = sets.select("cls", "n", F.explode("hot").alias("token"), F.lit(HOT).alias("c"))
+    by, n_hot = Window.partitionBy("token"), F.size("hot").alias("n_hot")
+    cold = sets.select("cls", "n", n_hot, F.explode("cold").alias("token")).withColumn("c", F.count(F.lit(1)).over(by)).where("c > 1")
+    # hot tokens come last, in order: those beyond the prefix's length never lie in it
+    hot = sets.select("cls", "n", n_hot, F.expr(f"explode(slice(hot, 1, cast({PREFIX} as int)))").alias("token"), F.lit(HOT).alias("c"))
     own = Window.partitionBy("cls")
     rank = F.row_number().over(own.orderBy("c", "token"))
-    placed = cold.unionByName(hot).select("token", "cls", "n", (F.col("n") - F.count(F.lit(1)).over(own)).alias("u"), rank.alias("r"))
+    unshared = F.col("n") - F.col("n_hot") - F.count_if(F.col("c") < HOT).over(own)
+    placed = cold.unionByName(hot).select("token", "cls", "n", unshared.alias("u"), rank.alias("r"))
     return placed.select("token", "cls", "n", (F.col("u") + F.col("r") - 1).alias("i"), "u").where(f"i < {PREFIX}")
 
 
