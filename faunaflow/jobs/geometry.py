@@ -54,7 +54,7 @@ def g5(s, d):
 
 
 query("g7_grid_path", SEG + "SELECT event_id, floor(x1 / 1e-1)::BIGINT AS ix, floor(y1 / 1e-1)::BIGINT AS iy FROM segments WHERE x1 = x2 AND y1 = y2")(
-    lambda s, d: P.grid_traversal(segments(s, d), "x1", "y1", "x2", "y2", 0.1).where("x1 = x2 and y1 = y2").select(F.col("extra__event_id").alias("event_id"), "ix", "iy")
+    lambda s, d: P.grid_traversal(segments(s, d), "x1", "y1", "x2", "y2", 0.1).select(F.col("extra__event_id").alias("event_id"), "ix", "iy", F.round("share", 9).alias("share"))
 )
 query("g1_inverse", SEG + "SELECT round(sum(dist_meters) / 1000, 3) AS km, round(max(dist_meters), 2) AS longest, count(*) AS n FROM segments")(
     lambda s, d: segments(s, d).agg(F.round(F.sum("dist_meters") / 1000, 3).alias("km"), F.round(F.max("dist_meters"), 2).alias("longest"), F.count(F.lit(1)).alias("n"))
