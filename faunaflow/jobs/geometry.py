@@ -114,13 +114,16 @@ def _metric_segments(s, d):
 
 @query("a16_elliptical_density")
 def a16(s, d):
-    rows = _metric_segments(s, d).where("timespan_seconds between 600 and 10800")
+    rows = _metric_segments(s, d)
     shape, scale = R.weibull_fit(rows, "speed_kmhr")
-    top = rows.agg(F.max("speed_kmhr")).first()[0]
-    near = R.elliptical_density(rows.where("speed_kmhr < 10"), 2500.0, min(1.05 * top, 12.0), shape, scale)
+    top, *box = rows.agg(F.max("speed_kmhr"), *[f(g(f"{k}1", f"{k}2")) for f, g in ((F.min, F.least), (F.max, F.greatest)) for k in "xy"]).first()
+    # a largest speed below an observed one would leave that segment without cells
+    fastest = max(R.weibull_quantile(0.9999, shape, scale), 1.05 * top)
+    dx, dy = 0.15 * (box[2] - box[0]), 0.15 * (box[3] - box[1])
+    near = R.elliptical_density(rows, 2500.0, fastest, shape, scale, extent=(box[0] - dx, box[1] - dy, box[2] + dx, box[3] + dy))
     return near.select("ix", "iy", F.round("density", 6).alias("density"))
 
 
 query("g8_weibull")(lambda s, d: s.range(1).select(*[F.round(F.lit(v), 4).alias(n) for n, v in zip(("shape", "scale"), R.weibull_fit(segments(s, d), "speed_kmhr"))]))
 query("a26_hull_growth")(lambda s, d: R.hull_growth(L.projected(standard(s, d)).withColumn("day", F.to_date("fixtime"))).select("groupby_col", "day", F.round("area_km2", 3).alias("area_km2")))
-query("a4_merged_coverage")(lambda s, d: S.coverage_cells(_metric_segments(s, d).where("timespan_seconds < 7200"), 2000.0, 500.0).agg(F.count(F.lit(1)).alias("cells"), (F.count(F.lit(1)) * 0.25).alias("area_km2")))
+query("a4_merged_coverage")(lambda s, d: S.coverage_cells(_metric_segments(s, d), 2000.0, 500.0).agg(F.count(F.lit(1)).alias("cells"), (F.count(F.lit(1)) * 0.25).alias("area_km2")))

@@ -31,33 +31,88 @@ def weibull_pdf(x, shape: float, scale: float):
     return shape / scale * F.pow(x / scale, F.lit(shape - 1)) * F.exp(-F.pow(x / scale, F.lit(shape)))
 
 
-def elliptical_density(df: DataFrame, size: float, max_speed_kmhr: float, shape: float, scale: float, step: float = 0.001) -> DataFrame:
+#: Sides of the square blocks of cells in which densities are summed, the blocks that a task holds at most, and those of one
+#: segment whose weights are kept rather than computed again.
+BLOCK, HELD_BLOCKS, KEPT_BLOCKS = 256, 128, 16
+#: Bits of a float32 that are left out when a speed is looked up: 2^14 steps an octave, under 0.001 km/h up to 16 km/h.
+_DROPPED_BITS = 9
+
+
+def weibull_quantile(share: float, shape: float, scale: float) -> float:
+    return scale * (-math.log(1 - share)) ** (1 / shape)
+
+
+def _speed_table(least: float, most: float, shape: float, scale: float) -> tuple[int, np.ndarray]:
+    """The first place, and for each place the log of the integral of the speed model from there to the largest speed."""
+    place = lambda v: int(np.float32(v).view(np.int32)) >> _DROPPED_BITS
+    first = place(least)
+    at = (np.arange(first, place(most) + 2, dtype=np.int32) << _DROPPED_BITS).view(np.float32).astype(float)
+    at[-1] = max(most, np.nextafter(at[-2], np.inf))
+    mid = (at[:-1] + at[1:]) / 2
+    part = (shape - 1) * np.log(mid / scale) - (mid / scale) ** shape - np.log(mid) + np.log(np.diff(at))
+    return first, np.logaddexp.accumulate(part[::-1])[::-1]
+
+
+def elliptical_density(df: DataFrame, size: float, max_speed_kmhr: float, shape: float, scale: float, step: float = 0.001, extent: tuple[float, float, float, float] | None = None) -> DataFrame:
     """ix, iy, density: where a subject may have been between fixes, as a share of all. Planar x1, y1, x2, y2 in metres, timespan_seconds.
 
-    A cell within reach of both ends needs the speed (d1 + d2) / t; its weight is a table of the integral of the speed model from that
-    speed to the largest. Weights are normalised in their segment and divided by its time. Cells are laid out in the task that
-    holds the segment, so only sums by cell are shuffled.
+    A cell within reach of both ends needs the speed (d1 + d2) / t; its weight is the integral of the speed model from that speed,
+    step at least, to the largest. Weights are normalised in their segment and divided by its time. An extent (x0, y0, x1, y1)
+    bounds the cells by their centres. A segment's cells are gone through block by block in its task, so memory does not grow with
+    its reach; only sums by cell are shuffled.
     """
-    speeds = np.arange(step, max_speed_kmhr + step, step)
-    density = shape / scale * (speeds / scale) ** (shape - 1) * np.exp(-((speeds / scale) ** shape)) / speeds
-    table = np.r_[np.cumsum(density[::-1])[::-1] * step, 0.0]
+    first, logs = _speed_table(step, max_speed_kmhr, shape, scale)
+
+    def weigh(table: np.ndarray, segment: tuple, i0: int, i1: int, j0: int, j1: int) -> np.ndarray:
+        x1, y1, x2, y2, t = segment
+        square = lambda lo, hi, a: (((np.arange(lo, hi + 1) + 0.5) * size - a) ** 2).astype(np.float32)
+        speed = np.sqrt(square(i0, i1, x1)[:, None] + square(j0, j1, y1))
+        speed += np.sqrt(square(i0, i1, x2)[:, None] + square(j0, j1, y2))
+        speed *= np.float32(3.6 / t)
+        place = (speed.view(np.int32) >> _DROPPED_BITS) - first
+        return table.take(place, mode="clip") * (speed < max_speed_kmhr)
 
     def cells(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        plain, sums = np.exp(logs - logs[0]), {}
+
+        def flush() -> pd.DataFrame:
+            out = [pd.DataFrame({"ix": i + bx * BLOCK, "iy": j + by * BLOCK, "v": s[i, j]}) for (bx, by), s in sums.items() for i, j in [np.nonzero(s)]]
+            sums.clear()
+            return pd.concat(out) if out else pd.DataFrame({"ix": [], "iy": [], "v": []})
+
+        def pieces(segment: tuple, table: np.ndarray, blocks: list, box: tuple) -> Iterator[tuple]:
+            i0, i1, j0, j1 = box
+            for bx, by in blocks:
+                a, b, c, d = max(i0, bx * BLOCK), min(i1, bx * BLOCK + BLOCK - 1), max(j0, by * BLOCK), min(j1, by * BLOCK + BLOCK - 1)
+                yield (bx, by), (slice(a - bx * BLOCK, b - bx * BLOCK + 1), slice(c - by * BLOCK, d - by * BLOCK + 1)), weigh(table, segment, a, b, c, d)
+
         for part in parts:
-            sums: dict[tuple[int, int], float] = {}
-            for x1, y1, x2, y2, t in part.itertuples(index=False):
-                reach = max_speed_kmhr / 3.6 * t
-                cx, cy, r = (x1 + x2) / 2, (y1 + y2) / 2, reach / 2
-                ix = np.arange(math.floor((cx - r) / size), math.floor((cx + r) / size) + 1)
-                iy = np.arange(math.floor((cy - r) / size), math.floor((cy + r) / size) + 1)
-                px, py = np.meshgrid((ix + 0.5) * size, (iy + 0.5) * size, indexing="ij")
-                speed = (np.hypot(px - x1, py - y1) + np.hypot(px - x2, py - y2)) / t * 3.6
-                weight = np.where(speed < max_speed_kmhr, table[np.minimum((speed / step).astype(int), len(table) - 1)], 0.0)
-                if (total := weight.sum()) > 0:
-                    for i, j in zip(*np.nonzero(weight)):
-                        key = (int(ix[i]), int(iy[j]))
-                        sums[key] = sums.get(key, 0.0) + weight[i, j] / total / t
-            yield pd.DataFrame([(a, b, v) for (a, b), v in sums.items()], columns=["ix", "iy", "v"])
+            for segment in part.itertuples(index=False, name=None):
+                x1, y1, x2, y2, t = segment
+                cx, cy, r = (x1 + x2) / 2, (y1 + y2) / 2, max_speed_kmhr / 3.6 * t / 2
+                x0, y0, xn, yn = cx - r, cy - r, cx + r, cy + r
+                if extent:
+                    x0, y0, xn, yn = max(x0, extent[0]), max(y0, extent[1]), min(xn, extent[2]), min(yn, extent[3])
+                # the cells whose centres lie in the box
+                box = i0, i1, j0, j1 = math.ceil(x0 / size - 0.5), math.floor(xn / size - 0.5), math.ceil(y0 / size - 0.5), math.floor(yn / size - 0.5)
+                if i0 > i1 or j0 > j1:
+                    continue
+                blocks = range(i0 // BLOCK, i1 // BLOCK + 1), range(j0 // BLOCK, j1 // BLOCK + 1)
+                straight = np.hypot(x2 - x1, y2 - y1) / t * 3.6
+                low = logs[min(max((int(np.float32(straight).view(np.int32)) >> _DROPPED_BITS) - first, 0), len(logs) - 1)]
+                # as factors of a segment cancel, very small weights are taken relative to its largest
+                table = plain if low - logs[0] > -40 else np.exp(np.minimum(logs - low, 0.0))
+                again = lambda: pieces(segment, table, ((a, b) for a in blocks[0] for b in blocks[1]), box)  # noqa: E731, B023
+                kept = list(again()) if len(blocks[0]) * len(blocks[1]) <= KEPT_BLOCKS else None
+                total = sum(float(w.sum()) for _, _, w in kept or again())
+                if total > 0:
+                    for key, place, w in kept or again():
+                        if key not in sums:
+                            if len(sums) >= HELD_BLOCKS:
+                                yield flush()
+                            sums[key] = np.zeros((BLOCK, BLOCK))
+                        sums[key][place] += w * (1 / (total * t))
+        yield flush()
 
     rows = df.where("timespan_seconds > 0").select("x1", "y1", "x2", "y2", "timespan_seconds")
     got = rows.mapInPandas(cells, "ix long, iy long, v double").groupBy("ix", "iy").agg(F.sum("v").alias("v"))

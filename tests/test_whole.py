@@ -3,10 +3,11 @@
 import datetime as dt
 import math
 
+import numpy as np
 import pytest
 
-from faunaflow.jobs import registry
-from faunaflow.operators import spatial
+from faunaflow.jobs import geometry, registry
+from faunaflow.operators import ranges, spatial
 
 
 @pytest.fixture(scope="module")
@@ -58,3 +59,62 @@ def test_grid_path_of_every_segment(spark, tables):
     for r in got.collect():
         total[r.event_id] += r.share
     assert len(total) == 7 and list(total.values()) == pytest.approx([1.0] * 7)
+
+
+def densities(segments, size, most, shape, scale, extent=None):
+    """The elliptical density cell by cell, with the speed model's integral by fine sums."""
+    logs = np.linspace(math.log(0.001), math.log(most), 400_001)
+    v = np.exp((logs[1:] + logs[:-1]) / 2)
+    f = shape / scale * (v / scale) ** (shape - 1) * np.exp(-((v / scale) ** shape)) * np.diff(logs)
+    left = np.r_[np.cumsum(f[::-1])[::-1], 0.0]
+    sums = {}
+    for x1, y1, x2, y2, t in segments:
+        box = [min(x1, x2) - most * t, min(y1, y2) - most * t, max(x1, x2) + most * t, max(y1, y2) + most * t]
+        box = [max(a, b) for a, b in zip(box[:2], extent[:2])] + [min(a, b) for a, b in zip(box[2:], extent[2:])] if extent else box
+        own = {}
+        for i in range(math.floor(box[0] / size) - 1, math.ceil(box[2] / size) + 1):
+            for j in range(math.floor(box[1] / size) - 1, math.ceil(box[3] / size) + 1):
+                px, py = (i + 0.5) * size, (j + 0.5) * size
+                speed = (math.hypot(px - x1, py - y1) + math.hypot(px - x2, py - y2)) / t * 3.6
+                if speed < most and (not extent or extent[0] <= px <= extent[2] and extent[1] <= py <= extent[3]):
+                    own[i, j] = np.interp(math.log(max(speed, 0.001)), logs, left)
+        for c, w in own.items():
+            sums[c] = sums.get(c, 0.0) + w / sum(own.values()) / t
+    return {c: v / sum(sums.values()) for c, v in sums.items()}
+
+
+@pytest.mark.parametrize("block", [256, 4])
+def test_elliptical_density_of_long_and_fast_segments(spark, monkeypatch, block):
+    monkeypatch.setattr(ranges, "BLOCK", block)
+    monkeypatch.setattr(ranges, "HELD_BLOCKS", 3)
+    monkeypatch.setattr(ranges, "KEPT_BLOCKS", 2)
+    segments = [(0.0, 0.0, 1000.0, 0.0, 3600.0), (-2000.0, 500.0, 2500.0, 900.0, 100_000.0), (100.0, 100.0, 5100.0, -4000.0, 400.0), (300.0, 300.0, 300.0, 300.0, 900.0)]
+    extent = (-9000.0, -8000.0, 9500.0, 8500.0)
+    df = spark.createDataFrame(segments, "x1 double, y1 double, x2 double, y2 double, timespan_seconds double")
+    got = {(r.ix, r.iy): r.density for r in ranges.elliptical_density(df, 500.0, 70.0, 0.55, 1.7, extent=extent).collect()}
+    want = densities(segments, 500.0, 70.0, 0.55, 1.7, extent)
+    assert set(got) == set(want)
+    top = max(want.values())
+    assert max(abs(got[c] - want[c]) for c in want) < 1e-4 * top
+
+
+def test_density_and_cover_take_every_segment(spark, tables):
+    segments = geometry._metric_segments(spark, tables)
+    rows = [tuple(r) for r in segments.select("x1", "y1", "x2", "y2", "timespan_seconds").collect()]
+    assert len(rows) == 7 and max(r[4] for r in rows) > 10_800 and min(r[4] for r in rows) < 600
+    speeds = [r.speed_kmhr for r in segments.collect()]
+    assert max(speeds) > 12
+    cells = {(r.ix, r.iy): r.density for r in registry.queries()["a16_elliptical_density"](spark, tables).collect()}
+    assert sum(cells.values()) == pytest.approx(1, abs=0.02)
+    # the fastest segment is the shortest, so nearly all of the density lies along it
+    fast = min(rows, key=lambda r: r[4])
+    assert sum(v for (i, j), v in cells.items() if min(math.hypot((i + 0.5) * 2500 - fast[k], (j + 0.5) * 2500 - fast[k + 1]) for k in (0, 2)) < 15_000) > 0.5
+    cover = set()
+    for x1, y1, x2, y2, _ in rows:
+        for i in range(math.floor((min(x1, x2) - 1000) / 500), math.floor((max(x1, x2) + 1000) / 500) + 1):
+            for j in range(math.floor((min(y1, y2) - 1000) / 500), math.floor((max(y1, y2) + 1000) / 500) + 1):
+                px, py, dx, dy = (i + 0.5) * 500 - x1, (j + 0.5) * 500 - y1, x2 - x1, y2 - y1
+                t = max(0, min(1, (px * dx + py * dy) / (dx * dx + dy * dy or 1)))
+                if math.hypot(px - t * dx, py - t * dy) <= 1000:
+                    cover.add((i, j))
+    assert registry.queries()["a4_merged_coverage"](spark, tables).first().cells == len(cover)
