@@ -169,7 +169,7 @@ SELECT epoch_us(l) AS l, count(*) AS n, round(sum(value), 2) AS total FROM event
 query("f1_flatten_json", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS props__k FROM events")(lambda s, d: C.flatten_json(ev(s, d).select("event_id", "props"), "props"))
 query("f2_first_field", "SELECT event_id, CAST(json_extract(props, '$.k') AS DOUBLE) AS k FROM events")(lambda s, d: ev(s, d).select("event_id", C.first_field("props", ["missing", "k"], "double").alias("k")))
 query("f3_as_type", "SELECT event_id, value::DOUBLE AS f, TRY_CAST(event_type AS DOUBLE) AS bad, user_id = 1 AS flag FROM events WHERE user_id IN (0, 1)")(
-    lambda s, d: ev(s, d).where("user_id in (0, 1)").select("event_id", C.as_type("value", "float").alias("f"), C.as_type("event_type", "float").alias("bad"), C.as_type("user_id", "bool").alias("flag"))
+    lambda s, d: ev(s, d).select("event_id", C.as_type("value", "float").alias("f"), C.as_type("event_type", "float").alias("bad"), C.as_type("user_id", "bool").alias("flag"))
 )
 query("f4_decode_details", "SELECT event_id, CASE WHEN event_id % 5 = 0 THEN NULL ELSE json_extract_string(props, '$.k') END AS k, event_id % 5 = 0 AS bad_json FROM events")(
     lambda s, d: C.decode_details(ev(s, d).withColumn("props", F.when(F.col("event_id") % 5 == 0, "{bad").otherwise(F.col("props"))), "props").select("event_id", F.col("props")["k"].alias("k"), "bad_json")

@@ -6,7 +6,7 @@ import math
 import numpy as np
 import pytest
 
-from faunaflow.jobs import geometry, registry
+from faunaflow.jobs import geometry, mapping, registry
 from faunaflow.operators import ranges, spatial
 
 
@@ -118,3 +118,17 @@ def test_density_and_cover_take_every_segment(spark, tables):
                 if math.hypot(px - t * dx, py - t * dy) <= 1000:
                     cover.add((i, j))
     assert registry.queries()["a4_merged_coverage"](spark, tables).first().cells == len(cover)
+
+
+def test_features_types_and_grid_of_all_rows(spark, tables):
+    queries = registry.queries()
+    near = queries["j9_proximity"](spark, tables).collect()
+    assert len(near) == 7 * 25 and {r.feature_id for r in near} == set(range(25))
+    flags = {r.event_id: r.flag for r in queries["f3_as_type"](spark, tables).collect()}
+    users = {r.event_id: r.user_id for r in spark.read.parquet(f"{tables}/events.parquet").collect()}
+    assert flags == {e: {0: False, 1: True}.get(u) for e, u in users.items()}
+    fixes = mapping.fixes(spark, tables).collect()
+    cells = queries["g4_mesh_grid"](spark, tables).collect()
+    columns, rows = [{math.floor(v(f) / n) for f in fixes} for v, n in ((lambda f: f.lon, 0.25), (lambda f: f.lat, 0.2))]
+    assert len(cells) == (max(columns) - min(columns) + 1) * (max(rows) - min(rows) + 1)
+    assert all(any(c.x0 <= f.lon + 1e-9 and f.lon < c.x0 + 0.25 + 1e-9 and c.y0 <= f.lat + 1e-9 and f.lat < c.y0 + 0.2 + 1e-9 for c in cells) for f in fixes)
