@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
-#: Distinct values that the exact optimal breaks take; more are first counted in as many equal bins.
-MAX_BREAK_VALUES = 2000
+#: Distinct values up to which optimal breaks are exact; more start as bins, divided into PIECES wherever a break falls.
+MAX_BREAK_VALUES, PIECES = 500_000, 1000
 
 
 def breaks(df: DataFrame, column: str, scheme: str, k: int = 5, multiples: tuple = (-2, -1, 1, 2), min_gap: float = 0.0) -> list[float]:
@@ -34,35 +36,75 @@ def breaks(df: DataFrame, column: str, scheme: str, k: int = 5, multiples: tuple
     raise ValueError(f"unknown scheme: {scheme}")
 
 
-def _optimal(known: DataFrame, k: int) -> list[float]:
-    """Breaks of least squared deviation within classes, over a histogram of bounded size."""
-    counts = known.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
-    if counts.limit(MAX_BREAK_VALUES + 1).count() > MAX_BREAK_VALUES:
-        low, high = known.agg(F.min("v"), F.max("v")).first()
-        step = (high - low) / MAX_BREAK_VALUES
-        place = F.least(F.floor((F.col("v") - low) / step), F.lit(MAX_BREAK_VALUES - 1))
-        counts = known.groupBy(place.alias("b")).agg(F.max("v").alias("v"), F.count(F.lit(1)).alias("n")).drop("b")
-    rows = counts.orderBy("v").toPandas()
-    v, n = rows["v"].to_numpy(float), rows["n"].to_numpy(float)
-    k = min(k, len(v))
-    w, s, q = (np.r_[0, np.cumsum(x)] for x in (n, n * v, n * v * v))
+def _best_ends(n: np.ndarray, s: np.ndarray, q: np.ndarray, k: int) -> np.ndarray:
+    """Ends of the k classes of least squared deviation over ordered pieces: n rows, sums s of values, q of squares.
+
+    The best start of a class does not fall as its end rises, so each round halves the open ranges, all of them at once.
+    """
+    w, s, q = (np.r_[0.0, np.cumsum(x)] for x in (n, s, q))
     spread = lambda i, j: (q[j] - q[i]) - (s[j] - s[i]) ** 2 / (w[j] - w[i])
-    best = np.array([0.0] + [spread(0, j) for j in range(1, len(v) + 1)])
-    cuts = []
+    size, cuts = len(n), []
+    best = np.r_[0.0, spread(np.zeros(size, dtype=int), np.arange(1, size + 1))]
     for c in range(2, k + 1):
-        after, cut = np.full(len(v) + 1, np.inf), np.zeros(len(v) + 1, dtype=int)
-        for j in range(c, len(v) + 1):
-            i = np.arange(c - 1, j)
-            total = best[i] + spread(i, j)
-            cut[j] = i[np.argmin(total)]
-            after[j] = total.min()
+        after, cut = np.full(size + 1, np.inf), np.zeros(size + 1, dtype=int)
+        # open ranges of ends, and of the starts they may have
+        low, high, first, last = (np.array([x]) for x in (c, size, c - 1, size - 1))
+        while len(low):
+            mid = (low + high) // 2
+            upper = np.minimum(last, mid - 1)
+            many = upper - first + 1
+            at = np.r_[0, np.cumsum(many)[:-1]]
+            start = np.arange(many.sum()) - np.repeat(at - first, many)
+            total = best[start] + spread(start, np.repeat(mid, many))
+            after[mid] = np.minimum.reduceat(total, at)
+            found = np.flatnonzero(total == np.repeat(after[mid], many))
+            cut[mid] = start[found[np.searchsorted(found, at)]]
+            left, right = low < mid, mid < high
+            pairs = (low, mid + 1), (mid - 1, high), (first, cut[mid]), (cut[mid], last)
+            low, high, first, last = (np.r_[a[left], b[right]] for a, b in pairs)
         best = after
         cuts.append(cut)
-    ends, j = [len(v)], len(v)
+    ends = [size]
     for cut in reversed(cuts):
-        j = cut[j]
-        ends.append(j)
-    return [float(v[e - 1]) for e in reversed(ends)]
+        ends.append(cut[ends[-1]])
+    return np.array(ends[::-1])
+
+
+def _places(edges: np.ndarray):
+    @pandas_udf("long")
+    def place(v: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(edges, v.to_numpy()))
+
+    return place
+
+
+def _optimal(known: DataFrame, k: int) -> list[float]:
+    """Breaks of least squared deviation within classes.
+
+    Up to MAX_BREAK_VALUES distinct values they are exact. More are summed in bins of about as many values each; the bins beside a
+    break are divided until they are single values, so each break is the best one near it, but another set may be better on the whole.
+    """
+    counts = known.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+    mean = known.agg(F.avg("v")).first()[0]
+    d, n = F.col("v") - F.lit(mean), F.col("n")
+    rows = counts.select("v", "n", (d * n).alias("s"), (d * d * n).alias("q"))
+    ends = lambda got: _best_ends(*(got[c].to_numpy(float) for c in "nsq"), min(k, len(got)))
+    if rows.limit(MAX_BREAK_VALUES + 1).count() <= MAX_BREAK_VALUES:
+        got = rows.orderBy("v").toPandas()
+        return got["v"].iloc[ends(got) - 1].tolist()
+    quantiles = F.percentile_approx("v", F.array(*[F.lit(i / PIECES) for i in range(PIECES + 1)]), F.lit(100 * PIECES))
+    edges = np.unique(rows.agg(quantiles).first()[0])
+    while True:
+        binned = rows.withColumn("b", _places(edges)("v"))
+        sums = [F.min("v").alias("low"), F.max("v").alias("v"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q")]
+        got = binned.groupBy("b").agg(*sums).orderBy("b").toPandas()
+        found = ends(got)
+        beside = got.iloc[np.unique(np.r_[found[:-1] - 1, found[:-1]])]
+        wide = beside[beside["low"] < beside["v"]]
+        if wide.empty:
+            return got["v"].iloc[found - 1].tolist()
+        parts = binned.where(F.col("b").isin(wide["b"].tolist())).groupBy("b").agg(quantiles.alias("q")).collect()
+        edges = np.unique(np.concatenate([edges, wide["low"], wide["v"], *[r["q"] for r in parts]]))
 
 
 def classify(df: DataFrame, column: str, out: str, bounds: list[float], labels: list | None = None, ranges: bool = False, decimals: int = 1) -> DataFrame:

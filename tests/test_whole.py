@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from faunaflow.jobs import geometry, mapping, registry
-from faunaflow.operators import ranges, spatial
+from faunaflow.operators import classify, ranges, spatial
 
 
 @pytest.fixture(scope="module")
@@ -132,3 +132,36 @@ def test_features_types_and_grid_of_all_rows(spark, tables):
     columns, rows = [{math.floor(v(f) / n) for f in fixes} for v, n in ((lambda f: f.lon, 0.25), (lambda f: f.lat, 0.2))]
     assert len(cells) == (max(columns) - min(columns) + 1) * (max(rows) - min(rows) + 1)
     assert all(any(c.x0 <= f.lon + 1e-9 and f.lon < c.x0 + 0.25 + 1e-9 and c.y0 <= f.lat + 1e-9 and f.lat < c.y0 + 0.2 + 1e-9 for c in cells) for f in fixes)
+
+
+def exact_breaks(v, k):
+    """Upper bounds and squared deviation of the best classes, by the plain dynamic programme over sorted distinct values."""
+    v = np.array(v) - np.mean(v)
+    s, q, size = np.r_[0, np.cumsum(v)], np.r_[0, np.cumsum(v * v)], len(v)
+    best, cuts = np.r_[0.0, [q[j] - s[j] ** 2 / j for j in range(1, size + 1)]], []
+    for c in range(2, k + 1):
+        after, cut = np.full(size + 1, np.inf), np.zeros(size + 1, dtype=int)
+        for j in range(c, size + 1):
+            i = np.arange(c - 1, j)
+            total = best[i] + (q[j] - q[i]) - (s[j] - s[i]) ** 2 / (j - i)
+            cut[j], after[j] = i[total.argmin()], total.min()
+        best = after
+        cuts.append(cut)
+    ends = [size]
+    for cut in reversed(cuts):
+        ends.append(cut[ends[-1]])
+    return ends[::-1], best[size]
+
+
+def test_jenks_is_exact_above_2000_skewed_values(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    v = np.unique(np.r_[rng.exponential(1.0, 1500), 6 + rng.normal(0, 0.05, 1000), 9 + rng.exponential(0.3, 500), 1e4])
+    ends, least = exact_breaks(v, 5)
+    df = spark.createDataFrame([(float(x),) for x in v], "v double")
+    assert classify.breaks(df, "v", "fisher_jenks", k=5) == [v[e - 1] for e in ends]
+    # above the bound the bins beside each break are divided down to single values
+    monkeypatch.setattr(classify, "MAX_BREAK_VALUES", 500)
+    monkeypatch.setattr(classify, "PIECES", 40)
+    got = np.searchsorted(v, classify.breaks(df, "v", "fisher_jenks", k=5), "right")
+    parts = np.split(v, got[:-1])
+    assert len(parts) == 5 and sum(((p - p.mean()) ** 2).sum() for p in parts) <= 1.001 * least
