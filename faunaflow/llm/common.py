@@ -42,14 +42,14 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(key, value)
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet in the shared folder and read it back.
 
     A lost executor then costs a re-read, not a recomputation, and two readers see the same rows.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/faunaflow-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     back = spark.read.schema(df.schema).parquet(path)
     back.written_to = path
     return back

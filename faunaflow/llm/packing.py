@@ -1,46 +1,60 @@
 """Lexical retrieval packing of token sequences.
 
-Each document's tokens are cut into full windows; what is left, shorter than a window, is packed. The
-left-over parts of a shard (consecutive documents of one input partition, so nothing is shuffled and
-memory is bounded) get a BM25 inverted index over their tokens. A seed asks it with its weightiest
-terms; unused neighbours, best first, greedily fill the seed's window, and the last one is cut where
-the window ends. What a shard has at its end is cut into sequences of powers of two, which need no padding.
+Each document's tokens are cut into full windows, which need no neighbours, and a part that is shorter.
+The parts are dealt out by content: their rarest tokens are their place in a range partitioning, so
+parts that share rare words stand together wherever they were stored, however many there are; equal
+places are told apart by a hash, so no group of copies is one task's. Consecutive parts form a shard
+with its own BM25 inverted index. A seed asks it with all its terms; unused neighbours fill the seed's
+window in the order of their scores, and the last one is cut where the window ends: what is left of it is the
+next seed. What a shard has at its end is cut into sequences of powers of two, which need no padding.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from faunaflow.llm.common import documents
+from faunaflow.llm.common import documents, written
 
 WINDOW = 1024
 END = 0
 #: Pieces in an Arrow batch: 2 MB of ids.
 ROWS = 512
 K1, B = 1.2, 0.75
+#: Parts of a shard.
+SHARD = 2048
+#: Rarest tokens that make a part's place, and bits for each.
+RAREST, BITS = 3, 20
+#: Longer texts are looked through for white space that the fast encoder's pattern cannot pass.
+LONG_TEXT, LONG_SPACE = 200_000, r"\s{100000}"
 
 
 class Tokens:
-    """Ids of a tokenizers file of byte-level BPE.
+    """Ids of a tokenizers file of byte-level BPE, then the end id, as tokenizers gives them.
 
-    Where every merge's id follows its rank, tiktoken runs the same merges several times faster; any
-    other file is run by tokenizers itself. Strings of special tokens in a text are ordinary text.
+    Where every merge's id follows its rank, tiktoken runs the same merges several times faster. Texts
+    with a string of an added token, or with very long white space, are left to tokenizers; so is
+    any other file.
     """
 
     def __init__(self, file: str, pattern: str):
-        spec = json.loads(file)
+        from tokenizers import Tokenizer
+
+        spec, self.own = json.loads(file), Tokenizer.from_str(file)
         vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
         pairs = [m if isinstance(m, list) else m.split(" ") for m in merges]
-        special = {t["content"] for t in spec.get("added_tokens", [])}
-        plain = {k: v for k, v in vocab.items() if k not in special}
+        added = [t["content"] for t in spec.get("added_tokens", [])]
+        plain = {k: v for k, v in vocab.items() if k not in set(added)}
         ordered = len(plain) == 256 + len(pairs) and all(vocab.get(a + b) == 256 + i for i, (a, b) in enumerate(pairs))
+        self.fast = None
         if ordered and spec["pre_tokenizer"]["type"] == "ByteLevel" and not spec["pre_tokenizer"].get("add_prefix_space") and not spec.get("normalizer"):
             import tiktoken
             from tokenizers.pre_tokenizers import ByteLevel
@@ -50,17 +64,24 @@ class Tokens:
             codes = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(shown)))}
             assert codes.keys() == set(ByteLevel.alphabet())
             ranks = {bytes(codes[c] for c in k): v for k, v in plain.items()}
-            run = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        else:
-            from tokenizers import Tokenizer
-
-            own = Tokenizer.from_str(file)
-            own.encode_special_tokens = True
-            run = lambda text: own.encode(text, add_special_tokens=False).ids
-        self.run = run
+            self.fast = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.added = re.compile("|".join(map(re.escape, added))).search if added else lambda text: None
+        self.long_space = re.compile(LONG_SPACE).search
 
     def __call__(self, text: str) -> np.ndarray:
-        return np.array([*self.run(text), END], dtype=np.uint32)
+        slow = self.fast is None or self.added(text) or (len(text) > LONG_TEXT and self.long_space(text))
+        ids = self.own.encode(text, add_special_tokens=False).ids if slow else self.fast(text)
+        return np.array([*ids, END], dtype=np.uint32)
+
+
+def place(ids: np.ndarray) -> int:
+    """The rarest distinct tokens, rarest first, as one number; a later id of a BPE vocabulary is rarer."""
+    out = 0
+    for t in np.unique(np.minimum(ids, (1 << BITS) - 1))[: -RAREST - 1 : -1].tolist() + [0] * RAREST:
+        if out >> BITS * (RAREST - 1):
+            break
+        out = out << BITS | t
+    return out & (1 << BITS * RAREST) - 1
 
 
 class Index:
@@ -70,55 +91,51 @@ class Index:
         n, sizes = len(parts), np.array([len(p) for p in parts])
         owner = np.repeat(np.arange(n, dtype=np.int64), sizes)
         keys, tf = np.unique(owner << 32 | np.concatenate(parts).astype(np.int64), return_counts=True)
-        doc, term = (keys >> 32).astype(np.int32), keys & 0xFFFFFFFF
-        terms, self.of = np.unique(term, return_inverse=True)
-        df = np.bincount(self.of, minlength=len(terms))
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
+        doc = keys >> 32
+        _, self.of = np.unique(keys & 0xFFFFFFFF, return_inverse=True)
+        self.df = np.bincount(self.of)
+        idf = np.log1p((n - self.df + 0.5) / (self.df + 0.5))
         weight = idf[self.of] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[doc] / sizes.mean()))
         by_term = np.argsort(self.of, kind="stable")
-        self.docs, self.weights = doc[by_term], weight[by_term].astype(np.float32)
-        self.first = np.r_[0, np.cumsum(df)]
-        self.asks, self.own = weight, np.r_[0, np.cumsum(np.bincount(doc, minlength=n))]
-        self.n, self.df = n, df
-
-    def scores(self, seed: int, terms: int) -> np.ndarray:
-        """BM25 scores of all parts for the seed's weightiest terms that another part has too."""
-        a, b = self.own[seed], self.own[seed + 1]
-        weight = np.where(self.df[self.of[a:b]] > 1, self.asks[a:b], 0)
-        best = self.of[a:b][np.argsort(-weight, kind="stable")[:terms]]
-        at = np.concatenate([np.arange(self.first[t], self.first[t + 1]) for t in best])
+        self.docs, self.weights = doc[by_term], weight[by_term]
+        self.first = np.r_[0, np.cumsum(self.df)]
+        self.own, self.n = np.r_[0, np.cumsum(np.bincount(doc, minlength=n))], n
+
+    def scores(self, seed: int) -> np.ndarray:
+        """BM25 scores of all parts for all terms of the seed."""
+        terms = self.of[self.own[seed] : self.own[seed + 1]]
+        terms = terms[self.df[terms] > 1]
+        each = self.df[terms]
+        ends = np.cumsum(each)
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.first[terms] - ends + each, each)
         return np.bincount(self.docs[at], self.weights[at], self.n)
 
 
-def pack_shard(parts: list[np.ndarray], window: int, terms: int, neighbours: int) -> Iterator[list[tuple[int, int, int]]]:
+def pack_shard(parts: list[np.ndarray], window: int) -> Iterator[list[tuple[int, int, int]]]:
     """Sequences of (part, start in it, length): all of full windows but, at the end, powers of two."""
     if not parts:
         return
     index, at = Index(parts), np.zeros(len(parts), dtype=np.int64)
     size = np.array([len(p) for p in parts])
     free = np.ones(len(parts), dtype=bool)
-    line = np.argsort(-size, kind="stable")
     rest: list[tuple[int, int, int]] = []
-    for place, seed in enumerate(line):
-        if not free[seed]:
-            continue
+    seed = 0
+    while free[seed]:
         free[seed] = False
-        got, room = [(int(seed), int(at[seed]), int(size[seed] - at[seed]))], window - int(size[seed] - at[seed])
-        scores = np.where(free, index.scores(seed, terms), -1.0)
-        k = min(neighbours, len(scores) - 1)
-        near = np.argpartition(-scores, k)[: k + 1]
-        near = near[np.argsort(-scores[near], kind="stable")]
-        near = [int(d) for d in near if free[d]]
-        for d in near:
-            if (length := int(size[d] - at[d])) <= room:
+        got, room = [(seed, int(at[seed]), int(size[seed] - at[seed]))], window - int(size[seed] - at[seed])
+        others = np.flatnonzero(free)
+        following = int(others[0]) if len(others) else seed
+        if room and len(others):
+            for d in others[np.argsort(-index.scores(seed)[others], kind="stable")].tolist():
+                length = min(room, int(size[d] - at[d]))
                 got.append((d, int(at[d]), length))
-                free[d], room = False, room - length
-        left = (d for d in [*near, *map(int, line[place + 1 :])] if free[d])
-        while room and (d := next(left, None)) is not None:
-            length = min(room, int(size[d] - at[d]))
-            got.append((d, int(at[d]), length))
-            at[d], room = at[d] + length, room - length
-            free[d] = at[d] < size[d]
+                at[d], room = at[d] + length, room - length
+                free[d] = at[d] < size[d]
+                if not room:
+                    # the part that was cut goes on, else the next one in the order of content
+                    following = d if free[d] else int(np.argmax(free))
+                    break
+        seed = following
         if room:
             rest = got
         else:
@@ -137,6 +154,37 @@ def pack_shard(parts: list[np.ndarray], window: int, terms: int, neighbours: int
         yield got
 
 
+def _encoded(docs: DataFrame, file, pattern: str, window: int) -> DataFrame:
+    """doc_id, start, length, ids, doc_tokens, sequence_id (of full windows; null for shorter parts), place."""
+    names = ["start", "length", "ids", "doc_tokens", "sequence_id", "place"]
+    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *(T.StructField(n, T.BinaryType() if n == "ids" else T.LongType()) for n in names)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, task, rows = Tokens(file.value, pattern), TaskContext.get().partitionId() << 36, []
+
+        def batch_of(kind: pa.DataType) -> pa.RecordBatch:
+            columns = list(zip(*rows[:ROWS]))
+            del rows[:ROWS]
+            return pa.RecordBatch.from_arrays([pa.array(c, kind if n == "doc_id" else pa.binary() if n == "ids" else pa.int64()) for n, c in zip(schema.names, columns)], schema.names)
+
+        for batch in batches:
+            kind = batch.schema.field("doc_id").type
+            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
+                ids = encode(text.as_py())
+                full = len(ids) // window * window
+                for start in range(0, full, window):
+                    rows.append((doc, start, window, ids[start : start + window].tobytes(), len(ids), task, None))
+                    task += 1
+                if full < len(ids):
+                    rows.append((doc, full, len(ids) - full, ids[full:].tobytes(), len(ids), None, place(ids[full:])))
+                while len(rows) >= ROWS:
+                    yield batch_of(kind)
+            if rows:
+                yield batch_of(kind)
+
+    return docs.mapInArrow(run, schema)
+
+
 def pack(
     df: DataFrame,
     tokenizer_path: str,
@@ -144,65 +192,56 @@ def pack(
     id_col: str = "doc_id",
     text_col: str = "text",
     window: int = WINDOW,
-    shard_docs: int = 4096,
-    terms: int = 16,
-    neighbours: int = 32,
+    shard: int = SHARD,
 ) -> DataFrame:
     """One row per piece: doc_id, start, length, ids (32-bit little-endian), doc_tokens, sequence_id, offset.
 
     Every token of every document, with the end id 0 after its text, lies in exactly one piece; the
-    pieces of a sequence follow each other from offset 0. Null text is empty and has the end id alone.
-    Rows are packed as they come, repeated and null ids included; other columns are not read.
-    ``window`` must be a power of two.
+    pieces of a sequence follow each other from offset 0. Null and empty texts have the end id alone.
+    Every row is a document of its own, repeated rows and null ids included; ties of a score go by the
+    order of content. An empty table gives no rows; other columns are not read. ``window`` must be a
+    power of two. Texts are encoded once, into a table in the shared folder.
     """
     docs = documents(df, id_col, text_col)
     with open(tokenizer_path, encoding="utf-8") as f:
-        sent = df.sparkSession.sparkContext.broadcast(f.read())
-    names = ["start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
-    kinds = [T.BinaryType() if n == "ids" else T.LongType() for n in names]
-    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *(T.StructField(n, k) for n, k in zip(names, kinds))])
+        file = df.sparkSession.sparkContext.broadcast(f.read())
+    pieces = written(_encoded(docs, file, pattern, window), "zstd")
+    columns = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id"]
+    whole = pieces.where("sequence_id is not null").select(*columns, F.lit(0).cast("long").alias("offset"))
+    parts = pieces.where("sequence_id is null").select("place", F.xxhash64("doc_id", "start").alias("salt"), "doc_id", "start", "ids", "doc_tokens")
+    parts = parts.repartitionByRange("place", "salt").sortWithinPartitions("place", "salt").drop("place", "salt")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, task = Tokens(sent.value, pattern), TaskContext.get().partitionId() << 36
-        rows: list[tuple] = []
-        parts: list[tuple] = []
-        sequences = 0
-
-        def flush() -> None:
-            nonlocal sequences
-            for got in pack_shard([p[2] for p in parts], window, terms, neighbours):
+        # beyond the numbers of full windows
+        sequence = 1 << 60 | TaskContext.get().partitionId() << 36
+        held: list[tuple] = []
+
+        def packed(kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+            nonlocal sequence
+            rows: list[tuple] = []
+            tokens = [np.frombuffer(h[2], dtype="<u4") for h in held]
+            for got in pack_shard(tokens, window):
                 offset = 0
                 for i, start, length in got:
-                    doc, done, ids, total = parts[i]
-                    rows.append((doc, done + start, length, ids[start : start + length].tobytes(), total, task + sequences, offset))
+                    doc, done, _, total = held[i]
+                    rows.append((doc, done + start, length, tokens[i][start : start + length].tobytes(), total, sequence, offset))
                     offset += length
-                sequences += 1
-            parts.clear()
-
-        kind: pa.DataType = None
-
-        def batch_of() -> pa.RecordBatch:
-            columns = list(zip(*rows[:ROWS]))
-            out = [pa.array(columns[0], kind), *(pa.array(c, pa.binary() if n == "ids" else pa.int64()) for n, c in zip(names, columns[1:]))]
-            del rows[:ROWS]
-            return pa.RecordBatch.from_arrays(out, ["doc_id", *names])
+                sequence += 1
+            held.clear()
+            for at in range(0, len(rows), ROWS):
+                columns_ = zip([kind, pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()], zip(*rows[at : at + ROWS]))
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for k, c in columns_], [*columns, "offset"])
 
+        kind = None
         for batch in batches:
             kind = batch.schema.field("doc_id").type
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                ids = encode(text.as_py())
-                full = len(ids) // window * window
-                for start in range(0, full, window):
-                    rows.append((doc, start, window, ids[start : start + window].tobytes(), len(ids), task + sequences, 0))
-                    sequences += 1
-                if full < len(ids):
-                    parts.append((doc, full, ids[full:].copy(), len(ids)))
-                if len(parts) >= shard_docs:
-                    flush()
-                while len(rows) >= ROWS:
-                    yield batch_of()
-        flush()
-        while rows:
-            yield batch_of()
-
-    return docs.mapInArrow(run, schema)
+            held += zip(*(batch.column(n).to_pylist() for n in ("doc_id", "start", "ids", "doc_tokens")))
+            while len(held) >= shard:
+                later = held[shard:]
+                del held[shard:]
+                yield from packed(kind)
+                held += later
+        if held:
+            yield from packed(kind)
+
+    return whole.unionByName(parts.mapInArrow(run, whole.schema))
