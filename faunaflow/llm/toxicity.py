@@ -1,13 +1,14 @@
 """Toxicity by noisy-channel deobfuscation.
 
-A disguised word (digits or signs for letters, letters set apart, letters repeated) is a lattice: every
-place offers letters, or nothing, at a cost of the channel. Viterbi search picks the path whose letters
-are likeliest under a character trigram model, counted over all documents, less the channel's costs. The
-restored words are scored: words and word beginnings that labelled toxic texts have and others lack carry
-evidence, and a logistic regression turns a document's evidence into a probability.
-
-A word without disguise has a lattice of one path, itself; so only disguised words are searched, and each
-distinct one once in a task.
+A disguised word (digits or signs for letters, letters masked or set apart, letters repeated, in any
+mixture) is a lattice: every place offers letters, itself, or nothing, at a cost of the channel. Viterbi
+search picks the path whose letters are likeliest under a character trigram model, counted over all
+documents, less the channel's costs. The restored words are scored: words and word beginnings that
+labelled toxic texts have and others lack carry evidence, and a logistic regression turns a document's
+evidence into a probability.
+
+A word of letters without a doubled one has a lattice of one path, itself; every other word with a letter is searched,
+each distinct one once in a task.
 """
 
 from __future__ import annotations
@@ -24,26 +25,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from faunaflow.llm.common import documents, written
+from faunaflow.llm.common import SPACE, documents, written
 from faunaflow.llm.learning import Logistic, bounded, held_out, training_labels
-from faunaflow.llm.words import window_hashes, word_hashes
 
 #: Labelled rows to learn from, at most.
 MAX_LABELLED = 40_000
 THRESHOLD = 0.7
 #: A cue stands in this share of the toxic texts, and in 5 of them, at least; its log odds are this much.
-CUE_SHARE, CUE_TEXTS, CUE_ODDS, MAX_CUES = 0.01, 5, 2.0, 20_000
+#: So there are at most 1 / CUE_SHARE times the features of a mean text, or a fifth of a small sample's.
+CUE_SHARE, CUE_TEXTS, CUE_ODDS = 0.01, 5, 2.0
 BEGINNINGS = (4, 5, 6)
-#: Distinct words that a task remembers before it starts anew.
-REMEMBERED = 2_000_000
+#: Distinct words that a task remembers before it starts anew; longer words are not remembered.
+REMEMBERED, REMEMBERED_CHARS = 500_000, 64
 
 #: Letters that a digit or sign may stand for.
 LEET = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e",
 }
-#: Costs of the channel, in nats.
-AS_LETTER, LEFT_OUT, JOINED, SPACE_KEPT, SIGN_KEPT, ONCE, TWICE = 1.0, 12.0, 1.0, 0.0, 5.0, 0.5, 0.5
+#: Signs that may hide any letter.
+MASKS = "*#%"
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+#: Costs of the channel, in nats: a digit or sign for a letter, itself, or nothing; a mask for a letter;
+#: a separator that joins, or parts; a run of letters that is one, or two of them; a pair that is one.
+AS_LETTER, AS_ITSELF, LEFT_OUT, MASKED, JOINED, PARTED, SPACED, ONCE, TWICE, PAIR_ONCE = 1.0, 3.0, 6.0, 3.3, 1.0, 1.5, 0.0, 0.5, 0.5, 3.0
 
 # Symbols of the model: 0 between words, 1 to 26 letters, 27 any other letter.
 SYMBOLS, OTHER = 28, 27
@@ -68,13 +73,10 @@ def trigrams(texts) -> np.ndarray:
 
 
 class Restorer:
-    """Finds disguised words and restores them under a trigram model."""
+    """Finds words that may be disguised and restores them under a trigram model."""
 
-    letter = r"[^\W\d_]"
-    apart = re.compile(rf"{letter}(?:[.\-_*·' ]{letter}){{2,}}")
-    repeated = re.compile(rf"({letter})\1\1")
-    mixed = re.compile(rf"[{re.escape(''.join(LEET))}]?(?:{letter}+[{re.escape(''.join(LEET))}]+)+{letter}*|[{re.escape(''.join(LEET))}]{letter}{{2,}}")
-    signs = frozenset("@$!|€")
+    pair = re.compile(r"(.)\1", re.DOTALL)
+    leading, trailing = frozenset("@$!|€+"), frozenset("@$€")
 
     def __init__(self, counts: np.ndarray):
         c = counts.reshape(SYMBOLS, SYMBOLS, SYMBOLS).astype(float)
@@ -85,28 +87,33 @@ class Restorer:
         self.cost = (-np.log((c + 5 * p2[None]) / (c.sum(2, keepdims=True) + 5))).tolist()
 
     def bare(self, word: str) -> str:
-        """The word without the signs around it, but for one that may stand for a first letter."""
+        """The word without the signs around it, but for those that may stand for first or last letters."""
         start, end = 0, len(word)
-        while end and not word[end - 1].isalnum():
+        while end and not (word[end - 1].isalnum() or word[end - 1] in self.trailing):
             end -= 1
-        while start < end and not word[start].isalnum():
+        while start < end and not (word[start].isalnum() or word[start] in self.leading):
             start += 1
-        return word[start - 1 if end and start and word[start - 1] in self.signs else start : end]
+        return word[start:end]
 
     def disguised(self, word: str) -> bool:
-        return bool(self.repeated.search(word) or self.apart.fullmatch(word) or (self.mixed.fullmatch(word) and sum(map(str.isalpha, word)) >= 2))
+        """Whether the lattice has more than one path, and a letter."""
+        return self.pair.search(word) is not None if word.isalpha() else any(map(str.isalpha, word))
 
     def lattice(self, word: str) -> list[list[tuple[str, float]]]:
         """For each place the strings it may stand for, with costs."""
         out = []
         for m in re.finditer(r"(.)\1*", word, re.DOTALL):
             c, run = m[1], len(m[0])
+            edge = m.start() == 0 or m.end() == len(word)
             if c.isalpha():
-                out.append([(c, ONCE), (c + c, TWICE)] if run > 2 else [(c * run, 0.0)])
+                out.append([(c, 0.0)] if run == 1 else [(c + c, 0.0), (c, PAIR_ONCE)] if run == 2 else [(c, ONCE), (c + c, TWICE)])
             elif c in LEET:
-                out.append([*((x * min(run, 2), AS_LETTER) for x in LEET[c]), ("", LEFT_OUT)])
+                nothing = AS_LETTER if edge and not c.isdigit() else LEFT_OUT
+                doubled = [(x + y, AS_LETTER) for x in LEET[c] for y in LEET[c]] if run > 1 else []
+                out.append([*((x, AS_LETTER) for x in LEET[c]), *doubled, (c * run, AS_ITSELF), ("", nothing)])
             else:
-                out.append([("", JOINED), (" ", SPACE_KEPT if c == " " else SIGN_KEPT)])
+                masked = [(x, MASKED) for x in LETTERS] if c in MASKS and not edge else []
+                out.append([("", JOINED), (" ", SPACED if c == " " else PARTED), *masked])
         return out
 
     def restore(self, word: str) -> str:
@@ -119,8 +126,9 @@ class Restorer:
                     x, y, t = a, b, total + price
                     for c in text:
                         s = symbol(c)
-                        t += cost[x][y][s]
-                        x, y = y, s
+                        if s or y:  # runs of 0 are one, as they are counted
+                            t += cost[x][y][s]
+                            x, y = y, s
                     if (x, y) not in after or t < after[x, y][0]:
                         after[x, y] = (t, (path, text))
             states = after
@@ -144,8 +152,12 @@ class Reader:
         self.known: dict[str, float] = {}
 
     def _restored(self, word: str) -> tuple[str, ...]:
-        bare = self.restorer.bare(word)
-        return tuple(self.restorer.restore(bare).split()) if bare and self.restorer.disguised(bare) else (bare,)
+        bare, restorer = self.restorer.bare(word), self.restorer
+        if not bare or not restorer.disguised(bare):
+            return (bare,)
+        words = restorer.restore(bare).split()
+        # letters that were both repeated and set apart now stand together
+        return tuple(restorer.restore(w) if w != bare and restorer.pair.search(w) else w for w in words)
 
     def _tokens(self, text: str) -> list[str]:
         """Words; three or more single characters in a row, as well, as one word set apart by spaces."""
@@ -161,20 +173,20 @@ class Reader:
 
     def words(self, text: str) -> list[str]:
         tokens = self._tokens(text)
-        if len(self.read) > REMEMBERED // 8:
+        if len(self.read) > REMEMBERED // 4:
             self.read.clear()
-        for t in {t for t in tokens if t not in self.read}:
-            self.read[t] = self._restored(t)
-        return [w for t in tokens for w in self.read[t]]
+        fresh = {t: self._restored(t) for t in set(tokens) if t not in self.read}
+        self.read.update((t, w) for t, w in fresh.items() if len(t) <= REMEMBERED_CHARS)
+        return [w for t in tokens for w in (fresh.get(t) or self.read.get(t, ()))]
 
     def evidence(self, text: str) -> list[float]:
         """The two largest cues, their sum and number, and the length of a text."""
         tokens = self._tokens(text)
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        for t in {t for t in tokens if t not in self.known}:
-            self.known[t] = max((self.cues.get(f, 0.0) for w in self._restored(t) for f in features(w)), default=0.0)
-        found = sorted((e for e in map(self.known.__getitem__, tokens) if e), reverse=True)
+        fresh = {t: max((self.cues.get(f, 0.0) for w in self._restored(t) for f in features(w)), default=0.0) for t in set(tokens) if t not in self.known}
+        self.known.update((t, e) for t, e in fresh.items() if len(t) <= REMEMBERED_CHARS)
+        found = sorted((e for t in tokens if (e := fresh[t] if t in fresh else self.known[t])), reverse=True)
         first, second = (found + [0.0, 0.0])[:2]
         return [first, second, math.log1p(sum(found)), math.log1p(len(found)), math.log1p(len(tokens))]
 
@@ -195,21 +207,14 @@ def character_model(docs: DataFrame) -> np.ndarray:
     return counts
 
 
-def _unlike(sample: DataFrame) -> DataFrame:
-    """One of the labelled texts that share their least five-word window, so that copies of one text count once."""
-
-    @pandas_udf("long")
-    def least(texts: pd.Series) -> pd.Series:
-        out = []
-        for group in word_hashes(t.lower().encode() for t in texts):
-            out += [int(window_hashes(w, min(5, len(w))).min()) if len(w) else 0 for w in group]
-        return pd.Series(out, dtype="int64")
-
-    return sample.withColumn("least", least("text")).groupBy("label", "least").agg(F.min_by("text", "doc_id").alias("text"))
+def _distinct(sample: DataFrame) -> DataFrame:
+    """One of the labelled texts that are equal but for case and white space, so that copies of one text count once."""
+    plain = F.regexp_replace(F.lower("text"), SPACE, " ")
+    return sample.withColumn("plain", F.sha2(plain.cast("binary"), 256)).groupBy("label", "plain").agg(F.min_by("text", "doc_id").alias("text"))
 
 
 def _cues(texts: DataFrame, reader, totals: dict[int, int]) -> dict[str, float]:
-    """Log odds of the features that toxic texts have and others lack; at most MAX_CUES."""
+    """Log odds of the features that toxic texts have and others lack."""
 
     def counted(wanted):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,8 +228,7 @@ def _cues(texts: DataFrame, reader, totals: dict[int, int]) -> dict[str, float]:
         return run
 
     count = lambda label, wanted: texts.where(F.col("label") == label).select("text").mapInArrow(counted(wanted), "f string, n long").groupBy("f").agg(F.sum("n").alias("n"))
-    least = max(CUE_TEXTS, CUE_SHARE * totals.get(1, 0))
-    toxic = count(1, None).where(F.col("n") >= least).orderBy(F.col("n").desc(), "f").limit(MAX_CUES).toPandas()
+    toxic = count(1, None).where(F.col("n") >= max(CUE_TEXTS, CUE_SHARE * totals.get(1, 0))).toPandas()
     toxic = dict(zip(toxic["f"], toxic["n"]))
     rest = count(0, texts.sparkSession.sparkContext.broadcast(set(toxic))).toPandas()
     rest = dict(zip(rest["f"], rest["n"]))
@@ -239,13 +243,15 @@ def toxicity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     score is the probability of label 1, predicted 1 where it is at least 0.7. Null texts are empty. Rows
     whose crc32 of the id leaves 1 by 3 are held out: their labels are never used. Ids, sources and
     languages are no inputs. Where labels are missing or all alike, all scores are the smoothed rate.
+    Equal texts have equal scores; of labels of one id the majority counts, a tie as 1; an empty table
+    gives no rows; other columns are not read.
     """
     spark = df.sparkSession
     docs = documents(df, id_col, text_col)
     send = spark.sparkContext.broadcast
     restorer = send(Restorer(character_model(docs)))
     some = bounded(written(training_labels(labels, id_col, label_col)), MAX_LABELLED)
-    texts = written(_unlike(docs.join(F.broadcast(some), "doc_id")).select("label", "text"))
+    texts = written(_distinct(docs.join(F.broadcast(some), "doc_id")).select("label", "text"))
     totals = {r["label"]: r["n"] for r in texts.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     cues = send(_cues(texts, lambda: Reader(restorer.value), totals))
 

@@ -1,5 +1,7 @@
+import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -51,14 +53,67 @@ def test_toxicity_without_labels(spark):
     assert toxicity.toxicity(frame(spark, []), labelled(spark, [])).collect() == []
 
 
-def test_viterbi_restores_disguised_words():
-    restorer = toxicity.Restorer(toxicity.trigrams([(" ".join(RUDE * 5 + WORDS)).encode()] * 50))
+@pytest.fixture(scope="module")
+def restorer():
+    return toxicity.Restorer(toxicity.trigrams([" ".join((RUDE + ["assmule"]) * 5 + WORDS * 3).encode()] * 50))
+
+
+@pytest.mark.parametrize("hidden", [
+    "snotwit: s n o t w i t", "snotwit: s.n.0.t.w.1.t", "snotwit: s n 0 t w 1 t", "snotwit: sn.ot.wit", "snotwit: snootwit", "snotwit: snotw11t", "snotwit: $n0tw1t!!", "snotwit: snotwiiiit",
+    "snotwit: s-n-o-o-o-t-w-i-t", "blarfish: b.l.a.r.f.i.s.h", "blarfish: b.l.a.r.f.1.s.h", "blarfish: bl@@rfish", "blarfish: \"blarf1sh\"", "blarfish: bl4rfi$$h",
+    "grunkel: gr*nkel", "grunkel: gr*nk3l", "grunkel: grun-kel", "grunkel: g_r_u_n_k_e_1", "assmule: @$$mule", "assmule: 455mule", "assmule: 4$$mu1e", "assmule: a.s.s.m.u.l.e",
+])
+def test_mixed_disguises_are_restored(restorer, hidden):
+    word, disguise = hidden.split(": ")
+    assert word in toxicity.Reader(restorer).words(f"the {disguise} was")
+
+
+def test_plain_words_stay(restorer):
     reader = toxicity.Reader(restorer)
-    for word, hidden in HIDDEN.items():
-        if word != "grunkel":  # 9 stands for g alone
-            assert word in reader.words(f"the {hidden} was")
-    assert "snotwit" in reader.words("snotwiiiit") and "snotwit" in reader.words("$n0tw1t!!")
     assert reader.words("The 123 plain, words?") == ["the", "123", "plain", "words"]
+    for text in ["(was)", "with,", '"that"', "this!", "$100", "2024-01-02"]:
+        assert reader.words(text) == [text.strip('(),"!')]
+    assert reader.words("and/or the,that this.is") == ["and", "or", "the", "that", "this", "is"]
+    assert len(reader.words("a1" * 100_000)) >= 1 and reader.words("é" * 3) and reader.words("") == []
+
+
+def plain_toxicity(restorer, docs, labels):
+    """Cues, evidence and probabilities, from counts over lists."""
+    reader = toxicity.Reader(restorer)
+    seen, rows = set(), []
+    for i, t in sorted(docs):
+        key = (labels.get(i), " ".join(t.lower().split()))
+        if i in labels and not held(i) and key not in seen:
+            seen.add(key)
+            rows.append((t, labels[i]))
+    count = [Counter(f for t, y in rows if y == label for f in {f for w in reader.words(t) for f in toxicity.features(w)}) for label in (0, 1)]
+    p, q = sum(y for _, y in rows), sum(1 - y for _, y in rows)
+    odds = {f: math.log((n + 0.5) / (p + 1)) - math.log((count[0][f] + 0.5) / (q + 1)) for f, n in count[1].items() if n >= max(5, 0.01 * p)}
+    odds = {f: v for f, v in odds.items() if v >= 2}
+
+    def evidence(t):
+        tokens = reader._tokens(t)
+        best = sorted((max((odds.get(f, 0.0) for w in reader._restored(k) for f in toxicity.features(w)), default=0.0) for k in tokens), reverse=True)
+        best = [b for b in best if b]
+        return [*(best + [0.0, 0.0])[:2], math.log1p(sum(best)), math.log1p(len(best)), math.log1p(len(tokens))]
+
+    model = Logistic(np.array([evidence(t) for t, _ in rows]), np.array([float(y) for _, y in rows]))
+    return {i: 1 / (1 + math.exp(-model.logit(np.array([evidence(t)]))[0])) for i, t in docs}
+
+
+def test_scores_against_plain_python(spark, talk):
+    docs = [(i, t) for i, t, _ in talk] + [(9001, ""), (9002, "grunkel " * 30), (9003, talk[5][1].upper())]
+    labels = {i: int(t) for i, _, t in talk} | {9003: 1}
+    want = plain_toxicity(toxicity.Restorer(toxicity.trigrams(t.encode() for _, t in docs)), docs, labels)
+    got = toxicity.toxicity(frame(spark, docs), labelled(spark, [(i, 1, y, "") for i, y in labels.items()])).collect()
+    assert len(got) == len(want) and all(abs(r.score - want[r.doc_id]) < 1e-6 for r in got)
+
+
+def test_toxicity_of_repeated_ids_and_clashing_columns(spark, talk):
+    rows = [(i, t, 1.0, True, 3, ["x"], "y") for i, t, _ in talk] + [(0, "other text of the same id", 0.0, False, 1, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score double, held_out boolean, predicted int, x array<string>, label string")
+    got = toxicity.toxicity(docs, labelled(spark, [(i, 1, int(t), "z") for i, _, t in talk])).collect()
+    assert len(got) == len(rows) and {r.doc_id for r in got} == {i for i, _, _ in talk}
 
 
 def test_viterbi_is_the_best_path():
