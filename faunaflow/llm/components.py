@@ -11,14 +11,15 @@ from faunaflow.llm.common import dropped, written
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every node's larger neighbours are tied to the least of the node and its neighbours."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+    # dealt out anew, so that the join below reads two shuffles and Spark may split the edges of a hub
+    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")).repartition("a")
     return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Every node's smaller neighbours, and the node, are tied to the least of them."""
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
+    least = down.groupBy("a").agg(F.min("b").alias("m")).repartition("a")
     kept = down.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return kept.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 

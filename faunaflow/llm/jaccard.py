@@ -1,20 +1,23 @@
 """Exact Jaccard self-join of documents on word shingles, by prefix filters under several global orders.
 
-1. Shingle sets become sorted 64-bit hashes; equal sets are one class with its least document.
-2. First order, by hash (tokens that are hot in a bounded sample last): each class emits a lengthened
-   prefix. Linked classes share so many tokens of it that a class whose prefix has fewer shared tokens
-   can have no link. A sample decides only the order, and any fixed order is exact.
-3. Second order, by exact document frequency among the classes left, rarest first: a candidate pair shares
-   a token of both prefixes, in sizes and at positions that leave room for the overlap needed.
-4. Two more hash orders filter each candidate pair before its whole sets are compared.
-5. Candidates are taken in rounds of stars: in each token's group one class is the pivot for the others.
-   Only classes that no verified link connects yet are paired in the last, complete round. So a group of m
-   near copies costs about m comparisons, not m * m, and components stay exact.
+1. Shingle sets become sorted 64-bit hashes; equal sets are one class (128 bits) with its least document.
+2. By hash (tokens that are hot in a bounded sample last) each class emits a lengthened prefix. Linked
+   classes share so many tokens of it that a class whose prefix has fewer shared tokens can have no link.
+   A sample decides only the order, and any fixed order is exact.
+3. The classes left get prefixes under three orders, all rarest first: by exact document frequency, and
+   by its power of two with two hashes in its place. A candidate pair shares a token of both first
+   prefixes, in sizes and at positions that leave room for the overlap needed, and then a token of both
+   second and of both third prefixes. Only pairs that all orders let through have their sets fetched.
+4. Candidates are taken in rounds of stars: in each token's group one class is the pivot for the others.
+   Only classes that no verified link connects yet are paired in the last, complete round, in large groups
+   on a token of the second prefix and on their size as well. So a group of m near copies costs about m
+   comparisons, not m * m, and components stay exact.
 """
 
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,14 +31,21 @@ from faunaflow.llm.components import components
 from faunaflow.llm.words import mix, window_hashes, word_hashes
 
 WORDS = 5
-#: Sample for the order: so many documents, hot from this share on. Bounds the list of hot tokens.
-SAMPLE_ROWS, HOT_SHARE = 4096, 0.005
+#: Sample for the order: so many documents, hot from this share on. Bounds the list of hot tokens, and
+#: the share of all documents that one token's task may hold before step 3.
+SAMPLE_ROWS, HOT_SHARE = 16_384, 0.001
 #: Classes whose ids may be broadcast (16 bytes each); more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 STAR_ROUNDS = 2
+#: Classes that a task remembers before it starts anew; a class seen again only repeats its prefix.
+REMEMBERED = 1_000_000
 HOT = 1 << 40
+#: Fixed values that make the second and third order.
+ORDERS = [0x5851F42D4C957F2D, 0x14057B7EF767814F]
+#: Larger groups of one token are split in the last round.
+GROUP = 64
 #: A prefix of a quarter is exact for a similarity of 3/4; it is lengthened by 1/12 of the set.
-PREFIX, LONGER, SHARED = "(n div 4 + 1)", 12, 16
+LONGER, SHARED = 12, 16
 
 
 def shingle_sets(texts: Iterator[bytes], k: int = WORDS) -> Iterator[np.ndarray]:
@@ -45,8 +55,9 @@ def shingle_sets(texts: Iterator[bytes], k: int = WORDS) -> Iterator[np.ndarray]
             yield np.unique(window_hashes(words, min(k, len(words)))) if len(words) else np.empty(0, np.int64)
 
 
-def _class_of(shingles: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
+def _class_of(shingles: np.ndarray) -> tuple[int, int]:
+    """Two hashes of 64 bits of a set."""
+    return struct.unpack("<qq", hashlib.blake2b(shingles.tobytes(), digest_size=16).digest())
 
 
 def _binary(docs: DataFrame) -> DataFrame:
@@ -78,13 +89,14 @@ def _is_in(s: np.ndarray, hot: np.ndarray) -> np.ndarray:
 
 
 def _classes(docs: DataFrame, hot) -> DataFrame:
-    """doc_id, cls, n, and the lengthened hash-order prefix: cold and hot tokens, once for each class in a task."""
-    schema = docs.select("doc_id", F.lit(0).cast("long").alias("cls"), F.lit(0).cast("long").alias("n")).schema
+    """doc_id, sum, cls, more, n, and the lengthened hash-order prefix: cold and hot tokens, once for each class in a task."""
+    schema = docs.select("doc_id", "sum", *[F.lit(0).cast("long").alias(c) for c in ("cls", "more", "n")]).schema
     for name in ("cold", "hot"):
         schema = schema.add(name, T.ArrayType(T.LongType()))
+    names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: set[tuple[int, int]] = set()
         nothing = np.empty(0, dtype=np.int64)
         for batch in batches:
             cls, n, cold, late = [], [], [], []
@@ -96,18 +108,29 @@ def _classes(docs: DataFrame, hot) -> DataFrame:
                     cold.append(nothing)
                     late.append(nothing)
                     continue
+                if len(seen) > REMEMBERED:
+                    seen.clear()
                 seen.add(c)
                 is_hot = _is_in(s, hot.value)
                 length = size // 4 + 1 + size // LONGER
                 cold.append(s[~is_hot][:length])
                 late.append(s[is_hot][: length - len(cold[-1])])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(cls, pa.int64()), pa.array(n, pa.int64()), _lists(cold), _lists(late)], ["doc_id", "cls", "n", "cold", "hot"]
-            )
+            ids = [pa.array([c[k] for c in cls], pa.int64()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("sum"), *ids, pa.array(n, pa.int64()), _lists(cold), _lists(late)], names)
 
     return _binary(docs).mapInArrow(run, schema)
 
 
+def _told_apart(classes: DataFrame) -> DataFrame:
+    """Classes that share the first hash but not the second get another first hash.
+
+    Of n classes about n * n / 2^65 collide, 70 of 5 * 10^10; these few are listed on the driver.
+    """
+    both = classes.where("n > 0").groupBy("cls").agg(F.min("more").alias("lo"), F.max("more").alias("hi"))
+    same = [r["cls"] for r in both.where("lo <> hi").select("cls").collect()]
+    return classes.withColumn("cls", F.when(F.col("cls").isin(same), F.xxhash64("cls", "more")).otherwise(F.col("cls"))) if same else classes
+
+
 def _survivors(classes: DataFrame) -> DataFrame:
     """cls, n of the classes with enough shared tokens in their prefix."""
     cold = classes.select("cls", "n", F.explode("cold").alias("token"))
@@ -120,17 +143,20 @@ def _survivors(classes: DataFrame) -> DataFrame:
 
 
 def _whole_sets(docs: DataFrame, wanted: DataFrame, hot) -> DataFrame:
-    """cls, n, cold, hot: the whole sorted sets of the wanted classes (cls, rep), from their least document's text."""
-    found = wanted.withColumnRenamed("rep", "doc_id")
+    """cls, n, cold, hot: the whole sorted sets of the wanted classes, from their least document's text."""
+    found = wanted.select("cls", "more", F.col("rep.doc_id").alias("doc_id"), F.col("rep.sum").alias("rep_sum"))
     small = found.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     texts = _binary(docs).withColumnRenamed("doc_id", "id")
-    texts = texts.join(F.broadcast(found) if small else found, F.col("id").eqNullSafe(F.col("doc_id"))).select("cls", "text")
+    # a null id is told apart by its text's hash, so the join stays in proportion to the rows
+    same = (F.col("sum") == F.col("rep_sum")) & F.col("id").eqNullSafe(F.col("doc_id"))
+    texts = texts.join(F.broadcast(found) if small else found, same).select("cls", "more", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cls, n, cold, late = [], [], [], []
-            for want, s in zip(batch.column("cls").to_pylist(), shingle_sets(t.as_py() for t in batch.column("text"))):
-                if _class_of(s) != want:  # another text under the same id
+            wants = zip(batch.column("cls").to_pylist(), batch.column("more").to_pylist())
+            for (want, more), s in zip(wants, shingle_sets(t.as_py() for t in batch.column("text"))):
+                if _class_of(s)[1] != more:  # another text under the same id
                     continue
                 is_hot = _is_in(s, hot.value)
                 cls.append(want)
@@ -142,17 +168,48 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame, hot) -> DataFrame:
     return texts.mapInArrow(run, "cls long, n long, cold array<bigint>, hot array<bigint>").dropDuplicates(["cls"])
 
 
-def _rare_prefixes(sets: DataFrame) -> DataFrame:
-    """token, cls, n, i, u: the shared tokens of each prefix under the order of rarity, i their place, u the set's unshared tokens."""
+def _keys(tokens: np.ndarray, order: int) -> np.ndarray:
+    return mix(tokens.view(np.uint64) ^ np.uint64(order))
+
+
+def _prefixes(sets: DataFrame) -> DataFrame:
+    """cls, n, u, tokens, places, second, third: the shared tokens of each class's prefix under the three orders.
+
+    ``tokens`` and ``places`` are those of the order of frequency, u is the number of unshared tokens, which come
+    first in every order; ``second`` and ``third`` are hashes of 32 bits, which may let a pair through but never hold one back.
+    """
     by, n_hot = Window.partitionBy("token"), F.size("hot").alias("n_hot")
     cold = sets.select("cls", "n", n_hot, F.explode("cold").alias("token")).withColumn("c", F.count(F.lit(1)).over(by)).where("c > 1")
-    # hot tokens come last, in order: those beyond the prefix's length never lie in it
-    hot = sets.select("cls", "n", n_hot, F.expr(f"explode(slice(hot, 1, cast({PREFIX} as int)))").alias("token"), F.lit(HOT).alias("c"))
-    own = Window.partitionBy("cls")
-    rank = F.row_number().over(own.orderBy("c", "token"))
-    unshared = F.col("n") - F.col("n_hot") - F.count_if(F.col("c") < HOT).over(own)
-    placed = cold.unionByName(hot).select("token", "cls", "n", unshared.alias("u"), rank.alias("r"))
-    return placed.select("token", "cls", "n", (F.col("u") + F.col("r") - 1).alias("i"), "u").where(f"i < {PREFIX}")
+    shared = cold.select("cls", "n", "n_hot", F.struct("c", "token").alias("t"))
+    own = shared.groupBy("cls", "n", "n_hot").agg(F.collect_list("t").alias("cold"))
+    # hot tokens come last in all orders
+    late = sets.where("size(hot) > 0").select("cls", "n", n_hot, "hot")
+    keys = ["cls", "n", "n_hot"]
+    joined = own.join(late, keys, "full").select(*keys, F.col("cold.c").alias("c"), F.col("cold.token").alias("cold"), "hot")
+    names = ["cls", "n", "u", "tokens", "places", "second", "third"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = {name: [] for name in names}
+            column = {name: batch.column(name) for name in batch.schema.names}
+            for k, (cls, n, n_hot_) in enumerate(zip(*(column[c].to_pylist() for c in keys))):
+                values = [column[c][k].values for c in ("c", "cold", "hot")]
+                c, cold_, hot_ = (np.empty(0, np.int64) if v is None else v.to_numpy(zero_copy_only=False) for v in values)
+                tokens, c = np.r_[cold_, hot_], np.r_[c, np.full(len(hot_), HOT)]
+                u = n - n_hot_ - len(cold_)
+                room = max(0, n // 4 + 1 - u)
+                if not room:
+                    continue
+                first = np.lexsort((tokens, c))[:room]
+                power = np.log2(c).astype(np.int64)
+                others = [np.lexsort((_keys(tokens, order), power))[:room] for order in ORDERS]
+                row = [cls, n, u, tokens[first], u + np.arange(len(first)), *(np.unique(tokens[o].astype(np.int32)) for o in others)]
+                for name, value in zip(names, row):
+                    out[name].append(value)
+            kinds = [pa.int64()] * 3 + [pa.list_(pa.int64())] * 2 + [pa.list_(pa.int32())] * 2
+            yield pa.RecordBatch.from_arrays([pa.array(out[name], kind) for name, kind in zip(names, kinds)], names)
+
+    return joined.mapInArrow(run, "cls long, n long, u long, tokens array<bigint>, places array<bigint>, second array<int>, third array<int>")
 
 
 #: Of two rows of one token: sizes, and the room that is left behind their places, allow the overlap.
@@ -179,29 +236,36 @@ def _star_pairs(rows: DataFrame, pivots: DataFrame) -> DataFrame:
     return met.groupBy("x").agg(F.max(F.struct("c", "y")).alias("best")).select("x", F.col("best.y").alias("y"))
 
 
-def _open_pairs(rows: DataFrame, pivots: DataFrame) -> DataFrame:
-    """All candidate pairs of different components: classes outside a token's largest one, with all of its others."""
-    rows = rows.join(pivots.select("token"), "token", "left_semi")
+def _open_pairs(rows: DataFrame, pivots: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """All candidate pairs of different components: classes outside a token's largest one, with all of its others.
+
+    Linked classes share a token of their second prefixes too, and their sizes differ by a third at most: both are
+    keys where a token has many classes.
+    """
+    rows = rows.join(pivots.select("token"), "token", "left_semi").drop("u")
     sizes = rows.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c"))
-    main = sizes.groupBy("token").agg(F.max(F.struct("c", "comp")).alias("m")).select("token", F.col("m.comp").alias("main"))
-    minor = rows.join(main, "token").where("comp <> main").drop("main")
-    met = minor.alias("r").join(rows.alias("s"), (F.col("r.token") == F.col("s.token")) & F.expr(f"r.comp <> s.comp and {_room('r', 's')}"))
+    groups = written(sizes.groupBy("token").agg(F.max(F.struct("c", "comp")).alias("m"), F.sum("c").alias("all")))
+    rows = rows.join(groups.select("token", F.col("m.comp").alias("main"), "all"), "token")
+    rows = rows.join(prefixes.select("cls", "second"), "cls").withColumn("step", F.floor(F.log("n") / F.log(F.lit(4 / 3))))
+    split = F.explode(F.when(F.col("all") > GROUP, F.col("second")).otherwise(F.array(F.lit(0))))
+    rows = written(rows.withColumn("also", split).drop("second", "all"))
+    minor = rows.where("comp <> main").alias("r")
+    others = rows.withColumn("step", F.explode(F.expr("array(step - 1, step, step + 1)"))).alias("s")
+    keys = [F.col(f"r.{k}") == F.col(f"s.{k}") for k in ("token", "also", "step")]
+    met = minor.join(others, [*keys, F.expr(f"r.comp <> s.comp and {_room('r', 's')}")])
     return met.select(F.least("r.cls", "s.cls").alias("x"), F.greatest("r.cls", "s.cls").alias("y")).distinct()
 
 
-def _share_prefix(a: np.ndarray, b: np.ndarray) -> bool:
-    return len(np.intersect1d(a[: len(a) // 4 + 1], b[: len(b) // 4 + 1], assume_unique=True)) > 0
-
-
 def _linked(a: np.ndarray, b: np.ndarray) -> bool:
-    if not _share_prefix(a, b):
-        return False
-    other = [np.sort(mix(s.view(np.uint64) ^ np.uint64(0x5851F42D4C957F2D))) for s in (a, b)]
-    if not _share_prefix(*other):
-        return False
     return 7 * len(np.intersect1d(a, b, assume_unique=True)) >= 3 * (len(a) + len(b))
 
 
+def _met_in_all(pairs: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """The pairs that share a token of the second and of the third prefix."""
+    side = lambda x: prefixes.select(F.col("cls").alias(x), F.col("second").alias(f"{x}2"), F.col("third").alias(f"{x}3"))
+    return pairs.join(side("x"), "x").join(side("y"), "y").where(F.arrays_overlap("x2", "y2") & F.arrays_overlap("x3", "y3")).select("x", "y")
+
+
 def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """a, b: the pairs whose similarity is at least 3/4."""
     whole = sets.select("cls", F.concat("cold", "hot").alias("s"))
@@ -228,18 +292,23 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     shingles, or its whole word sequence where it has fewer words. Two documents are linked when the
     intersection is at least 3/4 of the union; component_id is the least id that links reach, the
     document's own included. A text without words, null ones too, has an empty set, no links and its own
-    id. Null ids take part in links and are never the least unless all are null. Repeated rows are kept.
-    Other columns are not read. Shingles and sets are identified by 64-bit hashes.
+    id. Null ids take part in links and are never the least unless all are null. Repeated rows are kept;
+    an empty table gives no rows; other columns are not read. Shingles are identified within a pair of sets by
+    64-bit hashes, sets by 128 bits.
     """
-    docs = documents(df, id_col, text_col)
+    docs = documents(df, id_col, text_col).withColumn("sum", F.xxhash64("text"))
     hot = df.sparkSession.sparkContext.broadcast(hot_tokens(docs))
-    prefixes = written(_classes(docs, hot))
-    members = written(prefixes.select("doc_id", "cls", "n"))
-    reps = members.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"))
-    left = written(_survivors(prefixes).join(reps, "cls"))
-    dropped(prefixes)
-    sets = written(_whole_sets(docs, left.select("cls", "rep"), hot))
-    rows = written(_rare_prefixes(sets))
+    hashed = written(_classes(docs, hot))
+    classes = _told_apart(hashed)
+    members = written(classes.select("doc_id", "sum", "cls", "more", "n"))
+    least = F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "sum", "more")).alias("rep")
+    reps = members.where("n > 0").groupBy("cls").agg(least)
+    left = written(_survivors(classes).join(reps, "cls").select("cls", F.col("rep.more").alias("more"), "rep"))
+    dropped(hashed)
+    sets = written(_whole_sets(docs, left, hot))
+    prefixes = written(_prefixes(sets))
+    rows = prefixes.select("cls", "n", "u", F.explode(F.arrays_zip("tokens", "places")).alias("t"))
+    rows = written(rows.select(F.col("t.tokens").alias("token"), "cls", "n", F.col("t.places").alias("i"), "u"))
     links = None
     comps = None
     for round_ in range(STAR_ROUNDS + 1):
@@ -248,15 +317,16 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
             now = rows.join(comps, rows["cls"] == comps["node"], "left").select("token", "cls", "n", "i", "u", F.coalesce("root", "cls").alias("comp"))
         now = written(now)
         pivots = written(_contested(now, round_))
-        last = round_ == STAR_ROUNDS
-        fresh = written(_links((_open_pairs if last else _star_pairs)(now, pivots), sets))
+        pairs = _open_pairs(now, pivots, prefixes) if round_ == STAR_ROUNDS else _star_pairs(now, pivots)
+        fresh = written(_links(_met_in_all(pairs, prefixes), sets))
         dropped(now, pivots)
         links = fresh if links is None else links.unionByName(fresh)
         comps = components(links)
-    least = comps.join(reps, comps["node"] == reps["cls"]).select("node", "root", "rep")
-    roots = least.groupBy("root").agg(F.min("rep").alias("component"))
-    named = written(reps.join(comps, reps["cls"] == comps["node"], "left").join(roots, "root", "left").select("cls", F.coalesce("component", "rep").alias("component")))
-    dropped(sets, rows)
+    ids = reps.select("cls", F.col("rep.doc_id").alias("rep"))
+    roots = comps.join(ids, comps["node"] == ids["cls"]).groupBy("root").agg(F.min("rep").alias("component"))
+    named = ids.join(comps, ids["cls"] == comps["node"], "left").join(roots, "root", "left")
+    named = written(named.select("cls", F.coalesce("component", "rep").alias("component")))
+    dropped(sets, rows, prefixes)
     return members.join(named, "cls", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component")).alias("component_id")
     )

@@ -8,6 +8,7 @@ import pytest
 from helpers import AWKWARD, WORDS, corpus, frame
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from faunaflow.llm import jaccard, substrings
 from faunaflow.llm.components import components
@@ -74,7 +75,7 @@ def near_corpus(seed=1):
     return rows
 
 
-@pytest.mark.parametrize("settings_", [{}, {"HOT_SHARE": 1e-6, "STAR_ROUNDS": 1}, {"BROADCAST_ROWS": 0, "STAR_ROUNDS": 0}])
+@pytest.mark.parametrize("settings_", [{}, {"HOT_SHARE": 1e-6, "STAR_ROUNDS": 1}, {"BROADCAST_ROWS": 0, "STAR_ROUNDS": 0}, {"GROUP": 1, "STAR_ROUNDS": 0, "REMEMBERED": 3}])
 def test_jaccard_components_against_brute_force(spark, monkeypatch, settings_):
     for k, v in settings_.items():
         monkeypatch.setattr(jaccard, k, v)
@@ -83,6 +84,20 @@ def test_jaccard_components_against_brute_force(spark, monkeypatch, settings_):
     assert got == brute_components(rows)
 
 
+def test_classes_that_share_a_hash_stay_apart(spark, monkeypatch):
+    real = jaccard._class_of
+    monkeypatch.setattr(jaccard, "_told_apart", lambda df, tell=jaccard._told_apart: tell(df.withColumn("cls", F.lit(5).cast("long"))))
+    rows = near_corpus()[13:60]
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_components(frame(spark, rows)).collect())
+    assert got == brute_components(rows) and len(real(np.arange(3))) == 2
+
+
+def test_jaccard_components_of_many_null_ids(spark):
+    rows = [(None, f"text number {i % 7} of words that has no id at all") for i in range(300)] + [(3, "text number 1 of words that has no id at all")]
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_components(frame(spark, rows)).collect())
+    assert got == brute_components(rows)
+
+
 def test_jaccard_components_of_nothing(spark):
     assert jaccard.jaccard_components(frame(spark, [])).collect() == []
 
