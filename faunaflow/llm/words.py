@@ -9,6 +9,8 @@ import pandas as pd
 
 #: Odd, so it has an inverse modulo 2^64 and a window's sum does not depend on where it starts.
 MULTIPLIER = 0x9E3779B97F4A7C15
+#: For a second, independent hash.
+SECOND = 0xD6E8FEB86659FD93
 #: Words hashed at once; bounds memory, not results.
 CHUNK = 50_000
 
@@ -24,12 +26,12 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
+def window_hashes(words: np.ndarray, width: int, multiplier: int = MULTIPLIER) -> np.ndarray:
     """A signed 64-bit hash for each window of that many word hashes."""
     if len(words) < width:
         return np.empty(0, dtype=np.int64)
-    up = powers(MULTIPLIER, len(words))
-    down = powers(pow(MULTIPLIER, -1, 1 << 64), len(words))
+    up = powers(multiplier, len(words))
+    down = powers(pow(multiplier, -1, 1 << 64), len(words))
     sums = np.r_[np.uint64(0), np.cumsum(words * up[: len(words)])]
     n = len(words) - width + 1
     return mix((sums[width:] - sums[:n]) * down[:n] + np.uint64(width)).view(np.int64)

@@ -141,6 +141,16 @@ def test_substring_removal_against_brute_force(spark, monkeypatch, share):
     assert got == brute_removal(rows)
 
 
+def test_removal_from_rows_without_ids(spark):
+    """They do not remove each other's words, but lose those that a row with an id has."""
+    rng = random.Random(6)
+    fresh = lambda n: " ".join(rng.choice(WORDS) + str(rng.randrange(10**6)) for _ in range(n))
+    one, two = fresh(70), fresh(80)
+    rows = [(None, one), (None, two), (None, f"{one} x {two}"), (None, one), ((1 << 63) - 1, one), (4, two), (-(1 << 63), fresh(60))]
+    got = substrings.remove_repeats(frame(spark, rows).repartition(3)).collect()
+    assert Counter((r.doc_id, r.n_words, r.n_removed) for r in got) == Counter({(None, 70, 0): 2, (None, 80, 80): 1, (None, 151, 80): 1, ((1 << 63) - 1, 70, 0): 1, (4, 80, 0): 1, (-(1 << 63), 60, 0): 1})
+
+
 def test_removal_of_nothing(spark):
     assert substrings.remove_repeats(frame(spark, [])).collect() == []
 
