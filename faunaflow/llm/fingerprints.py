@@ -19,7 +19,8 @@ from faunaflow.llm.common import documents, sha256, written
 
 WHOLE, BITS = 4, 32
 LANE = 0xFFFFFFFF
-NO_ID = -(1 << 63)
+#: Rows without an id are dealt out over so many keys.
+SPREAD = 4096
 
 
 def _whole(i: int) -> str:
@@ -91,32 +92,37 @@ def edited_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "
     document's text, in descending id, the first after the last. Returns doc_id, n_chars,
     edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next. Null text is empty. Where
     ids repeat, every row is returned, and "the next document" is the least text of the next id. A row
-    with a null id has an empty next document.
+    with a null id has an empty next document. An empty table gives no rows; other columns are not read.
     """
-    # null ids get a key of their own, so that both readers of the join below share one shuffle of the texts
-    docs = documents(df, id_col, text_col).select("text", F.coalesce("doc_id", F.lit(NO_ID)).alias("key"))
-    real = F.nullif(F.col("key"), F.lit(NO_ID)).alias("doc_id")
+    # rows without an id have a spread above 0; both readers of the join below share one shuffle of the texts
+    spread = F.when(F.isnull("doc_id"), F.pmod(F.xxhash64("text"), F.lit(SPREAD)) + 1).otherwise(F.lit(0).cast("long"))
+    docs = documents(df, id_col, text_col).select("text", F.coalesce("doc_id", F.lit(0)).alias("key"), spread.alias("spread"))
+    real = F.when(F.col("spread") == 0, F.col("key")).alias("doc_id")
     order = ring(docs.select(real))
     lengths = docs.groupBy(real).agg(F.max(F.length("text")).alias("n"))
     asks = order.join(lengths, "doc_id").select(F.col("next_id").alias("of"), F.col("doc_id").alias("by"), F.expr("cast(n div 2 as int)").alias("need"))
-    asks = order.join(asks, order["doc_id"] == asks["of"]).select(order["doc_id"].alias("key"), "next_id", "by", "need")
-    found = docs.join(asks, "key", "left")
-    heads = found.where("by is not null").groupBy(F.col("by").alias("key")).agg(F.min(F.expr("left(text, need)")).alias("head"))
-    own = found.select("key", real, "next_id", "text", F.length("text").alias("n")).join(heads, "key", "left")
+    here = F.lit(0).cast("long").alias("spread")
+    asks = order.join(asks, order["doc_id"] == asks["of"]).select(order["doc_id"].alias("key"), here, "next_id", "by", "need")
+    found = docs.join(asks, ["key", "spread"], "left")
+    heads = found.where("by is not null").groupBy(F.col("by").alias("key"), here).agg(F.min(F.expr("left(text, need)")).alias("head"))
+    own = found.select("key", "spread", real, "next_id", "text", F.length("text").alias("n")).join(heads, ["key", "spread"], "left")
     half = F.expr("cast(n div 2 as int)")
+    # rows of one key are numbered by text: equal ones may change places, so a task that runs again does no harm
+    same_key = Window.partitionBy("key", "spread").orderBy(F.xxhash64("text"))
     both = own.select(
         "key",
+        "spread",
         "doc_id",
         "next_id",
         "n",
-        F.monotonically_increasing_id().alias("row"),
+        F.row_number().over(same_key).alias("row"),
         F.col("text"),
         F.concat(F.expr("left(text, cast(n - n div 2 as int))"), F.coalesce(F.left(F.col("head"), half), F.lit(""))).alias("edited"),
     )
     each = both.select(
-        "key", "doc_id", "next_id", "row", "n", sha256(F.col("edited")).alias("edited_sha256"), F.posexplode(F.array("text", "edited")).alias("kind", "body")
+        "key", "spread", "doc_id", "next_id", "row", "n", sha256(F.col("edited")).alias("edited_sha256"), F.posexplode(F.array("text", "edited")).alias("kind", "body")
     )
-    keys = ["key", "doc_id", "next_id", "row", "n", "edited_sha256"]
+    keys = ["key", "spread", "doc_id", "next_id", "row", "n", "edited_sha256"]
     prints = fingerprint(each, [*keys, "kind"], "body")
     lanes = prints.groupBy(*keys).agg(F.max(F.when(F.col("kind") == 0, F.col("lanes"))).alias("a"), F.max(F.when(F.col("kind") == 1, F.col("lanes"))).alias("b"))
     lanes = written(lanes)

@@ -1,6 +1,7 @@
 """Quality classifier by hierarchical empirical Bayes.
 
-A document's own evidence is the log odds of a logistic regression on its text alone. The rates of good
+A document's own evidence is the log odds of a logistic regression on its text alone: rates of characters,
+words and lines, and the mean log odds of its words, which for the rows of the fit come from the other half of them. The rates of good
 documents by host and by path come from grouped aggregation over all labelled documents to learn from: a
 host's rate is shrunk towards the global rate, a path's towards its host's, each by a strength estimated
 from the spread of the observed rates (moments of a beta-binomial). A site without labels adds nothing.
@@ -11,22 +12,28 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from faunaflow.llm.common import small_batches, written
 from faunaflow.llm.learning import Logistic, bounded, held_out, training_labels
+from faunaflow.llm.words import word_hashes
 
 #: Labelled rows that the regression is fitted on, at most; rates use all.
 MAX_LABELLED = 40_000
 THRESHOLD = 0.5
+#: Words are counted by hash, in so many places.
+PLACES = 1 << 16
 #: Sites that may be broadcast; more are joined by a shuffle.
 BROADCAST_SITES = 200_000
 
+OUTPUTS = ["q_id", "q_held_out", "q_evidence", "q_host_rate", "q_path_rate", "q_score", "q_keep"]
 UPPER, LOWER, DIGITS = bytes(range(65, 91)), bytes(range(97, 123)), bytes(range(48, 58))
 SYMBOLS = b"!%$&*#@|<>/\\^~_=+{}[]"
 
@@ -54,19 +61,60 @@ def measures(text: bytes) -> list[float]:
     ]
 
 
-def _matrix(texts) -> np.ndarray:
-    return np.array([measures(t) for t in texts], dtype=float).reshape(-1, 13)
+def word_places(texts) -> Iterator[np.ndarray]:
+    """The distinct places of each text's words, in lower case."""
+    for group in word_hashes(t.lower() for t in texts):
+        for words in group:
+            yield np.unique((words % PLACES).astype(np.int64))
 
 
-def _fit(docs: DataFrame, train: DataFrame) -> Logistic:
+def _matrix(texts, odds: np.ndarray) -> np.ndarray:
+    """The measures of each text, and the mean odds of its words; ``odds`` has a row for each text, or one for all."""
+    texts = list(texts)
+    means = [float(odds[k % len(odds)][p].mean()) if len(p) else 0.0 for k, p in enumerate(word_places(texts))]
+    return np.array([[*measures(t), m] for t, m in zip(texts, means)], dtype=float).reshape(-1, 14)
+
+
+def word_odds(counts: np.ndarray) -> np.ndarray:
+    """Log odds by place from the numbers of bad and good texts that have a word there, each total in place -1."""
+    bad, good = counts
+    return np.log((good[:-1] + 0.5) / (good[-1] + 1)) - np.log((bad[:-1] + 0.5) / (bad[-1] + 1))
+
+
+class Evidence(NamedTuple):
+    model: Logistic
+    odds: np.ndarray
+
+
+def _fit(docs: DataFrame, train: DataFrame) -> Evidence:
+    """The regression, fitted on a bounded sample; what comes to the driver has that bound and PLACES numbers."""
+    some = bounded(train, MAX_LABELLED).select(F.col("doc_id").alias("q_labelled"), F.col("label").alias("q_label"))
+    texts = docs.join(F.broadcast(some), F.col("q_id") == F.col("q_labelled"))
+    half = F.pmod(F.xxhash64("q_id"), F.lit(2)).cast("int")
+    texts = written(texts.select(half.alias("half"), F.col("q_label").alias("label"), F.col("q_text").alias("text")))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2, 2, PLACES + 1), dtype=np.int64)
+        for batch in batches:
+            keys = zip(batch.column("half").to_pylist(), batch.column("label").to_pylist())
+            for (half_, label), found in zip(keys, word_places(t.as_py() for t in batch.column("text"))):
+                total[half_, label, found] += 1
+                total[half_, label, PLACES] += 1
+        at = np.argwhere(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at[:, 0]), pa.array(at[:, 1]), pa.array(at[:, 2]), pa.array(total[tuple(at.T)])], ["half", "label", "place", "n"])
+
+    rows = texts.mapInArrow(counted, "half long, label long, place long, n long").groupBy("half", "label", "place").agg(F.sum("n").alias("n")).toPandas()
+    counts = np.zeros((2, 2, PLACES + 1), dtype=np.int64)
+    counts[rows["half"], rows["label"], rows["place"]] = rows["n"]
+    halves = np.stack([word_odds(counts[1]), word_odds(counts[0])])
+
     @pandas_udf("array<double>")
-    def measured(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for part in texts:
-            yield pd.Series(list(_matrix(part)))
+    def measured(texts: pd.Series, half: pd.Series) -> pd.Series:
+        return pd.Series(list(_matrix(texts, halves[half.to_numpy()]) if len(texts) else []))
 
-    some = bounded(train, MAX_LABELLED).withColumnRenamed("doc_id", "labelled")
-    rows = docs.join(F.broadcast(some), F.col("q_id") == F.col("labelled")).select("label", measured("q_text").alias("x")).toPandas()
-    return Logistic(np.array(rows["x"].tolist(), dtype=float).reshape(-1, 13), rows["label"].to_numpy(dtype=float))
+    rows = texts.select("label", measured("text", "half").alias("x")).toPandas()
+    model = Logistic(np.array(rows["x"].tolist(), dtype=float).reshape(-1, 14), rows["label"].to_numpy(dtype=float))
+    return Evidence(model, word_odds(counts.sum(0)))
 
 
 def _strength(rates: DataFrame, n: str, y: str, towards: Column, groups: int) -> float:
@@ -120,34 +168,43 @@ def quality(
 
     q_score is the probability that the document is good, q_keep whether it is at least 0.5. Null texts are empty, null
     parts of a host or path are empty strings. Where labels are missing or all alike, the score is the
-    smoothed rate of what there is, 0.5 of nothing. Columns of df whose names start with ``q_`` are
-    replaced. Labels of held-out rows are never used.
+    smoothed rate of what there is, 0.5 of nothing. Columns of df with exactly one of these names are
+    replaced, all others stay. Labels of held-out rows are never used; of labels of one id the majority
+    counts, a tie as good. Repeated rows are each returned; an empty table gives no rows.
     """
     small_batches(df.sparkSession)
     joined = lambda cols: F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols])
-    plain = df.select(*[c for c in df.columns if not c.startswith("q_")])
-    docs = plain.withColumns(
-        {"q_id": F.col(id_col), "q_text": F.coalesce(F.col(text_col), F.lit("")).cast("binary"), "q_host": joined(host_cols), "q_path": joined(host_cols + path_cols)}
+    stay = [c for c in df.columns if c not in OUTPUTS]
+    # the columns of df travel in one struct, so none of their names can clash
+    docs = df.select(
+        F.struct(*stay).alias("q_row"),
+        F.col(id_col).alias("q_id"),
+        F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("q_text"),
+        joined(host_cols).alias("q_host"),
+        joined(host_cols + path_cols).alias("q_path"),
     )
     train = written(training_labels(labels, id_col, label_col))
-    model = _fit(docs, train)
+    fitted = _fit(docs, train)
+    sent = df.sparkSession.sparkContext.broadcast(fitted)
     paths, hosts, rate = _sites(docs, train)
 
     @pandas_udf("double")
     def evidence(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model, odds = sent.value
         for part in texts:
-            yield pd.Series(model.logit(_matrix(part)) if len(part) else [], dtype="float64")
+            yield pd.Series(model.logit(_matrix(part, odds[None])) if len(part) else [], dtype="float64")
 
     scored = docs.withColumn("q_evidence", evidence("q_text")).drop("q_text")
+    # beyond the bound, these joins read two shuffles each, so that Spark may split a host that is hot
     scored = scored.join(_small(paths), ["q_host", "q_path"], "left").join(_small(hosts), "q_host", "left")
     host_rate = F.coalesce("host_rate", F.lit(rate))
     path_rate = F.coalesce("path_rate", host_rate)
     odds = lambda p: F.log(p / (1 - p))
     score = 1 / (1 + F.exp(-(F.col("q_evidence") + odds(path_rate) - F.lit(float(np.log(rate / (1 - rate)))))))
     return scored.select(
-        *plain.columns,
+        "q_row.*",
         "q_id",
-        held_out(id_col).alias("q_held_out"),
+        held_out("q_id").alias("q_held_out"),
         "q_evidence",
         host_rate.alias("q_host_rate"),
         path_rate.alias("q_path_rate"),

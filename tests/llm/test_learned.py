@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from helpers import WORDS, frame
 
+from faunaflow.llm import quality as q
 from faunaflow.llm import toxicity
 from faunaflow.llm.learning import Logistic, bounded, training_labels
 from faunaflow.llm.quality import quality
@@ -158,6 +159,65 @@ def test_quality_uses_text_and_site(spark):
     assert all(r.q_keep for r in quality(docs, labelled(spark, [])).collect())
 
 
+def plain_strength(rates, free):
+    """Prior strength from (n, y, target) of each site, by moments."""
+    total, squares = sum(n for n, _, _ in rates), sum(n * n for n, _, _ in rates)
+    variance = sum(n * t * (1 - t) for n, _, t in rates) / total
+    spread = sum(n * (y / n - t) ** 2 for n, y, t in rates)
+    rho = (spread / variance - free) / (total - squares / total - free)
+    return 1 / min(max(rho, 1e-4), 0.9) - 1
+
+
+def test_quality_against_plain_python(spark):
+    rng, rows, label = random.Random(8), [], {}
+    for i in range(500):
+        bad, host = rng.random() < 0.3, f"h{rng.randrange(6)}"
+        words = [rng.choice(WORDS).upper() + "!" if bad and rng.random() < 0.8 else rng.choice(WORDS) + rng.choice("abc") for _ in range(rng.randint(0, 40))]
+        rows.append((i, " ".join(words), host, rng.choice(["p", "q"])))
+        label[i] = int(bad == (host == "h1") and rng.random() < 0.95)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    got = {r.doc_id: r for r in quality(docs, labelled(spark, [(i, y, 0, "") for i, y in label.items()])).collect()}
+
+    train = [r for r in rows if not held(r[0])]
+    path, host = Counter(), Counter()
+    for i, _, h, p in train:
+        path[h, p] += 1 + label[i] * 1j
+        host[h] += 1 + label[i] * 1j
+    rate = (sum(label[r[0]] for r in train) + 0.5) / (len(train) + 1)
+    a = plain_strength([(n.real, n.imag, rate) for n in host.values()], len(host) - 1)
+    host_rate = {h: (n.imag + a * rate) / (n.real + a) for h, n in host.items()}
+    b = plain_strength([(n.real, n.imag, host_rate[h]) for (h, _), n in path.items()], len(path) - len(host))
+    path_rate = {(h, p): (n.imag + b * host_rate[h]) / (n.real + b) for (h, p), n in path.items()}
+
+    # halves as Spark deals them out
+    half = {r.doc_id: r.h for r in docs.selectExpr("doc_id", "pmod(xxhash64(doc_id), 2) as h").collect()}
+    places = {i: set(next(q.word_places([t.encode()])).tolist()) for i, t, _, _ in rows}
+
+    def odds(ids):
+        n = Counter((label[i], w) for i in ids for w in places[i])
+        total = Counter(label[i] for i in ids)
+        return lambda w: math.log((n[1, w] + 0.5) / (total[1] + 1)) - math.log((n[0, w] + 0.5) / (total[0] + 1))
+
+    mean = lambda i, o: sum(map(o, places[i])) / len(places[i]) if places[i] else 0.0
+    ids = [r[0] for r in train]
+    other = [odds([i for i in ids if half[i] != k]) for k in (0, 1)]
+    x = np.array([[*q.measures(t.encode()), mean(i, other[half[i]])] for i, t, _, _ in train])
+    model, everything = Logistic(x, np.array([float(label[i]) for i in ids])), odds(ids)
+    for i, t, h, p in rows:
+        logit = model.logit(np.array([[*q.measures(t.encode()), mean(i, everything)]]))[0]
+        logit += math.log(path_rate[h, p] / (1 - path_rate[h, p])) - math.log(rate / (1 - rate))
+        assert abs(got[i].q_path_rate - path_rate[h, p]) < 1e-9 and abs(got[i].q_host_rate - host_rate[h]) < 1e-9
+        assert abs(got[i].q_score - 1 / (1 + math.exp(-logit))) < 1e-6 and got[i].q_keep == (got[i].q_score >= 0.5)
+
+
+def test_quality_keeps_columns_of_any_name(spark):
+    names = ["label", "labelled", "path_rate", "host_rate", "q_text", "q_mine", "q_label", "q_labelled", "n", "q_row", "q_score"]
+    docs = spark.createDataFrame([(i, "some text", "h", "p", *[k * 100 + i for k in range(len(names))]) for i in range(9)], "doc_id long, text string, source string, lang string, " + ", ".join(f"{n} long" for n in names))
+    got = quality(docs, labelled(spark, [(i, i % 2, 0, "") for i in range(9)])).collect()
+    for r in got:
+        assert [r[n] for n in names[:-1]] == [k * 100 + r.doc_id for k in range(len(names) - 1)] and 0 < r.q_score < 1
+
+
 def test_sparse_sites_shrink_to_the_global_rate(spark):
     text = "the same words for all."
     rows = [(i, text, f"host{i % 40}", "p") for i in range(4000)] + [(5000 + i, text, "tiny", "p") for i in range(2)]

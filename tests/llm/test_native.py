@@ -2,9 +2,11 @@ import hashlib
 import math
 import random
 import re
+import struct
 from collections import Counter, defaultdict
 
 import pytest
+import xxhash
 
 from faunaflow.llm import chat_format, secret_scan
 from faunaflow.llm.exact_dedup import exact_dedup
@@ -72,6 +74,55 @@ def test_edited_texts_follow_the_ring(spark):
     assert sum(r.near_edited > r.near_next for r in large) >= 0.95 * len(large)
 
 
+def plain_lanes(text):
+    """The lanes of a text, paragraph by paragraph."""
+    signed = lambda h: h & (1 << 64) - 1
+    seed = lambda i: xxhash.xxh64_intdigest(struct.pack("<i", i), 42)
+    whole, bits, m = [0] * 8, [0] * 64, 0
+    for par in text.split("\n"):
+        for i in range(4):
+            h = signed(xxhash.xxh64_intdigest(par.encode(), seed(i)))
+            whole[2 * i] += h & 0xFFFFFFFF
+            whole[2 * i + 1] += h >> 32
+        words = par.split(" ")
+        for w, v in zip(words, [*words[1:], None]):
+            h = xxhash.xxh64_intdigest(w.encode(), 42)
+            h = h if v is None else xxhash.xxh64_intdigest(v.encode(), h)
+            m += 1
+            bits = [b + (h >> j & 1) for j, b in enumerate(bits)]
+    return [x % (1 << 32) for x in [*whole, m, *bits]]
+
+
+def plain_likeness(a, b):
+    if a == b:
+        return 1.0
+    x, y = ([2 * v - z[8] for v in z[9:]] for z in (a, b))
+    size = math.sqrt(sum(v * v for v in x) * sum(v * v for v in y))
+    return max(0.0, min(1.0, sum(v * w for v, w in zip(x, y)) / size)) if size else 0.0
+
+
+def test_fingerprints_against_plain_python(spark):
+    rows = [r for r in AWKWARD if r[0] not in (None, 8, 9)] + [(100 + i, t) for i, t in corpus(25)] + [(-(1 << 63), "least id\nof all"), ((1 << 63) - 1, "largest")]
+    got = {r.doc_id: r for r in edited_fingerprints(frame(spark, rows)).collect()}
+    order = sorted(rows, reverse=True)
+    text = lambda lanes: "".join(f"{x:08x}" for x in lanes)
+    assert got.keys() == {i for i, _ in rows}
+    for (i, t), (_, u) in zip(order, order[1:] + order[:1]):
+        t, u = t or "", u or ""
+        half = len(t) // 2
+        a, b, c = plain_lanes(t), plain_lanes(t[: len(t) - half] + u[:half]), plain_lanes(u)
+        assert got[i].fingerprint == text(a) and got[i].edited_fingerprint == text(b)
+        assert abs(got[i].near_edited - plain_likeness(a, b)) < 1e-9 and abs(got[i].near_next - plain_likeness(a, c)) < 1e-9
+
+
+def test_fingerprints_of_many_null_ids(spark):
+    rows = [(None, f"text {i % 3}") for i in range(50)] + [(-(1 << 63), "text 0"), (0, "zero")]
+    got = edited_fingerprints(frame(spark, rows)).collect()
+    assert Counter(r.doc_id for r in got) == Counter(i for i, _ in rows)
+    assert {r.edited_sha256 for r in got if r.doc_id is None} == {sha("tex")} and {r.edited_sha256 for r in got if r.doc_id == 0} == {sha("zete")}
+    assert len({r.fingerprint for r in got if r.doc_id is None}) == 3
+
+
 def test_edited_texts_with_repeated_and_null_ids(spark):
     got = edited_fingerprints(frame(spark, AWKWARD)).collect()
     assert Counter(r.doc_id for r in got) == Counter(i for i, _ in AWKWARD)
