@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +30,8 @@ END = 0
 #: Pieces in an Arrow batch: 2 MB of ids.
 ROWS = 512
 K1, B = 1.2, 0.75
+#: A term in more than one of so many parts of a shard has a row of weights.
+MANY = 8
 #: Parts of a shard.
 SHARD = 2048
 #: Rarest tokens that make a part's place, and bits for each.
@@ -71,17 +74,16 @@ class Tokens:
     def __call__(self, text: str) -> np.ndarray:
         slow = self.fast is None or self.added(text) or (len(text) > LONG_TEXT and self.long_space(text))
         ids = self.own.encode(text, add_special_tokens=False).ids if slow else self.fast(text)
-        return np.array([*ids, END], dtype=np.uint32)
+        ids.append(END)
+        return np.frombuffer(array("I", ids), dtype=np.uint32)
 
 
 def place(ids: np.ndarray) -> int:
     """The rarest distinct tokens, rarest first, as one number; a later id of a BPE vocabulary is rarer."""
-    out = 0
-    for t in np.unique(np.minimum(ids, (1 << BITS) - 1))[: -RAREST - 1 : -1].tolist() + [0] * RAREST:
-        if out >> BITS * (RAREST - 1):
-            break
-        out = out << BITS | t
-    return out & (1 << BITS * RAREST) - 1
+    ids = np.minimum(ids, (1 << BITS) - 1)
+    last = np.unique(np.partition(ids, -8 * RAREST)[-8 * RAREST :] if len(ids) > 8 * RAREST else ids)
+    last = (last if len(last) >= RAREST else np.unique(ids))[: -RAREST - 1 : -1].tolist()
+    return sum(t << BITS * (RAREST - 1 - i) for i, t in enumerate(last))
 
 
 class Index:
@@ -96,6 +98,11 @@ class Index:
         self.df = np.bincount(self.of)
         idf = np.log1p((n - self.df + 0.5) / (self.df + 0.5))
         weight = idf[self.of] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[doc] / sizes.mean()))
+        # terms of many parts have a row of weights by part, others a list of parts
+        self.row = np.where(self.df > n // MANY, np.cumsum(self.df > n // MANY) - 1, -1)
+        many = self.row[self.of] >= 0
+        self.rows = np.zeros((int(self.row.max()) + 1, n))
+        self.rows[self.row[self.of[many]], doc[many]] = weight[many]
         by_term = np.argsort(self.of, kind="stable")
         self.docs, self.weights = doc[by_term], weight[by_term]
         self.first = np.r_[0, np.cumsum(self.df)]
@@ -104,11 +111,12 @@ class Index:
     def scores(self, seed: int) -> np.ndarray:
         """BM25 scores of all parts for all terms of the seed."""
         terms = self.of[self.own[seed] : self.own[seed + 1]]
-        terms = terms[self.df[terms] > 1]
+        many = self.row[terms]
+        terms = terms[(many < 0) & (self.df[terms] > 1)]
         each = self.df[terms]
         ends = np.cumsum(each)
         at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.first[terms] - ends + each, each)
-        return np.bincount(self.docs[at], self.weights[at], self.n)
+        return np.bincount(self.docs[at], self.weights[at], self.n) + self.rows[many[many >= 0]].sum(0)
 
 
 def pack_shard(parts: list[np.ndarray], window: int) -> Iterator[list[tuple[int, int, int]]]:
