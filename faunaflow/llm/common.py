@@ -56,17 +56,24 @@ def written(df: DataFrame, compression: str = "snappy") -> DataFrame:
 
 
 def dropped(*frames: DataFrame) -> None:
-    """Delete what :func:`written` wrote, once nothing reads it any more.
-
-    The driver's garbage collection then lets Spark remove the shuffle files of finished phases too,
-    which would otherwise add up on disk over a job of several phases.
-    """
+    """Delete what :func:`written` wrote, once nothing reads it any more."""
     for df in frames:
         jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
         path = jvm.org.apache.hadoop.fs.Path(df.written_to)
         path.getFileSystem(conf).delete(path, True)
     if frames:
-        frames[0].sparkSession._jvm.System.gc()
+        settled(frames[0])
+
+
+def settled(df: DataFrame) -> None:
+    """Call after a phase whose result is written: Spark then removes the phase's shuffle files from disk.
+
+    Spark removes them once the driver's garbage collection finds the plans that read them gone, which without
+    this may take as long as the job. It only saves disk; a session without a JVM at hand goes without it.
+    """
+    jvm = getattr(df.sparkSession, "_jvm", None)
+    if jvm is not None:
+        jvm.System.gc()
 
 
 def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -9,9 +9,8 @@
    prefixes, in sizes and at positions that leave room for the overlap needed, and then a token of both
    second and of both third prefixes. Only pairs that all orders let through have their sets fetched.
 4. Candidates are taken in rounds of stars: in each token's group one class is the pivot for the others.
-   Only classes that no verified link connects yet are paired in the last, complete round, in large groups
-   on a token of the second prefix and on their size as well. So a group of m near copies costs about m
-   comparisons, not m * m, and components stay exact.
+   Only classes that no verified link connects yet are paired in the last, complete round, by token and by
+   size. So a group of m near copies costs about m comparisons, not m * m, and components stay exact.
 """
 
 from __future__ import annotations
@@ -26,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from faunaflow.llm.common import documents, dropped, sample_fraction, written
+from faunaflow.llm.common import documents, dropped, sample_fraction, settled, written
 from faunaflow.llm.components import components
 from faunaflow.llm.words import mix, window_hashes, word_hashes
 
@@ -42,8 +41,6 @@ REMEMBERED = 1_000_000
 HOT = 1 << 40
 #: Fixed values that make the second and third order.
 ORDERS = [0x5851F42D4C957F2D, 0x14057B7EF767814F]
-#: Larger groups of one token are split in the last round.
-GROUP = 64
 #: A prefix of a quarter is exact for a similarity of 3/4; it is lengthened by 1/12 of the set.
 LONGER, SHARED = 12, 16
 
@@ -239,20 +236,18 @@ def _star_pairs(rows: DataFrame, pivots: DataFrame) -> DataFrame:
 def _open_pairs(rows: DataFrame, pivots: DataFrame, prefixes: DataFrame) -> DataFrame:
     """All candidate pairs of different components: classes outside a token's largest one, with all of its others.
 
-    Linked classes share a token of their second prefixes too, and their sizes differ by a third at most: both are
-    keys where a token has many classes.
+    The sizes of linked classes differ by a third at most, so a step of sizes is a key; only pairs that share a token
+    of their second prefixes leave the join.
     """
     rows = rows.join(pivots.select("token"), "token", "left_semi").drop("u")
     sizes = rows.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c"))
-    groups = written(sizes.groupBy("token").agg(F.max(F.struct("c", "comp")).alias("m"), F.sum("c").alias("all")))
-    rows = rows.join(groups.select("token", F.col("m.comp").alias("main"), "all"), "token")
-    rows = rows.join(prefixes.select("cls", "second"), "cls").withColumn("step", F.floor(F.log("n") / F.log(F.lit(4 / 3))))
-    split = F.explode(F.when(F.col("all") > GROUP, F.col("second")).otherwise(F.array(F.lit(0))))
-    rows = written(rows.withColumn("also", split).drop("second", "all"))
+    main = written(sizes.groupBy("token").agg(F.max(F.struct("c", "comp")).alias("m")).select("token", F.col("m.comp").alias("main")))
+    rows = rows.join(main, "token").join(prefixes.select("cls", "second"), "cls").withColumn("step", F.floor(F.log("n") / F.log(F.lit(4 / 3))))
+    rows = written(rows)
     minor = rows.where("comp <> main").alias("r")
     others = rows.withColumn("step", F.explode(F.expr("array(step - 1, step, step + 1)"))).alias("s")
-    keys = [F.col(f"r.{k}") == F.col(f"s.{k}") for k in ("token", "also", "step")]
-    met = minor.join(others, [*keys, F.expr(f"r.comp <> s.comp and {_room('r', 's')}")])
+    keys = [F.col(f"r.{k}") == F.col(f"s.{k}") for k in ("token", "step")]
+    met = minor.join(others, [*keys, F.expr(f"r.comp <> s.comp and {_room('r', 's')} and arrays_overlap(r.second, s.second)")])
     return met.select(F.least("r.cls", "s.cls").alias("x"), F.greatest("r.cls", "s.cls").alias("y")).distinct()
 
 
@@ -307,6 +302,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     dropped(hashed)
     sets = written(_whole_sets(docs, left, hot))
     prefixes = written(_prefixes(sets))
+    settled(prefixes)
     rows = prefixes.select("cls", "n", "u", F.explode(F.arrays_zip("tokens", "places")).alias("t"))
     rows = written(rows.select(F.col("t.tokens").alias("token"), "cls", "n", F.col("t.places").alias("i"), "u"))
     links = None
