@@ -15,6 +15,7 @@ import json
 import re
 from array import array
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -45,34 +46,42 @@ class Tokens:
 
     Where every merge's id follows its rank, tiktoken runs the same merges several times faster. Texts
     with a string of an added token, or with very long white space, are left to tokenizers; so is
-    any other file.
+    any other file. The file is looked through once, on the driver; a worker loads what it needs.
     """
 
     def __init__(self, file: str, pattern: str):
-        from tokenizers import Tokenizer
-
-        spec, self.own = json.loads(file), Tokenizer.from_str(file)
+        spec = json.loads(file)
         vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
         pairs = [m if isinstance(m, list) else m.split(" ") for m in merges]
         added = [t["content"] for t in spec.get("added_tokens", [])]
         plain = {k: v for k, v in vocab.items() if k not in set(added)}
         ordered = len(plain) == 256 + len(pairs) and all(vocab.get(a + b) == 256 + i for i, (a, b) in enumerate(pairs))
-        self.fast = None
+        self.file, self.pattern, self.ranks = file, pattern, None
         if ordered and spec["pre_tokenizer"]["type"] == "ByteLevel" and not spec["pre_tokenizer"].get("add_prefix_space") and not spec.get("normalizer"):
-            import tiktoken
             from tokenizers.pre_tokenizers import ByteLevel
 
             # printable bytes stand for themselves, the others follow from code point 256 on, in order
             shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
             codes = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(shown)))}
             assert codes.keys() == set(ByteLevel.alphabet())
-            ranks = {bytes(codes[c] for c in k): v for k, v in plain.items()}
-            self.fast = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.added = re.compile("|".join(map(re.escape, added))).search if added else lambda text: None
-        self.long_space = re.compile(LONG_SPACE).search
+            self.ranks = {bytes(codes[c] for c in k): v for k, v in plain.items()}
+        self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)")
+        self.long_space = re.compile(LONG_SPACE)
+
+    @cached_property
+    def fast(self):
+        import tiktoken
+
+        return tiktoken.Encoding("packing", pat_str=self.pattern, mergeable_ranks=self.ranks, special_tokens={}).encode_ordinary
+
+    @cached_property
+    def own(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_str(self.file)
 
     def __call__(self, text: str) -> np.ndarray:
-        slow = self.fast is None or self.added(text) or (len(text) > LONG_TEXT and self.long_space(text))
+        slow = self.ranks is None or self.added.search(text) or (len(text) > LONG_TEXT and self.long_space.search(text))
         ids = self.own.encode(text, add_special_tokens=False).ids if slow else self.fast(text)
         ids.append(END)
         return np.frombuffer(array("I", ids), dtype=np.uint32)
@@ -162,13 +171,13 @@ def pack_shard(parts: list[np.ndarray], window: int) -> Iterator[list[tuple[int,
         yield got
 
 
-def _encoded(docs: DataFrame, file, pattern: str, window: int) -> DataFrame:
+def _encoded(docs: DataFrame, tokens, window: int) -> DataFrame:
     """doc_id, start, length, ids, doc_tokens, sequence_id (of full windows; null for shorter parts), place."""
     names = ["start", "length", "ids", "doc_tokens", "sequence_id", "place"]
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *(T.StructField(n, T.BinaryType() if n == "ids" else T.LongType()) for n in names)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, task, rows = Tokens(file.value, pattern), TaskContext.get().partitionId() << 36, []
+        encode, task, rows = tokens.value, TaskContext.get().partitionId() << 36, []
 
         def batch_of(kind: pa.DataType) -> pa.RecordBatch:
             columns = list(zip(*rows[:ROWS]))
@@ -212,8 +221,8 @@ def pack(
     """
     docs = documents(df, id_col, text_col)
     with open(tokenizer_path, encoding="utf-8") as f:
-        file = df.sparkSession.sparkContext.broadcast(f.read())
-    pieces = written(_encoded(docs, file, pattern, window), "zstd")
+        tokens = df.sparkSession.sparkContext.broadcast(Tokens(f.read(), pattern))
+    pieces = written(_encoded(docs, tokens, window), "zstd")
     columns = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id"]
     whole = pieces.where("sequence_id is not null").select(*columns, F.lit(0).cast("long").alias("offset"))
     parts = pieces.where("sequence_id is null").select("place", F.xxhash64("doc_id", "start").alias("salt"), "doc_id", "start", "ids", "doc_tokens")
@@ -227,12 +236,12 @@ def pack(
         def packed(kind: pa.DataType) -> Iterator[pa.RecordBatch]:
             nonlocal sequence
             rows: list[tuple] = []
-            tokens = [np.frombuffer(h[2], dtype="<u4") for h in held]
-            for got in pack_shard(tokens, window):
+            ids = [np.frombuffer(h[2], dtype="<u4") for h in held]
+            for got in pack_shard(ids, window):
                 offset = 0
                 for i, start, length in got:
                     doc, done, _, total = held[i]
-                    rows.append((doc, done + start, length, tokens[i][start : start + length].tobytes(), total, sequence, offset))
+                    rows.append((doc, done + start, length, ids[i][start : start + length].tobytes(), total, sequence, offset))
                     offset += length
                 sequence += 1
             held.clear()
