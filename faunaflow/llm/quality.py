@@ -68,10 +68,11 @@ def word_places(texts) -> Iterator[np.ndarray]:
             yield np.unique((words % PLACES).astype(np.int64))
 
 
-def _matrix(texts, odds: np.ndarray) -> np.ndarray:
-    """The measures of each text, and the mean odds of its words; ``odds`` has a row for each text, or one for all."""
+def _matrix(texts, odds: np.ndarray, which=None) -> np.ndarray:
+    """The measures of each text, and the mean odds of its words, from the first row of ``odds`` or the row named for each."""
     texts = list(texts)
-    means = [float(odds[k % len(odds)][p].mean()) if len(p) else 0.0 for k, p in enumerate(word_places(texts))]
+    rows = [0] * len(texts) if which is None else which
+    means = [float(odds[k][p].mean()) if len(p) else 0.0 for k, p in zip(rows, word_places(texts))]
     return np.array([[*measures(t), m] for t, m in zip(texts, means)], dtype=float).reshape(-1, 14)
 
 
@@ -110,7 +111,7 @@ def _fit(docs: DataFrame, train: DataFrame) -> Evidence:
 
     @pandas_udf("array<double>")
     def measured(texts: pd.Series, half: pd.Series) -> pd.Series:
-        return pd.Series(list(_matrix(texts, halves[half.to_numpy()]) if len(texts) else []))
+        return pd.Series(list(_matrix(texts, halves, half.to_numpy()) if len(texts) else []))
 
     rows = texts.select("label", measured("text", "half").alias("x")).toPandas()
     model = Logistic(np.array(rows["x"].tolist(), dtype=float).reshape(-1, 14), rows["label"].to_numpy(dtype=float))
