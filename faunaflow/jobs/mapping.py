@@ -53,10 +53,11 @@ SELECT event_id, fence_id, round(x1 + t * (x2 - x1), 6) AS cross_x, round(y1 + t
     lambda s, d: P.fence_crossings(segments(s, d), fences(s)).select(F.col("extra__event_id").alias("event_id"), "fence_id", F.round("cross_x", 6).alias("cross_x"), F.round("cross_y", 6).alias("cross_y"))
 )
 query("j9_proximity", SEG + """SELECT event_id, pk AS feature_id, round(sqrt((px - t * dx) ** 2 + (py - t * dy) ** 2), 6) AS proximity FROM (SELECT *, greatest(0, least(1, coalesce((px * dx + py * dy) / nullif(dx * dx + dy * dy, 0), 0))) AS t
-FROM (SELECT event_id, pk, x2 - s.x1 AS dx, y2 - s.y1 AS dy, r.x0 - s.x1 AS px, r.y0 - s.y1 AS py FROM segments s, regions r WHERE pk < 4))""")(
+FROM (SELECT event_id, pk, x2 - s.x1 AS dx, y2 - s.y1 AS dy, r.x0 - s.x1 AS px, r.y0 - s.y1 AS py FROM segments s, regions r))""")(
     lambda s, d: P.proximity(segments(s, d), regions(s, d).selectExpr("pk as feature_id", "ring[0].x as fx", "ring[0].y as fy")).select(F.col("extra__event_id").alias("event_id"), "feature_id", F.round("proximity", 6).alias("proximity"))
 )
-query("g4_mesh_grid", "SELECT a * 20 + b AS cell_id, round((a + 136) * 25e-2, 6) AS x0, round((b - 10) * 2e-1, 6) AS y0 FROM (SELECT unnest(range(20)) AS a), (SELECT unnest(range(20)) AS b)".replace("a * 20", "a * 20"))(
+query("g4_mesh_grid", FIX + """, e AS (SELECT floor(min(lon) / 25e-2)::BIGINT AS fx, floor(min(lat) / 2e-1)::BIGINT AS fy, ceil(max(lon) / 25e-2)::BIGINT AS tx, ceil(max(lat) / 2e-1)::BIGINT AS ty FROM fixes)
+SELECT (ix - fx) * (ty - fy) + iy - fy AS cell_id, round(ix * 25e-2, 6) AS x0, round(iy * 2e-1, 6) AS y0 FROM (SELECT *, unnest(range(fx, tx)) AS ix FROM e) a, LATERAL (SELECT unnest(range(a.fy, a.ty)) AS iy) b""")(
     lambda s, d: P.mesh_grid(s, *_extent(fixes(s, d)), 0.25, 0.2).select("cell_id", F.round("x0", 6).alias("x0"), F.round("y0", 6).alias("y0"))
 )
 query("a14_point_density", FIX + "SELECT floor(lon / 25e-2)::BIGINT AS ix, floor(lat / 25e-2)::BIGINT AS iy, count(*)::DOUBLE AS density FROM fixes WHERE lon / 25e-2 <> floor(lon / 25e-2) AND lat / 25e-2 <> floor(lat / 25e-2) GROUP BY 1, 2")(

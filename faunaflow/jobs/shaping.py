@@ -168,7 +168,7 @@ SELECT epoch_us(l) AS l, count(*) AS n, round(sum(value), 2) AS total FROM event
 
 query("f1_flatten_json", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS props__k FROM events")(lambda s, d: C.flatten_json(ev(s, d).select("event_id", "props"), "props"))
 query("f2_first_field", "SELECT event_id, CAST(json_extract(props, '$.k') AS DOUBLE) AS k FROM events")(lambda s, d: ev(s, d).select("event_id", C.first_field("props", ["missing", "k"], "double").alias("k")))
-query("f3_as_type", "SELECT event_id, value::DOUBLE AS f, TRY_CAST(event_type AS DOUBLE) AS bad, user_id = 1 AS flag FROM events WHERE user_id IN (0, 1)")(
+query("f3_as_type", "SELECT event_id, value::DOUBLE AS f, TRY_CAST(event_type AS DOUBLE) AS bad, CASE user_id WHEN 1 THEN true WHEN 0 THEN false END AS flag FROM events")(
     lambda s, d: ev(s, d).select("event_id", C.as_type("value", "float").alias("f"), C.as_type("event_type", "float").alias("bad"), C.as_type("user_id", "bool").alias("flag"))
 )
 query("f4_decode_details", "SELECT event_id, CASE WHEN event_id % 5 = 0 THEN NULL ELSE json_extract_string(props, '$.k') END AS k, event_id % 5 = 0 AS bad_json FROM events")(
@@ -185,12 +185,14 @@ query("f10_convert", "SELECT event_id, coalesce(TRY_CAST(event_type AS DOUBLE),
 )
 
 
-@query("f11_arithmetic", "SELECT event_id, round(value / nullif(user_id, 0), 3) AS divide, floor(value / nullif(user_id, 0))::BIGINT AS floor_divide, round(value - user_id, 6) AS subtract, greatest(value, user_id) AS max FROM events")
+@query("f11_arithmetic", """SELECT event_id, value / nullif(user_id, 0) AS divide, floor(value / nullif(user_id, 0))::BIGINT AS floor_divide, value - user_id AS subtract, value + user_id AS add, value * user_id AS multiply,
+greatest(value, user_id) AS max, least(value, user_id) AS min, CASE WHEN user_id <> 7 THEN ((event_id - 40) % (7 - user_id) + (7 - user_id)) % (7 - user_id) END AS modulo FROM events""")
 def f11(s, d):
-    df = ev(s, d)
-    for op in ("divide", "floor_divide", "subtract", "max"):
+    df = ev(s, d).withColumns({"a": F.col("event_id") - 40, "b": 7 - F.col("user_id")})
+    named = ["divide", "floor_divide", "subtract", "add", "multiply", "max", "min"]
+    for op in named:
         df = C.arithmetic(df, "value", "user_id", op, op)
-    return df.select("event_id", F.round("divide", 3).alias("divide"), "floor_divide", F.round("subtract", 6).alias("subtract"), "max")
+    return C.arithmetic(df, "a", "b", "modulo", "modulo").select("event_id", *named, "modulo")
 
 
 query("f12_zscore", "SELECT event_id, round((value - avg(value) OVER ()) / stddev_samp(value) OVER (), 6) AS z FROM events")(lambda s, d: C.zscore(ev(s, d), "value", "z").select("event_id", F.round("z", 6).alias("z")))

@@ -10,6 +10,8 @@ from pyspark.sql.functions import pandas_udf
 
 #: Distinct values up to which optimal breaks are exact; more start as bins, divided into PIECES wherever a break falls.
 MAX_BREAK_VALUES, PIECES = 500_000, 1000
+#: Parts that distinct values are dealt out over.
+PARTS = 128
 
 
 def breaks(df: DataFrame, column: str, scheme: str, k: int = 5, multiples: tuple = (-2, -1, 1, 2), min_gap: float = 0.0) -> list[float]:
@@ -26,9 +28,15 @@ def breaks(df: DataFrame, column: str, scheme: str, k: int = 5, multiples: tuple
         found = [mean + m * dev for m in multiples]
         return found if found[-1] >= high else [*found, high]
     if scheme == "max_breaks":
-        # gaps between neighbouring distinct values; the widest k - 1
-        near = known.distinct().withColumn("part", F.lit(0))
-        gaps = near.withColumn("after", F.lead("v").over(Window.partitionBy("part").orderBy("v"))).where(F.col("after") - F.col("v") > min_gap)
+        # gaps between neighbouring distinct values; the widest k - 1. Values are dealt out over parts of about
+        # equal size, and only the ends of the parts are compared across them
+        ends = sorted(set(known.agg(F.percentile_approx("v", [i / PARTS for i in range(1, PARTS)])).first()[0] or []))
+        part = F.size(F.filter(F.array(*[F.lit(float(e)) for e in ends]), lambda e: e < F.col("v")))
+        near = known.distinct().withColumn("part", part)
+        within = near.withColumn("after", F.lead("v").over(Window.partitionBy("part").orderBy("v"))).select("v", "after")
+        edges = near.groupBy("part").agg(F.min("v").alias("low"), F.max("v").alias("v"))
+        across = edges.withColumn("after", F.lead("low").over(Window.orderBy("part"))).select("v", "after")
+        gaps = within.unionByName(across).where(F.col("after") - F.col("v") > min_gap)
         top = gaps.orderBy((F.col("after") - F.col("v")).desc(), F.col("v").desc()).limit(k - 1).select(((F.col("v") + F.col("after")) / 2).alias("m"))
         return sorted([*(r["m"] for r in top.collect()), known.agg(F.max("v")).first()[0]])
     if scheme in ("fisher_jenks", "natural_breaks"):

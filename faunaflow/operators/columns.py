@@ -91,10 +91,11 @@ def half_even(column: Column, decimals: int) -> Column:
 
 
 def arithmetic(df: DataFrame, a: str, b: str, out: str, op: str) -> DataFrame:
+    """``out`` of two columns; null where divided by zero. A remainder has the sign of the divisor."""
     x, y = F.col(a), F.col(b)
     found = {
         "add": x + y, "subtract": x - y, "multiply": x * y, "divide": F.try_divide(x, y), "floor_divide": F.floor(F.try_divide(x, y)),
-        "modulo": F.when(y != 0, F.pmod(x, F.nullif(y, F.lit(0)))), "power": F.pow(x, y), "min": F.least(x, y), "max": F.greatest(x, y),
+        "modulo": (x % F.nullif(y, F.lit(0)) + y) % F.nullif(y, F.lit(0)), "power": F.pow(x, y), "min": F.least(x, y), "max": F.greatest(x, y),
     }
     return df.withColumn(out, found[op])
 

@@ -37,10 +37,6 @@ def expression(m: Metric) -> Column:
     c = m.column
     if m.statistic == "ratio":
         found = F.try_divide(F.sum(m.column), F.sum(m.by)) * m.scale
-    elif m.statistic == "unique":
-        # in order of first appearance
-        firsts = F.sort_array(F.collect_set(F.struct(F.col(m.order).alias("o"), F.col(c).cast("string").alias("v"))))
-        return F.array_join(F.array_distinct(F.transform(firsts, lambda x: x["v"])), ", ").alias(m.name)
     elif m.statistic == "area":
         found = F.coalesce(F.sum(swath_area(F.col(c), m.scale)), F.lit(0.0)) / 1e6
     else:
@@ -53,11 +49,25 @@ def expression(m: Metric) -> Column:
     return (half_even(found, m.decimals) if m.decimals is not None else found).alias(m.name)
 
 
+def _unique(df: DataFrame, m: Metric, by: list[str]) -> DataFrame:
+    """A group's distinct values in order of first appearance, in one text: the first place of each value comes first."""
+    firsts = df.groupBy(*by, F.col(m.column).cast("string").alias("_value")).agg(F.min(m.order).alias("_first"))
+    listed = F.sort_array(F.collect_list(F.struct("_first", "_value")))
+    return firsts.groupBy(*by).agg(F.array_join(F.transform(listed, lambda x: x["_value"]), ", ").alias(m.name))
+
+
 def summarize(df: DataFrame, metrics: list[Metric], by: list[str] = ()) -> DataFrame:
     """One row for each group of non-null keys, or for all; one column for each metric."""
+    by = list(by)
     if by:
-        df = df.dropna(subset=list(by)).groupBy(*by)
-    return df.agg(*[expression(m) for m in metrics])
+        df = df.dropna(subset=by)
+    plain = [expression(m) for m in metrics if m.statistic != "unique"] or [F.count(F.lit(1)).alias("_rows")]
+    found = df.groupBy(*by).agg(*plain)
+    for m in metrics:
+        if m.statistic == "unique":
+            each = _unique(df, m, by)
+            found = found.join(each, by, "left") if by else found.crossJoin(each)
+    return found.select(*by, *[m.name for m in metrics])
 
 
 def patrol_metrics() -> list[Metric]:

@@ -1,4 +1,6 @@
 import datetime as dt
+import itertools
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
@@ -14,24 +16,56 @@ def values(spark, *v):
     return spark.createDataFrame([(float(x),) for x in v], "v double")
 
 
-def classes(spark, scheme, **options):
-    df = values(spark, 1, 2, 3, 4, 5)
-    return [r.c for r in classify.classify(df, "v", "c", classify.breaks(df, "v", scheme, **options)).orderBy("v").collect()]
+SPREAD_OUT = [2, 3, 8, 11, 40]
 
 
-def test_classification_schemes(spark):
-    assert classes(spark, "equal_interval", k=2) == [3, 3, 3, 5, 5]
-    assert classes(spark, "quantile", k=2) == [3, 3, 3, 5, 5]
-    assert classes(spark, "std_mean") == pytest.approx([1.4, 4.6, 4.6, 4.6, 6.2], abs=0.05)
-    assert classes(spark, "max_breaks", k=4) == [2.5, 2.5, 3.5, 4.5, 5.0]
-    assert classes(spark, "fisher_jenks", k=5) == [1, 2, 3, 4, 5]
-    df = values(spark, 1, 2, 3, 4, 5)
-    got = classify.classify(df, "v", "c", classify.breaks(df, "v", "equal_interval", k=5), ranges=True).orderBy("v").collect()
-    assert got[0].c == "1.0 - 1.8" and got[-1].c == "4.2 - 5.0"
+def brute_classes(breaks):
+    """Of each value the first break that is not below it."""
+    return [next(b for b in breaks if b >= v) for v in SPREAD_OUT]
+
+
+def brute_jenks(values_, k):
+    """Ends of the classes, from all ways to cut."""
+    def cost(cuts):
+        parts = [values_[i:j] for i, j in zip((0, *cuts), (*cuts, len(values_)))]
+        return sum(sum((x - statistics.mean(p)) ** 2 for x in p) for p in parts)
+
+    best = min(itertools.combinations(range(1, len(values_)), k - 1), key=cost)
+    return [values_[c - 1] for c in (*best, len(values_))]
+
+
+def test_classes_by_each_rule(spark):
+    df = values(spark, *SPREAD_OUT)
+    mean, dev = statistics.mean(SPREAD_OUT), statistics.stdev(SPREAD_OUT)
+    rules = {
+        ("equal_interval", 3): [2 + 38 / 3, 2 + 38 * 2 / 3, 40], ("quantile", 2): [8, 40], ("std_mean", None): [mean - 2 * dev, mean - dev, mean + dev, mean + 2 * dev],
+        ("max_breaks", 3): [(3 + 8) / 2, (11 + 40) / 2, 40], ("fisher_jenks", 3): brute_jenks(SPREAD_OUT, 3), ("fisher_jenks", 2): brute_jenks(SPREAD_OUT, 2),
+    }
+    for (rule, k), want in rules.items():
+        breaks = classify.breaks(df, "v", rule, **({} if k is None else {"k": k}))
+        got = [r.c for r in classify.classify(df, "v", "c", breaks).orderBy("v").collect()]
+        assert got == pytest.approx(brute_classes(want), abs=1e-6), rule
+    named = classify.classify(df, "v", "c", classify.breaks(df, "v", "equal_interval", k=2), ranges=True).orderBy("v").collect()
+    assert (named[0].c, named[-1].c) == ("2.0 - 21.0", "21.0 - 40.0")
     with pytest.raises(ValueError):
-        classify.classify(df, "v", "c", [1.0, 5.0], labels=["one"])
+        classify.classify(df, "v", "c", [8.0, 40.0], labels=["low"])
     with pytest.raises(ValueError):
-        classify.breaks(df, "v", "none")
+        classify.breaks(df, "v", "thirds")
+
+
+def test_widest_gaps_across_parts(spark):
+    many = sorted({(i * 7919) % 100_003 / 7 for i in range(3000)})
+    gaps = sorted(((b - a, a, b) for a, b in zip(many, many[1:])), reverse=True)[:9]
+    got = classify.breaks(values(spark, *many, *many[:50]), "v", "max_breaks", k=10)
+    assert got == pytest.approx(sorted((a + b) / 2 for _, a, b in gaps) + [many[-1]])
+
+
+def test_remainders_have_the_sign_of_the_divisor(spark):
+    pairs = [(7, 3), (7, -3), (-7, 3), (-7, -3), (6, -3), (0, 5), (5, 0)]
+    got = columns.arithmetic(spark.createDataFrame(pairs, "a long, b long"), "a", "b", "m", "modulo").collect()
+    assert [r.m for r in got] == [a % b if b else None for a, b in pairs]
+    floats = columns.arithmetic(spark.createDataFrame([(7.5, -2.0), (-7.5, 2.0)], "a double, b double"), "a", "b", "m", "modulo").collect()
+    assert [r.m for r in floats] == [7.5 % -2.0, -7.5 % 2.0]
 
 
 def test_jenks_over_many_values(spark):
@@ -40,12 +74,18 @@ def test_jenks_over_many_values(spark):
 
 
 def test_summary_metrics(spark):
-    df = spark.createDataFrame([("X", 1), ("X", 2), ("Y", 3), ("Y", 4), ("X", 5)], "g string, a int")
-    got = summary.summarize(df, [
+    rows = [("elk", 40, 7), ("owl", 10, 1), ("elk", 25, 2), (None, 5, 9), ("fox", 10, 4), ("owl", 12, 8)]
+    df = spark.createDataFrame([(g, a, o, o % 2) for g, a, o in rows], "g string, a int, o int, p int")
+    metrics = [
         Metric("s", "sum", "a"), Metric("lo", "min", "a"), Metric("hi", "max", "a"), Metric("m", "mean", "a"), Metric("mid", "median", "a"), Metric("n", "count", "a"),
-        Metric("km", "sum", "a", units=("m", "km")), Metric("u", "unique", "g", order="a"), Metric("r", "ratio", "a", by="a", scale=100)]).first()
-    assert (got.s, got.lo, got.hi, got.m, got.mid, got.n, got.km, got.u, got.r) == (15, 1, 5, 3.0, 3.0, 5, 0.015, "X, Y", 100.0)
-    empty = summary.summarize(df.where("a > 9"), [Metric("s", "sum", "a"), Metric("r", "ratio", "a", by="a")]).first()
+        Metric("km", "sum", "a", units=("m", "km")), Metric("u", "unique", "g", order="o"), Metric("r", "ratio", "a", by="o", scale=10)]
+    got = summary.summarize(df, metrics).first()
+    a = [x for _, x, _ in rows]
+    want = (sum(a), min(a), max(a), statistics.mean(a), statistics.median(a), len(a), sum(a) / 1000, "owl, elk, fox", 10 * sum(a) / sum(o for _, _, o in rows))
+    assert all(x == (y if isinstance(y, str) else pytest.approx(y)) for x, y in zip(got, want))
+    parts = {r.p: r.u for r in summary.summarize(df, metrics, ["p"]).collect()}
+    assert parts == {0: "elk, fox, owl", 1: "owl, elk"}
+    empty = summary.summarize(df.where("a > 99"), metrics).first()
     assert empty.s == 0 and empty.r is None
     assert spark.range(1).select(columns.half_even(F.lit(2.5), 0), columns.half_even(F.lit(3.5), 0)).first() == (2.0, 4.0)
 
