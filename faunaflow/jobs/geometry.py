@@ -54,8 +54,8 @@ def g5(s, d):
 
 
 query("g7_grid_path", SEG + """, cuts AS (SELECT *, list_sort(list_distinct([0e0, 1e0] || list_filter(
-  list_transform(range(ceil(least(x1, x2) / 1e-1)::BIGINT, floor(greatest(x1, x2) / 1e-1)::BIGINT + 1), k -> (k * 1e-1 - x1) / nullif(x2 - x1, 0))
-  || list_transform(range(ceil(least(y1, y2) / 1e-1)::BIGINT, floor(greatest(y1, y2) / 1e-1)::BIGINT + 1), k -> (k * 1e-1 - y1) / nullif(y2 - y1, 0)), t -> t > 0 AND t < 1))) AS ts FROM segments),
+  list_transform(range(ceil(least(x1, x2) / 1e-1)::BIGINT, floor(greatest(x1, x2) / 1e-1)::BIGINT + 1), lambda k: (k * 1e-1 - x1) / nullif(x2 - x1, 0))
+  || list_transform(range(ceil(least(y1, y2) / 1e-1)::BIGINT, floor(greatest(y1, y2) / 1e-1)::BIGINT + 1), lambda k: (k * 1e-1 - y1) / nullif(y2 - y1, 0)), lambda t: t > 0 AND t < 1))) AS ts FROM segments),
 parts AS (SELECT *, unnest(range(1, len(ts))) AS k FROM cuts), each AS (SELECT *, ts[k + 1] - ts[k] AS share, (ts[k + 1] + ts[k]) / 2 AS mid FROM parts)
 SELECT event_id, floor((x1 + mid * (x2 - x1)) / 1e-1)::BIGINT AS ix, floor((y1 + mid * (y2 - y1)) / 1e-1)::BIGINT AS iy, round(share, 9) AS share FROM each""")(
     lambda s, d: P.grid_traversal(segments(s, d), "x1", "y1", "x2", "y2", 0.1).select(F.col("extra__event_id").alias("event_id"), "ix", "iy", F.round("share", 9).alias("share"))
