@@ -67,8 +67,8 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
 
 
-def hot_tokens(docs: DataFrame) -> np.ndarray:
-    """Sorted hashes of the shingles in at least HOT_SHARE of a sample; at most its shingles * HOT_SHARE."""
+def hot_tokens(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of the shingles in at least HOT_SHARE of a sample, and in how many of its documents each is."""
     part = _binary(docs.sample(False, sample_fraction(docs, SAMPLE_ROWS), seed=5)).select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,8 +77,8 @@ def hot_tokens(docs: DataFrame) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array(s)], ["token"])
 
     counts = part.mapInArrow(run, "token long").groupBy("token").agg(F.count(F.lit(1)).alias("c"))
-    hot = counts.where(F.col("c") >= max(16, int(SAMPLE_ROWS * HOT_SHARE))).select("token").toPandas()
-    return np.sort(hot["token"].to_numpy(dtype=np.int64))
+    hot = counts.where(F.col("c") >= max(16, int(SAMPLE_ROWS * HOT_SHARE))).toPandas().sort_values("token")
+    return hot["token"].to_numpy(dtype=np.int64), hot["c"].to_numpy(dtype=np.int64)
 
 
 def _is_in(s: np.ndarray, hot: np.ndarray) -> np.ndarray:
@@ -108,7 +108,7 @@ def _classes(docs: DataFrame, hot) -> DataFrame:
                 if len(seen) > REMEMBERED:
                     seen.clear()
                 seen.add(c)
-                is_hot = _is_in(s, hot.value)
+                is_hot = _is_in(s, hot.value[0])
                 length = size // 4 + 1 + size // LONGER
                 cold.append(s[~is_hot][:length])
                 late.append(s[is_hot][: length - len(cold[-1])])
@@ -155,7 +155,7 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame, hot) -> DataFrame:
             for (want, more), s in zip(wants, shingle_sets(t.as_py() for t in batch.column("text"))):
                 if _class_of(s)[1] != more:  # another text under the same id
                     continue
-                is_hot = _is_in(s, hot.value)
+                is_hot = _is_in(s, hot.value[0])
                 cls.append(want)
                 n.append(len(s))
                 cold.append(s[~is_hot])
@@ -169,7 +169,7 @@ def _keys(tokens: np.ndarray, order: int) -> np.ndarray:
     return mix(tokens.view(np.uint64) ^ np.uint64(order))
 
 
-def _prefixes(sets: DataFrame) -> DataFrame:
+def _prefixes(sets: DataFrame, hot) -> DataFrame:
     """cls, n, u, tokens, places, second, third: the shared tokens of each class's prefix under the three orders.
 
     ``tokens`` and ``places`` are those of the order of frequency, u is the number of unshared tokens, which come
@@ -179,7 +179,7 @@ def _prefixes(sets: DataFrame) -> DataFrame:
     cold = sets.select("cls", "n", n_hot, F.explode("cold").alias("token")).withColumn("c", F.count(F.lit(1)).over(by)).where("c > 1")
     shared = cold.select("cls", "n", "n_hot", F.struct("c", "token").alias("t"))
     own = shared.groupBy("cls", "n", "n_hot").agg(F.collect_list("t").alias("cold"))
-    # hot tokens come last in all orders
+    # hot tokens come last in all orders, those that are hottest in the sample behind the others
     late = sets.where("size(hot) > 0").select("cls", "n", n_hot, "hot")
     keys = ["cls", "n", "n_hot"]
     joined = own.join(late, keys, "full").select(*keys, F.col("cold.c").alias("c"), F.col("cold.token").alias("cold"), "hot")
@@ -192,13 +192,14 @@ def _prefixes(sets: DataFrame) -> DataFrame:
             for k, (cls, n, n_hot_) in enumerate(zip(*(column[c].to_pylist() for c in keys))):
                 values = [column[c][k].values for c in ("c", "cold", "hot")]
                 c, cold_, hot_ = (np.empty(0, np.int64) if v is None else v.to_numpy(zero_copy_only=False) for v in values)
-                tokens, c = np.r_[cold_, hot_], np.r_[c, np.full(len(hot_), HOT)]
+                often = hot.value[1][np.searchsorted(hot.value[0], hot_)]
+                tokens, c = np.r_[cold_, hot_], np.r_[c, HOT + often]
+                power = np.log2(np.r_[c[: len(cold_)], often]).astype(np.int64) + (c >= HOT) * 64
                 u = n - n_hot_ - len(cold_)
                 room = max(0, n // 4 + 1 - u)
                 if not room:
                     continue
                 first = np.lexsort((tokens, c))[:room]
-                power = np.log2(c).astype(np.int64)
                 others = [np.lexsort((_keys(tokens, order), power))[:room] for order in ORDERS]
                 row = [cls, n, u, tokens[first], u + np.arange(len(first)), *(np.unique(tokens[o].astype(np.int32)) for o in others)]
                 for name, value in zip(names, row):
@@ -236,18 +237,19 @@ def _star_pairs(rows: DataFrame, pivots: DataFrame) -> DataFrame:
 def _open_pairs(rows: DataFrame, pivots: DataFrame, prefixes: DataFrame) -> DataFrame:
     """All candidate pairs of different components: classes outside a token's largest one, with all of its others.
 
-    The sizes of linked classes differ by a third at most, so a step of sizes is a key; only pairs that share a token
-    of their second prefixes leave the join.
+    The sizes of linked classes differ by a third at most, so a step of sizes is a key. A pair leaves the join once, at
+    the first token that both first prefixes have, and only if their second prefixes share one as well.
     """
     rows = rows.join(pivots.select("token"), "token", "left_semi").drop("u")
     sizes = rows.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c"))
     main = written(sizes.groupBy("token").agg(F.max(F.struct("c", "comp")).alias("m")).select("token", F.col("m.comp").alias("main")))
-    rows = rows.join(main, "token").join(prefixes.select("cls", "second"), "cls").withColumn("step", F.floor(F.log("n") / F.log(F.lit(4 / 3))))
+    rows = rows.join(main, "token").join(prefixes.select("cls", "tokens", "second"), "cls").withColumn("step", F.floor(F.log("n") / F.log(F.lit(4 / 3))))
     rows = written(rows)
     minor = rows.where("comp <> main").alias("r")
     others = rows.withColumn("step", F.explode(F.expr("array(step - 1, step, step + 1)"))).alias("s")
     keys = [F.col(f"r.{k}") == F.col(f"s.{k}") for k in ("token", "step")]
-    met = minor.join(others, [*keys, F.expr(f"r.comp <> s.comp and {_room('r', 's')} and arrays_overlap(r.second, s.second)")])
+    once = "arrays_overlap(r.second, s.second) and array_intersect(r.tokens, s.tokens)[0] = r.token"
+    met = minor.join(others, [*keys, F.expr(f"r.comp <> s.comp and {_room('r', 's')} and {once}")])
     return met.select(F.least("r.cls", "s.cls").alias("x"), F.greatest("r.cls", "s.cls").alias("y")).distinct()
 
 
@@ -301,7 +303,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     left = written(_survivors(classes).join(reps, "cls").select("cls", F.col("rep.more").alias("more"), "rep"))
     dropped(hashed)
     sets = written(_whole_sets(docs, left, hot))
-    prefixes = written(_prefixes(sets))
+    prefixes = written(_prefixes(sets, hot))
     settled(prefixes)
     rows = prefixes.select("cls", "n", "u", F.explode(F.arrays_zip("tokens", "places")).alias("t"))
     rows = written(rows.select(F.col("t.tokens").alias("token"), "cls", "n", F.col("t.places").alias("i"), "u"))
