@@ -56,6 +56,7 @@ _TABLE = np.zeros(256, dtype=np.int64)
 _TABLE[97:123] = _TABLE[65:91] = np.arange(1, 27)
 _TABLE[192:] = OTHER
 _LATER_BYTES = bytes(range(128, 192))
+_SYMBOLS = _TABLE.astype(np.uint8).tobytes()
 
 
 def symbol(c: str) -> int:
@@ -76,6 +77,8 @@ class Restorer:
     """Finds words that may be disguised and restores them under a trigram model."""
 
     pair = re.compile(r"(.)\1", re.DOTALL)
+    #: Letters of which none is doubled, as one part; or one character and its repeats.
+    parts = re.compile(r"(?:([a-z])(?!\1))+|(.)\2*", re.DOTALL)
     leading, trailing = frozenset("@$!|€+"), frozenset("@$€")
 
     def __init__(self, counts: np.ndarray):
@@ -85,10 +88,15 @@ class Restorer:
         p1 = (ones + 1) / (ones.sum() + SYMBOLS)
         p2 = (pairs + 5 * p1) / (pairs.sum(1, keepdims=True) + 5)
         self.cost = (-np.log((c + 5 * p2[None]) / (c.sum(2, keepdims=True) + 5))).tolist()
+        #: The same in one list; the state of two symbols (x, y) is x * SYMBOLS + y.
+        self.flat = [v for two in self.cost for one in two for v in one]
+        self.places: dict[tuple[str, int, bool], list] = {}
 
     def bare(self, word: str) -> str:
         """The word without the signs around it, but for those that may stand for first or last letters."""
         start, end = 0, len(word)
+        if word and word[0].isalnum() and word[-1].isalnum():
+            return word
         while end and not (word[end - 1].isalnum() or word[end - 1] in self.trailing):
             end -= 1
         while start < end and not (word[start].isalnum() or word[start] in self.leading):
@@ -99,38 +107,53 @@ class Restorer:
         """Whether the lattice has more than one path, and a letter."""
         return self.pair.search(word) is not None if word.isalpha() else any(map(str.isalpha, word))
 
+    @staticmethod
+    def options(c: str, run: int, edge: bool) -> list[tuple[str, float]]:
+        """What a character and its repeats may stand for, with costs."""
+        if c.isalpha():
+            return [(c, 0.0)] if run == 1 else [(c + c, 0.0), (c, PAIR_ONCE)] if run == 2 else [(c, ONCE), (c + c, TWICE)]
+        if c in LEET:
+            nothing = AS_LETTER if edge and not c.isdigit() else LEFT_OUT
+            doubled = [(x + y, AS_LETTER) for x in LEET[c] for y in LEET[c]] if run > 1 else []
+            return [*((x, AS_LETTER) for x in LEET[c]), *doubled, (c * run, AS_ITSELF), ("", nothing)]
+        masked = [(x, MASKED) for x in LETTERS] if c in MASKS and not edge else []
+        return [("", JOINED), (" ", SPACED if c == " " else PARTED), *masked]
+
     def lattice(self, word: str) -> list[list[tuple[str, float]]]:
         """For each place the strings it may stand for, with costs."""
+        return [[(text, price) for text, price, _ in place] for place in self._coded(word)]
+
+    def _coded(self, word: str) -> list[list[tuple[str, float, bytes]]]:
+        """The lattice with each string's symbols, runs of 0 as one."""
         out = []
-        for m in re.finditer(r"(.)\1*", word, re.DOTALL):
-            c, run = m[1], len(m[0])
-            edge = m.start() == 0 or m.end() == len(word)
-            if c.isalpha():
-                out.append([(c, 0.0)] if run == 1 else [(c + c, 0.0), (c, PAIR_ONCE)] if run == 2 else [(c, ONCE), (c + c, TWICE)])
-            elif c in LEET:
-                nothing = AS_LETTER if edge and not c.isdigit() else LEFT_OUT
-                doubled = [(x + y, AS_LETTER) for x in LEET[c] for y in LEET[c]] if run > 1 else []
-                out.append([*((x, AS_LETTER) for x in LEET[c]), *doubled, (c * run, AS_ITSELF), ("", nothing)])
-            else:
-                masked = [(x, MASKED) for x in LETTERS] if c in MASKS and not edge else []
-                out.append([("", JOINED), (" ", SPACED if c == " " else PARTED), *masked])
+        for m in self.parts.finditer(word):
+            if m[2] is None:
+                out.append([(m[0], 0.0, m[0].encode().translate(_SYMBOLS))])
+                continue
+            key = (m[2], m.end() - m.start(), m.start() == 0 or m.end() == len(word))
+            place = self.places.get(key)
+            if place is None:
+                place = [(t, price, bytes(map(symbol, t)) if t.isalpha() else b"\0"[: len(t)]) for t, price in self.options(*key)]
+                if key[1] < 4 and len(self.places) < REMEMBERED:
+                    self.places[key] = place
+            out.append(place)
         return out
 
     def restore(self, word: str) -> str:
         """The likeliest reading; one word or more."""
-        cost, states = self.cost, {(0, 0): (0.0, None)}
-        for options in [*self.lattice(word), [(" ", 0.0)]]:
-            after: dict[tuple[int, int], tuple] = {}
-            for (a, b), (total, path) in states.items():
-                for text, price in options:
-                    x, y, t = a, b, total + price
-                    for c in text:
-                        s = symbol(c)
-                        if s or y:  # runs of 0 are one, as they are counted
-                            t += cost[x][y][s]
-                            x, y = y, s
-                    if (x, y) not in after or t < after[x, y][0]:
-                        after[x, y] = (t, (path, text))
+        cost, states = self.flat, {0: (0.0, None)}
+        for options in [*self._coded(word), [(" ", 0.0, b"\0")]]:
+            after: dict[int, tuple] = {}
+            for at, (total, path) in states.items():
+                for text, price, symbols in options:
+                    to, t = at, total + price
+                    for s in symbols:
+                        if s or to % SYMBOLS:  # runs of 0 are one, as they are counted
+                            to = to * SYMBOLS + s
+                            t += cost[to]
+                            to %= SYMBOLS * SYMBOLS
+                    if to not in after or t < after[to][0]:
+                        after[to] = (t, (path, text))
             states = after
         node, out = min(states.values(), key=lambda v: v[0])[1], []
         while node:
@@ -147,7 +170,9 @@ class Reader:
     """A document's restored words, or the evidence of its words."""
 
     def __init__(self, restorer: Restorer, cues: dict[str, float] | None = None):
-        self.restorer, self.cues = restorer, cues or {}
+        self.restorer = restorer
+        self.whole = {f[1:]: v for f, v in (cues or {}).items() if f[0] == "="}
+        self.begun = {f[:-1]: v for f, v in (cues or {}).items() if f[0] != "="}
         self.read: dict[str, tuple[str, ...]] = {}
         self.known: dict[str, float] = {}
 
@@ -162,7 +187,7 @@ class Reader:
     def _tokens(self, text: str) -> list[str]:
         """Words; three or more single characters in a row, as well, as one word set apart by spaces."""
         words = text.lower().split()
-        single = bytes([len(w) == 1 for w in words])
+        single = bytes(map((1).__eq__, map(len, words)))
         at = single.find(b"\1\1\1")
         while at >= 0:
             end = single.find(b"\0", at)
@@ -179,14 +204,29 @@ class Reader:
         self.read.update((t, w) for t, w in fresh.items() if len(t) <= REMEMBERED_CHARS)
         return [w for t in tokens for w in (fresh.get(t) or self.read.get(t, ()))]
 
+    def _strength(self, token: str) -> float:
+        """The largest cue of a token, 0 where it has none."""
+        best = 0.0
+        for w in self._restored(token):
+            best = max(best, self.whole.get(w, 0.0))
+            for k in BEGINNINGS:
+                if len(w) <= k:
+                    break
+                best = max(best, self.begun.get(w[:k], 0.0))
+        return best
+
     def evidence(self, text: str) -> list[float]:
         """The two largest cues, their sum and number, and the length of a text."""
-        tokens = self._tokens(text)
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        fresh = {t: max((self.cues.get(f, 0.0) for w in self._restored(t) for f in features(w)), default=0.0) for t in set(tokens) if t not in self.known}
-        self.known.update((t, e) for t, e in fresh.items() if len(t) <= REMEMBERED_CHARS)
-        found = sorted((e for t in tokens if (e := fresh[t] if t in fresh else self.known[t])), reverse=True)
+        tokens, known = self._tokens(text), self.known
+        if len(known) > REMEMBERED:
+            known.clear()
+        fresh = {t: self._strength(t) for t in set(tokens).difference(known)}
+        known.update((t, e) for t, e in fresh.items() if len(t) <= REMEMBERED_CHARS)
+        found = list(filter(None, map(known.get, tokens)))
+        rare = {t: e for t, e in fresh.items() if e and len(t) > REMEMBERED_CHARS}
+        if rare:
+            found += [rare[t] for t in tokens if t in rare]
+        found.sort(reverse=True)
         first, second = (found + [0.0, 0.0])[:2]
         return [first, second, math.log1p(sum(found)), math.log1p(len(found)), math.log1p(len(tokens))]
 
