@@ -122,6 +122,15 @@ _IMG = "WITH i AS (SELECT k, 'img' || k AS img_id, TIMESTAMP '2024-01-03' + INTE
 query("j12_nearest_images", _IMG + """SELECT event_id, coalesce(string_agg(img_id, ',' ORDER BY k), '') AS images FROM (SELECT event_id, i.*, count(*) FILTER (t <= ts) OVER (PARTITION BY event_id) AS pos FROM events, i) WHERE k >= pos - 1 AND k < pos + 1 GROUP BY 1""")(
     lambda s, d: S.nearest_images(events(s, d), "event_id", "ts", images(s), 1, 1).select("event_id", F.array_join("images", ",").alias("images"))
 )
+query("j12_exact_images", _IMG + """, e AS (SELECT event_id, date_trunc('day', ts) AS ts FROM events) SELECT event_id, coalesce(string_agg(img_id, ',' ORDER BY k), '') AS images FROM (SELECT event_id, i.*, count(*) FILTER (t <= ts) OVER w AS pos, count(*) FILTER (t = ts) OVER w AS same FROM e, i WINDOW w AS (PARTITION BY event_id)) WHERE k >= pos - 1 - same AND k < pos + 1 GROUP BY 1""")(
+    lambda s, d: S.nearest_images(events(s, d).withColumn("ts", F.date_trunc("day", "ts").cast("timestamp_ntz")), "event_id", "ts", images(s), 1, 1, exact=True).select("event_id", F.array_join("images", ",").alias("images"))
+)
+query("j12_nearest_image", _IMG + """SELECT event_id, arg_min(img_id, abs(epoch_us(t) - epoch_us(ts)) * 10 - k) AS images FROM events, i GROUP BY 1""")(
+    lambda s, d: S.nearest_images(events(s, d), "event_id", "ts", images(s), 0, 0).select("event_id", F.array_join("images", ",").alias("images"))
+)
+query("j12_images_within", _IMG + """SELECT event_id, coalesce(string_agg(img_id, ',' ORDER BY k), '') AS images FROM events LEFT JOIN i ON t BETWEEN ts - INTERVAL 6 DAY AND ts + INTERVAL 3 DAY GROUP BY 1""")(
+    lambda s, d: S.images_within(events(s, d), "event_id", "ts", images(s), 6, 3).select("event_id", F.array_join("images", ",").alias("images"))
+)
 query("j13_images_by_midpoint", _IMG + """SELECT event_id, n.img_id FROM events JOIN i ON (k = 0 OR ts > t - INTERVAL 60 HOUR) AND (k = 5 OR ts <= t + INTERVAL 60 HOUR) JOIN i n ON abs(n.k - i.k) <= 1""")(
     lambda s, d: S.images_by_midpoint(events(s, d), "ts", images(s), 1).select("event_id", "img_id")
 )

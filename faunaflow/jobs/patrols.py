@@ -128,6 +128,10 @@ query("n5_betweenness")(lambda s, d: N.betweenness(graph(s, d)).withColumn("betw
 query("n6_mosaic", SEG + """, n AS (SELECT groupby_col, floor(x1 / 5e-2)::BIGINT AS cx, floor(y1 / 5e-2)::BIGINT AS cy, avg(speed_kmhr) AS v FROM segments GROUP BY 1, 2, 3) SELECT cx, cy, round(avg(v), 3) AS speed_kmhr FROM n GROUP BY 1, 2""")(
     lambda s, d: N.mosaic(N.nodes(segments(s, d), 0.05, ["speed_kmhr"]), "speed_kmhr").where("speed_kmhr is not null").withColumn("speed_kmhr", F.round("speed_kmhr", 3))
 )
+for how in ("max", "median", "min"):
+    query(f"n6_mosaic_{how}", SEG + f""", n AS (SELECT groupby_col, floor(x1 / 5e-2)::BIGINT AS cx, floor(y1 / 5e-2)::BIGINT AS cy, avg(speed_kmhr) AS v FROM segments GROUP BY 1, 2, 3) SELECT cx, cy, round({how}(v), 3) AS speed_kmhr FROM n GROUP BY 1, 2""")(
+        lambda s, d, how=how: N.mosaic(N.nodes(segments(s, d), 0.05, ["speed_kmhr"]), "speed_kmhr", how).where("speed_kmhr is not null").withColumn("speed_kmhr", F.round("speed_kmhr", 3))
+    )
 query("w12_step_features", SEG + """SELECT event_id, round(cos(radians(lead(heading) OVER w - heading)), 3) + 0 AS turn_cos, round(sin((epoch_us(segment_start) % 86400000000) / 86400000000 * 2 * 3141592653589793e-15), 4) + 0 AS sin_time
 FROM (SELECT *, lead(event_id, 2) OVER (PARTITION BY groupby_col ORDER BY segment_start) AS third FROM segments) WINDOW w AS (PARTITION BY groupby_col ORDER BY segment_start) QUALIFY third IS NOT NULL""")(
     lambda s, d: N.step_features(segments(s, d)).where("turn_cos is not null").select(F.col("extra__event_id").alias("event_id"), (F.round("turn_cos", 3) + 0).alias("turn_cos"), (F.round("sin_time", 4) + 0).alias("sin_time"))

@@ -111,6 +111,11 @@ def betweenness(e: DataFrame, cutoff: int | None = None) -> DataFrame:
     return flat.groupBy("groupby_col").applyInPandas(brandes, "groupby_col string, cx long, cy long, betweenness double")
 
 
-def mosaic(n: DataFrame, feature: str) -> DataFrame:
-    """cx, cy and the mean of a feature over subjects."""
-    return n.groupBy("cx", "cy").agg(F.avg(feature).alias(feature))
+MOSAICS = {"mean": F.avg, "max": F.max, "median": F.median, "min": F.min}
+
+
+def mosaic(n: DataFrame, feature: str, how: str = "mean") -> DataFrame:
+    """cx, cy and the mean, largest, middle or least value of a feature over subjects."""
+    if how not in MOSAICS:
+        raise ValueError(f"how must be one of {', '.join(MOSAICS)}")
+    return n.groupBy("cx", "cy").agg(MOSAICS[how](feature).alias(feature))

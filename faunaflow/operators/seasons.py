@@ -65,20 +65,47 @@ def anomaly(df: DataFrame, feature: str, time: str, value: str, history: str, st
     return rows.withColumn("cumulative", F.sum("anomaly").over(run))
 
 
-def nearest_images(df: DataFrame, key: str, time: str, images: DataFrame, before: int, after: int) -> DataFrame:
-    """key, images: ids of the images (img_id, img_time) nearest in time, ``before`` at or before and ``after`` after each row.
+def nearest_images(df: DataFrame, key: str, time: str, images: DataFrame, before: int, after: int, exact: bool = False) -> DataFrame:
+    """key, images: ids of the images (img_id, img_time) nearest in time, ``before`` at or before and ``after`` after each row, in order.
 
-    The sorted image list is one row; a row finds its place by counting, and a slice gives the neighbours.
+    With exact an image of the very time of a row comes on top of them. Where both counts are 0 it is the nearest one alone, of two as
+    near the later. The sorted image list is one row; a row finds its place by counting, and a slice gives the neighbours.
     """
     if before < 0 or after < 0:
         raise ValueError("counts must not be negative")
     line = images.agg(F.array_sort(F.collect_list(F.struct("img_time", "img_id"))).alias("line"))
     rows = df.select(key, time).join(line)
     at = F.size(F.filter("line", lambda i: i["img_time"] <= F.col(time)))
-    low, high = F.greatest(at - before, F.lit(0)), F.least(at + after, F.size("line"))
+    last, size = F.try_element_at("line", F.nullif(at, F.lit(0))), F.size("line")
+    if before or after:
+        same = F.coalesce(last["img_time"] == F.col(time), F.lit(False)).cast("int") if exact else F.lit(0)
+        low, high = F.greatest(at - before - same, F.lit(0)), F.least(at + after, size)
+    else:
+        gap = lambda a, b: F.timestamp_diff("MICROSECOND", a, b)
+        following = F.try_element_at("line", at + 1)["img_time"]
+        earlier = following.isNull() | (gap(last["img_time"], F.col(time)) < gap(F.col(time), following))
+        low = F.greatest(at - F.coalesce(earlier, F.lit(False)).cast("int"), F.lit(0))
+        high = F.least(low + 1, size)
     return rows.select(key, F.transform(F.slice("line", low + 1, high - low), lambda i: i["img_id"]).alias("images"))
 
 
+def images_within(df: DataFrame, key: str, time: str, images: DataFrame, before: int, after: int) -> DataFrame:
+    """key, images: ids of the images from ``before`` days before to ``after`` days after each row, both ends included, in order.
+
+    Rows meet images over days as an equi key, each image under every day whose rows it can match. A row of a key that stands
+    alone without an image has an empty list; rows of one key share theirs.
+    """
+    if before < 0 or after < 0:
+        raise ValueError("counts must not be negative")
+    day = lambda c: F.unix_date(c.cast("date"))
+    spread = images.select("img_id", "img_time", F.explode(F.sequence(day(F.col("img_time")) - after, day(F.col("img_time")) + before)).alias("day"))
+    rows = df.select(F.col(key).alias("key"), F.col(time).alias("time")).withColumn("day", day(F.col("time")))
+    lag = F.timestamp_diff("MICROSECOND", F.col("img_time"), F.col("time"))
+    met = rows.join(spread, "day", "left").withColumn("near", F.when(lag.between(-after * 86_400_000_000, before * 86_400_000_000), F.struct("img_time", "img_id")))
+    found = met.groupBy("key").agg(F.array_sort(F.collect_set("near")).alias("near"))
+    return found.select(F.col("key").alias(key), F.transform("near", lambda i: i["img_id"]).alias("images"))
+
+
 def images_by_midpoint(df: DataFrame, time: str, images: DataFrame, radius: int = 0) -> DataFrame:
     """df with img_id, img_time: the image whose span between midpoints, open on the left, holds the time, and radius neighbours."""
     w = Window.partitionBy("one").orderBy("img_time")

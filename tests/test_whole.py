@@ -165,3 +165,36 @@ def test_jenks_is_exact_above_2000_skewed_values(spark, monkeypatch):
     got = np.searchsorted(v, classify.breaks(df, "v", "fisher_jenks", k=5), "right")
     parts = np.split(v, got[:-1])
     assert len(parts) == 5 and sum(((p - p.mean()) ** 2).sum() for p in parts) <= 1.001 * least
+
+
+def test_images_of_the_very_time_nearest_and_by_days(spark):
+    from datetime import datetime, timedelta
+
+    from faunaflow.operators import seasons
+
+    start = datetime(2024, 5, 1)
+    shots = [("c", start + timedelta(days=8)), ("a", start), ("b", start + timedelta(days=4)), ("d", start + timedelta(days=12))]
+    images = spark.createDataFrame(shots, "img_id string, img_time timestamp_ntz")
+    times = {1: 0, 2: 4, 3: 5.5, 4: 6, 5: 20, 6: -3, 7: 12}
+    rows = spark.createDataFrame([(i, start + timedelta(days=t)) for i, t in times.items()], "id int, t timestamp_ntz")
+    got = lambda df: {r.id: "".join(r.images) for r in df.collect()}
+    assert got(seasons.nearest_images(rows, "id", "t", images, 1, 1, exact=True)) == {1: "ab", 2: "abc", 3: "bc", 4: "bc", 5: "d", 6: "a", 7: "cd"}
+    assert got(seasons.nearest_images(rows, "id", "t", images, 2, 0, exact=True)) == {1: "a", 2: "ab", 3: "ab", 4: "ab", 5: "cd", 6: "", 7: "bcd"}
+    assert got(seasons.nearest_images(rows, "id", "t", images, 0, 0)) == {1: "a", 2: "b", 3: "b", 4: "c", 5: "d", 6: "a", 7: "d"}
+    order = sorted(shots, key=lambda s: s[1])
+    for before, after in [(0, 0), (4, 0), (2, 3), (30, 30)]:
+        want = {i: "".join(n for n, at in order if timedelta(days=t - before) <= at - start <= timedelta(days=t + after)) for i, t in times.items()}
+        assert got(seasons.images_within(rows, "id", "t", images, before, after)) == want
+    assert got(seasons.nearest_images(rows.where("id = 1"), "id", "t", images.limit(0), 0, 0)) == {1: ""}
+    with pytest.raises(ValueError):
+        seasons.images_within(rows, "id", "t", images, 1, -1)
+
+
+def test_mosaic_of_each_kind(spark):
+    from faunaflow.operators.network import mosaic
+
+    nodes = spark.createDataFrame([("s", 0, 0, 1.0), ("t", 0, 0, 5.0), ("u", 0, 0, 6.0), ("s", 1, 0, 2.0), ("t", 1, 0, None)], "groupby_col string, cx long, cy long, v double")
+    for how, want in {"mean": (4.0, 2.0), "max": (6.0, 2.0), "median": (5.0, 2.0), "min": (1.0, 2.0)}.items():
+        assert {r.cx: r.v for r in mosaic(nodes, "v", how).collect()} == dict(enumerate(want))
+    with pytest.raises(ValueError):
+        mosaic(nodes, "v", "mode")
