@@ -1,4 +1,4 @@
-"""The queries op1 to op10 over the given tables, and the SQL for those that SQL can express."""
+"""The queries op1 to op13 over the given tables, and the SQL for those that SQL can express."""
 
 from __future__ import annotations
 
@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 from faunaflow.llm import bpe, chat_format, packing, secret_scan
 from faunaflow.llm.common import sha256, table
+from faunaflow.llm.divergence import source_divergence
 from faunaflow.llm.exact_dedup import exact_dedup
+from faunaflow.llm.filter_audit import filter_audit
 from faunaflow.llm.fingerprints import edited_fingerprints
 from faunaflow.llm.jaccard import jaccard_components
 from faunaflow.llm.quality import quality
+from faunaflow.llm.simhash import simhash_components
 from faunaflow.llm.substrings import remove_repeats
 from faunaflow.llm.toxicity import toxicity
 
@@ -144,6 +147,84 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(table(spark, sf_dir, "documents"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS words
+  FROM documents
+), each AS (SELECT d, lang, source, term, count(*) AS n FROM (SELECT d, lang, source, unnest(words) AS term FROM docs) GROUP BY ALL),
+kept AS (SELECT lang, term FROM each GROUP BY lang, term HAVING count(*) >= 10),
+counts AS (SELECT lang, source, term, sum(n)::HUGEINT AS n FROM each SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+langs AS (SELECT lang, (SELECT count(*) FROM kept k WHERE k.lang = g.lang)::HUGEINT AS v FROM (SELECT DISTINCT lang FROM groups) g),
+totals AS (SELECT lang, source, coalesce(sum(n), 0)::HUGEINT AS total FROM groups LEFT JOIN counts USING (lang, source) GROUP BY ALL),
+dense AS (
+  SELECT lang, source, term, coalesce(n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(n, 0) + 2)) // (total + 2 * v) AS p
+  FROM totals JOIN langs USING (lang) JOIN kept USING (lang) LEFT JOIN counts USING (lang, source, term)
+), whole AS (
+  SELECT lang, term, 1 + (1000000000::HUGEINT * (n + 2)) // (sum(n) OVER (PARTITION BY lang) + 2 * v) AS q
+  FROM (SELECT lang, term, sum(n)::HUGEINT AS n FROM counts GROUP BY ALL) JOIN langs USING (lang)
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(s.value, 0) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (SELECT x.lang, x.source, y.source AS item, sum(((x.p - y.p) * (x.p - y.p)) // (x.p + y.p)) AS value
+             FROM dense x JOIN dense y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL) s
+  ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+), terms AS (
+  SELECT lang, source, term AS item, ((p - q) * (p - q)) // (p + q) AS value FROM dense JOIN whole USING (lang, term) WHERE n > 0 AND p > q
+)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank
+  FROM (SELECT *, 'pair' AS part FROM pairs UNION ALL BY NAME SELECT *, 'term' AS part FROM terms)
+) WHERE part = 'pair' OR rank <= 10
+"""
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+OP13_SQL = r"""
+WITH RECURSIVE texts AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), marks AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+masks AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+         (len(w) < 50)::INT + 2 * (100 * len(list_distinct(w)) < 65 * len(w))::INT
+         + 4 * (100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 5 * length(t))::INT
+         + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * coalesce(min(texts.doc_id) OVER (PARTITION BY t) < texts.doc_id, false)::INT AS mask
+  FROM texts LEFT JOIN marks USING (doc_id)
+), cells AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM masks GROUP BY ALL),
+parts AS (SELECT DISTINCT part FROM cells),
+letters(letter, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+walk AS (
+  SELECT '' AS prefix, 0 AS applied, 0 AS step, 0 AS before, 0 AS bit
+  UNION ALL
+  SELECT prefix || letter, applied | l.bit, step + 1, applied, l.bit FROM walk JOIN letters l ON (applied & l.bit) = 0
+), steps AS (
+  SELECT part, prefix, step, coalesce(sum(n) FILTER ((mask & applied) = 0), 0) AS kept,
+         coalesce(sum(n) FILTER ((mask & bit) <> 0 AND (mask & before) = 0), 0) AS removed,
+         coalesce(sum(n) FILTER ((mask & bit) <> 0 AND (mask & before) <> 0), 0) AS redundant,
+         coalesce(sum(n) FILTER (mask = bit), 0) AS unique_fails,
+         coalesce(sum(good) FILTER ((mask & bit) <> 0 AND (mask & before) = 0), 0) AS good_lost,
+         coalesce(sum(toxic) FILTER ((mask & bit) <> 0 AND (mask & before) = 0), 0) AS toxic_lost
+  FROM walk, cells WHERE step > 0 GROUP BY ALL
+)
+SELECT part, o.prefix AS filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant,
+       unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, right(steps.prefix, 1)))::BIGINT AS shapley
+FROM (SELECT prefix FROM walk WHERE step = 5) o JOIN steps ON steps.prefix = o.prefix[1:step]
+"""
+
+
 def queries() -> dict:
     return {
         "op1_exact_dedup": op1_exact_dedup,
@@ -156,8 +237,11 @@ def queries() -> dict:
         "op8_chat_format": op8_chat_format,
         "op9_secret_scan": op9_secret_scan,
         "op10_bpe": op10_bpe,
+        "op11_simhash": op11_simhash,
+        "op12_source_divergence": op12_source_divergence,
+        "op13_filter_audit": op13_filter_audit,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op8_chat_format": OP8_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op8_chat_format": OP8_SQL, "op12_source_divergence": OP12_SQL, "op13_filter_audit": OP13_SQL}
