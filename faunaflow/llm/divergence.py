@@ -30,7 +30,9 @@ from faunaflow.llm.common import small_batches, written
 #: Documents of a language that a kept term must occur in, ranks of terms, the scale of frequencies.
 MIN_DOCS, TERMS, SCALE = 10, 10, 1_000_000_000
 #: Entries that a task counts before it writes them, pairs of sources that it sums at once; they bound memory, not results.
-ENTRIES, PAIRS = 400_000, 1_000_000
+ENTRIES, PAIRS = 800_000, 1_000_000
+#: Kept terms that may be broadcast (a language and 12 bytes each); more are joined by a shuffle.
+BROADCAST_TERMS = 1_000_000
 DIGEST_BITS = 64
 #: Bytes as they count in terms: A-Z as a-z, other letters and all that is not ASCII as they are, the rest as a blank.
 LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -74,26 +76,37 @@ def _enough(rows: DataFrame, key: list[str], min_docs: int) -> DataFrame:
     return rows.groupBy("lang", *key).agg(F.sum("docs").alias("docs")).where(F.col("docs") >= min_docs).select("lang", *key)
 
 
+def _sent(df: DataFrame) -> DataFrame:
+    """A table that was written, marked for broadcast if it is counted to be small enough."""
+    return F.broadcast(df) if df.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else df
+
+
 def kept_terms(counts: DataFrame, min_docs: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(terms: digest, nth, term; kept: lang, digest, nth; cells: lang, source, digest, nth, n of the kept terms).
 
-    nth is 0 but for a digest of several terms, where it numbers them in their order.
+    nth is 0 but for a digest of several terms, where it numbers them in their order. Documents are counted first, by language
+    and digest alone; what the kept digests do not match is not shuffled again.
     """
-    short = written(counts.groupBy("lang", "source", "digest").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")))
-    kept = written(_enough(short, ["digest"], min_docs).withColumn("nth", F.lit(0)))
-    wanted = counts.select("digest", "term").join(kept.select("digest").distinct(), "digest", "left_semi")
+    kept = written(_enough(counts.select("lang", "digest", "docs"), ["digest"], min_docs))
+    digests = _sent(written(kept.select("digest").distinct()))
+    wanted = counts.select("digest", "term").join(digests, "digest", "left_semi")
     strings = written(wanted.groupBy("digest").agg(F.min("term").alias("term"), F.max("term").alias("last")))
-    terms, cells = strings.where("term = last").select("digest", F.lit(0).alias("nth"), "term"), short.withColumn("nth", F.lit(0))
+    terms, first = strings.where("term = last").select("digest", F.lit(0).alias("nth"), "term"), F.lit(0).alias("nth")
+    cells = counts.select("lang", "source", "digest", "n").join(_sent(kept), ["lang", "digest"], "left_semi")
+    cells = cells.groupBy("lang", "source", "digest").agg(F.sum("n").alias("n")).select("lang", "source", "digest", first, "n")
+    kept = kept.select("lang", "digest", first)
     shared = strings.where("term <> last").select("digest")
     if not shared.isEmpty():
         several = wanted.join(shared, "digest", "left_semi").distinct()
         names = written(several.withColumn("nth", F.row_number().over(Window.partitionBy("digest").orderBy("term"))).select("digest", "nth", "term"))
         split = counts.join(names, ["digest", "term"]).groupBy("lang", "source", "digest", "nth").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
         split = written(split)
-        cells = cells.join(shared, "digest", "left_anti").select(*split.columns).unionByName(split)
-        kept = kept.join(shared, "digest", "left_anti").select("lang", "digest", "nth").unionByName(_enough(split, ["digest", "nth"], min_docs))
+        more = written(_enough(split, ["digest", "nth"], min_docs))
+        cells = cells.join(shared, "digest", "left_anti").select("lang", "source", "digest", "nth", "n").unionByName(
+            split.join(more, ["lang", "digest", "nth"], "left_semi").select("lang", "source", "digest", "nth", "n")
+        )
+        kept = kept.join(shared, "digest", "left_anti").select("lang", "digest", "nth").unionByName(more)
         terms = terms.unionByName(names.select("digest", "nth", "term"))
-    cells = cells.join(kept, ["lang", "digest", "nth"]).select("lang", "source", "digest", "nth", "n")
     return terms, kept, written(cells)
 
 
