@@ -134,6 +134,31 @@ query("j12_images_within", _IMG + """SELECT event_id, coalesce(string_agg(img_id
 query("j13_images_by_midpoint", _IMG + """SELECT event_id, n.img_id FROM events JOIN i ON (k = 0 OR ts > t - INTERVAL 60 HOUR) AND (k = 5 OR ts <= t + INTERVAL 60 HOUR) JOIN i n ON abs(n.k - i.k) <= 1""")(
     lambda s, d: S.images_by_midpoint(events(s, d), "ts", images(s), 1).select("event_id", "img_id")
 )
+# images that are a table of their own, as large as it may be: purchases among all other events
+
+_SHOTS = """WITH u AS (SELECT event_id, ts, event_type = 'purchase' AS shot FROM events), """
+
+
+def shots(s, d):
+    rows = events(s, d)
+    return rows.where("event_type <> 'purchase'"), rows.where("event_type = 'purchase'").select(F.col("event_id").alias("img_id"), F.col("ts").alias("img_time"))
+
+
+@query("j12_asof_events", _SHOTS + """w AS (SELECT event_id, shot, last_value(CASE WHEN shot THEN event_id END IGNORE NULLS) OVER (ORDER BY ts, NOT shot, event_id ROWS UNBOUNDED PRECEDING) AS a,
+ first_value(CASE WHEN shot THEN event_id END IGNORE NULLS) OVER (ORDER BY ts, NOT shot, event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS b FROM u) SELECT event_id, concat_ws(',', a, b) AS images FROM w WHERE NOT shot""")
+def j12_asof(s, d):
+    rows, images_ = shots(s, d)
+    return S.nearest_images(rows, "event_id", "ts", images_, 1, 1).select("event_id", F.array_join(F.col("images").cast("array<string>"), ",").alias("images"))
+
+
+@query("j13_events_by_midpoint", _SHOTS + """w AS (SELECT *, last_value(CASE WHEN shot THEN {i: event_id, t: ts} END IGNORE NULLS) OVER (ORDER BY ts, shot, event_id ROWS UNBOUNDED PRECEDING) AS a,
+ first_value(CASE WHEN shot THEN {i: event_id, t: ts} END IGNORE NULLS) OVER (ORDER BY ts, shot, event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS b FROM u)
+SELECT event_id, CASE WHEN a IS NULL OR b IS NOT NULL AND epoch_us(ts) > epoch_us(a.t) + (epoch_us(b.t) - epoch_us(a.t)) // 2 THEN b.i ELSE a.i END AS img_id FROM w WHERE NOT shot""")
+def j13_events(s, d):
+    rows, images_ = shots(s, d)
+    return S.images_by_midpoint(rows, "ts", images_).select("event_id", "img_id")
+
+
 query("j14_zonal_statistics", "WITH p AS (SELECT event_id % 3 AS raster_id, 34e0 + ((user_id * 7) % 50) / 1e1 + ((event_id * 37) % 101) / 1e3 AS x, -2e0 + ((user_id * 13) % 40) / 1e1 + ((event_id * 53) % 97) / 1e3 AS y, value FROM events WHERE event_type <> 'view') SELECT n_name AS spatial_index, raster_id, round(avg(value), 4) AS mean, round(sum(value), 2) AS sum, min(value) AS min, max(value) AS max FROM p JOIN nation ON x BETWEEN 34e0 + n_nationkey % 5 AND 34e0 + n_nationkey % 5 + 1 AND y BETWEEN -2e0 + 8e-1 * (n_nationkey // 5) AND -2e0 + 8e-1 * (n_nationkey // 5) + 8e-1 GROUP BY 1, 2")(
     lambda s, d: S.zonal_statistics(
         fixes(s, d).select((F.col("extra__event_id") % 3).alias("raster_id"), F.col("lon").alias("x"), F.col("lat").alias("y"), F.when(F.col("extra__event_type") == "view", -1.0).otherwise(F.col("extra__value")).alias("value")), regions(s, d), -1.0

@@ -77,10 +77,10 @@ query("a15_time_density", _CELLS + "SELECT ix, iy, round(time / (SELECT round(su
 _LEVELS = """WITH r AS (SELECT *, sum(value) OVER (PARTITION BY event_type ORDER BY value, event_id ROWS UNBOUNDED PRECEDING) AS run, row_number() OVER (PARTITION BY event_type ORDER BY value, event_id) AS n, sum(value) OVER (PARTITION BY event_type) AS total FROM events),
 c AS (SELECT event_type, arg_min(value, (abs(run - total * 5e-1), n)) AS c50, arg_min(value, (abs(run - total * 1e-1), n)) AS c90 FROM r GROUP BY 1) """
 query("w10_percentile_levels", _LEVELS + "SELECT event_id, CASE WHEN value >= c50 THEN 50e0 WHEN value >= c90 THEN 90e0 END AS percentile FROM events JOIN c USING (event_type)")(
-    lambda s, d: D.percentile_levels(_valued(s, d), "value", [50, 90], ["event_type"], ["event_id"]).select("event_id", "percentile")
+    lambda s, d: D.percentile_levels(_valued(s, d), "value", [50, 90], ["event_type"]).select("event_id", "percentile")
 )
 query("a18_percentile_area", _LEVELS + """SELECT event_type, percentile, count(*) AS cells, count(*) * 25e-1 AS area FROM (SELECT event_type, unnest(CASE WHEN value >= c50 THEN [50e0, 90e0] WHEN value >= c90 THEN [90e0] ELSE [] END) AS percentile FROM events JOIN c USING (event_type)) GROUP BY 1, 2""")(
-    lambda s, d: D.percentile_area(_valued(s, d), "value", [50, 90], ["event_type"], ["event_id"], 2.5)
+    lambda s, d: D.percentile_area(_valued(s, d), "value", [50, 90], ["event_type"], 2.5)
 )
 query("a24_canvas", FIX + "SELECT least(floor((lon - 34) / 6e0 * 50), 49)::BIGINT AS px, least(floor((lat + 2) / 4e0 * 40), 39)::BIGINT AS py, count(*) AS n FROM fixes WHERE lon BETWEEN 34 AND 40 AND lat BETWEEN -2 AND 2 GROUP BY 1, 2")(
     lambda s, d: D.canvas(fixes(s, d), "lon", "lat", (34.0, -2.0, 40.0, 2.0), 50, 40)

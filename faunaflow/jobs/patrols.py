@@ -128,9 +128,16 @@ query("n5_betweenness")(lambda s, d: N.betweenness(graph(s, d)).withColumn("betw
 query("n6_mosaic", SEG + """, n AS (SELECT groupby_col, floor(x1 / 5e-2)::BIGINT AS cx, floor(y1 / 5e-2)::BIGINT AS cy, avg(speed_kmhr) AS v FROM segments GROUP BY 1, 2, 3) SELECT cx, cy, round(avg(v), 3) AS speed_kmhr FROM n GROUP BY 1, 2""")(
     lambda s, d: N.mosaic(N.nodes(segments(s, d), 0.05, ["speed_kmhr"]), "speed_kmhr").where("speed_kmhr is not null").withColumn("speed_kmhr", F.round("speed_kmhr", 3))
 )
-for how in ("max", "median", "min"):
-    query(f"n6_mosaic_{how}", SEG + f""", n AS (SELECT groupby_col, floor(x1 / 5e-2)::BIGINT AS cx, floor(y1 / 5e-2)::BIGINT AS cy, avg(speed_kmhr) AS v FROM segments GROUP BY 1, 2, 3) SELECT cx, cy, round({how}(v), 3) AS speed_kmhr FROM n GROUP BY 1, 2""")(
-        lambda s, d, how=how: N.mosaic(N.nodes(segments(s, d), 0.05, ["speed_kmhr"]), "speed_kmhr", how).where("speed_kmhr is not null").withColumn("speed_kmhr", F.round("speed_kmhr", 3))
+_PATHS = SEG + """, c AS (SELECT groupby_col, speed_kmhr, floor(x1 / 5e-2)::BIGINT AS fx, floor(y1 / 5e-2)::BIGINT AS fy, floor(x2 / 5e-2)::BIGINT AS tx, floor(y2 / 5e-2)::BIGINT AS ty FROM segments),
+n AS (SELECT groupby_col, fx AS cx, fy AS cy, avg(speed_kmhr) AS v FROM c GROUP BY 1, 2, 3 HAVING count(speed_kmhr) > 0),
+s AS (SELECT c.*, n.v, greatest(abs(tx - fx), abs(ty - fy)) AS m, unnest(range(0, greatest(abs(tx - fx), abs(ty - fy)) + 1)) AS k FROM c JOIN n ON n.groupby_col = c.groupby_col AND n.cx = fx AND n.cy = fy),
+p AS (SELECT groupby_col, v, fx + sign(tx - fx) * CASE WHEN abs(tx - fx) = m THEN k ELSE (2 * k * abs(tx - fx) + m) // (2 * m) END AS cx,
+             fy + sign(ty - fy) * CASE WHEN abs(ty - fy) = m THEN k ELSE (2 * k * abs(ty - fy) + m) // (2 * m) END AS cy FROM s),
+f AS (SELECT groupby_col, cx, cy, {how}(v) AS v FROM p ANTI JOIN n USING (groupby_col, cx, cy) GROUP BY 1, 2, 3 UNION ALL SELECT * FROM n)
+SELECT cx, cy, round(avg(v), 3) AS speed_kmhr FROM f GROUP BY 1, 2"""
+for how in N.INTERPOLATIONS:
+    query(f"n6_mosaic_{how}", _PATHS.replace("{how}", {"mean": "avg"}.get(how, how)))(
+        lambda s, d, how=how: N.mosaic(N.interpolated(segments(s, d), 0.05, "speed_kmhr", how), "speed_kmhr").withColumn("speed_kmhr", F.round("speed_kmhr", 3))
     )
 query("w12_step_features", SEG + """SELECT event_id, round(cos(radians(lead(heading) OVER w - heading)), 3) + 0 AS turn_cos, round(sin((epoch_us(segment_start) % 86400000000) / 86400000000 * 2 * 3141592653589793e-15), 4) + 0 AS sin_time
 FROM (SELECT *, lead(event_id, 2) OVER (PARTITION BY groupby_col ORDER BY segment_start) AS third FROM segments) WINDOW w AS (PARTITION BY groupby_col ORDER BY segment_start) QUALIFY third IS NOT NULL""")(

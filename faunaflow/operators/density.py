@@ -31,29 +31,60 @@ def time_density(df: DataFrame, size: float) -> DataFrame:
     return cells.join(F.broadcast(total)).select("ix", "iy", F.try_divide("density", "total").alias("density"))
 
 
-def percentile_levels(df: DataFrame, value: str, levels: list[float], by: list[str], order: list[str]) -> DataFrame:
-    """df with percentile: the first level whose cut the value reaches.
+def with_keyed(df: DataFrame, other: DataFrame, by: list[str]) -> DataFrame:
+    """df with the columns of other, which has one row for each key; null keys meet too, and rows without a partner stay."""
+    names = {c: f"key_{c}" for c in by}
+    other = other.withColumnsRenamed(names)
+    return df.join(other, [F.col(c).eqNullSafe(F.col(n)) for c, n in names.items()], "left").drop(*names.values())
 
-    A level's cut is the value at which the running sum, from the least value, is nearest to total * (1 - level / 100); the first
-    of ties. Groups must be named: an ungrouped running sum would be one task's work.
+
+def mass_cuts(df: DataFrame, value: str, levels: list[float], by: list[str], parts: int = 512) -> DataFrame:
+    """by and cut_0, cut_1, ...: for each level the value at which the running sum of a group, from the least value, is nearest to
+    total * (1 - level / 100); the lesser of two as near.
+
+    Rows shrink to distinct values and their counts. A sketch of each group gives splitters, so its values meet in ``parts`` tasks and
+    not in one; sums by part, carried forward, are what stands before each. Missing values (null, NaN) count for nothing.
+    """
+    each = df.select(*by, F.col(value).cast("double").alias("v")).where("v is not null and not isnan(v)").groupBy(*by, "v").agg(F.count(F.lit(1)).alias("n"))
+    shares = [k / parts for k in range(1, parts)]
+    splits = each.groupBy(*by).agg(F.percentile_approx("v", shares, F.lit(20 * parts)).alias("splits"))
+    dealt = with_keyed(each, splits, by).select(*by, "v", "n", F.size(F.filter("splits", lambda s: s < F.col("v"))).alias("part"))
+    sums = dealt.groupBy(*by, "part").agg(F.sum(F.col("v") * F.col("n")).alias("mass"))
+    before = Window.partitionBy(*by).orderBy("part")
+    sums = sums.select(*by, "part", (F.sum("mass").over(before) - F.col("mass")).alias("base"), F.sum("mass").over(Window.partitionBy(*by)).alias("total"))
+    within = Window.partitionBy(*by, "part").orderBy("v")
+    runs = dealt.withColumn("through", F.sum(F.col("v") * F.col("n")).over(within))
+    runs = with_keyed(runs, sums, [*by, "part"])
+    runs = runs.select(*by, "v", "n", "total", (F.col("base") + F.col("through") - F.col("v") * F.col("n")).alias("start"))
+
+    def distance(level: float) -> Column:
+        """Equal values step the running sum n times by v; the best of these steps follows from the aim."""
+        aim = F.col("total") * (1 - level / 100)
+        step = F.coalesce(F.rint(F.try_divide(aim - F.col("start"), F.col("v"))), F.lit(1.0))
+        return F.abs(F.col("start") + F.greatest(F.lit(1.0), F.least(F.col("n").cast("double"), step)) * F.col("v") - aim)
+
+    return runs.groupBy(*by).agg(*[F.min_by("v", F.struct(distance(p), F.col("v"))).alias(f"cut_{i}") for i, p in enumerate(levels)])
+
+
+def _reaches(value: str, i: int) -> Column:
+    return ~F.isnan(F.col(value).cast("double")) & (F.col(value) >= F.col(f"cut_{i}"))
+
+
+def percentile_levels(df: DataFrame, value: str, levels: list[float], by: list[str]) -> DataFrame:
+    """df with percentile: the first level, in the order given, whose cut (:func:`mass_cuts`) the value reaches.
+
+    It is null where no level is reached and where the value is missing; without levels df is returned unchanged.
     """
     if not levels:
         return df
-    group = Window.partitionBy(*by)
-    run = group.orderBy(value, *order)
-    rows = df.withColumns({"run_sum": F.sum(value).over(run), "run_row": F.row_number().over(run), "run_total": F.sum(value).over(group)})
-    aim = lambda p: F.col("run_total") * (1 - p / 100)
-    cuts = rows.groupBy(*by).agg(*[F.min_by(value, F.struct(F.abs(F.col("run_sum") - aim(p)), F.col("run_row"))).alias(f"cut_{i}") for i, p in enumerate(levels)])
-    level = F.coalesce(*[F.when(F.col(value) >= F.col(f"cut_{i}"), F.lit(float(p))) for i, p in enumerate(levels)])
-    return rows.join(cuts, by).select(*df.columns, level.alias("percentile"))
-
-
-def percentile_area(df: DataFrame, value: str, levels: list[float], by: list[str], order: list[str], cell_area: float) -> DataFrame:
-    """by, percentile, cells, area: the cells whose value reaches each level's cut."""
-    got = [percentile_levels(df, value, [p], by, order).where("percentile is not null") for p in sorted(levels, reverse=True)]
-    rows = got[0]
-    for g in got[1:]:
-        rows = rows.unionByName(g)
+    level = F.coalesce(*[F.when(_reaches(value, i), F.lit(float(p))) for i, p in enumerate(levels)])
+    return with_keyed(df, mass_cuts(df, value, levels, by), by).select(*df.columns, level.alias("percentile"))
+
+
+def percentile_area(df: DataFrame, value: str, levels: list[float], by: list[str], cell_area: float) -> DataFrame:
+    """by, percentile, cells, area: the cells whose value reaches each level's cut; all levels in one pass."""
+    reached = F.array_compact(F.array(*[F.when(_reaches(value, i), F.lit(float(p))) for i, p in enumerate(levels)]))
+    rows = with_keyed(df, mass_cuts(df, value, levels, by), by).select(*by, F.explode(reached).alias("percentile"))
     return rows.groupBy(*by, "percentile").agg(F.count(F.lit(1)).alias("cells"), (F.count(F.lit(1)) * cell_area).alias("area"))
 
 

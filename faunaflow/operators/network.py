@@ -40,7 +40,7 @@ def nodes(df: DataFrame, size: float, features: list[str]) -> DataFrame:
     """groupby_col, cx, cy, weight and the mean of each feature over visits. weight counts starts, and one more where the first visit is an end."""
     rows = cells(df, size)
     visit = lambda x, y, k: F.struct(F.col(x).alias("cx"), F.col(y).alias("cy"), F.lit(k).alias("is_end"))
-    visits = rows.select("groupby_col", "segment_start", *features, F.explode(F.array(visit("from_x", "from_y", 0), visit("to_x", "to_y", 1))).alias("v")).select("*", "v.*")
+    visits = rows.select("groupby_col", "segment_start", *features, F.explode(F.array(visit("from_x", "from_y", 0), visit("to_x", "to_y", 1))).alias("visit")).select("*", "visit.*")
     starts = F.col("is_end") == 0
     got = visits.groupBy("groupby_col", "cx", "cy").agg(
         F.count_if(starts).alias("starts"), F.min_by("is_end", F.struct("segment_start", "is_end")).alias("first_end"), *[F.avg(F.when(starts, F.col(f))).alias(f) for f in features]
@@ -111,11 +111,45 @@ def betweenness(e: DataFrame, cutoff: int | None = None) -> DataFrame:
     return flat.groupBy("groupby_col").applyInPandas(brandes, "groupby_col string, cx long, cy long, betweenness double")
 
 
-MOSAICS = {"mean": F.avg, "max": F.max, "median": F.median, "min": F.min}
-
-
-def mosaic(n: DataFrame, feature: str, how: str = "mean") -> DataFrame:
-    """cx, cy and the mean, largest, middle or least value of a feature over subjects."""
-    if how not in MOSAICS:
-        raise ValueError(f"how must be one of {', '.join(MOSAICS)}")
-    return n.groupBy("cx", "cy").agg(MOSAICS[how](feature).alias(feature))
+def mosaic(n: DataFrame, feature: str) -> DataFrame:
+    """cx, cy and the mean of a feature over the subjects that have a value there."""
+    return n.groupBy("cx", "cy").agg(F.avg(feature).alias(feature)).where(F.col(feature).isNotNull())
+
+
+def path_cells(df: DataFrame, size: float) -> DataFrame:
+    """df with from_x, from_y, to_x, to_y and, for each cell of the digital straight line between them, both ends included, cx, cy.
+
+    One cell for each step along the longer axis; on the shorter one the nearest, halves away from the start.
+    """
+    rows = cells(df, size).withColumns({"dx": F.expr("abs(to_x - from_x)"), "dy": F.expr("abs(to_y - from_y)")})
+    rows = rows.withColumn("step", F.explode(F.expr("sequence(0L, greatest(dx, dy))")))
+    along = "if({d} = greatest(dx, dy), step, (2 * step * {d} + greatest(dx, dy)) div greatest(2 * greatest(dx, dy), 1))"
+    place = lambda axis, d: F.expr(f"from_{axis} + cast(signum(to_{axis} - from_{axis}) as bigint) * ({along.format(d=d)})")
+    return rows.withColumns({"cx": place("x", "dx"), "cy": place("y", "dy")}).drop("dx", "dy", "step")
+
+
+INTERPOLATIONS = {"mean": F.avg, "max": F.max, "median": F.median, "min": F.min}
+
+
+def interpolated(df: DataFrame, size: float, feature: str, how: str) -> DataFrame:
+    """groupby_col, cx, cy and the feature: a subject's visited cells as in :func:`nodes`, and the cells that its segments only cross.
+
+    A crossed cell gets the mean, largest, middle or least of the values of the cells where the crossing segments start; cells
+    whose visits have no value are filled so too, missing values count for nothing. :func:`mosaic` then takes the mean over subjects.
+    """
+    if how not in INTERPOLATIONS:
+        raise ValueError(f"how must be one of {', '.join(INTERPOLATIONS)}")
+    own = nodes(df, size, [feature]).select("groupby_col", "cx", "cy", feature).where(F.col(feature).isNotNull())
+    lines = df.select("groupby_col", *[F.col(c) for c in ("x1", "y1", "x2", "y2")]).where("groupby_col is not null")
+    # segments between the same cells cross the same cells: they are counted before they are laid out
+    ends = cells(lines, size).groupBy("groupby_col", "from_x", "from_y", "to_x", "to_y").agg(F.count(F.lit(1)).alias("times"))
+    start = own.select("groupby_col", F.col("cx").alias("from_x"), F.col("cy").alias("from_y"), F.col(feature).alias("value"))
+    laid = path_cells(ends.join(start, ["groupby_col", "from_x", "from_y"]).selectExpr("groupby_col", "value", "times", *[f"({c} + 0.5D) * {size!r}D as {p}" for c, p in (("from_x", "x1"), ("from_y", "y1"), ("to_x", "x2"), ("to_y", "y2"))]), size)
+    crossed = laid.join(own, ["groupby_col", "cx", "cy"], "left_anti")
+    if how == "mean":
+        value = F.sum(F.col("value") * F.col("times")) / F.sum("times")
+    elif how == "median":
+        value = F.percentile("value", F.lit(0.5), F.col("times"))
+    else:
+        value = INTERPOLATIONS[how]("value")
+    return own.unionByName(crossed.groupBy("groupby_col", "cx", "cy").agg(value.alias(feature)))

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from faunaflow.functions.times import DAY
+from faunaflow.operators.asof import lines
+
 
 def seasonal_windows(values: DataFrame, cuts: list[float], labels: list[str]) -> DataFrame:
     """season, start, end of runs of days (img_date, ndvi) in one class; the end is the day after the last. Series is a key column."""
@@ -17,9 +20,15 @@ def seasonal_windows(values: DataFrame, cuts: list[float], labels: list[str]) ->
 
 
 def classify_seasons(df: DataFrame, time: str, windows: DataFrame, missing: str | None = "nan") -> DataFrame:
-    """df with season: the window (start, end, season) with start < time <= end, else the missing label."""
-    found = df.join(windows.select("start", "end", "season"), (F.col(time) > F.col("start")) & (F.col(time) <= F.col("end")), "left")
-    return found.withColumn("season", F.coalesce("season", F.lit(missing)))
+    """df with season: the window (start, end, season) with start < time <= end, else the missing label.
+
+    Rows meet windows over days as an equi key. A row within several windows has a row for each; rows of a null time get the label.
+    """
+    day = lambda c: F.unix_date(F.col(c).cast("date"))
+    spread = windows.where("start < end").select("start", "end", "season", F.explode(F.sequence(day("start"), day("end"))).alias("day"))
+    rows = df.withColumn("day", day(time)).alias("r")
+    found = rows.join(spread.alias("w"), (F.col("r.day") == F.col("w.day")) & (F.col(f"r.{time}") > F.col("w.start")) & (F.col(f"r.{time}") <= F.col("w.end")), "left")
+    return found.select(*[F.col(f"r.{c}") for c in df.columns], F.coalesce("w.season", F.lit(missing)).alias("season"))
 
 
 def standardise(df: DataFrame, value: str) -> DataFrame:
@@ -65,16 +74,15 @@ def anomaly(df: DataFrame, feature: str, time: str, value: str, history: str, st
     return rows.withColumn("cumulative", F.sum("anomaly").over(run))
 
 
-def nearest_images(df: DataFrame, key: str, time: str, images: DataFrame, before: int, after: int, exact: bool = False) -> DataFrame:
+def nearest_images(df: DataFrame, key: str, time: str, images: DataFrame, before: int, after: int, exact: bool = False, bucket_us: int = DAY) -> DataFrame:
     """key, images: ids of the images (img_id, img_time) nearest in time, ``before`` at or before and ``after`` after each row, in order.
 
     With exact an image of the very time of a row comes on top of them. Where both counts are 0 it is the nearest one alone, of two as
-    near the later. The sorted image list is one row; a row finds its place by counting, and a slice gives the neighbours.
+    near the later. Rows find them in the line of their bucket of time (:func:`faunaflow.operators.asof.lines`); a null time has none.
     """
     if before < 0 or after < 0:
         raise ValueError("counts must not be negative")
-    line = images.agg(F.array_sort(F.collect_list(F.struct("img_time", "img_id"))).alias("line"))
-    rows = df.select(key, time).join(line)
+    rows = lines(df.select(key, time), time, images, before + 1, after + 1, bucket_us)
     at = F.size(F.filter("line", lambda i: i["img_time"] <= F.col(time)))
     last, size = F.try_element_at("line", F.nullif(at, F.lit(0))), F.size("line")
     if before or after:
@@ -86,7 +94,8 @@ def nearest_images(df: DataFrame, key: str, time: str, images: DataFrame, before
         earlier = following.isNull() | (gap(last["img_time"], F.col(time)) < gap(F.col(time), following))
         low = F.greatest(at - F.coalesce(earlier, F.lit(False)).cast("int"), F.lit(0))
         high = F.least(low + 1, size)
-    return rows.select(key, F.transform(F.slice("line", low + 1, high - low), lambda i: i["img_id"]).alias("images"))
+    found = F.when(size > 0, F.transform(F.slice("line", low + 1, high - low), lambda i: i["img_id"]))
+    return rows.select(key, F.coalesce(found, F.array().cast(f"array<{images.schema['img_id'].dataType.simpleString()}>")).alias("images"))
 
 
 def images_within(df: DataFrame, key: str, time: str, images: DataFrame, before: int, after: int) -> DataFrame:
@@ -106,15 +115,21 @@ def images_within(df: DataFrame, key: str, time: str, images: DataFrame, before:
     return found.select(F.col("key").alias(key), F.transform("near", lambda i: i["img_id"]).alias("images"))
 
 
-def images_by_midpoint(df: DataFrame, time: str, images: DataFrame, radius: int = 0) -> DataFrame:
-    """df with img_id, img_time: the image whose span between midpoints, open on the left, holds the time, and radius neighbours."""
-    w = Window.partitionBy("one").orderBy("img_time")
-    mid = lambda c: F.expr(f"timestampadd(MICROSECOND, timestampdiff(MICROSECOND, img_time, {c}) div 2, img_time)")
-    spans = images.withColumn("one", F.lit(1)).withColumns({"k": F.row_number().over(w), "prev": F.lag("img_time").over(w), "nxt": F.lead("img_time").over(w)})
-    spans = spans.withColumns({"left": mid("prev"), "right": mid("nxt")})
-    own = df.join(spans.select("k", "left", "right"), (F.col("left").isNull() | (F.col(time) > F.col("left"))) & (F.col("right").isNull() | (F.col(time) <= F.col("right"))))
-    near = own.withColumn("k", F.explode(F.expr(f"sequence(k - {radius}, k + {radius})")))
-    return near.join(spans.select("k", "img_id", "img_time"), "k").select(*df.columns, "img_id", "img_time")
+def images_by_midpoint(df: DataFrame, time: str, images: DataFrame, radius: int = 0, bucket_us: int = DAY) -> DataFrame:
+    """df with img_id, img_time: the image whose span between midpoints, open on the left, holds the time, and radius neighbours.
+
+    One row for each of them. Of images of one time the first holds that time, the last what follows; a null time has no image.
+    """
+    rows = lines(df, time, images, radius + 1, radius + 1, bucket_us)
+    at = F.size(F.filter("line", lambda i: i["img_time"] < F.col(time)))
+    last, following = F.try_element_at("line", F.nullif(at, F.lit(0)))["img_time"], F.try_element_at("line", at + 1)["img_time"]
+    middle = F.timestamp_add("MICROSECOND", F.expr("timestampdiff(MICROSECOND, last, following) div 2"), F.col("last"))
+    rows = rows.withColumns({"at": at, "last": last, "following": following}).where("last is not null or following is not null")
+    later = F.col("following").isNotNull() & (F.col("last").isNull() | (F.col(time) > middle))
+    own = F.col("at") + later.cast("int")
+    first = F.greatest(own - radius, F.lit(1))
+    near = rows.withColumn("image", F.explode(F.slice("line", first, F.least(own + radius, F.size("line")) - first + 1)))
+    return near.select(*df.columns, "image.img_id", "image.img_time")
 
 
 def zonal_statistics(pixels: DataFrame, regions: DataFrame, nodata: float) -> DataFrame:

@@ -1,5 +1,8 @@
 import datetime as dt
+import itertools
 import math
+import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -148,9 +151,32 @@ def test_line_density_conserves_totals(spark):
 
 def test_percentile_levels(spark):
     df = spark.createDataFrame([("g", i, float(i)) for i in range(1, 6)], "g string, id int, v double")
-    level = lambda levels: [r.percentile for r in density.percentile_levels(df, "v", levels, ["g"], ["id"]).orderBy("id").collect()]
+    level = lambda levels: [r.percentile for r in density.percentile_levels(df, "v", levels, ["g"]).orderBy("id").collect()]
     assert level([10, 50, 90]) == [90, 90, 50, 50, 10]
     assert level([90]) == [90] * 5 and level([10]) == [None] * 4 + [10]
+    assert density.percentile_levels(df, "v", [], ["g"]) is df
+
+
+def plain_cuts(values, levels):
+    kept = sorted(v for v in values if v is not None and not math.isnan(v))
+    total, sums = sum(kept), list(itertools.accumulate(kept))
+    return [kept[min(range(len(kept)), key=lambda i: (abs(sums[i] - total * (1 - p / 100)), i))] if kept else None for p in levels]
+
+
+@pytest.mark.parametrize("parts", [2, 7, 512])
+def test_cuts_of_groups_in_parts(spark, parts):
+    """Missing values count for nothing; ties, zeros, values below zero and groups of one value or of none have cuts too."""
+    rng = random.Random(parts)
+    groups = {"many": [float(rng.randint(1, 400)) for _ in range(900)], "ties": [3.0] * 50 + [5.0] * 50, "zero": [0.0] * 5 + [1.0], "none": [None, float("nan")], "one": [2.0, None], None: [4.0, 1.0, 9.0], "low": [-3.0, -1.0, 2.0, 8.0]}
+    rows = [(g, v) for g, vs in groups.items() for v in vs]
+    df = spark.createDataFrame(rows, "g string, v double")
+    levels = [10.0, 50.0, 90.0, 99.0]
+    got = {r.g: [r[f"cut_{i}"] for i in range(4)] for r in density.mass_cuts(df, "v", levels, ["g"], parts=parts).collect()}
+    assert got == {g: plain_cuts(vs, levels) for g, vs in groups.items() if g != "none"}
+    seen = density.percentile_levels(df, "v", levels, ["g"]).collect()
+    assert len(seen) == len(rows) and all(r.percentile is None for r in seen if r.v is None or math.isnan(r.v))
+    area = {(r.g, r.percentile): r.cells for r in density.percentile_area(df, "v", levels, ["g"], 2.0).collect()}
+    assert area == Counter((g, p) for g, v in rows if v is not None and not math.isnan(v) for p, cut in zip(levels, plain_cuts(groups[g], levels)) if v >= cut)
 
 
 def test_elliptical_density(spark):

@@ -190,11 +190,92 @@ def test_images_of_the_very_time_nearest_and_by_days(spark):
         seasons.images_within(rows, "id", "t", images, 1, -1)
 
 
-def test_mosaic_of_each_kind(spark):
-    from faunaflow.operators.network import mosaic
+def digital_line(x0, y0, x1, y1):
+    """Cells of a line by an error term that is carried from step to step."""
+    dx, dy, sx, sy = abs(x1 - x0), abs(y1 - y0), (x1 > x0) - (x1 < x0), (y1 > y0) - (y1 < y0)
+    steep = dy > dx
+    major, minor, x, y, out = max(dx, dy), min(dx, dy), x0, y0, []
+    d = 2 * minor - major
+    for _ in range(major):
+        out.append((x, y))
+        if d >= 0:
+            x, y, d = (x + sx, y, d - 2 * major) if steep else (x, y + sy, d - 2 * major)
+        x, y, d = (x, y + sy, d + 2 * minor) if steep else (x + sx, y, d + 2 * minor)
+    return [*out, (x1, y1)]
 
-    nodes = spark.createDataFrame([("s", 0, 0, 1.0), ("t", 0, 0, 5.0), ("u", 0, 0, 6.0), ("s", 1, 0, 2.0), ("t", 1, 0, None)], "groupby_col string, cx long, cy long, v double")
-    for how, want in {"mean": (4.0, 2.0), "max": (6.0, 2.0), "median": (5.0, 2.0), "min": (1.0, 2.0)}.items():
-        assert {r.cx: r.v for r in mosaic(nodes, "v", how).collect()} == dict(enumerate(want))
+
+def test_paths_fill_a_mosaic(spark):
+    import random
+    from collections import defaultdict
+    from statistics import median
+
+    from faunaflow.operators.network import interpolated, mosaic
+
+    rng = random.Random(2)
+    rows = [(rng.choice("ab"), i, *(rng.randint(-8, 8) + 0.5 for _ in range(4)), rng.choice([None, 1.0, 2.0, 7.0])) for i in range(40)] + [("c", 0, 0.5, 0.5, 0.5, 0.5, 3.0)]
+    df = spark.createDataFrame(rows, "groupby_col string, segment_start int, x1 double, y1 double, x2 double, y2 double, v double")
+    at = lambda *p: tuple(math.floor(c) for c in p)
+    for how, f in {"mean": lambda x: sum(x) / len(x), "max": max, "median": median, "min": min}.items():
+        own, crossed = defaultdict(list), defaultdict(list)
+        for g, _, x1, y1, _, _, v in rows:
+            if v is not None:
+                own[g, at(x1, y1)].append(v)
+        means = {k: sum(v) / len(v) for k, v in own.items()}
+        for g, _, x1, y1, x2, y2, _ in rows:
+            for cell in digital_line(*at(x1, y1, x2, y2)):
+                if (g, cell) not in means and (g, at(x1, y1)) in means:
+                    crossed[g, cell].append(means[g, at(x1, y1)])
+        want = means | {k: f(v) for k, v in crossed.items()}
+        got = interpolated(df, 1.0, "v", how)
+        assert {(r.groupby_col, (r.cx, r.cy)): r.v for r in got.collect()} == pytest.approx(want)
+        cells = defaultdict(list)
+        for (_, cell), v in want.items():
+            cells[cell].append(v)
+        assert {(r.cx, r.cy): r.v for r in mosaic(got, "v").collect()} == pytest.approx({c: sum(v) / len(v) for c, v in cells.items()})
     with pytest.raises(ValueError):
-        mosaic(nodes, "v", "mode")
+        interpolated(df, 1.0, "v", "mode")
+
+
+def test_sums_before_keys(spark):
+    import random
+
+    from faunaflow.operators.asof import sums_before
+
+    rng = random.Random(1)
+    keys = sorted({rng.randint(-(2**40), 2**40) for _ in range(60)} | set(range(-20000, 20000, 300)) | {0, -1, 1})
+    rows = [(k, rng.randint(0, 5)) for k in keys]
+    want, total = {}, 0
+    for k, n in rows:
+        want[k], total = total, total + n
+    got = sums_before(spark.createDataFrame(rows, "k long, n long"), "k", "n")
+    assert {r.k: r.before for r in got.collect()} == want
+
+
+def test_lookups_in_a_table_of_times(spark):
+    """Images of one time, empty buckets between, rows before, after and without times; against lists. No task holds the table."""
+    import random
+    from datetime import datetime, timedelta
+
+    from faunaflow.operators import seasons
+
+    rng, zero = random.Random(7), datetime(1969, 12, 20)
+    shots = [(f"i{k:02}", zero + timedelta(hours=rng.choice([rng.randint(0, 40), rng.randint(900, 960), 3000]))) for k in range(50)]
+    rows = [(k, zero + timedelta(hours=rng.choice([rng.randint(-30, 60), rng.randint(880, 980), 2000, 4000])) if k else None) for k in range(120)]
+    images, df = spark.createDataFrame(shots, "img_id string, img_time timestamp_ntz"), spark.createDataFrame(rows, "id int, t timestamp_ntz")
+    order = sorted((t, i) for i, t in shots)
+    for before, after in [(1, 1), (0, 3), (7, 0)]:
+        got = seasons.nearest_images(df, "id", "t", images, before, after)
+        for r in got.collect():
+            t = dict(rows)[r.id]
+            earlier = [i for at, i in order if t and at <= t]
+            later = [i for at, i in order if t and at > t]
+            assert r.images == (earlier[-before:] if before else []) + later[:after]
+    got = seasons.images_by_midpoint(df, "t", images, 2)
+    found = {}
+    for r in got.collect():
+        found.setdefault(r.id, []).append(r.img_id)
+    for k, t in rows:
+        own = [n for n in range(len(order)) if t and (n == 0 or t > order[n - 1][0] + (order[n][0] - order[n - 1][0]) / 2) and (n == len(order) - 1 or t <= order[n][0] + (order[n + 1][0] - order[n][0]) / 2)]
+        assert found.get(k, []) == ([i for _, i in order[max(0, own[0] - 2) : own[0] + 3]] if own else [])
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan and "SinglePartition" not in plan
