@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from faunaflow.functions.geodesy import with_geodesic
-from faunaflow.functions.times import at_micros, micros, seconds
+from faunaflow.functions.stages import written
+from faunaflow.functions.times import DAY, at_micros, micros, seconds
 
 SEGMENT = ["groupby_col", "segment_start", "segment_end", "timespan_seconds", "dist_meters", "speed_kmhr", "heading", "x1", "y1", "x2", "y2", "junk_status", "nsd"]
 
@@ -105,32 +106,102 @@ def to_fixes(df: DataFrame) -> DataFrame:
     return rows.groupBy("groupby_col", "fixtime").agg(F.min_by(F.struct("lon", "lat"), "k").alias("p")).select("groupby_col", "fixtime", "p.lon", "p.lat")
 
 
-def downsample(df: DataFrame, step_seconds: float, tolerance_seconds: float = 0) -> DataFrame:
+#: One chunk of a walk, in microseconds.
+CHUNK = 30 * DAY
+
+
+def _next_fix(wanted: DataFrame, fixes: DataFrame, heads: DataFrame, chunk_us: int) -> DataFrame:
+    """wanted (groupby_col, at) with next: the time of the subject's first fix at or after ``at``, null where none is.
+
+    It lies in the chunk of ``at`` or at the head of the next chunk that has fixes.
+    """
+    chunk = F.floor(F.col("at") / chunk_us).alias("chunk")
+    asked = wanted.select("groupby_col", "at").distinct().select("groupby_col", "at", chunk)
+    rows = asked.select("groupby_col", "chunk", "at", F.lit(None).cast("long").alias("t")).unionByName(
+        fixes.join(asked.select("groupby_col", "chunk").distinct(), ["groupby_col", "chunk"], "left_semi").select("groupby_col", "chunk", F.col("t").alias("at"), "t")
+    )
+    # from the last backwards, at one time a fix before the question
+    w = Window.partitionBy("groupby_col", "chunk").orderBy(F.desc("at"), F.desc_nulls_last("t")).rowsBetween(Window.unboundedPreceding, 0)
+    here = rows.withColumn("here", F.min("t").over(w)).where("t is null").select("groupby_col", "chunk", "at", "here")
+    marks = heads.select("groupby_col", "chunk", "head").unionByName(asked.select("groupby_col", "chunk", F.lit(None).cast("long").alias("head")))
+    marks = marks.groupBy("groupby_col", "chunk").agg(F.min("head").alias("head"))
+    later = marks.withColumn("later", F.min("head").over(Window.partitionBy("groupby_col").orderBy("chunk").rowsBetween(1, Window.unboundedFollowing)))
+    found = here.join(later.select("groupby_col", "chunk", "later"), ["groupby_col", "chunk"]).select("groupby_col", "at", F.coalesce("here", "later").alias("next"))
+    return wanted.join(found, ["groupby_col", "at"])
+
+
+def _steps_ahead(t: np.ndarray, low: int) -> np.ndarray:
+    """The place of each fix's next one, len(t) where it lies beyond the chunk."""
+    return np.searchsorted(t, t + low, side="left")
+
+
+def downsample(df: DataFrame, step_seconds: float, tolerance_seconds: float = 0, chunk_us: int = CHUNK) -> DataFrame:
     """Fixes chosen by a walk: the next one at least step - tolerance later; extra__burst changes where it is later than step + tolerance.
 
-    The walk depends on each choice, so it runs in Python over one subject's times and ids, the minimal columns.
+    A subject's last place is not returned; of fixes of one time the one with the least lon, lat counts. Subjects without a name and
+    fixes without a time are left out.
+
+    What a walk does in a chunk of time follows from where it enters. So each chunk finds, for every fix at which any walk may
+    enter it, where the walk leaves and enters a later chunk, and how many bursts it begins meanwhile; the walk of a subject is
+    the composition of these steps, doubled in each round, from its first fix. Then each chunk is walked from its one true
+    entry. No task holds more than a chunk of one subject, and a history of n chunks needs about log2(n) rounds.
     """
-    low, high = int((step_seconds - tolerance_seconds) * 1e6), int((step_seconds + tolerance_seconds) * 1e6)
-
-    def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("t", kind="stable")
-        t, keep, burst, i = rows["t"].to_numpy(), [], [], 0
-        b = 0
-        while i < len(t) - 1:
-            j = int(np.searchsorted(t, t[i] + low, side="left"))
-            j = max(j, i + 1)
-            if j >= len(t):
-                break
+    low, high = max(int((step_seconds - tolerance_seconds) * 1e6), 1), int((step_seconds + tolerance_seconds) * 1e6)
+    fixes = df.where("groupby_col is not null and fixtime is not null").select("groupby_col", micros("fixtime").alias("t"), "lon", "lat")
+    fixes = fixes.groupBy("groupby_col", "t").agg(F.min(F.struct("lon", "lat")).alias("at")).select("groupby_col", F.floor(F.col("t") / chunk_us).alias("chunk"), "t", "at.lon", "at.lat")
+    fixes = written(fixes)
+    heads = written(fixes.groupBy("groupby_col", "chunk").agg(F.min("t").alias("head"), F.max("t").alias("last")))
+    leaves = fixes.select("groupby_col", "chunk", "t").join(heads, ["groupby_col", "chunk"]).where(F.col("t") + low > F.col("last"))
+    leaves = _next_fix(leaves.select("groupby_col", "t", (F.col("t") + low).alias("at")), fixes, heads, chunk_us)
+    leaves = written(leaves.select("groupby_col", F.col("t").alias("leave"), "next", (F.col("next") > F.col("leave") + high).cast("long").alias("gap")))
+    starts = heads.groupBy("groupby_col").agg(F.min("head").alias("entry"))
+    entries = leaves.where("next is not null").select("groupby_col", F.col("next").alias("entry")).unionByName(starts).distinct()
+    entries = entries.withColumn("t", F.col("entry"))
+
+    def exits(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        """Every entry's last fix in the chunk and the bursts begun on the way, by pointer doubling."""
+        rows = rows.sort_values("t")
+        t = rows["t"].to_numpy()
+        ahead = _steps_ahead(t, low)
+        stay = ahead < len(t)
+        to = np.where(stay, ahead, np.arange(len(t)))
+        bursts = np.where(stay & (t[to] > t + high), 1, 0)
+        while not (to[to] == to).all():
+            bursts, to = bursts + bursts[to], to[to]
+        here = rows["entry"].notna().to_numpy()
+        return pd.DataFrame({"groupby_col": key[0], "entry": t[here], "leave": t[to[here]], "bursts": bursts[here]})
+
+    times = fixes.select("groupby_col", "chunk", "t").join(entries, ["groupby_col", "t"], "left")
+    crossed = times.groupBy("groupby_col", "chunk").applyInPandas(exits, "groupby_col string, entry long, leave long, bursts long")
+    jumps = crossed.join(leaves.where("next is not null"), ["groupby_col", "leave"])
+    jumps = written(jumps.select("groupby_col", "entry", F.col("next").alias("to"), (F.col("bursts") + F.col("gap")).alias("bursts")))
+    true = written(starts.select("groupby_col", "entry", F.lit(0).cast("long").alias("burst")))
+    while True:
+        fresh = true.join(jumps, ["groupby_col", "entry"]).select("groupby_col", F.col("to").alias("entry"), (F.col("burst") + F.col("bursts")).alias("burst"))
+        fresh = written(fresh.join(true, ["groupby_col", "entry"], "left_anti"))
+        if fresh.isEmpty():
+            break
+        true = true.unionByName(fresh)
+        second = jumps.select("groupby_col", F.col("entry").alias("to"), F.col("to").alias("further"), F.col("bursts").alias("more"))
+        jumps = written(jumps.join(second, ["groupby_col", "to"]).select("groupby_col", "entry", F.col("further").alias("to"), (F.col("bursts") + F.col("more")).alias("bursts")))
+
+    def walk(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("t")
+        t, started = rows["t"].to_numpy(), np.flatnonzero(rows["burst"].notna().to_numpy())
+        if not len(started):
+            return rows.iloc[:0].drop(columns=["chunk", "burst"]).assign(extra__burst=np.empty(0, np.int64))
+        ahead, i, keep, bursts, b = _steps_ahead(t, low), int(started[0]), [], [], int(rows["burst"].iloc[started[0]])
+        while i < len(t):
             keep.append(i)
-            burst.append(b)
-            if t[j] > t[i] + high:
-                b += 1
-            i = j
-        return rows.iloc[keep].assign(extra__burst=np.array(burst, dtype="int64"))
-
-    rows = df.where("groupby_col is not null").select("groupby_col", micros("fixtime").alias("t"), "lon", "lat")
-    out = rows.groupBy("groupby_col").applyInPandas(walk, "groupby_col string, t long, lon double, lat double, extra__burst long")
-    return out.select("groupby_col", at_micros("t").alias("fixtime"), "lon", "lat", "extra__burst")
+            bursts.append(b)
+            b += int(ahead[i] < len(t) and t[ahead[i]] > t[i] + high)
+            i = int(ahead[i])
+        return rows.iloc[keep].drop(columns=["chunk", "burst"]).assign(extra__burst=np.array(bursts, dtype=np.int64))
+
+    marked = fixes.join(true.select("groupby_col", F.col("entry").alias("t"), "burst"), ["groupby_col", "t"], "left")
+    walked = marked.groupBy("groupby_col", "chunk").applyInPandas(walk, "groupby_col string, t long, lon double, lat double, extra__burst long")
+    ends = leaves.where("next is null").select("groupby_col", F.col("leave").alias("t"))
+    return walked.join(ends, ["groupby_col", "t"], "left_anti").select("groupby_col", at_micros("t").alias("fixtime"), "lon", "lat", "extra__burst")
 
 
 def speed_steps(df: DataFrame) -> DataFrame:

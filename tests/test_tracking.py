@@ -109,6 +109,29 @@ def test_resampling_round_trip(spark):
     assert [r.fixtime for r in down] == [t(0), t(1), t(2), t(3), t(4)] and [r.extra__burst for r in down] == [0] * 5
 
 
+@pytest.mark.parametrize("chunk_hours,step,tolerance", [(1, 1.5, 0), (5, 2, 0.5), (24, 30, 1), (3, 0.01, 1)])
+def test_walks_in_chunks(spark, chunk_hours, step, tolerance):
+    """The walk over chunks equals the walk of a whole history, over gaps, chunks without fixes, long and short steps."""
+    rng = random.Random(chunk_hours)
+    rows = [("one", t(5), 1.0, 1.0, ""), (None, t(1), 0.0, 0.0, "")]
+    for s in "abc":
+        at = 0.0
+        for k in range(150):
+            at += rng.choice([0, 0.1, 0.5, 1, 1.3] + [40] * (k % 50 == 0))
+            rows.append((s, t(at), k / 100, 0.0, ""))
+    low, high = max((step - tolerance) * 3600, 1e-6), (step + tolerance) * 3600
+    want = []
+    for s in "abc":
+        times = sorted({r[1] for r in rows if r[0] == s})
+        i = burst = 0
+        while (j := next((k for k in range(i + 1, len(times)) if (times[k] - times[i]).total_seconds() >= low - 1e-9), None)) is not None:
+            want.append((s, times[i], burst))
+            burst += (times[j] - times[i]).total_seconds() > high
+            i = j
+    got = trajectory.downsample(fixes(spark, rows), step * 3600, tolerance * 3600, chunk_us=int(chunk_hours * 3600e6)).collect()
+    assert sorted((r.groupby_col, r.fixtime, r.extra__burst) for r in got) == sorted(want)
+
+
 def test_displacement_and_clusters(spark):
     segments = trajectory.from_fixes(fixes(spark, PATH))
     r = trajectory.displacement(segments).first()
