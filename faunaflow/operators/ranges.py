@@ -7,9 +7,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from faunaflow.functions.stages import written
+
 
 def weibull_fit(df: DataFrame, value: str, rounds: int = 30) -> tuple[float, float]:
     """Shape and scale of the likeliest Weibull distribution, by Newton steps over three sums a round."""
@@ -137,24 +139,55 @@ def hull(points: np.ndarray) -> np.ndarray:
     return np.array(chains)
 
 
-def hull_growth(df: DataFrame) -> DataFrame:
+def _merged(xs: pd.Series, ys: pd.Series, more_xs: pd.Series, more_ys: pd.Series) -> pd.DataFrame:
+    """The hull of each two hulls; a missing one adds nothing."""
+    each = [hull(np.c_[np.r_[x, u], np.r_[y, v]]) if u is not None else np.c_[x, y] for x, y, u, v in zip(xs, ys, more_xs, more_ys)]
+    return pd.DataFrame({"xs": [h[:, 0] for h in each], "ys": [h[:, 1] for h in each]})
+
+
+def _hulls_through(chunks: DataFrame) -> DataFrame:
+    """groupby_col, place, xs, ys: the hull of a subject's chunks up to and with each, by doubling the reach in each round."""
+    merged = F.pandas_udf(_merged, "xs array<double>, ys array<double>")
+    now, reach = written(chunks.select("groupby_col", "place", "xs", "ys")), 1
+    most = now.agg(F.max("place")).first()[0] or 0
+    while reach < most:
+        behind = now.select("groupby_col", (F.col("place") + reach).alias("place"), F.col("xs").alias("us"), F.col("ys").alias("vs"))
+        both = now.join(behind, ["groupby_col", "place"], "left").withColumn("h", merged("xs", "ys", "us", "vs"))
+        now, reach = written(both.select("groupby_col", "place", "h.xs", "h.ys")), 2 * reach
+    return now
+
+
+def hull_growth(df: DataFrame, chunk: str = "month") -> DataFrame:
     """groupby_col, day, area_km2 of the hull of all fixes so far (planar x, y in metres, day a date).
 
-    Each day's fixes shrink to the corners of their hull before a subject's days meet in one task.
+    Each day's fixes shrink to the corners of their hull, and so do the days of a chunk of time. Merging hulls is associative, so the
+    hull in front of every chunk comes from a parallel prefix over chunks; then a task grows the days of one chunk from it. Fixes
+    without a subject, day or place are left out.
     """
+    rows = df.where("groupby_col is not null and day is not null and x is not null and y is not null").select("groupby_col", "day", "x", "y")
+
+    def corners(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        h = hull(rows[["x", "y"]].to_numpy())
+        return pd.DataFrame({"groupby_col": key[0], "day": key[1], "x": h[:, 0], "y": h[:, 1]})
 
-    def corners(rows: pd.DataFrame) -> pd.DataFrame:
+    def whole(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         h = hull(rows[["x", "y"]].to_numpy())
-        return pd.DataFrame({"groupby_col": rows["groupby_col"].iloc[0], "day": rows["day"].iloc[0], "x": h[:, 0], "y": h[:, 1]})
+        return pd.DataFrame({"groupby_col": [key[0]], "chunk": [key[1]], "xs": [h[:, 0]], "ys": [h[:, 1]]})
 
-    def grow(rows: pd.DataFrame) -> pd.DataFrame:
-        now, out = np.empty((0, 2)), []
-        for day, part in rows.sort_values("day").groupby("day"):
+    def grow(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        now, out = rows.loc[rows["day"].isna(), ["x", "y"]].to_numpy(), []
+        for day, part in rows.dropna(subset=["day"]).sort_values("day").groupby("day"):
             now = hull(np.r_[now, part[["x", "y"]].to_numpy()])
             x, y = now[:, 0], now[:, 1]
-            out.append((rows["groupby_col"].iloc[0], day, abs(np.dot(x, np.roll(y, -1)) - np.dot(y, np.roll(x, -1))) / 2e6 if len(now) > 2 else 0.0))
+            out.append((key[0], day, abs(np.dot(x, np.roll(y, -1)) - np.dot(y, np.roll(x, -1))) / 2e6 if len(now) > 2 else 0.0))
         return pd.DataFrame(out, columns=["groupby_col", "day", "area_km2"])
 
-    rows = df.select("groupby_col", "day", "x", "y")
     days = rows.groupBy("groupby_col", "day").applyInPandas(corners, "groupby_col string, day date, x double, y double")
-    return days.groupBy("groupby_col").applyInPandas(grow, "groupby_col string, day date, area_km2 double")
+    days = written(days.withColumn("chunk", F.trunc("day", chunk)))
+    chunks = days.groupBy("groupby_col", "chunk").applyInPandas(whole, "groupby_col string, chunk date, xs array<double>, ys array<double>")
+    chunks = written(chunks.withColumn("place", F.row_number().over(Window.partitionBy("groupby_col").orderBy("chunk"))))
+    before = _hulls_through(chunks).withColumn("place", F.col("place") + 1).join(chunks.select("groupby_col", "place", "chunk"), ["groupby_col", "place"])
+    point = F.explode(F.arrays_zip("xs", "ys")).alias("p")
+    base = before.select("groupby_col", "chunk", F.lit(None).cast("date").alias("day"), point).select("groupby_col", "chunk", "day", F.col("p.xs").alias("x"), F.col("p.ys").alias("y"))
+    both = days.select("groupby_col", "chunk", "day", "x", "y").unionByName(base)
+    return both.groupBy("groupby_col", "chunk").applyInPandas(grow, "groupby_col string, day date, area_km2 double")

@@ -4,6 +4,7 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -216,6 +217,22 @@ def test_hull_growth(spark):
     assert [r.area_km2 for r in got] == [0.0, 0.5, 1.0]
 
 
+def test_hulls_grow_across_chunks(spark):
+    """Chunks of months equal one walk over all days, for subjects of one month and of many."""
+    rng, zero = random.Random(3), dt.date(2023, 11, 1)
+    rows = [(s, zero + dt.timedelta(days=rng.choice([0, 1, 40, 41, 100, 300, 301, 420, 700]) if s != "b" else 5), rng.gauss(0, 900), rng.gauss(0, 900)) for s in "abc" for _ in range(60)]
+    rows += [("d", zero, 1.0, 1.0), ("d", zero + dt.timedelta(days=90), 5.0, 5.0), (None, zero, 0.0, 0.0), ("e", None, 0.0, 0.0)]
+    got = ranges.hull_growth(spark.createDataFrame(rows, "groupby_col string, day date, x double, y double")).collect()
+    want = {}
+    for s in "abcd":
+        seen = np.empty((0, 2))
+        for day in sorted({r[1] for r in rows if r[0] == s}):
+            seen = np.r_[seen, [r[2:] for r in rows if r[:2] == (s, day)]]
+            h = ranges.hull(seen)
+            want[s, day] = abs(np.dot(h[:, 0], np.roll(h[:, 1], -1)) - np.dot(h[:, 1], np.roll(h[:, 0], -1))) / 2e6 if len(h) > 2 else 0.0
+    assert {(r.groupby_col, r.day): r.area_km2 for r in got} == pytest.approx(want)
+
+
 def test_weibull_fit(spark):
     rows = spark.range(20000).select((2.0 * F.pow(-F.log((F.col("id") + 0.5) / 20000), F.lit(1 / 1.5))).alias("v"))
     assert ranges.weibull_fit(rows, "v") == pytest.approx((1.5, 2.0), rel=1e-2)
