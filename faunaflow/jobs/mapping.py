@@ -52,6 +52,17 @@ c AS (SELECT *, ((ax - x1) * (fy - ay) - (ay - y1) * (bx - ax)) / nullif((x2 - x
 SELECT event_id, fence_id, round(x1 + t * (x2 - x1), 6) AS cross_x, round(y1 + t * (y2 - y1), 6) AS cross_y FROM c WHERE t BETWEEN 0 AND 1 AND u BETWEEN 0 AND 1""")(
     lambda s, d: P.fence_crossings(segments(s, d), fences(s)).select(F.col("extra__event_id").alias("event_id"), "fence_id", F.round("cross_x", 6).alias("cross_x"), F.round("cross_y", 6).alias("cross_y"))
 )
+@query("j8_fence_regions", SEG + """, f AS (SELECT k AS fence_id, 355e-1 + k AS ax, -2e0 AS ay, 365e-1 AS bx, 2e0 - 4 * k AS fy FROM (SELECT unnest(range(2)) AS k)),
+c AS (SELECT *, ((ax - x1) * (fy - ay) - (ay - y1) * (bx - ax)) / nullif((x2 - x1) * (fy - ay) - (y2 - y1) * (bx - ax), 0) AS t, ((ax - x1) * (y2 - y1) - (ay - y1) * (x2 - x1)) / nullif((x2 - x1) * (fy - ay) - (y2 - y1) * (bx - ax), 0) AS u FROM segments, f),
+h AS (SELECT event_id, fence_id, x1, y1, x2, y2 FROM c WHERE t BETWEEN 0 AND 1 AND u BETWEEN 0 AND 1)
+SELECT event_id, fence_id, 'level ' || fence_id AS warn_level, (SELECT string_agg(pk::VARCHAR, ',' ORDER BY pk::VARCHAR) FROM regions WHERE h.x1 BETWEEN x0 AND regions.x1 AND h.y1 BETWEEN y0 AND regions.y1) AS before,
+ (SELECT string_agg(pk::VARCHAR, ',' ORDER BY pk::VARCHAR) FROM regions WHERE h.x2 BETWEEN x0 AND regions.x1 AND h.y2 BETWEEN y0 AND regions.y1) AS after FROM h""".replace("WITH ", f"WITH {SQL_REGIONS}, ", 1))
+def j8_regions(s, d):
+    walls = fences(s).withColumn("warn_level", F.concat(F.lit("level "), "fence_id"))
+    rows = P.region_lists(P.fence_crossings(segments(s, d), walls), regions(s, d))
+    return rows.select(F.col("extra__event_id").alias("event_id"), "fence_id", "warn_level", F.array_join("start_region_ids", ",").alias("before"), F.array_join("end_region_ids", ",").alias("after"))
+
+
 query("j9_proximity", SEG + """SELECT event_id, pk AS feature_id, round(sqrt((px - t * dx) ** 2 + (py - t * dy) ** 2), 6) AS proximity FROM (SELECT *, greatest(0, least(1, coalesce((px * dx + py * dy) / nullif(dx * dx + dy * dy, 0), 0))) AS t
 FROM (SELECT event_id, pk, x2 - s.x1 AS dx, y2 - s.y1 AS dy, r.x0 - s.x1 AS px, r.y0 - s.y1 AS py FROM segments s, regions r))""")(
     lambda s, d: P.proximity(segments(s, d), regions(s, d).selectExpr("pk as feature_id", "ring[0].x as fx", "ring[0].y as fy")).select(F.col("extra__event_id").alias("event_id"), "feature_id", F.round("proximity", 6).alias("proximity"))

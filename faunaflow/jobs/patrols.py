@@ -77,7 +77,20 @@ query("j3_patrol_types", _P + ", t AS (SELECT DISTINCT event_type, 'type ' || ev
 def j5(s, d):
     df = events(s, d).select("event_id", "event_type", F.from_json("props", "map<string,string>").alias("event_details"))
     fields = s.range(2).select(F.lit("click").alias("event_type"), F.lit("k").alias("key"), F.when(F.col("id") == 0, "Number of").alias("title"), F.when(F.col("id") == 1, "7").alias("code"), F.when(F.col("id") == 1, "seven").alias("label"))
-    return E.titled_details(df, fields, "event_id").select("event_id", F.col("event_details")["Number of"].alias("number_of"), F.col("event_details")["k"].alias("k"))
+    return E.titled_details(df, fields).select("event_id", F.col("event_details")["Number of"].alias("number_of"), F.col("event_details")["k"].alias("k"))
+
+
+@query("j5_nested_details", """SELECT event_id, CASE event_type WHEN 'click' THEN '{"Kinds":["Click!","other",3],"Number of":' || CASE WHEN k = '7' THEN '"seven"' ELSE k END || ',"Parts":[{"Sub k":' || CASE WHEN k = '7' THEN '"SEVEN"' ELSE k END || ',"n":1},{"n":null}],"extra":{"a":[1]}}'
+WHEN 'view' THEN '{"k":' || k || ',"kinds":["view","other",3],"parts":[{"k":' || k || ',"n":1},{"n":null}],"extra":{"a":[1]}}' ELSE '{"k":' || k || ',"updates":[],"kinds":["' || event_type || '","other",3],"parts":[{"k":' || k || ',"n":1},{"n":null}],"extra":{"a":[1]}}' END AS details
+FROM (SELECT *, json_extract_string(props, '$.k') AS k FROM events)""")
+def j5_nested(s, d):
+    """Codes, lists of codes and lists of sub-forms; one type with a schema, one with an empty one, the others without."""
+    k = F.get_json_object("props", "$.k")
+    text = F.concat(F.lit('{"k":'), k, F.lit(',"updates":[],"kinds":["'), "event_type", F.lit('","other",3],"parts":[{"k":'), k, F.lit(',"n":1},{"n":null}],"extra":{"a":[1]}}'))
+    rows = [("kinds", None, 0, "Kinds", None, None), ("k", None, 1, "Number of", None, None), ("parts", None, 2, "Parts", None, None), ("parts", "k", 0, "Sub k", None, None)]
+    rows += [("k", None, 0, None, "7", "seven"), ("kinds", None, 0, None, "click", "Click!"), ("parts", "k", 0, None, "7", "SEVEN")]
+    fields = s.createDataFrame([("click", *r) for r in rows] + [("view", "k", None, 0, None, None, None)], "event_type string, key string, sub_key string, place int, title string, code string, label string")
+    return E.resolved_details(events(s, d).select("event_id", "event_type", text.alias("details")), fields, details="details").select("event_id", "details")
 
 
 @query("f5_f6_nested_patrols", "SELECT event_id, CAST(user_id AS VARCHAR) || '_' || strftime(ts, '%Y-%m-%d') AS patrol_id, event_type, epoch_us(ts) AS t FROM events WHERE event_id % 11 <> 0")

@@ -193,20 +193,34 @@ def first_by_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return df.withColumn("first_rank", rank).where("first_rank = 1").drop("first_rank")
 
 
-#: Words that a query may not hold, as whole words.
-BLOCKED = ["insert", "update", "delete", "drop", "create", "alter", "truncate", "attach", "detach", "pragma", "grant", "revoke", "merge", "load", "set", "add"]
+#: Words that a query may not hold, as whole words outside quotes.
+BLOCKED = ["drop", "create", "alter", "truncate", "insert", "update", "delete", "replace", "pragma", "attach"]
+#: Strings, quoted names, comments, words, and any other character.
+TOKENS = r"""(?s)'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|`[^`]*`|--[^\n]*|/\*.*?(?:\*/|$)|\w+|."""
 
 
 def run_sql(df: DataFrame, query: str) -> DataFrame:
-    """A single SELECT over the table ``df``; an empty query gives the frame back."""
-    text = query.strip().rstrip(";")
-    if not text:
+    """A single SELECT over the table ``df``; an empty query gives the frame back.
+
+    Words in strings and quoted names are not looked at. Comments, further statements and the words of BLOCKED raise ValueError, but
+    ``replace`` as a function is allowed.
+    """
+    text = query.strip()
+    tokens = re.findall(TOKENS, text)
+    while tokens and (tokens[-1] == ";" or tokens[-1].isspace()):
+        tokens.pop()
+    if not tokens:
         return df
-    if len(text) > 10_000 or ";" in text or not re.match(r"(?i)(select|with)\b", text):
+    if len(text) > 10_000 or ";" in tokens or tokens[0].lower() not in ("select", "with"):
         raise ValueError("only one SELECT of at most 10000 characters")
-    if found := [w for w in BLOCKED if re.search(rf"(?i)\b{w}\b", re.sub(r"'[^']*'", "", text))]:
+    if any(t.startswith(("--", "/*")) for t in tokens):
+        raise ValueError("comments are not allowed")
+    words = [(t.lower(), after.lstrip()[:1]) for t, after in zip(tokens, ["".join(tokens[i + 1 : i + 3]) for i in range(len(tokens))])]
+    if found := [w for w, after in words if w in BLOCKED and not (w == "replace" and after == "(")]:
         raise ValueError(f"not allowed: {found}")
-    return df.sparkSession.sql(re.sub(r"\bdf\b", "{df}", text), df=df)
+    # braces of the query's own stand for themselves
+    named = ["{df}" if t.lower() in ("df", "`df`") else t.replace("{", "{{").replace("}", "}}") for t in tokens]
+    return df.sparkSession.sql("".join(named), df=df)
 
 
 def hex_to_rgba(column: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Manual and automatic flags by filter number.
@@ -20,25 +20,35 @@ def in_range(df: DataFrame, time: str, since: str, until: str) -> DataFrame:
     return df.where((F.col(time) >= at(since)) & (F.col(time) <= at(until)))
 
 
-def select_patrols(df: DataFrame, since: str, until: str, types: list[str] | None = None, states: list[str] | None = None, overlap: bool = True) -> DataFrame:
-    """Patrols (patrol_type, state, start_time, end_time, serial_number) that overlap, or else start in, the range."""
+def select_patrols(df: DataFrame, since: str, until: str, types: list[str] | None = None, states: list[str] | None = None, overlap: bool = True, known: DataFrame | None = None) -> DataFrame:
+    """Patrols (patrol_type, state, start_time, end_time, serial_number) that overlap, or else start in, the range.
+
+    A type that ``known``, a table of types (value), lacks raises; without such a table the types of the patrols are known.
+    """
     at = lambda x: F.lit(x).cast("timestamp_ntz")
     first = F.col("start_time") <= at(until)
     chosen = first & (F.col("end_time").isNull() | (F.col("end_time") >= at(since))) if overlap else first & (F.col("start_time") >= at(since))
     rows = df.where(chosen)
     if types is not None:
-        known = {r[0] for r in df.select("patrol_type").where(F.col("patrol_type").isin(types)).distinct().collect()}
-        if missing := set(types) - known:
+        table = df.select("patrol_type") if known is None else known.select(F.col("value").alias("patrol_type"))
+        found = {r[0] for r in table.where(F.col("patrol_type").isin(types)).distinct().collect()}
+        if missing := set(types) - found:
             raise ValueError(f"unknown patrol types: {sorted(missing)}")
         rows = rows.where(F.col("patrol_type").isin(types))
     return (rows.where(F.col("state").isin(states)) if states is not None else rows).orderBy("serial_number")
 
 
-def select_events(df: DataFrame, types: list[str] | None, since: str, until: str, columns: list[str], drop_null_geometry: bool = True) -> DataFrame:
-    """Events by type and time, with location{lat, lon}, in order of time; absent columns raise KeyError."""
+def select_events(
+    df: DataFrame, types: list[str] | None, since: str, until: str, columns: list[str], drop_null_geometry: bool = True,
+    states: list[str] | None = None, categories: list[str] | None = None, updated_since: str | None = None,
+) -> DataFrame:
+    """Events by type, time, state, category and time of change (updated_at), with location{lat, lon}, in order of time; absent columns raise KeyError."""
     rows = in_range(df, "time", since, until)
-    if types:
-        rows = rows.where(F.col("event_type").isin(types))
+    for column, chosen in (("event_type", types), ("state", states), ("event_category", categories)):
+        if chosen:
+            rows = rows.where(F.col(column).isin(chosen))
+    if updated_since is not None:
+        rows = rows.where(F.col("updated_at") >= F.lit(updated_since).cast("timestamp_ntz"))
     if drop_null_geometry:
         rows = rows.where("lon is not null and lat is not null")
     rows = rows.withColumn("location", F.struct(F.col("lat"), F.col("lon")))
@@ -67,25 +77,104 @@ def patrol_tracks(fixes: DataFrame, patrols: DataFrame) -> DataFrame:
 
 
 def display_names(events: DataFrame, types: DataFrame, append_category: str = "never") -> DataFrame:
-    """events with event_type_display: the type's display name, else the type; the category where asked, or where one name covers several types."""
-    names = types.select(F.col("value").alias("event_type"), "display", F.coalesce("category_display", "category_value").alias("category"))
-    several = names.groupBy("display").agg((F.countDistinct("event_type") > 1).alias("several"))
-    names = names.join(several, "display", "left")
-    add = {"never": F.lit(False), "always": F.lit(True), "duplicates": F.coalesce("several", F.lit(False))}[append_category]
+    """events with event_type_display: the type's display name, else the type; with the category always, or where one name covers several
+    types that occur among the events. A type without a category gets itself in its place."""
+    names = types.dropDuplicates(["value"]).select(F.col("value").alias("event_type"), "display", F.coalesce("category_display", "category_value").alias("category"))
     name = F.coalesce("display", "event_type")
-    shown = F.when(add & F.col("category").isNotNull(), F.concat(name, F.lit(" ("), F.col("category"), F.lit(")"))).otherwise(name)
-    return events.join(names, "event_type", "left").select(*events.columns, shown.alias("event_type_display"))
-
-
-def titled_details(events: DataFrame, fields: DataFrame, id_col: str) -> DataFrame:
-    """Detail maps with keys and codes replaced by titles and labels from fields (event_type, key, title, code, label; code null for the title row)."""
-    each = events.select(id_col, "event_type", F.explode_outer("event_details").alias("k", "v"))
-    titles = fields.where("code is null").select("event_type", F.col("key").alias("k"), "title")
-    labels = fields.where("code is not null").select("event_type", F.col("key").alias("k"), F.col("code").alias("v"), "label")
-    named = each.join(titles, ["event_type", "k"], "left").join(labels, ["event_type", "k", "v"], "left")
-    pair = F.struct(F.coalesce("title", "k").alias("key"), F.coalesce("label", "v").alias("value"))
-    maps = named.groupBy(id_col).agg(F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("k").isNotNull(), pair)))).alias("event_details"))
-    return events.drop("event_details").join(maps, id_col, "left")
+    named = events.join(names, "event_type", "left")
+    present = events.select("event_type").where("event_type is not null").distinct().join(names, "event_type", "left").select("event_type", name.alias("shown"))
+    several = present.groupBy("shown").agg((F.count(F.lit(1)) > 1).alias("several")).where("several")
+    add = {"never": F.lit(False), "always": F.lit(True), "duplicates": F.coalesce("several", F.lit(False))}[append_category]
+    named = named.withColumn("shown", name).join(several, "shown", "left")
+    full = F.concat("shown", F.lit(" ("), F.coalesce("category", "event_type"), F.lit(")"))
+    return named.select(*events.columns, F.when(add, full).otherwise(F.col("shown")).alias("event_type_display"))
+
+
+#: Stands between the parts of a path of keys and codes.
+PART = "\u0001"
+
+
+def _by_type(fields: DataFrame) -> DataFrame:
+    """event_type, titles and labels (maps by path) and order (keys), one row for each type; see :func:`resolved_details`."""
+    sub = F.col("sub_key") if "sub_key" in fields.columns else F.lit(None).cast("string")
+    place = F.col("place") if "place" in fields.columns else F.lit(0)
+    rows = fields.select("event_type", "key", sub.alias("sub"), place.alias("place"), "title", "code", "label").withColumn("path", F.concat_ws(PART, "key", "sub"))
+    title, label = F.col("code").isNull(), F.col("code").isNotNull()
+    pairs = lambda when, k, v: F.map_from_entries(F.array_distinct(F.collect_list(F.when(when, F.struct(k, v)))))
+    once = rows.groupBy("event_type", "path", "code").agg(F.first("key").alias("key"), F.first("sub").alias("sub"), F.min("place").alias("place"), F.max("title").alias("title"), F.max("label").alias("label"))
+    got = once.groupBy("event_type").agg(
+        pairs(title & F.col("title").isNotNull(), F.col("path").alias("k"), F.col("title").alias("v")).alias("titles"),
+        pairs(label, F.concat_ws(PART, "path", "code").alias("k"), F.col("label").alias("v")).alias("labels"),
+        F.array_sort(F.collect_list(F.when(title & F.col("sub").isNull(), F.struct("place", "key")))).alias("order"),
+    )
+    return got.withColumn("order", F.col("order.key"))
+
+
+def _last_of_each(entries: Column, key: str, value: str) -> tuple[Column, Column]:
+    """The distinct keys of an array of structs in order, and the last value of each."""
+    keys = F.array_distinct(F.transform(entries, lambda e: e[key]))
+    return keys, F.transform(keys, lambda k: F.element_at(F.filter(entries, lambda e: e[key] == k), -1)[value])
+
+
+def titled_details(events: DataFrame, fields: DataFrame) -> DataFrame:
+    """Flat detail maps with keys and codes replaced by titles and labels from fields (event_type, key, title, code, label; code null for the title row).
+
+    Of keys with one title the last in the map stays. Fields are one row for each type, so events are not grouped.
+    """
+    rows = events.join(_by_type(fields), "event_type", "left")
+    found = lambda m, k, other: F.coalesce(F.try_element_at(F.col(m), k), other)
+    entry = lambda e: F.struct(found("titles", e["key"], e["key"]).alias("key"), found("labels", F.concat_ws(PART, e["key"], e["value"]), e["value"]).alias("value"))
+    keys, values = _last_of_each(F.transform(F.map_entries("event_details"), entry), "key", "value")
+    return rows.select(*[c for c in events.columns if c != "event_details"], F.map_from_arrays(keys, values).alias("event_details"))
+
+
+def _quoted(c: Column) -> Column:
+    """A string as JSON; null stays null."""
+    text = F.to_json(F.array(c))
+    return F.when(c.isNotNull(), F.substring(text, F.lit(2), F.length(text) - 2))
+
+
+def _object(entries: Column) -> Column:
+    """An array of (title, json) as a JSON object; of equal titles the last value, at the place of the first."""
+    titles, values = _last_of_each(entries, "title", "json")
+    return F.concat(F.lit("{"), F.array_join(F.zip_with(titles, values, lambda t, v: F.concat(_quoted(t), F.lit(":"), v)), ","), F.lit("}"))
+
+
+def resolved_details(events: DataFrame, fields: DataFrame, titles: bool = True, ordered: bool = True, details: str = "event_details") -> DataFrame:
+    """Detail objects, JSON text of any shape, rewritten by the schema of each event's type, as JSON text.
+
+    fields: event_type, key, sub_key (null but for fields of the sub-forms in a key's list), place, title, code, label; the rows without a
+    code name the keys and their order, those with one the labels of codes. Codes are replaced where they are a value, an
+    element of a list or a value in a list of sub-forms; keys become titles, unless titles is false. With ordered the
+    schema's keys come first, by place, then the others as they stand, without ``updates``. Types without a schema keep their details, and null or
+    invalid ones stay as they are. Fields are one row for each type: events are neither grouped nor exploded.
+    """
+    by_type = _by_type(fields).withColumn("known", F.lit(True))
+    rows = events.join(by_type, "event_type", "left")
+    rows = rows.withColumns({"values": F.from_json(details, "map<string,variant>"), "raw": F.from_json(details, "map<string,string>")})
+    text = lambda v: F.try_variant_get(v, "$", "string")
+    title = lambda path, key: F.coalesce(F.try_element_at("titles", path), key) if titles else key
+    resolve = lambda path, v: F.coalesce(_quoted(F.try_element_at("labels", F.concat_ws(PART, path, text(v)))), F.to_json(v))
+    listed = lambda items: F.concat(F.lit("["), F.array_join(items, ","), F.lit("]"))
+
+    def sub_form(key: Column, item: Column) -> Column:
+        path = lambda e: F.concat_ws(PART, key, e["key"])
+        return _object(F.transform(F.map_entries(item), lambda e: F.struct(title(path(e), e["key"]).alias("title"), resolve(path(e), e["value"]).alias("json"))))
+
+    def value(key: Column) -> Column:
+        v, raw = F.element_at("values", key), F.element_at("raw", key)
+        kind = F.schema_of_variant(v)
+        forms = F.transform(F.from_json(raw, "array<map<string,variant>>"), lambda item: sub_form(key, item))
+        codes = F.transform(F.from_json(raw, "array<variant>"), lambda item: resolve(key, item))
+        return F.when(kind.startswith("ARRAY<OBJECT"), listed(forms)).when(kind.startswith("ARRAY<"), listed(codes)).otherwise(resolve(key, v))
+
+    keys = F.map_keys("values")
+    if ordered:
+        first = F.filter("order", lambda k: F.map_contains_key("values", k))
+        keys = F.concat(first, F.filter(keys, lambda k: ~F.array_contains("order", k) & (k != "updates")))
+    entries = F.transform(keys, lambda k: F.struct(title(k, k).alias("title"), value(k).alias("json")))
+    done = F.when(F.col("known") & F.col("values").isNotNull() & (F.size("values") > 0), _object(entries)).otherwise(F.col(details))
+    return rows.select(*[c for c in events.columns if c != details], done.alias(details))
 
 
 def unpack_patrol_events(patrols: DataFrame) -> DataFrame:

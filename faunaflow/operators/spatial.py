@@ -58,23 +58,43 @@ def segments_in_regions(segments: DataFrame, regions: DataFrame, tile: float = 1
 
 
 def fence_crossings(segments: DataFrame, fences: DataFrame, tile: float = 1.0) -> DataFrame:
-    """Crossings of segments with fence pieces (fence_id, fence_name, ax, ay, bx, by): where, and when by the share of the way."""
+    """Crossings of segments with fence pieces (fence_id, fence_name, ax, ay, bx, by): where, and when by the share of the way.
+
+    A crossing where two pieces of a fence join counts once. Further columns of the fences, such as a warn level, stay.
+    """
     rows = segments.withColumns({"sx0": F.least("x1", "x2"), "sx1": F.greatest("x1", "x2"), "sy0": F.least("y1", "y2"), "sy1": F.greatest("y1", "y2")})
     walls = fences.withColumns({"wx0": F.least("ax", "bx"), "wx1": F.greatest("ax", "bx"), "wy0": F.least("ay", "by"), "wy1": F.greatest("ay", "by")})
     walls = _tiled(walls, "wx0", "wx1", "wy0", "wy1", tile).withColumnsRenamed({"tx0": "rx0", "ty0": "ry0"})
     met = _tiled(rows, "sx0", "sx1", "sy0", "sy1", tile).join(walls, ["tx", "ty"])
     met = met.where((F.col("tx") == F.greatest("tx0", "rx0")) & (F.col("ty") == F.greatest("ty0", "ry0")))
     met = met.withColumn("share", crossing(*[F.col(c) for c in ("x1", "y1", "x2", "y2", "ax", "ay", "bx", "by")])).where("share is not null")
+    more = [c for c in fences.columns if c not in ("fence_id", "fence_name", "ax", "ay", "bx", "by")]
+    plain = [c for c, kind in segments.dtypes if "map<" not in kind and "variant" not in kind]
+    met = met.withColumn("joint", F.round("share", 9)).dropDuplicates([*plain, "fence_id", "joint"])
     return met.select(
         *segments.columns,
         "fence_id",
         "fence_name",
+        *more,
         (F.col("x1") + F.col("share") * (F.col("x2") - F.col("x1"))).alias("cross_x"),
         (F.col("y1") + F.col("share") * (F.col("y2") - F.col("y1"))).alias("cross_y"),
         F.expr("timestampadd(MICROSECOND, cast(share * timestampdiff(MICROSECOND, segment_start, segment_end) as bigint), segment_start)").alias("crossing_time"),
     )
 
 
+def region_lists(crossings: DataFrame, regions: DataFrame, tile: float = 1.0) -> DataFrame:
+    """crossings with start_region_ids and end_region_ids: sorted keys of the regions that hold a segment's start, and its end; null where none does.
+
+    Only distinct places meet the regions, so a segment with many crossings is looked up once.
+    """
+    ends = crossings.select(F.explode(F.array(F.struct(F.col("x1").alias("px"), F.col("y1").alias("py")), F.struct(F.col("x2").alias("px"), F.col("y2").alias("py")))).alias("p")).select("p.*").distinct()
+    keyed = regions.select("pk", F.col("pk").cast("string").alias("name"), "ring")
+    held = points_in_regions(ends, keyed, "px", "py", tile).groupBy("px", "py").agg(F.array_sort(F.collect_set("spatial_index")).alias("ids"))
+    for to, x, y in (("start_region_ids", "x1", "y1"), ("end_region_ids", "x2", "y2")):
+        crossings = crossings.join(held.select(F.col("px").alias(x), F.col("py").alias(y), F.col("ids").alias(to)), [x, y], "left")
+    return crossings
+
+
 def proximity(segments: DataFrame, features: DataFrame) -> DataFrame:
     """Every segment with every point feature (feature_id, fx, fy) and their planar distance: the result is that product.
 

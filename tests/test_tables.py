@@ -129,7 +129,9 @@ def test_sql_is_one_select(spark):
     got = columns.run_sql(df, "SELECT g, sum(created_at) AS s, CASE WHEN max(created_at) IS NULL THEN 'none' ELSE 'some' END AS c FROM df GROUP BY g HAVING count(*) > 0 ORDER BY g;")
     assert [tuple(r) for r in got.collect()] == [("a", None, "none"), ("b", 12, "some")]
     assert columns.run_sql(df, " ") is df
-    for bad in ("DROP TABLE df", "SELECT 1; SELECT 2", "SELECT * FROM df WHERE (SELECT 1) = 1 UNION DELETE"):
+    words = columns.run_sql(spark.createDataFrame([("df", 1), ("x;y", 2), ("{z}", 3)], "b string, set int"), "SELECT set, replace(b, 'x', 'drop -- ') AS r FROM df WHERE b IN ('df', 'x;y', '{z}') ORDER BY `set` ; ")
+    assert [tuple(r) for r in words.collect()] == [(1, "df"), (2, "drop -- ;y"), (3, "{z}")]
+    for bad in ("DROP TABLE df", "SELECT 1; SELECT 2", "SELECT * FROM df WHERE (SELECT 1) = 1 UNION DELETE", "SELECT 1 -- no", "SELECT /* no */ 1", "SELECT * FROM df REPLACE", "WITH a AS (SELECT 1) INSERT INTO t SELECT * FROM a"):
         with pytest.raises(ValueError):
             columns.run_sql(df, bad)
 
@@ -166,6 +168,38 @@ def test_nested_patrols_and_names(spark):
     name = lambda mode: {r.event_type: r.event_type_display for r in events.display_names(seen, types, mode).collect()}
     assert name("never") == {"x": "Same", "y": "Same", "z": "Other", "w": "w"}
     assert name("duplicates") == {"x": "Same (Cat)", "y": "Same (c)", "z": "Other", "w": "w"}
+    assert name("always") == {"x": "Same (Cat)", "y": "Same (c)", "z": "Other (c)", "w": "w (w)"}
+    # only types that occur count
+    assert {r.event_type_display for r in events.display_names(seen.where("event_type = 'x'"), types, "duplicates").collect()} == {"Same"}
+
+
+def test_titles_and_nested_details(spark):
+    """Keys of one title keep the last value; codes are resolved in values, lists and sub-forms; other types keep their details."""
+    fields = [("t", "a", None, 1, "A", None, None), ("t", "b", None, 0, "A", None, None), ("t", "c", None, 2, "See \"c\"", None, None), ("t", "c", "s", 0, "S", None, None)]
+    fields += [("t", "a", None, 0, None, "1", "one"), ("t", "c", "s", 0, None, "x", "EX"), ("t", "c", None, 0, None, "p", "Pee")]
+    table = spark.createDataFrame(fields, "event_type string, key string, sub_key string, place int, title string, code string, label string")
+    flat = spark.createDataFrame([(1, "t", '{"b": "2", "a": "1"}'), (2, "u", '{"a": "1"}'), (3, "t", None)], "id int, event_type string, j string")
+    flat = flat.selectExpr("id", "event_type", "from_json(j, 'map<string,string>') AS event_details")
+    got = {r.id: r.event_details for r in events.titled_details(flat, table.where("sub_key is null")).collect()}
+    assert got == {1: {"A": "one"}, 2: {"a": "1"}, 3: None}
+    texts = ['{"a":1,"z":null,"c":[{"s":"x","s2":{"k":[1]}},{"s":2}],"updates":1}', '{"c":["p","q",3],"b":"é","a":"1"}', "{}", "oops", None, '{"c":[]}', '{"a":1,"updates":2}']
+    nested = spark.createDataFrame([(k, "u" if k == 6 else "t", x) for k, x in enumerate(texts)], "id int, event_type string, event_details string")
+    got = {r.id: r.event_details for r in events.resolved_details(nested, table).collect()}
+    assert got == {0: '{"A":"one","See \\"c\\"":[{"S":"EX","s2":{"k":[1]}},{"S":2}],"z":null}', 1: '{"A":"one","See \\"c\\"":["Pee","q",3]}', 2: "{}", 3: "oops", 4: None, 5: '{"See \\"c\\"":[]}', 6: texts[6]}
+    plain = {r.id: r.event_details for r in events.resolved_details(nested, table, titles=False, ordered=False).collect()}
+    assert plain[0] == '{"a":"one","z":null,"c":[{"s":"EX","s2":{"k":[1]}},{"s":2}],"updates":1}'
+
+
+def test_selections_by_type_table_state_and_change(spark):
+    at = N(2024, 1, 5)
+    patrols = spark.createDataFrame([("t", "s", at, at, 1)], "patrol_type string, state string, start_time timestamp_ntz, end_time timestamp_ntz, serial_number int")
+    known = spark.createDataFrame([("t",), ("unused",)], "value string")
+    assert events.select_patrols(patrols, "2024-01-01", "2024-01-09", ["unused"], known=known).collect() == []
+    with pytest.raises(ValueError):
+        events.select_patrols(patrols, "2024-01-01", "2024-01-09", ["other"], known=known)
+    rows = spark.createDataFrame([(k, "x", at, s, c, N(2024, 2, u), 1.0, 2.0) for k, (s, c, u) in enumerate([("new", "a", 1), ("new", "b", 3), ("done", "a", 3), (None, None, 3)])], "id int, event_type string, time timestamp_ntz, state string, event_category string, updated_at timestamp_ntz, lon double, lat double")
+    pick = lambda **k: {r.id for r in events.select_events(rows, None, "2024-01-01", "2024-01-09", ["id"], **k).collect()}
+    assert pick() == {0, 1, 2, 3} and pick(states=["new"]) == {0, 1} and pick(categories=["a"]) == {0, 2} and pick(updated_since="2024-02-02") == {1, 2, 3}
 
 
 def test_patrol_tracks_of_open_and_overlapping_patrols(spark):

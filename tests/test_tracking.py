@@ -152,6 +152,20 @@ def test_points_in_regions(spark):
     assert got == [(1, "2"), (1, "one"), (3, "one")]
 
 
+def test_crossings_at_joints_and_regions(spark):
+    """A crossing at the joint of two pieces counts once; regions hold the ends of a segment, or none does."""
+    pieces = [(1, "f", "high", 0.0, -1.0, 0.0, 0.0), (1, "f", "high", 0.0, 0.0, 0.0, 1.0), (2, "g", "low", 0.5, -1.0, 0.5, 1.0)]
+    fences = spark.createDataFrame(pieces, "fence_id int, fence_name string, warn_level string, ax double, ay double, bx double, by double")
+    rows = [("a", t(0), t(1), -1.0, 0.0, 1.0, 0.0), ("b", t(0), t(1), -5.0, 0.25, 0.25, 0.25), ("c", t(0), t(1), 3.0, 0.0, 4.0, 0.0)]
+    df = spark.createDataFrame(rows, "groupby_col string, segment_start timestamp_ntz, segment_end timestamp_ntz, x1 double, y1 double, x2 double, y2 double")
+    ring = lambda a, b: [{"x": x, "y": y} for x, y in [(a, -1.0), (b, -1.0), (b, 1.0), (a, 1.0)]]
+    regions = spark.createDataFrame([(7, "r", ring(-2.0, 0.1)), (8, "r", ring(-3.0, 2.0))], "pk long, name string, ring array<struct<x:double,y:double>>")
+    crossed = spatial.fence_crossings(df, fences)
+    assert sorted((r.groupby_col, r.fence_id, r.warn_level, r.cross_x) for r in crossed.collect()) == [("a", 1, "high", 0.0), ("a", 2, "low", 0.5), ("b", 1, "high", 0.0)]
+    got = {(r.groupby_col, r.fence_id): (r.start_region_ids, r.end_region_ids, r.crossing_time) for r in spatial.region_lists(crossed, regions).collect()}
+    assert got[("a", 1)] == (["7", "8"], ["8"], t(0.5)) and got[("a", 2)][:2] == (["7", "8"], ["8"]) and got[("b", 1)][:2] == (None, ["8"])
+
+
 def test_segments_are_cut_by_regions(spark):
     ring = [{"x": x, "y": y} for x, y in [(0.0, 0.0), (3.0, 0.0), (3.0, 3.0), (2.0, 3.0), (2.0, 1.0), (1.0, 1.0), (1.0, 3.0), (0.0, 3.0)]]
     regions = spark.createDataFrame([(1, "u", ring)], "pk long, name string, ring array<struct<x:double,y:double>>")
