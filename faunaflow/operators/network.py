@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from faunaflow.functions.stages import written
 from faunaflow.functions.times import micros
 
 
@@ -65,6 +64,7 @@ def degree(e: DataFrame) -> DataFrame:
 
 def collective_influence(e: DataFrame, radius: int = 1) -> DataFrame:
     """node, influence: degree times (the sum of degree - 1 over all nodes within the radius, itself included, less its degree)."""
+    e = written(e)
     links, deg = both_ways(e), degree(e)
     reach = deg.select("groupby_col", "node", F.col("node").alias("seen"))
     for _ in range(radius):
@@ -75,40 +75,44 @@ def collective_influence(e: DataFrame, radius: int = 1) -> DataFrame:
     return total.join(deg, ["groupby_col", "node"]).select("groupby_col", "node", (F.col("degree") * (F.col("total") - F.col("degree"))).alias("influence"))
 
 
-def betweenness(e: DataFrame, cutoff: int | None = None) -> DataFrame:
-    """groupby_col, cx, cy, betweenness: shortest paths through each node, by breadth-first search over one subject's graph a task."""
-
-    def brandes(rows: pd.DataFrame) -> pd.DataFrame:
-        a, b = list(zip(rows["ax"], rows["ay"])), list(zip(rows["bx"], rows["by"]))
-        names = sorted(set(a) | set(b))
-        place = {n: i for i, n in enumerate(names)}
-        near: list[list[int]] = [[] for _ in names]
-        for p, q in zip(a, b):
-            near[place[p]].append(place[q])
-            near[place[q]].append(place[p])
-        score = np.zeros(len(names))
-        for s in range(len(names)):
-            dist, paths, order, before = {s: 0}, {s: 1.0}, [s], {s: []}
-            for v in order:
-                if cutoff is not None and dist[v] >= cutoff:
-                    continue
-                for w in near[v]:
-                    if w not in dist:
-                        dist[w], paths[w], before[w] = dist[v] + 1, 0.0, []
-                        order.append(w)
-                    if dist[w] == dist[v] + 1:
-                        paths[w] += paths[v]
-                        before[w].append(v)
-            gain = dict.fromkeys(order, 0.0)
-            for w in reversed(order):
-                for v in before[w]:
-                    gain[v] += paths[v] / paths[w] * (1 + gain[w])
-                if w != s:
-                    score[w] += gain[w] / 2
-        return pd.DataFrame({"groupby_col": rows["groupby_col"].iloc[0], "cx": [n[0] for n in names], "cy": [n[1] for n in names], "betweenness": score})
-
-    flat = e.select("groupby_col", F.col("a.cx").alias("ax"), F.col("a.cy").alias("ay"), F.col("b.cx").alias("bx"), F.col("b.cy").alias("by"))
-    return flat.groupBy("groupby_col").applyInPandas(brandes, "groupby_col string, cx long, cy long, betweenness double")
+def _paths_from(links: DataFrame, sources: DataFrame, cutoff: int | None) -> list[DataFrame]:
+    """Level by level from each source: groupby_col, source, node, paths (the number of shortest paths)."""
+    found = [written(sources.select("groupby_col", "source", F.col("source").alias("node"), F.lit(1.0).alias("paths")))]
+    seen = found[0].select("groupby_col", "source", "node")
+    while cutoff is None or len(found) <= cutoff:
+        step = found[-1].withColumnRenamed("node", "a").join(links, ["groupby_col", "a"]).groupBy("groupby_col", "source", F.col("b").alias("node")).agg(F.sum("paths").alias("paths"))
+        fresh = written(step.join(seen, ["groupby_col", "source", "node"], "left_anti"))
+        if fresh.isEmpty():
+            break
+        found.append(fresh)
+        # a neighbour of a level lies in it, or in the one before or after
+        seen = found[-2].unionByName(fresh).select("groupby_col", "source", "node")
+    return found
+
+
+def betweenness(e: DataFrame, cutoff: int | None = None, batches: int = 1) -> DataFrame:
+    """groupby_col, cx, cy, betweenness: the shares of shortest paths, of at most ``cutoff`` steps, that lead through each node.
+
+    Levels of all searches advance together, as joins of (subject, source, node) with the edges: forwards the number of shortest paths
+    adds up, backwards each node's share goes to its predecessors. No task holds a graph, and a subject's searches are dealt out
+    by source and node. The rows of a search tree are needed for every source; ``batches`` takes a part of the sources at a time.
+    """
+    links = written(both_ways(e.where("groupby_col is not null")))
+    nodes_ = written(links.select("groupby_col", F.col("a").alias("source")).distinct())
+    key, parts = ["groupby_col", "source", "node"], []
+    for batch in range(batches):
+        levels = _paths_from(links, nodes_.where(F.pmod(F.xxhash64("groupby_col", "source"), F.lit(batches)) == batch), cutoff)
+        share = None
+        for level, before in zip(levels[:0:-1], levels[-2::-1]):
+            now = level.withColumn("share", F.lit(0.0)) if share is None else level.join(share, key, "left").na.fill(0.0, ["share"])
+            parts.append(now.select("groupby_col", "node", "share"))
+            back = now.withColumnRenamed("node", "a").join(links, ["groupby_col", "a"]).select("groupby_col", "source", F.col("b").alias("node"), ((1 + F.col("share")) / F.col("paths")).alias("part"))
+            share = back.join(before, key).groupBy(*key).agg((F.sum("part") * F.first("paths")).alias("share"))
+            share = written(share)
+    shares = nodes_.select("groupby_col", F.col("source").alias("node"), F.lit(0.0).alias("share"))
+    for part in parts:
+        shares = shares.unionByName(part)
+    return shares.groupBy("groupby_col", "node").agg((F.sum("share") / 2).alias("betweenness")).select("groupby_col", "node.cx", "node.cy", "betweenness")
 
 
 def mosaic(n: DataFrame, feature: str) -> DataFrame:

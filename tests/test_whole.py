@@ -279,3 +279,47 @@ def test_lookups_in_a_table_of_times(spark):
         assert found.get(k, []) == ([i for _, i in order[max(0, own[0] - 2) : own[0] + 3]] if own else [])
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan and "SinglePartition" not in plan
+
+
+def test_betweenness_against_single_searches(spark):
+    """Random graphs of several subjects, one in two parts, with and without a cutoff, sources at once and in batches."""
+    import random
+    from collections import defaultdict
+
+    from faunaflow.operators.network import betweenness
+
+    rng, pairs = random.Random(5), set()
+    for s, n, m in (("a", 12, 18), ("b", 7, 6), ("c", 2, 1)):
+        while sum(p[0] == s for p in pairs) < m:
+            x, y = sorted(rng.sample(range(n), 2))
+            pairs.add((s, (x, -x), (y, -y)))
+    df = spark.createDataFrame(sorted(pairs), "groupby_col string, a struct<cx:long,cy:long>, b struct<cx:long,cy:long>")
+
+    def plain(cutoff):
+        near, score = defaultdict(set), {}
+        for s, x, y in pairs:
+            near[s, x].add((s, y))
+            near[s, y].add((s, x))
+        score = dict.fromkeys(near, 0.0)
+
+        def routes(a, b):
+            """All shortest paths between two nodes, by growing every path."""
+            paths, seen = [[a]], {a}
+            while paths:
+                if done := [p for p in paths if p[-1] == b]:
+                    return done
+                paths = [[*p, n] for p in paths for n in near[p[-1]] if n not in seen]
+                seen |= {p[-1] for p in paths}
+            return []
+
+        for a in near:
+            for b in near:
+                if a < b and a[0] == b[0] and (found := routes(a, b)) and (cutoff is None or len(found[0]) - 1 <= cutoff):
+                    for p in found:
+                        for n in p[1:-1]:
+                            score[n] += 1 / len(found)
+        return score
+
+    for cutoff, batches in ((None, 1), (2, 3)):
+        got = {(r.groupby_col, (r.cx, r.cy)): r.betweenness for r in betweenness(df, cutoff, batches).collect()}
+        assert got == pytest.approx(plain(cutoff))
