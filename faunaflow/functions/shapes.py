@@ -82,3 +82,33 @@ def bounds(ring: str) -> list[Column]:
     """The box of a ring: bx0, by0, bx1, by1."""
     xs, ys = F.transform(ring, lambda p: p["x"]), F.transform(ring, lambda p: p["y"])
     return [F.array_min(xs).alias("bx0"), F.array_min(ys).alias("by0"), F.array_max(xs).alias("bx1"), F.array_max(ys).alias("by1")]
+
+
+def segment_to_shape(kind: Column, path: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
+    """The planar distance of a segment to a point, a line or a polygon, given as an array of struct<x, y>.
+
+    It is 0 where they meet and where the segment lies in the polygon.
+    """
+    after = F.concat(F.slice(path, 2, F.size(path)), F.array(F.when(kind == "polygon", path[0]).otherwise(F.element_at(path, -1))))
+    sides = F.zip_with(path, after, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+
+    def to(side: Column) -> Column:
+        a, b = (side["a"]["x"], side["a"]["y"]), (side["b"]["x"], side["b"]["y"])
+        ends = [point_to_segment(*p, x1, y1, x2, y2) for p in (a, b)] + [point_to_segment(*p, *a, *b) for p in ((x1, y1), (x2, y2))]
+        return F.when(crossing(x1, y1, x2, y2, *a, *b).isNotNull(), F.lit(0.0)).otherwise(F.least(*ends))
+
+    return F.when((kind == "polygon") & contains(path, x1, y1), F.lit(0.0)).otherwise(F.array_min(F.transform(sides, to)))
+
+
+def meets_box(ring: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
+    """Whether a ring and a box have a point in common: a corner in the other, or sides that cross."""
+    walls = [(x0, y0, x1, y0), (x1, y0, x1, y1), (x1, y1, x0, y1), (x0, y1, x0, y0)]
+
+    def enters(side: Column) -> Column:
+        a, b = side["a"], side["b"]
+        found = a["x"].between(x0, x1) & a["y"].between(y0, y1)
+        for wall in walls:
+            found = found | crossing(a["x"], a["y"], b["x"], b["y"], *wall).isNotNull()
+        return found
+
+    return F.exists(edges(ring), enters) | contains(ring, x0, y0)

@@ -89,7 +89,12 @@ def series(s, d):
 
 _STD = "WITH m AS (SELECT event_type AS series, ts::DATE AS img_date, avg(value) AS m FROM events GROUP BY 1, 2), n AS (SELECT series, img_date, (m - min(m) OVER w) / (max(m) OVER w - min(m) OVER w) AS ndvi FROM m WINDOW w AS (PARTITION BY series))"
 query("a25_standardise", _STD + " SELECT series, strftime(img_date, '%Y-%m-%d') AS day, round(ndvi, 6) AS ndvi FROM n")(lambda s, d: series(s, d).select("series", F.date_format("img_date", "yyyy-MM-dd").alias("day"), F.round("ndvi", 6).alias("ndvi")))
-query("a25_value_cuts")(lambda s, d: s.range(1).select(*[F.lit(c).alias(f"cut_{i}") for i, c in enumerate(S.value_cuts(series(s, d), 2))]))
+@query("a25_value_cuts")
+def a25_cuts(s, d):
+    cuts = S.value_cuts(series(s, d), 2)
+    return s.createDataFrame([tuple(cuts)] if cuts else [], "cut_0 double, cut_1 double, cut_2 double")
+
+
 _WINDOWS = _STD + """, b AS (SELECT *, CASE WHEN ndvi <= 4e-1 THEN 'dry' WHEN ndvi <= 7e-1 THEN 'mid' ELSE 'wet' END AS season FROM n), r AS (SELECT *, (season IS DISTINCT FROM lag(season) OVER (PARTITION BY series ORDER BY img_date))::INT AS c FROM b),
 q AS (SELECT *, sum(c) OVER (PARTITION BY series ORDER BY img_date) AS run FROM r) SELECT series, season, strftime(min(img_date), '%Y-%m-%d') AS start, strftime(max(img_date) + 1, '%Y-%m-%d') AS "end" FROM q GROUP BY series, run, season"""
 query("w9_seasonal_windows", _WINDOWS)(

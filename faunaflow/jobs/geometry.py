@@ -119,7 +119,10 @@ def _metric_segments(s, d):
 @query("a16_elliptical_density")
 def a16(s, d):
     rows = _metric_segments(s, d)
-    shape, scale = R.weibull_fit(rows, "speed_kmhr")
+    fit = R.weibull_fit(rows, "speed_kmhr")
+    if fit is None:
+        return s.createDataFrame([], "ix long, iy long, density double")
+    shape, scale = fit
     top, *box = rows.agg(F.max("speed_kmhr"), *[f(g(f"{k}1", f"{k}2")) for f, g in ((F.min, F.least), (F.max, F.greatest)) for k in "xy"]).first()
     # a largest speed below an observed one would leave that segment without cells
     fastest = max(R.weibull_quantile(0.9999, shape, scale), 1.05 * top)
@@ -128,6 +131,11 @@ def a16(s, d):
     return near.select("ix", "iy", F.round("density", 6).alias("density"))
 
 
-query("g8_weibull")(lambda s, d: s.range(1).select(*[F.round(F.lit(v), 4).alias(n) for n, v in zip(("shape", "scale"), R.weibull_fit(segments(s, d), "speed_kmhr"))]))
+@query("g8_weibull")
+def g8(s, d):
+    fit = R.weibull_fit(segments(s, d), "speed_kmhr")
+    return s.createDataFrame([fit] if fit else [], "shape double, scale double").select(F.round("shape", 4).alias("shape"), F.round("scale", 4).alias("scale"))
+
+
 query("a26_hull_growth")(lambda s, d: R.hull_growth(L.projected(standard(s, d)).withColumn("day", F.to_date("fixtime"))).select("groupby_col", "day", F.round("area_km2", 3).alias("area_km2")))
 query("a4_merged_coverage")(lambda s, d: S.coverage_cells(_metric_segments(s, d), 2000.0, 500.0).agg(F.count(F.lit(1)).alias("cells"), (F.count(F.lit(1)) * 0.25).alias("area_km2")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from faunaflow.functions.times import micros
-from faunaflow.jobs.tables import SQL_FIXES, SQL_REGIONS, SQL_SEGMENTS, fixes, regions
+from faunaflow.jobs.tables import SQL_FIXES, SQL_REGIONS, SQL_SEGMENTS, fixes, regions, table
 from faunaflow.jobs.tracking import segments
 from faunaflow.operators import density as D
 from faunaflow.operators import spatial as P
@@ -67,6 +67,36 @@ query("j9_proximity", SEG + """SELECT event_id, pk AS feature_id, round(sqrt((px
 FROM (SELECT event_id, pk, x2 - s.x1 AS dx, y2 - s.y1 AS dy, r.x0 - s.x1 AS px, r.y0 - s.y1 AS py FROM segments s, regions r))""")(
     lambda s, d: P.proximity(segments(s, d), regions(s, d).selectExpr("pk as feature_id", "ring[0].x as fx", "ring[0].y as fy")).select(F.col("extra__event_id").alias("event_id"), "feature_id", F.round("proximity", 6).alias("proximity"))
 )
+def shapes(s, d):
+    """Of each nation's rectangle the two halves on a diagonal as a polygon and a line, by odd and even keys."""
+    x, y = "34e0 + (n_nationkey % 5)", "-2e0 + 8e-1 * (n_nationkey div 5)"
+    corner = lambda a, b: f"named_struct('x', {x} + {a}, 'y', {y} + {b})"
+    triangle, line = f"array({corner(0, 0)}, {corner(1, 0)}, {corner(0, '8e-1')})", f"array({corner(0, 0)}, {corner(1, '8e-1')})"
+    return table(s, d, "nation").selectExpr("n_nationkey as feature_id", "if(n_nationkey % 2 = 1, 'polygon', 'line') as kind", f"if(n_nationkey % 2 = 1, {triangle}, {line}) as path")
+
+
+def _to_segment(px, py, ax, ay, bx, by):
+    t = f"greatest(0, least(1, coalesce((({px} - {ax}) * ({bx} - {ax}) + ({py} - {ay}) * ({by} - {ay})) / nullif(({bx} - {ax}) ** 2 + ({by} - {ay}) ** 2, 0), 0)))"
+    return f"sqrt(({px} - {ax} - {t} * ({bx} - {ax})) ** 2 + ({py} - {ay} - {t} * ({by} - {ay})) ** 2)"
+
+
+_SHAPES = SEG + f""", corners AS (SELECT n_nationkey AS pk, n_nationkey % 2 = 1 AS poly, 34e0 + (n_nationkey % 5) AS x, -2e0 + 8e-1 * (n_nationkey // 5) AS y FROM nation),
+pieces AS (SELECT pk, poly, x, y, x AS ax, y AS ay, x + 1 AS bx, CASE WHEN poly THEN y ELSE y + 8e-1 END AS wy FROM corners UNION ALL SELECT pk, poly, x, y, x + 1, y, x, y + 8e-1 FROM corners WHERE poly UNION ALL SELECT pk, poly, x, y, x, y + 8e-1, x, y FROM corners WHERE poly),
+met AS (SELECT *, (x2 - x1) * (wy - ay) - (y2 - y1) * (bx - ax) AS det FROM segments, pieces),
+near AS (SELECT event_id, pk, min(CASE WHEN poly AND x1 >= x AND y1 >= y AND (x1 - x) + (y1 - y) / 8e-1 <= 1 THEN 0
+  WHEN ((ax - x1) * (wy - ay) - (ay - y1) * (bx - ax)) / nullif(det, 0) BETWEEN 0 AND 1 AND ((ax - x1) * (y2 - y1) - (ay - y1) * (x2 - x1)) / nullif(det, 0) BETWEEN 0 AND 1 THEN 0
+  ELSE least({_to_segment("ax", "ay", "x1", "y1", "x2", "y2")}, {_to_segment("bx", "wy", "x1", "y1", "x2", "y2")}, {_to_segment("x1", "y1", "ax", "ay", "bx", "wy")}, {_to_segment("x2", "y2", "ax", "ay", "bx", "wy")}) END) AS proximity FROM met GROUP BY 1, 2) """
+query("j9_proximity_to_shapes", _SHAPES + "SELECT event_id, pk AS feature_id, round(proximity, 6) AS proximity FROM near")(
+    lambda s, d: P.proximity(segments(s, d), shapes(s, d)).select(F.col("extra__event_id").alias("event_id"), "feature_id", F.round("proximity", 6).alias("proximity"))
+)
+query("j9_nearest_shape", _SHAPES + "SELECT event_id, round(min(proximity), 6) AS proximity FROM near GROUP BY 1")(
+    lambda s, d: P.nearest_features(segments(s, d).withColumnRenamed("extra__event_id", "event_id"), ["event_id"], shapes(s, d)).select("event_id", F.round("proximity", 6).alias("proximity"))
+)
+query("g4_mesh_over_shapes", """WITH c AS (SELECT 34e0 + (n_nationkey % 5) AS x, -2e0 + 8e-1 * (n_nationkey // 5) AS y FROM nation WHERE n_nationkey % 2 = 1),
+b AS (SELECT *, unnest(range(floor(x / 29e-2)::BIGINT, floor((x + 1) / 29e-2)::BIGINT + 1)) AS ix FROM c), g AS (SELECT *, unnest(range(floor(y / 17e-2)::BIGINT, floor((y + 8e-1) / 17e-2)::BIGINT + 1)) AS iy FROM b)
+SELECT DISTINCT ix, iy FROM g WHERE greatest(ix * 29e-2, x) - x + (greatest(iy * 17e-2, y) - y) / 8e-1 <= 1""")(
+    lambda s, d: P.mesh_over(shapes(s, d).where("kind = 'polygon'").withColumnRenamed("path", "ring"), 0.29, 0.17).select("ix", "iy")
+)
 query("g4_mesh_grid", FIX + """, e AS (SELECT floor(min(lon) / 25e-2)::BIGINT AS fx, floor(min(lat) / 2e-1)::BIGINT AS fy, ceil(max(lon) / 25e-2)::BIGINT AS tx, ceil(max(lat) / 2e-1)::BIGINT AS ty FROM fixes)
 SELECT (ix - fx) * (ty - fy) + iy - fy AS cell_id, round(ix * 25e-2, 6) AS x0, round(iy * 2e-1, 6) AS y0 FROM (SELECT *, unnest(range(fx, tx)) AS ix FROM e) a, LATERAL (SELECT unnest(range(a.fy, a.ty)) AS iy) b""")(
     lambda s, d: P.mesh_grid(s, *_extent(fixes(s, d)), 0.25, 0.2).select("cell_id", F.round("x0", 6).alias("x0"), F.round("y0", 6).alias("y0"))

@@ -37,7 +37,7 @@ def patrols(s, d):
 
 _P = "WITH p AS (SELECT CAST(user_id AS VARCHAR) AS leader_id, CAST(user_id AS VARCHAR) || '_' || strftime(ts, '%Y-%m-%d') AS patrol_id, min(ts) AS start_time, max(ts) AS end_time, min(event_id) AS serial_number, arg_min(event_type, event_id) AS patrol_type, CASE WHEN count(*) > 2 THEN 'done' ELSE 'open' END AS state FROM events GROUP BY 1, 2) "
 query("p13_select_patrols", _P + "SELECT patrol_id, serial_number FROM p WHERE start_time <= TIMESTAMP '2024-01-12' AND end_time >= TIMESTAMP '2024-01-08' AND patrol_type IN ('click', 'view') AND state = 'done' ORDER BY 2")(
-    lambda s, d: E.select_patrols(patrols(s, d), "2024-01-08", "2024-01-12", ["click", "view"], ["done"]).select("patrol_id", "serial_number")
+    lambda s, d: E.select_patrols(patrols(s, d), "2024-01-08", "2024-01-12", ["click", "view"], ["done"], known=s.createDataFrame([("click",), ("view",), ("error",)], "value string")).select("patrol_id", "serial_number")
 )
 query("p14_select_events", "SELECT event_id, event_type FROM events WHERE event_type IN ('click', 'error') AND ts BETWEEN TIMESTAMP '2024-01-03' AND TIMESTAMP '2024-01-09' AND event_id % 7 <> 0")(
     lambda s, d: E.select_events(
@@ -137,7 +137,10 @@ query("n4_collective_influence", _E + """, r AS (SELECT groupby_col, node, node
 SELECT groupby_col, sum(degree * (total - degree))::BIGINT AS influence, max(degree * (total - degree))::BIGINT AS most FROM t JOIN g USING (groupby_col, node) GROUP BY 1""")(
     lambda s, d: N.collective_influence(graph(s, d)).groupBy("groupby_col").agg(F.sum("influence").alias("influence"), F.max("influence").alias("most"))
 )
-query("n5_betweenness")(lambda s, d: N.betweenness(graph(s, d)).withColumn("betweenness", F.round("betweenness", 4)))
+query("n5_betweenness", _E + """, w AS (WITH RECURSIVE r(groupby_col, s, n, d, c) AS (SELECT DISTINCT groupby_col, a, a, 0, 1e0 FROM l UNION ALL
+  SELECT r.groupby_col, s, b, d + 1, sum(c) FROM r JOIN l ON l.groupby_col = r.groupby_col AND l.a = r.n WHERE d < 30 GROUP BY 1, 2, 3, 4) SELECT groupby_col, s, n, min(d) AS d, arg_min(c, d) AS c FROM r GROUP BY 1, 2, 3),
+v AS (SELECT x.groupby_col, x.n, sum(x.c * y.c / z.c) / 2 AS share FROM w x JOIN w y ON y.groupby_col = x.groupby_col AND y.s = x.n AND y.d > 0 JOIN w z ON z.groupby_col = x.groupby_col AND z.s = x.s AND z.n = y.n AND z.d = x.d + y.d WHERE x.d > 0 GROUP BY 1, 2)
+SELECT q.groupby_col, node[1] AS cx, node[2] AS cy, round(coalesce(share, 0), 4) AS betweenness FROM (SELECT DISTINCT groupby_col, a AS node FROM l) q LEFT JOIN v ON v.groupby_col = q.groupby_col AND v.n = q.node""")(lambda s, d: N.betweenness(graph(s, d)).withColumn("betweenness", F.round("betweenness", 4)))
 query("n6_mosaic", SEG + """, n AS (SELECT groupby_col, floor(x1 / 5e-2)::BIGINT AS cx, floor(y1 / 5e-2)::BIGINT AS cy, avg(speed_kmhr) AS v FROM segments GROUP BY 1, 2, 3) SELECT cx, cy, round(avg(v), 3) AS speed_kmhr FROM n GROUP BY 1, 2""")(
     lambda s, d: N.mosaic(N.nodes(segments(s, d), 0.05, ["speed_kmhr"]), "speed_kmhr").where("speed_kmhr is not null").withColumn("speed_kmhr", F.round("speed_kmhr", 3))
 )

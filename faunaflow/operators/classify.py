@@ -15,17 +15,19 @@ PARTS = 128
 
 
 def breaks(df: DataFrame, column: str, scheme: str, k: int = 5, multiples: tuple = (-2, -1, 1, 2), min_gap: float = 0.0) -> list[float]:
-    """Upper bounds of the classes, ascending: a few numbers from one aggregation."""
+    """Upper bounds of the classes, ascending: a few numbers from one aggregation; none where the column has no value."""
     c = F.col(column)
     known = df.where(c.isNotNull() & ~F.isnan(c.cast("double"))).select(c.cast("double").alias("v"))
     if scheme == "equal_interval":
         low, high = known.agg(F.min("v"), F.max("v")).first()
-        return [low + (high - low) * i / k for i in range(1, k)] + [high]
+        return [] if low is None else [low + (high - low) * i / k for i in range(1, k)] + [high]
     if scheme == "quantile":
-        return sorted(set(known.agg(F.percentile("v", F.array(*[F.lit(i / k) for i in range(1, k + 1)])).alias("q")).first()["q"]))
+        return sorted(set(known.agg(F.percentile("v", F.array(*[F.lit(i / k) for i in range(1, k + 1)])).alias("q")).first()["q"] or []))
     if scheme == "std_mean":
         mean, dev, high = known.agg(F.avg("v"), F.stddev_samp("v"), F.max("v")).first()
-        found = [mean + m * dev for m in multiples]
+        if mean is None:
+            return []
+        found = [mean + m * (dev or 0.0) for m in multiples]
         return found if found[-1] >= high else [*found, high]
     if scheme == "max_breaks":
         # gaps between neighbouring distinct values; the widest k - 1. Values are dealt out over parts of about
@@ -38,7 +40,8 @@ def breaks(df: DataFrame, column: str, scheme: str, k: int = 5, multiples: tuple
         across = edges.withColumn("after", F.lead("low").over(Window.orderBy("part"))).select("v", "after")
         gaps = within.unionByName(across).where(F.col("after") - F.col("v") > min_gap)
         top = gaps.orderBy((F.col("after") - F.col("v")).desc(), F.col("v").desc()).limit(k - 1).select(((F.col("v") + F.col("after")) / 2).alias("m"))
-        return sorted([*(r["m"] for r in top.collect()), known.agg(F.max("v")).first()[0]])
+        most = known.agg(F.max("v")).first()[0]
+        return [] if most is None else sorted([*(r["m"] for r in top.collect()), most])
     if scheme in ("fisher_jenks", "natural_breaks"):
         return _optimal(known, k)
     raise ValueError(f"unknown scheme: {scheme}")
@@ -94,6 +97,8 @@ def _optimal(known: DataFrame, k: int) -> list[float]:
     """
     counts = known.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
     mean = known.agg(F.avg("v")).first()[0]
+    if mean is None:
+        return []
     d, n = F.col("v") - F.lit(mean), F.col("n")
     rows = counts.select("v", "n", (d * n).alias("s"), (d * d * n).alias("q"))
     ends = lambda got: _best_ends(*(got[c].to_numpy(float) for c in "nsq"), min(k, len(got)))
@@ -116,7 +121,9 @@ def _optimal(known: DataFrame, k: int) -> list[float]:
 
 
 def classify(df: DataFrame, column: str, out: str, bounds: list[float], labels: list | None = None, ranges: bool = False, decimals: int = 1) -> DataFrame:
-    """df with the label of the first bound that is not below the value: the bound, a range of bounds, or a given label."""
+    """df with the label of the first bound that is not below the value: the bound, a range of bounds, or a given label; without bounds null."""
+    if not bounds:
+        return df.withColumn(out, F.lit(None).cast("string" if ranges else "double" if labels is None else "int" if all(isinstance(x, int) for x in labels) else "string"))
     if labels is not None and len(labels) != len(bounds):
         raise ValueError(f"{len(bounds)} classes, {len(labels)} labels")
     if ranges:

@@ -13,20 +13,34 @@ from pyspark.sql import functions as F
 from faunaflow.functions.stages import written
 
 
-def weibull_fit(df: DataFrame, value: str, rounds: int = 30) -> tuple[float, float]:
-    """Shape and scale of the likeliest Weibull distribution, by Newton steps over three sums a round."""
-    rows = df.where(F.col(value) > 0).select(F.col(value).cast("double").alias("x")).groupBy(F.round("x", 3).alias("x")).agg(F.count(F.lit(1)).alias("n")).where("x > 0")
-    k = 1.0
-    mean_log = rows.agg((F.sum(F.log("x") * F.col("n")) / F.sum("n")).alias("m")).first()["m"]
+def weibull_fit(df: DataFrame, value: str, rounds: int = 30) -> tuple[float, float] | None:
+    """Shape and scale of the likeliest Weibull distribution of the values above zero; None where fewer than two differ.
+
+    Distinct values and their counts are written once. One pass over them tries a range of shapes, then Newton steps of three
+    sums each refine the best. Values are taken relative to the largest, so that no power overflows.
+    """
+    rows = df.where(F.col(value) > 0).groupBy(F.col(value).cast("double").alias("x")).agg(F.count(F.lit(1)).alias("n"))
+    rows = written(rows.where("not isnan(x)"))
+    total, mean_log, least, most = rows.agg(F.sum("n"), F.sum(F.log("x") * F.col("n")), F.min("x"), F.max("x")).first()
+    if total is None or least == most:
+        return None
+    mean_log /= total
+    log, power = F.log("x"), lambda k: F.pow(F.col("x") / most, F.lit(float(k))) * F.col("n")
+
+    def slope(k: float, a: float, b: float) -> float:
+        """Rises with k and is zero at the likeliest shape."""
+        return b / a - 1 / k - mean_log
+
+    tried = [2.0**e for e in range(-6, 7)]
+    sums = rows.agg(*[f for k in tried for f in (F.sum(power(k)), F.sum(power(k) * log))]).first()
+    k = max([t for i, t in enumerate(tried) if slope(t, *sums[2 * i : 2 * i + 2]) < 0], default=tried[0])
     for _ in range(rounds):
-        p, log = F.pow("x", F.lit(k)) * F.col("n"), F.log("x")
-        a, b, c = rows.agg(F.sum(p), F.sum(p * log), F.sum(p * log * log)).first()
-        step = (b / a - 1 / k - mean_log) / ((c * a - b * b) / (a * a) + 1 / (k * k))
+        a, b, c = rows.agg(F.sum(power(k)), F.sum(power(k) * log), F.sum(power(k) * log * log)).first()
+        step = slope(k, a, b) / ((c * a - b * b) / (a * a) + 1 / (k * k))
         k = max(k - step, k / 4)
-        if abs(step) < 1e-9:
+        if abs(step) < 1e-10 * k:
             break
-    total = rows.agg(F.sum(F.pow("x", F.lit(k)) * F.col("n")) / F.sum("n")).first()[0]
-    return k, total ** (1 / k)
+    return k, most * (rows.agg(F.sum(power(k))).first()[0] / total) ** (1 / k)
 
 
 def weibull_pdf(x, shape: float, scale: float):

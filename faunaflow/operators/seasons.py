@@ -39,13 +39,16 @@ def standardise(df: DataFrame, value: str) -> DataFrame:
 
 
 def value_cuts(values: DataFrame, seasons: int) -> list[float]:
-    """Cuts between the components of a Gaussian mixture over all values, with infinite ends."""
+    """Cuts between the components of a Gaussian mixture over all values, with infinite ends; none without values."""
     import math
 
     import numpy as np
     from pyspark.ml.clustering import GaussianMixture
     from pyspark.ml.feature import VectorAssembler
 
+    values = values.where("ndvi is not null")
+    if values.isEmpty():
+        return []
     rows = VectorAssembler(inputCols=["ndvi"], outputCol="v").transform(values.select("ndvi"))
     model = GaussianMixture(k=seasons, featuresCol="v", seed=42, maxIter=100).fit(rows)
     parts = sorted((float(g.mean[0]), math.sqrt(float(g.cov.toArray()[0, 0]))) for g in model.gaussians)

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faunaflow.functions.geodesy import with_geodesic
-from faunaflow.functions.shapes import bounds, clip, contains, crossing, point_to_segment
+from faunaflow.functions.shapes import bounds, clip, contains, crossing, meets_box, point_to_segment, segment_to_shape
+from faunaflow.functions.stages import written
 
 
 def _tile(c: Column, size: float) -> Column:
@@ -95,19 +96,77 @@ def region_lists(crossings: DataFrame, regions: DataFrame, tile: float = 1.0) ->
     return crossings
 
 
+def _distance(features: DataFrame) -> Column:
+    """Of a segment to a feature: a point (fx, fy), or a shape (kind: point, line or polygon; path)."""
+    ends = [F.col(c) for c in ("x1", "y1", "x2", "y2")]
+    return segment_to_shape(F.col("kind"), F.col("path"), *ends) if "path" in features.columns else point_to_segment(F.col("fx"), F.col("fy"), *ends)
+
+
 def proximity(segments: DataFrame, features: DataFrame) -> DataFrame:
-    """Every segment with every point feature (feature_id, fx, fy) and their planar distance: the result is that product.
+    """Every segment with every feature, points (feature_id, fx, fy) or shapes (feature_id, kind, path), and their planar distance.
+
+    The result is that product. Features are few by definition; Spark broadcasts them below its size threshold and pairs blocks
+    otherwise. For many features take :func:`nearest_features`.
+    """
+    return segments.crossJoin(features).withColumn("proximity", _distance(features))
 
-    Features are few by definition; Spark broadcasts them below its size threshold and pairs blocks otherwise.
+
+def nearest_features(segments: DataFrame, key: list[str], features: DataFrame, tile: float = 0.25) -> DataFrame:
+    """key, feature_id, proximity: the nearest shape (feature_id, kind, path) of each segment, of several as near the least id.
+
+    Segments look for features in tiles within one side of a tile of their box. A feature found within that distance is the
+    nearest; segments that find none look again in tiles twice as wide, until one tile is as wide as everything. So work follows the
+    features nearby, and the number of rounds the logarithm of the widest gap. Without features there are no rows.
+    """
+    ends = ["x1", "y1", "x2", "y2"]
+    left = written(segments.select(*key, *ends).where(" and ".join(f"{c} is not null" for c in ends)))
+    shapes = written(features.select("feature_id", "kind", "path", *bounds("path")))
+    low = [F.min(F.least(*c)) for c in (("x1", "x2"), ("y1", "y2"))]
+    high = [F.max(F.greatest(*c)) for c in (("x1", "x2"), ("y1", "y2"))]
+    own, other = left.agg(*low, *high).first(), shapes.agg(F.min("bx0"), F.min("by0"), F.max("bx1"), F.max("by1")).first()
+    found = None
+    if own[0] is None or other[0] is None:
+        return left.select(*key).join(shapes.select("feature_id", F.lit(0.0).alias("proximity")).where("false"))
+    widest = max(max(own[i + 2], other[i + 2]) - min(own[i], other[i]) for i in (0, 1))
+    while True:
+        box = left.withColumns({"sx0": F.least("x1", "x2") - tile, "sx1": F.greatest("x1", "x2") + tile, "sy0": F.least("y1", "y2") - tile, "sy1": F.greatest("y1", "y2") + tile})
+        walls = _tiled(shapes, "bx0", "bx1", "by0", "by1", tile).withColumnsRenamed({"tx0": "rx0", "ty0": "ry0"})
+        met = _tiled(box, "sx0", "sx1", "sy0", "sy1", tile).join(walls, ["tx", "ty"])
+        met = met.where((F.col("tx") == F.greatest("tx0", "rx0")) & (F.col("ty") == F.greatest("ty0", "ry0")))
+        best = met.groupBy(*key).agg(F.min(F.struct(_distance(shapes).alias("proximity"), "feature_id")).alias("best"))
+        best = best.select(*key, "best.feature_id", "best.proximity")
+        last = tile >= widest
+        best = written(best if last else best.where(F.col("proximity") <= tile))
+        found = best if found is None else found.unionByName(best)
+        if last:
+            return found
+        left = written(left.join(best.select(*key), key, "left_anti"))
+        if left.isEmpty():
+            return found
+        tile *= 2
+
+
+def mesh_over(regions: DataFrame, xlen: float, ylen: float, origin: tuple[float, float] = (0.0, 0.0)) -> DataFrame:
+    """ix, iy and bounds of the boxes that meet any of the rings, borders included; lines of the grid pass through the origin.
+
+    An existing grid is matched by the lower left corner of one of its cells as origin. Each region lays out the boxes of its own extent.
     """
-    dist = point_to_segment(*[F.col(c) for c in ("fx", "fy", "x1", "y1", "x2", "y2")])
-    return segments.crossJoin(features).withColumn("proximity", dist)
+    ox, oy = origin
+    rows = regions.select("ring", *bounds("ring"))
+    place = lambda c, o, size: F.floor((F.col(c) - o) / size)
+    rows = rows.withColumn("ix", F.explode(F.sequence(place("bx0", ox, xlen), place("bx1", ox, xlen))))
+    rows = rows.withColumn("iy", F.explode(F.sequence(place("by0", oy, ylen), place("by1", oy, ylen))))
+    box = {"x0": F.col("ix") * xlen + ox, "y0": F.col("iy") * ylen + oy, "x1": (F.col("ix") + 1) * xlen + ox, "y1": (F.col("iy") + 1) * ylen + oy}
+    rows = rows.withColumns(box)
+    return rows.where(meets_box(F.col("ring"), *[F.col(c) for c in box])).select("ix", "iy", *box).distinct()
 
 
 def mesh_grid(spark: SparkSession, x0: float, y0: float, x1: float, y1: float, xlen: float, ylen: float) -> DataFrame:
     """cell_id, ix, iy and bounds of boxes over an extent, from an origin snapped down to whole cells; x varies slowest."""
     import math
 
+    if x0 is None:  # an extent of nothing
+        x0 = y0 = x1 = y1 = 0.0
     fx, fy = math.floor(x0 / xlen), math.floor(y0 / ylen)
     nx, ny = math.ceil(x1 / xlen) - fx, math.ceil(y1 / ylen) - fy
     cells = spark.range(nx * ny).select(F.col("id").alias("cell_id"), F.expr(f"id div {ny} + {fx}").alias("ix"), F.expr(f"id % {ny} + {fy}").alias("iy"))

@@ -247,6 +247,39 @@ def test_hulls_grow_across_chunks(spark):
     assert {(r.groupby_col, r.day): r.area_km2 for r in got} == pytest.approx(want)
 
 
+def test_distances_to_shapes(spark):
+    """Points, lines and polygons, crossed, touched, around and far away; the nearest of all, also far beyond the first tiles."""
+    path = lambda *p: [{"x": float(x), "y": float(y)} for x, y in p]
+    rows = [(1, "point", path((3, 0))), (2, "line", path((0, 1), (2, 1), (2, 5))), (3, "polygon", path((-9, -9), (-5, -9), (-5, -5), (-9, -5))), (4, "line", path((500, 0), (500, 9)))]
+    features = spark.createDataFrame(rows, "feature_id int, kind string, path array<struct<x:double,y:double>>")
+    segments = [("a", 0.0, 0.0, 1.0, 0.0), ("b", 1.0, 0.0, 1.0, 2.0), ("c", -8.0, -8.0, -7.0, -8.0), ("d", -4.0, -7.0, -3.0, -7.0), ("e", 480.0, 3.0, 480.0, 4.0), ("f", 3.0, 0.0, 3.0, 0.0)]
+    df = spark.createDataFrame(segments, "id string, x1 double, y1 double, x2 double, y2 double")
+    got = {(r.id, r.feature_id): r.proximity for r in spatial.proximity(df, features).collect()}
+    assert len(got) == 24
+    want = {("a", 1): 2, ("a", 2): 1, ("b", 2): 0, ("c", 3): 0, ("d", 3): 1, ("e", 4): 20, ("f", 1): 0, ("f", 2): math.sqrt(2), ("a", 3): math.hypot(5, 5)}
+    assert {k: got[k] for k in want} == pytest.approx(want)
+    near = {r.id: (r.feature_id, r.proximity) for r in spatial.nearest_features(df, ["id"], features, tile=0.3).collect()}
+    assert near == {i: min((got[i, f], f) for f in range(1, 5))[::-1] for i in "abcdef"}
+    assert spatial.nearest_features(df, ["id"], features.limit(0)).collect() == []
+
+
+def test_grid_over_polygons(spark):
+    """Boxes within, around, across and beside a ring, on a shifted grid too."""
+    ring = lambda *p: [{"x": x, "y": y} for x, y in p]
+    cells = lambda rings, *a: {(r.ix, r.iy) for r in spatial.mesh_over(spark.createDataFrame([(r,) for r in rings], "ring array<struct<x:double,y:double>>"), *a).collect()}
+    assert cells([ring((0.5, 0.5), (3.5, 0.5), (0.5, 3.5))], 1.0, 1.0) == {(i, j) for i in range(4) for j in range(4) if i + j <= 4}
+    assert cells([ring((0.2, 0.2), (0.4, 0.2), (0.3, 0.4)), ring((0.1, 0.1), (0.3, 0.1), (0.2, 0.3))], 1.0, 1.0) == {(0, 0)}
+    assert cells([ring((0.2, 0.2), (0.4, 0.2), (0.3, 0.4))], 1.0, 1.0, (0.3, 0.0)) == {(-1, 0), (0, 0)}
+    u = ring((0.1, 0.1), (2.9, 0.1), (2.9, 2.9), (2.1, 2.9), (2.1, 0.9), (0.9, 0.9), (0.9, 2.9), (0.1, 2.9))
+    assert cells([u], 1.0, 1.0) == {(0, 0), (1, 0), (2, 0), (0, 1), (2, 1), (0, 2), (2, 2)}
+
+
+def test_weibull_fit_of_slow_speeds_and_of_none(spark):
+    rows = spark.range(20000).select((3e-4 * F.pow(-F.log((F.col("id") + 0.5) / 20000), F.lit(1 / 0.8))).alias("v"))
+    assert ranges.weibull_fit(rows, "v") == pytest.approx((0.8, 3e-4), rel=1e-2)
+    assert ranges.weibull_fit(rows.limit(0), "v") is None and ranges.weibull_fit(rows.selectExpr("0.0 AS v"), "v") is None
+
+
 def test_weibull_fit(spark):
     rows = spark.range(20000).select((2.0 * F.pow(-F.log((F.col("id") + 0.5) / 20000), F.lit(1 / 1.5))).alias("v"))
     assert ranges.weibull_fit(rows, "v") == pytest.approx((1.5, 2.0), rel=1e-2)

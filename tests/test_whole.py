@@ -323,3 +323,11 @@ def test_betweenness_against_single_searches(spark):
     for cutoff, batches in ((None, 1), (2, 3)):
         got = {(r.groupby_col, (r.cx, r.cy)): r.betweenness for r in betweenness(df, cutoff, batches).collect()}
         assert got == pytest.approx(plain(cutoff))
+
+
+def test_queries_of_empty_tables(spark, tmp_path):
+    """Statistics of nothing give no rows and raise nothing."""
+    spark.createDataFrame([], "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    every = registry.queries()
+    for name in ("c1_equal_interval", "c1_quantile", "c1_std_mean", "c1_max_breaks", "c1_ranges", "c2_fisher_jenks", "a25_value_cuts", "g4_mesh_grid", "a17_track_density", "a16_elliptical_density", "g8_weibull", "p13_select_patrols"):
+        assert every[name](spark, str(tmp_path)).collect() == [], name
