@@ -139,3 +139,5 @@ def g8(s, d):
 
 query("a26_hull_growth")(lambda s, d: R.hull_growth(L.projected(standard(s, d)).withColumn("day", F.to_date("fixtime"))).select("groupby_col", "day", F.round("area_km2", 3).alias("area_km2")))
 query("a4_merged_coverage")(lambda s, d: S.coverage_cells(_metric_segments(s, d), 2000.0, 500.0).agg(F.count(F.lit(1)).alias("cells"), (F.count(F.lit(1)) * 0.25).alias("area_km2")))
+
+query("a4_merged_area")(lambda s, d: S.coverage_area(_metric_segments(s, d), 2000.0, ["groupby_col"]).select("groupby_col", F.round("area_km2", 3).alias("area_km2")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from faunaflow.operators.columns import convert_unit, half_even
@@ -124,3 +124,44 @@ def coverage_cells(df: DataFrame, width: float, cell: float) -> DataFrame:
     dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
     t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.try_divide(px * dx + py * dy, dx * dx + dy * dy), F.lit(0.0))))
     return cells.where(F.hypot(px - t * dx, py - t * dy) <= r).select("ix", "iy").distinct()
+
+
+def _islands(rows: DataFrame, by: list[str]) -> DataFrame:
+    """by, l, r: the union of intervals, as intervals that do not meet."""
+    along = Window.partitionBy(*by).orderBy("l", "r")
+    before = F.max("r").over(along.rowsBetween(Window.unboundedPreceding, -1))
+    marked = rows.withColumn("fresh", F.coalesce(F.col("l") > before, F.lit(True)).cast("int")).withColumn("island", F.sum("fresh").over(along))
+    return marked.groupBy(*by, "island").agg(F.min("l").alias("l"), F.max("r").alias("r")).drop("island")
+
+
+def coverage_area(df: DataFrame, swath: float, by: list[str] = (), strips: int = 32, salts: int = 16) -> DataFrame:
+    """by, area_km2: the ground that lies within half a swath of any segment (planar x1, y1, x2, y2 in metres), overlaps once.
+
+    A segment's ground is convex, so it meets each of the parallel lines, ``strips`` to a swath, in one interval, which follows from
+    the row itself. The union of the intervals of a line is exact; between lines the area of a circle is off by about 0.5 / strips^1.5
+    of it, longer ground by less. Intervals are cut at tiles, and those of one tile and line are merged in salted groups before they
+    meet, so a place that a third of all segments share costs no task more than its islands. Without segments the area is 0.
+    """
+    by, radius, height, tile = list(by), swath / 2, swath / strips, 64 * swath
+    rows = df.where("x1 is not null and y1 is not null and x2 is not null and y2 is not null").select(*by, "x1", "y1", "x2", "y2").withColumn("salt", F.pmod(F.xxhash64("x1", "y1", "x2", "y2"), F.lit(salts)))
+    first, last = F.ceil((F.least("y1", "y2") - radius) / height - 0.5), F.floor((F.greatest("y1", "y2") + radius) / height - 0.5)
+    rows = rows.withColumns({"first": first, "last": last, "length": F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))}).where("first <= last")
+    rows = rows.withColumn("line", F.explode(F.sequence("first", "last"))).withColumn("y", (F.col("line") + 0.5) * height)
+
+    def cap(x: str, y: str) -> Column:
+        """Half the interval of the circle about an end; null beyond it."""
+        rest = radius * radius - (F.col("y") - F.col(y)) ** 2
+        return F.when(rest >= 0, F.sqrt(F.greatest(rest, F.lit(0.0))))
+
+    def side(sign: int) -> Column:
+        """Where the line meets the straight side to the left or right of the segment."""
+        nx, ny = -(F.col("y2") - F.col("y1")) * sign * radius / F.col("length"), (F.col("x2") - F.col("x1")) * sign * radius / F.col("length")
+        share = F.try_divide(F.col("y") - F.col("y1") - ny, F.col("y2") - F.col("y1"))
+        return F.when(F.col("length") > 0, F.when(share.between(0, 1), F.col("x1") + nx + share * (F.col("x2") - F.col("x1"))))
+
+    a, b, ends = cap("x1", "y1"), cap("x2", "y2"), [side(1), side(-1)]
+    rows = rows.select(*by, "line", "salt", F.least(F.col("x1") - a, F.col("x2") - b, *ends).alias("l"), F.greatest(F.col("x1") + a, F.col("x2") + b, *ends).alias("r")).where("l < r")
+    rows = rows.withColumn("tile", F.explode(F.sequence(F.floor(F.col("l") / tile), F.floor(F.col("r") / tile))))
+    rows = rows.withColumns({"l": F.greatest("l", F.col("tile") * tile), "r": F.least("r", (F.col("tile") + 1) * tile)})
+    merged = _islands(_islands(rows, [*by, "line", "tile", "salt"]).drop("salt"), [*by, "line", "tile"])
+    return merged.groupBy(*by).agg((F.coalesce(F.sum(F.col("r") - F.col("l")), F.lit(0.0)) * height / 1e6).alias("area_km2"))

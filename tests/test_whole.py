@@ -331,3 +331,23 @@ def test_queries_of_empty_tables(spark, tmp_path):
     every = registry.queries()
     for name in ("c1_equal_interval", "c1_quantile", "c1_std_mean", "c1_max_breaks", "c1_ranges", "c2_fisher_jenks", "a25_value_cuts", "g4_mesh_grid", "a17_track_density", "a16_elliptical_density", "g8_weibull", "p13_select_patrols"):
         assert every[name](spark, str(tmp_path)).collect() == [], name
+
+
+def test_area_of_merged_ground(spark):
+    """One line, two that overlap, one in both directions and many times, a point, none; against formulas and a fine raster."""
+    from faunaflow.operators.summary import coverage_area
+
+    frame = lambda rows: spark.createDataFrame([(g, *map(float, r)) for g, *r in rows], "g string, x1 double, y1 double, x2 double, y2 double")
+    area = lambda rows, **k: {r.g: r.area_km2 for r in coverage_area(frame(rows), 500.0, ["g"], **k).collect()}
+    one = 1000 * 500 / 1e6 + math.pi * 0.25**2
+    lines = [("flat", 0, 0, 1000, 0), ("steep", 10, 20, 10, 1020), ("slant", 0, 0, 600, 800), ("point", 5, 5, 5, 5)]
+    got = area(lines)
+    assert got == pytest.approx({"flat": one, "steep": one, "slant": one, "point": math.pi * 0.25**2}, rel=5e-3)
+    assert area([("a", *lines[2][1:]), ("a", 600, 800, 0, 0)] * 20)["a"] == pytest.approx(got["slant"], rel=1e-9)
+    both = [("x", 0, 0, 1000, 0), ("x", 500, -500, 500, 500), ("x", 100_000, 0, 101_000, 0)]
+    xs, ys = np.meshgrid(np.arange(-300, 1300, 4.0) + 2, np.arange(-800, 800, 4.0) + 2)
+    far = lambda x1, y1, x2, y2: np.hypot(xs - x1 - (t := np.clip(((xs - x1) * (x2 - x1) + (ys - y1) * (y2 - y1)) / ((x2 - x1) ** 2 + (y2 - y1) ** 2), 0, 1)) * (x2 - x1), ys - y1 - t * (y2 - y1))
+    union = ((far(0, 0, 1000, 0) <= 250) | (far(500, -500, 500, 500) <= 250)).sum() * 16 / 1e6
+    assert area(both)["x"] == pytest.approx(union + one, rel=5e-3)
+    assert area(both, strips=128, salts=1)["x"] == pytest.approx(union + one, rel=3e-3)
+    assert coverage_area(frame([]), 500.0).first().area_km2 == 0.0
