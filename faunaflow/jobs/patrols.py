@@ -171,6 +171,15 @@ _D = "WITH d AS (SELECT event_type, day(ts) AS day, count(*) AS n, avg(value) AS
 query("a27_linear_trend", _D + "SELECT event_type, round(regr_slope(n, day), 6) AS slope, round(regr_intercept(n, day), 6) AS intercept, round(regr_r2(n, day), 6) AS r_squared, round(regr_syy(n, day) * (1 - regr_r2(n, day)) / count(*), 4) AS mse FROM d GROUP BY 1")(
     lambda s, d: T.linear_trend(daily(s, d), "event_type", "day", "n").select("event_type", *[F.round(c, 6).alias(c) for c in ("slope", "intercept", "r_squared")], F.round("mse", 4).alias("mse"))
 )
-query("a27_poisson_trend")(lambda s, d: T.glm_trend(daily(s, d), "event_type", "day", "n").withColumns({c: F.round(c, 6) for c in ("intercept", "slope")}))
+query("a27_poisson_trend")(lambda s, d: T.glm_trend(daily(s, d), "event_type", "day", "n").withColumns({c: F.round(c, 6) for c in ("intercept", "slope", "r_squared", "mse", "aic", "bic")}))
+query("a27_linear_bounds", _D + """, f AS (SELECT event_type, count(*) AS n, regr_slope(n, day) AS b, regr_intercept(n, day) AS a, avg(day) AS c, regr_sxx(n, day) AS sxx, regr_syy(n, day) * (1 - regr_r2(n, day)) AS rss FROM d GROUP BY 1)
+SELECT event_type, day::DOUBLE AS x, round(a + b * day, 4) AS mean, round(sqrt(rss / (f.n - 2) * (1 / f.n::DOUBLE + (day - c) ** 2 / sxx)), 5) AS error FROM d JOIN f USING (event_type)""")(
+    lambda s, d: T.linear_prediction(daily(s, d), "event_type", "day", "n").select("event_type", "x", F.round("mean", 4).alias("mean"), F.round("error", 5).alias("error"))
+)
+query("a27_gamma_bounds")(lambda s, d: T.glm_prediction(daily(s, d), "event_type", "day", "v", "gamma").withColumns({c: F.round(c, 6) for c in ("mean", "lower", "upper")}))
+for criterion in T.CRITERIA:
+    query(f"a28_spline_by_{criterion}")(
+        lambda s, d, criterion=criterion: T.spline_trend(daily(s, d), "event_type", "day", "v", criterion).withColumns({c: F.round(c, 6) for c in ("mean", "lower", "upper")})
+    )
 query("a28_penalised_spline")(lambda s, d: T.penalised_spline(daily(s, d), "event_type", "day", "v").withColumn("fitted", F.round("fitted", 6)))
 query("f19_smoothing")(lambda s, d: T.smooth(daily(s, d), "event_type", "day", "v", low=0.0).withColumns({"x": F.round("x", 6), "y": F.round("y", 6)}))

@@ -351,3 +351,66 @@ def test_area_of_merged_ground(spark):
     assert area(both)["x"] == pytest.approx(union + one, rel=5e-3)
     assert area(both, strips=128, salts=1)["x"] == pytest.approx(union + one, rel=3e-3)
     assert coverage_area(frame([]), 500.0).first().area_km2 == 0.0
+
+
+def test_bounds_of_lines(spark):
+    from faunaflow.operators import trend
+
+    # fixed values: quantiles of Student's t from printed tables
+    for freedom, want in {1: 12.7062, 2: 4.30265, 5: 2.57058, 8: 2.30600, 30: 2.04227, 200: 1.97190, 201: 1.97184, 1000: 1.96234}.items():
+        assert trend.t_quantile(0.975, freedom) == pytest.approx(want, rel=2e-6)
+    x = [0.0, 1.0, 2.0, 3.0, 4.0]
+    y = [1.0, 2.9, 5.2, 6.8, 9.1]
+    rows = [("a", *p) for p in zip(x, y)] + [("two", 0.0, 1.0), ("two", 1.0, 3.0), ("a", None, 1.0)]
+    got = {(r.k, r.x): r for r in trend.linear_prediction(spark.createDataFrame(rows, "k string, x double, y double"), "k", "x", "y").collect()}
+    slope = sum((a - 2) * (b - 5) for a, b in zip(x, y)) / 10
+    rss = sum((b - 5 - slope * (a - 2)) ** 2 for a, b in zip(x, y))
+    width = 3.182446 * math.sqrt(rss / 3 * (1 / 5 + 4 / 10))
+    assert (got["a", 0.0].mean, got["a", 0.0].lower, got["a", 0.0].upper) == pytest.approx((5 - 2 * slope, 5 - 2 * slope - width, 5 - 2 * slope + width), rel=1e-5)
+    assert got["two", 1.0].mean == pytest.approx(3) and got["two", 1.0].lower is None
+
+
+@pytest.mark.parametrize("family", ["poisson", "gamma", "gaussian_log", "binomial"])
+def test_weighted_fits_are_likeliest(family):
+    """Moving any coefficient lowers the likelihood, and the covariance is its curvature."""
+    from faunaflow.operators import trend
+
+    rng = np.random.default_rng(4)
+    t = np.linspace(0, 2, 60)
+    e = 0.3 + 0.5 * t
+    y = {"poisson": rng.poisson(np.exp(e)), "gamma": rng.gamma(5, np.exp(e) / 5), "gaussian_log": np.exp(e) + rng.normal(0, 0.1, 60), "binomial": rng.random(60) < 1 / (1 + np.exp(-e))}[family].astype(float)
+    design = np.c_[np.ones(60), t]
+    fit = trend.fit_weighted(design, y, family)
+    at = lambda b: trend._likelihood(family, y, trend.FAMILIES[family][0](design @ b), 0.2)
+    best = at(fit["b"])
+    for step in (np.array([1e-3, 0]), np.array([0, 1e-3])):
+        assert at(fit["b"] + step) < best and at(fit["b"] - step) < best
+    if family in ("poisson", "binomial"):
+        h = 1e-3
+        curve = np.array([[(at(fit["b"] + h * (u + v)) - at(fit["b"] + h * (u - v)) - at(fit["b"] - h * (u - v)) + at(fit["b"] - h * (u + v))) / (4 * h * h) for v in np.eye(2)] for u in np.eye(2)])
+        assert np.linalg.inv(-curve) == pytest.approx(fit["cov"], rel=1e-2)
+        assert fit["aic"] == pytest.approx(-2 * best + 4) and fit["bic"] == pytest.approx(-2 * best + 2 * math.log(60))
+
+
+@pytest.mark.parametrize("criterion", ["aic", "mse", "r_squared", "euclidean"])
+def test_penalties_are_searched_over_folds(spark, criterion):
+    """The search over tasks equals plain loops; short series leave one out, longer ones have five splits; bounds hold the mean."""
+    from faunaflow.operators import trend
+
+    assert [list(trend.fold(13, k)[1]) for k in range(5)] == [[3, 4], [5, 6], [7, 8], [9, 10], [11, 12]] and [len(trend.fold(13, k)[0]) for k in range(5)] == [3, 5, 7, 9, 11]
+    rng = np.random.default_rng(1)
+    series = {"short": 8, "long": 40, "two": 2}
+    rows = [(k, float(t), float(np.sin(t / 4) + rng.normal(0, 0.2))) for k, n in series.items() for t in range(n)]
+    alphas = (1e-4, 1e-2, 1.0, 100.0)
+    got = trend.spline_trend(spark.createDataFrame(rows, "k string, x double, y double"), "k", "x", "y", criterion, alphas=alphas, dof=8).collect()
+    for k in ("short", "long"):
+        t, y = (np.array([r[i] for r in rows if r[0] == k]) for i in (1, 2))
+        ends = t[0] - 0.1 * (t[-1] - t[0]), t[-1] + 0.1 * (t[-1] - t[0])
+        scores = [np.mean([trend.spline_score(t, y, a, f, criterion, "gaussian", *ends, 8, 3) for f in range(1 if criterion == "aic" else len(t) if len(t) <= 10 else 5)]) for a in alphas]
+        mine = sorted((r for r in got if r.k == k), key=lambda r: r.x)
+        assert {r.alpha for r in mine} == {alphas[int(np.argmin(scores))]} and len(mine) == len(t)
+        assert all(r.lower <= r.mean <= r.upper for r in mine)
+        assert [r.mean for r in mine] == pytest.approx(trend.spline_fit(t, y, t, mine[0].alpha, "gaussian", *ends, dof=8)["mean"].tolist())
+    assert not [r for r in got if r.k == "two"]
+    with pytest.raises(ValueError):
+        trend.spline_trend(spark.createDataFrame(rows, "k string, x double, y double"), "k", "x", "y", "none")
