@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from faunaflow.functions.geodesy import mercator
 from faunaflow.functions.times import micros
 from faunaflow.jobs.tables import SQL_SEGMENTS, events, fixes, table
 from faunaflow.jobs.tracking import segments
@@ -155,10 +156,21 @@ for how in N.INTERPOLATIONS:
     query(f"n6_mosaic_{how}", _PATHS.replace("{how}", {"mean": "avg"}.get(how, how)))(
         lambda s, d, how=how: N.mosaic(N.interpolated(segments(s, d), 0.05, "speed_kmhr", how), "speed_kmhr").withColumn("speed_kmhr", F.round("speed_kmhr", 3))
     )
-query("w12_step_features", SEG + """SELECT event_id, round(cos(radians(lead(heading) OVER w - heading)), 3) + 0 AS turn_cos, round(sin((epoch_us(segment_start) % 86400000000) / 86400000000 * 2 * 3141592653589793e-15), 4) + 0 AS sin_time
-FROM (SELECT *, lead(event_id, 2) OVER (PARTITION BY groupby_col ORDER BY segment_start) AS third FROM segments) WINDOW w AS (PARTITION BY groupby_col ORDER BY segment_start) QUALIFY third IS NOT NULL""")(
-    lambda s, d: N.step_features(segments(s, d)).where("turn_cos is not null").select(F.col("extra__event_id").alias("event_id"), (F.round("turn_cos", 3) + 0).alias("turn_cos"), (F.round("sin_time", 4) + 0).alias("sin_time"))
-)
+_METRIC = ", ".join(f"radians(x{i}) * 6378137e0 AS x{i}, ln(tan(pi() / 4 + radians(y{i}) / 2)) * 6378137e0 AS y{i}" for i in (1, 2))
+
+
+@query("w12_step_features", SEG + f""", m AS (SELECT event_id, groupby_col, segment_start, segment_end, speed_kmhr, dist_meters, {_METRIC} FROM segments),
+l AS (SELECT *, {", ".join(f"lead({c}, {k}) OVER w AS {c}_{k}" for k in (1, 2) for c in ("x1", "y1", "x2", "y2"))}, lead(segment_end, 2) OVER w AS ends FROM m WINDOW w AS (PARTITION BY groupby_col ORDER BY segment_start)),
+f AS (SELECT *, sqrt((x2_2 - x1) ** 2 + (y2_2 - y1) ** 2) AS beeline, sqrt((x2 - x1) ** 2 + (y2 - y1) ** 2) + sqrt((x2_1 - x1_1) ** 2 + (y2_1 - y1_1) ** 2) + sqrt((x2_2 - x1_2) ** 2 + (y2_2 - y1_2) ** 2) AS path,
+ floor(x2) = floor(x1_1) AND floor(y2) = floor(y1_1) AS a, floor(x2_1) = floor(x1_2) AND floor(y2_1) = floor(y1_2) AS b, (epoch_us(segment_start) % 86400000000) / 86400000000 * 2 * pi() AS angle FROM l WHERE ends IS NOT NULL)
+SELECT event_id, round(CASE WHEN a THEN cos(atan2(y2_1 - y2, x2_1 - x2) - atan2(y2 - y1, x2 - x1)) END, 5) + 0 AS dot_product, round(CASE WHEN a AND b AND path > 0 THEN beeline / path END, 6) AS tortuosity_1,
+ round(CASE WHEN beeline > 0 THEN ln((epoch_us(ends) - epoch_us(segment_start)) / 36e8 / beeline ** 2) END, 5) AS tortuosity_2, round(sin(angle), 5) + 0 AS sin_time, round(cos(angle), 5) + 0 AS cos_time, round(speed_kmhr, 3) AS speed, round(dist_meters, 2) AS step_length FROM f""")
+def w12(s, d):
+    at = lambda i: dict(zip((f"x{i}", f"y{i}"), mercator(F.col(f"x{i}"), F.col(f"y{i}"))))
+    rows = N.step_features(segments(s, d).withColumns(at(1) | at(2)))
+    places = {"dot_product": 5, "tortuosity_1": 6, "tortuosity_2": 5, "sin_time": 5, "cos_time": 5, "speed": 3, "step_length": 2}
+    return rows.select(F.col("extra__event_id").alias("event_id"), *[(F.round(c, k) + 0).alias(c) for c, k in places.items()])
+
 
 # trends
 

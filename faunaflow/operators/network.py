@@ -2,32 +2,43 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from faunaflow.functions.stages import written
-from faunaflow.functions.times import micros
+from faunaflow.functions.times import DAY, micros
 
 
 def step_features(df: DataFrame) -> DataFrame:
-    """Features over three segments in a row that join each other: turn cosine, tortuosities, time of day, speed, step length."""
+    """groupby_col, segment_start and features of each three segments in a row, with df's extra columns; planar x1, y1, x2, y2 in metres.
+
+    dot_product: cosine of the turn into the next segment; tortuosity_1: beeline by path over all three; tortuosity_2: log of hours
+    by squared beeline; sin_time, cos_time: the time of day on a circle; speed, step_length: of the first. Segments join where ends
+    lie in the same square metre: without the first joint there is no turn, without both no tortuosity_1, and without a
+    beeline no tortuosity_2. The last two segments of a subject begin no such window.
+    """
     w = Window.partitionBy("groupby_col").orderBy("segment_start")
     ahead = lambda c, k: F.lead(c, k).over(w)
-    joined = (F.col("x2") == ahead("x1", 1)) & (F.col("y2") == ahead("y1", 1)) & (ahead("x2", 1) == ahead("x1", 2)) & (ahead("y2", 1) == ahead("y1", 2))
-    path = F.col("dist_meters") + ahead("dist_meters", 1) + ahead("dist_meters", 2)
-    chord = F.hypot(ahead("x2", 2) - F.col("x1"), ahead("y2", 2) - F.col("y1"))
-    planar = F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
-    angle = (micros("segment_start") % 86_400_000_000) / 86_400_000_000 * 2 * 3.141592653589793
-    rows = df.withColumns(
-        {
-            "turn_cos": F.when(joined, F.cos(F.radians(ahead("heading", 1) - F.col("heading")))),
-            "tortuosity": F.when(joined, F.try_divide(planar + ahead(planar, 1) + ahead(planar, 2), chord)),
-            "path3": F.when(joined, path),
-            "sin_time": F.sin(angle),
-            "cos_time": F.cos(angle),
-        }
-    )
-    return rows
+    extra = [c for c in df.columns if c.startswith("extra__")]
+    rows = df.select(
+        "groupby_col", "segment_start", *extra, "x1", "y1", "x2", "y2", F.col("speed_kmhr").alias("speed"), F.col("dist_meters").alias("step_length"),
+        *[ahead(c, k).alias(f"{c}_{k}") for k in (1, 2) for c in ("x1", "y1", "x2", "y2")], ahead("segment_end", 2).alias("end"),
+    ).where("end is not null")
+    met = lambda a, b: (F.floor(f"x2{a}") == F.floor(f"x1{b}")) & (F.floor(f"y2{a}") == F.floor(f"y1{b}"))
+    length = lambda k: F.hypot(F.col(f"x2{k}") - F.col(f"x1{k}"), F.col(f"y2{k}") - F.col(f"y1{k}"))
+    path, beeline = length("") + length("_1") + length("_2"), F.hypot(F.col("x2_2") - F.col("x1"), F.col("y2_2") - F.col("y1"))
+    turn = F.atan2(F.col("y2_1") - F.col("y2"), F.col("x2_1") - F.col("x2")) - F.atan2(F.col("y2") - F.col("y1"), F.col("x2") - F.col("x1"))
+    angle = F.pmod(micros("segment_start"), F.lit(DAY)) / DAY * 2 * math.pi
+    hours = F.expr("timestampdiff(MICROSECOND, segment_start, end)") / 3.6e9
+    return rows.select(
+        "groupby_col", "segment_start", *extra,
+        F.when(met("", "_1"), F.cos(turn)).alias("dot_product"),
+        F.when(met("", "_1") & met("_1", "_2") & (path > 0), beeline / path).alias("tortuosity_1"),
+        F.when((beeline > 0) & (hours > 0), F.log(hours / (beeline * beeline))).alias("tortuosity_2"),
+        F.sin(angle).alias("sin_time"), F.cos(angle).alias("cos_time"), "speed", "step_length",
+    )
 
 
 def cells(df: DataFrame, size: float) -> DataFrame:

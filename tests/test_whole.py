@@ -414,3 +414,20 @@ def test_penalties_are_searched_over_folds(spark, criterion):
     assert not [r for r in got if r.k == "two"]
     with pytest.raises(ValueError):
         trend.spline_trend(spark.createDataFrame(rows, "k string, x double, y double"), "k", "x", "y", "none")
+
+
+def test_features_of_three_steps(spark):
+    """A joint within a square metre counts, one beyond it does not; a way back to the start has no beeline."""
+    from faunaflow.operators.network import step_features
+
+    at = lambda h: dt.datetime(2024, 1, 1, h)
+    ways = {"l": [(0, 0, 30, 0), (30.4, 0.2, 30, 40), (30, 40, 0, 40)], "gap": [(0, 0, 3, 0), (5, 0, 5, 4), (5, 4, 0, 4)], "late": [(0, 0, 3, 0), (3, 0, 3, 4), (9, 4, 9, 9)], "back": [(0, 0, 3, 0), (3, 0, 3, 4), (3, 4, 0, 0)], "few": [(0, 0, 3, 0), (3, 0, 3, 4)]}
+    rows = [(g, at(6 + k), at(7 + k), *map(float, w), 2.0, 5.0, k) for g, way in ways.items() for k, w in enumerate(way)]
+    df = spark.createDataFrame(rows, "groupby_col string, segment_start timestamp_ntz, segment_end timestamp_ntz, x1 double, y1 double, x2 double, y2 double, speed_kmhr double, dist_meters double, extra__k int")
+    got = {r.groupby_col: r for r in step_features(df).collect()}
+    assert set(got) == {"l", "gap", "late", "back"} and got["l"].extra__k == 0 and got["l"].speed == 2 and got["l"].step_length == 5
+    assert got["l"].dot_product == pytest.approx(0, abs=1e-9) and got["l"].tortuosity_1 == pytest.approx(40 / (30 + math.hypot(0.4, 39.8) + 30)) and got["l"].tortuosity_2 == pytest.approx(math.log(3 / 1600))
+    assert (got["l"].sin_time, got["l"].cos_time) == pytest.approx((1, 0), abs=1e-9)
+    assert got["gap"].dot_product is None and got["gap"].tortuosity_1 is None and got["gap"].tortuosity_2 == pytest.approx(math.log(3 / 16))
+    assert got["late"].dot_product == pytest.approx(0, abs=1e-9) and got["late"].tortuosity_1 is None
+    assert got["back"].tortuosity_1 == 0 and got["back"].tortuosity_2 is None
