@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faunaflow.functions.stages import written
 from faunaflow.functions.times import DAY, micros
+from faunaflow.operators.adjacent import with_adjacent
 
 
 def step_features(df: DataFrame) -> DataFrame:
@@ -19,13 +20,12 @@ def step_features(df: DataFrame) -> DataFrame:
     lie in the same square metre: without the first joint there is no turn, without both no tortuosity_1, and without a
     beeline no tortuosity_2. The last two segments of a subject begin no such window.
     """
-    w = Window.partitionBy("groupby_col").orderBy("segment_start")
-    ahead = lambda c, k: F.lead(c, k).over(w)
     extra = [c for c in df.columns if c.startswith("extra__")]
-    rows = df.select(
-        "groupby_col", "segment_start", *extra, "x1", "y1", "x2", "y2", F.col("speed_kmhr").alias("speed"), F.col("dist_meters").alias("step_length"),
-        *[ahead(c, k).alias(f"{c}_{k}") for k in (1, 2) for c in ("x1", "y1", "x2", "y2")], ahead("segment_end", 2).alias("end"),
-    ).where("end is not null")
+    ends = ["x1", "y1", "x2", "y2"]
+    rows = df.select("groupby_col", "segment_start", "segment_end", *extra, *ends, F.col("speed_kmhr").alias("speed"), F.col("dist_meters").alias("step_length"))
+    rows = with_adjacent(rows, "groupby_col", "segment_start", after=[*ends, "segment_end"]).withColumnRenamed("after", "step_1")
+    rows = with_adjacent(rows, "groupby_col", "segment_start", after=["step_1"]).withColumn("step_2", F.col("after.step_1")).where("step_2 is not null")
+    rows = rows.select("*", *[F.col(f"step_{k}.{c}").alias(f"{c}_{k}") for k in (1, 2) for c in ends], F.col("step_2.segment_end").alias("end"))
     met = lambda a, b: (F.floor(f"x2{a}") == F.floor(f"x1{b}")) & (F.floor(f"y2{a}") == F.floor(f"y1{b}"))
     length = lambda k: F.hypot(F.col(f"x2{k}") - F.col(f"x1{k}"), F.col(f"y2{k}") - F.col(f"y1{k}"))
     path, beeline = length("") + length("_1") + length("_2"), F.hypot(F.col("x2_2") - F.col("x1"), F.col("y2_2") - F.col("y1"))

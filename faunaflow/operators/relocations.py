@@ -5,11 +5,12 @@ Columns: groupby_col STRING, fixtime TIMESTAMP_NTZ (UTC), junk_status BOOLEAN, l
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faunaflow.functions.geodesy import utm, utm_zone, with_geodesic
 from faunaflow.functions.times import seconds
+from faunaflow.operators.adjacent import with_adjacent
 
 FIXED = ["groupby_col", "fixtime", "junk_status", "lon", "lat"]
 
@@ -80,9 +81,10 @@ def in_box(df: DataFrame, min_x: float, max_x: float, min_y: float, max_y: float
 
 
 def _next(df: DataFrame, tie: list[str]) -> DataFrame:
-    w = Window.partitionBy("groupby_col").orderBy("fixtime", *tie)
-    ahead = df.where("groupby_col is not null").withColumns({f"next_{c}": F.lead(c).over(w) for c in ("fixtime", "lon", "lat", "junk_status")})
-    return with_geodesic(ahead.where("next_fixtime is not null"), "lon", "lat", "next_lon", "next_lat", "next_dist")
+    names = ["fixtime", "lon", "lat", "junk_status"]
+    ahead = with_adjacent(df.where("groupby_col is not null"), "groupby_col", "fixtime", tie, after=names)
+    ahead = ahead.where("after.fixtime is not null").select(*df.columns, *[F.col(f"after.{c}").alias(f"next_{c}") for c in names])
+    return with_geodesic(ahead, "lon", "lat", "next_lon", "next_lat", "next_dist")
 
 
 def speed_filter(df: DataFrame, max_speed_kmhr: float, tie: list[str] = ()) -> DataFrame:

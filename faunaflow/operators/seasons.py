@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from faunaflow.functions.times import DAY
+from faunaflow.operators.adjacent import running_sum
 from faunaflow.operators.asof import lines
 
 
@@ -73,8 +74,7 @@ def anomaly(df: DataFrame, feature: str, time: str, value: str, history: str, st
     at = lambda x: F.lit(x).cast("timestamp_ntz")
     base = df.where((F.col(time) >= at(history)) & (F.col(time) < at(start))).groupBy(feature).agg(F.avg(value).alias("baseline"))
     rows = df.where((F.col(time) >= at(start)) & (F.col(time) < at(end))).join(base, feature).withColumn("anomaly", F.col(value) - F.col("baseline"))
-    run = Window.partitionBy(feature).orderBy(time).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("cumulative", F.sum("anomaly").over(run))
+    return running_sum(rows, feature, time, F.col("anomaly"), "cumulative")
 
 
 def nearest_images(df: DataFrame, key: str, time: str, images: DataFrame, before: int, after: int, exact: bool = False, bucket_us: int = DAY) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from faunaflow.functions.geodesy import with_geodesic
 from faunaflow.functions.stages import written
 from faunaflow.functions.times import DAY, at_micros, micros, seconds
+from faunaflow.operators.adjacent import with_adjacent
 
 SEGMENT = ["groupby_col", "segment_start", "segment_end", "timespan_seconds", "dist_meters", "speed_kmhr", "heading", "x1", "y1", "x2", "y2", "junk_status", "nsd"]
 
@@ -18,27 +19,22 @@ def from_fixes(df: DataFrame, tie: list[str] = (), chunk: str = "month") -> Data
     """One segment from each fix to the subject's next; extra columns and the flag come from its start.
 
     A subject of one fix has none. nsd is the squared distance of the segment's end from the subject's first fix, in km2.
-    ``tie`` orders fixes of one time. A task sorts one subject's fixes of one chunk of time, so a long history does not meet in one
-    task; the last fix of a chunk is paired with the head of the subject's next chunk, from a table of one row for each chunk.
+    ``tie`` orders fixes of one time. A task sorts one subject's fixes of one chunk of time (:func:`faunaflow.operators.adjacent.with_adjacent`),
+    so a long history does not meet in one task.
     """
     extra = [c for c in df.columns if c.startswith("extra__")]
-    rows = df.where("groupby_col is not null").withColumn("chunk", F.date_trunc(chunk, "fixtime").cast("timestamp_ntz"))
-    head = F.struct(F.col("fixtime").alias("t"), F.col("lon").alias("x"), F.col("lat").alias("y"))
-    heads = rows.groupBy("groupby_col", "chunk").agg(F.min_by(head, F.struct("fixtime", *tie)).alias("head"))
-    along = Window.partitionBy("groupby_col").orderBy("chunk")
-    heads = heads.select("groupby_col", "chunk", F.lead("head").over(along).alias("after"), F.first("head").over(along).alias("origin"))
-    w = Window.partitionBy("groupby_col", "chunk").orderBy("fixtime", *tie)
-    rows = rows.withColumn("ahead", F.lead(head).over(w)).join(heads, ["groupby_col", "chunk"]).withColumn("ahead", F.coalesce("ahead", "after"))
-    rows = rows.where("ahead is not null").select(
+    rows = df.where("groupby_col is not null and fixtime is not null")
+    rows = with_adjacent(rows, "groupby_col", "fixtime", tie, after=["fixtime", "lon", "lat"], first=["lon", "lat"], chunk=chunk)
+    rows = rows.where("after is not null").select(
         "groupby_col",
         F.col("fixtime").alias("segment_start"),
-        F.col("ahead.t").alias("segment_end"),
+        F.col("after.fixtime").alias("segment_end"),
         F.col("lon").alias("x1"),
         F.col("lat").alias("y1"),
-        F.col("ahead.x").alias("x2"),
-        F.col("ahead.y").alias("y2"),
-        F.col("origin.x").alias("x0"),
-        F.col("origin.y").alias("y0"),
+        F.col("after.lon").alias("x2"),
+        F.col("after.lat").alias("y2"),
+        F.col("first.lon").alias("x0"),
+        F.col("first.lat").alias("y0"),
         "junk_status",
         *extra,
     )
@@ -64,10 +60,10 @@ def segment_filter(
 
 def turn_angles(df: DataFrame) -> DataFrame:
     """df with turn_angle in [-180, 180), null where the segment before does not end at this one's start."""
-    w = Window.partitionBy("groupby_col").orderBy("segment_start")
-    follows = (F.lag("segment_end").over(w) == F.col("segment_start")) & (F.lag("x2").over(w) == F.col("x1")) & (F.lag("y2").over(w) == F.col("y1"))
-    turn = F.pmod(F.col("heading") - F.lag("heading").over(w) + 540, F.lit(360)) - 180
-    return df.withColumn("turn_angle", F.when(follows, turn))
+    rows = with_adjacent(df, "groupby_col", "segment_start", before=["segment_end", "x2", "y2", "heading"])
+    follows = (F.col("before.segment_end") == F.col("segment_start")) & (F.col("before.x2") == F.col("x1")) & (F.col("before.y2") == F.col("y1"))
+    turn = F.pmod(F.col("heading") - F.col("before.heading") + 540, F.lit(360)) - 180
+    return rows.withColumn("turn_angle", F.when(follows, turn)).drop("before")
 
 
 def displacement(df: DataFrame) -> DataFrame:
@@ -84,11 +80,9 @@ def upsample(df: DataFrame, step_seconds: int) -> DataFrame:
 
     Each segment lays out its own times: no range join. At a shared end the later segment's place wins.
     """
-    w = Window.partitionBy("groupby_col").orderBy("segment_start")
     us = step_seconds * 1_000_000
-    rows = df.select(
-        "groupby_col", "x1", "y1", "x2", "y2", micros("segment_start").alias("s"), micros("segment_end").alias("e"), F.lead(micros("segment_start")).over(w).alias("after")
-    ).withColumn("zero", F.min("s").over(Window.partitionBy("groupby_col")))
+    rows = df.select("groupby_col", "segment_start", "x1", "y1", "x2", "y2", micros("segment_start").alias("s"), micros("segment_end").alias("e"))
+    rows = with_adjacent(rows, "groupby_col", "segment_start", after=["s"], first=["s"]).withColumns({"after": F.col("after.s"), "zero": F.col("first.s")})
     rows = rows.withColumn("k0", F.expr(f"(s - zero + {us - 1}) div {us}")).withColumn(
         "k1", F.expr(f"case when after = e then (e - zero - 1) div {us} else (e - zero) div {us} end")
     )
