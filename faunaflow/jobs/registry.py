@@ -6,7 +6,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["tracking", "shaping", "mapping", "analysis", "patrols", "geometry"]
+MODULES = ["tracking", "shaping", "mapping", "analysis", "patrols", "geometry", "forms"]
 
 
 def _modules() -> list:

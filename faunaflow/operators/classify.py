@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from faunaflow.operators.columns import rgba_to_css
+
 #: Distinct values up to which optimal breaks are exact; more start as bins, divided into PIECES wherever a break falls.
 MAX_BREAK_VALUES, PIECES = 500_000, 1000
 #: Parts that distinct values are dealt out over.
@@ -154,3 +156,61 @@ def subject_colours(df: DataFrame, id_col: str, rgb_col: str, out: str, default:
     rank = (F.row_number().over(Window.partitionBy("part").orderBy(id_col)) - 1).cast("int")
     rest: Column = F.get(F.array(*map(F.lit, palette)), rank % len(palette)) if palette else F.lit(default)
     return df.join(each.select(id_col, F.coalesce("own", rest).alias(out)), id_col)
+
+
+#: Ends and middles of some named colour ramps, evenly spaced.
+RAMPS = {
+    "gray": [(0, 0, 0, 255), (255, 255, 255, 255)],
+    "bwr": [(0, 0, 255, 255), (255, 255, 255, 255), (255, 0, 0, 255)],
+    "cool": [(0, 255, 255, 255), (255, 0, 255, 255)],
+    "spring": [(255, 0, 255, 255), (255, 255, 0, 255)],
+    "summer": [(0, 128, 102, 255), (255, 255, 102, 255)],
+    "autumn": [(255, 0, 0, 255), (255, 255, 0, 255)],
+    "winter": [(0, 0, 255, 255), (0, 255, 128, 255)],
+}
+#: Colours of a continuous ramp.
+STEPS = 256
+
+
+def ramp_colours(anchors: list[tuple], k: int) -> list[tuple]:
+    """k colours spaced evenly over a ramp, for as many distinct values; from :data:`STEPS` on they begin again."""
+    n = max(1, min(k, STEPS))
+    at = np.linspace(0, len(anchors) - 1, n) if n > 1 else np.zeros(1)
+    each = np.array([np.interp(at, range(len(anchors)), [a[c] for a in anchors]) for c in range(4)])
+    steps = [tuple(int(x) for x in row) for row in np.rint(each).T]
+    return [steps[i % n] for i in range(k)]
+
+
+def colour_ramp(df: DataFrame, column: str, out: str, anchors: list[tuple]) -> DataFrame:
+    """RGBA by number: the place of a value between the least and the greatest, in :data:`STEPS` steps over the ramp.
+
+    Where all values are equal they take its first colour; missing values (null, NaN) are transparent. The two bounds come from one
+    aggregation and are joined as one row; rows are not shuffled.
+    """
+    value = F.col(column).cast("double")
+    known = F.when(~F.isnan(value), value)
+    limits = df.agg(F.min(known).alias("ramp_low"), F.max(known).alias("ramp_high"))
+    width = F.col("ramp_high") - F.col("ramp_low")
+    share = (known - F.col("ramp_low")) / F.when(width == 0, 1.0).otherwise(width)
+    table = F.array(*[F.array(*map(F.lit, c)) for c in ramp_colours(anchors, STEPS)])
+    step = F.when(share.isNotNull(), F.least(F.floor(share * STEPS), F.lit(STEPS - 1))).cast("int")
+    clear = F.array(*[F.lit(0)] * 4)
+    rows = df.crossJoin(F.broadcast(limits)).withColumn(out, F.coalesce(F.get(table, step), clear))
+    return rows.select(*[c for c in df.columns if c != out], out)
+
+
+def legend(df: DataFrame, label: str, colour: str, sort: str | None = None, suffix: str = "", order: list[str] = ()) -> DataFrame:
+    """label, colour (text for CSS): one row for each label, with the colour of its first row by ``order``.
+
+    ``sort`` is ascending or descending: by number where every label is one, else by text; null labels come last. Without it labels
+    come in the order of their first rows. The legend has a row for each label, however many rows df has.
+    """
+    if sort not in (None, "ascending", "descending"):
+        raise ValueError(f"unknown order: {sort}")
+    first = F.struct(*order) if order else F.struct(F.monotonically_increasing_id())
+    each = df.select(F.col(label).alias("label"), F.col(colour).alias("rgba"), first.alias("first")).groupBy("label").agg(F.min_by("rgba", "first").alias("rgba"), F.min("first").alias("first"))
+    number = F.col("label").cast("string").try_cast("double")
+    each = each.crossJoin(F.broadcast(each.agg(F.every(F.col("label").isNull() | number.isNotNull()).alias("numbers"))))
+    keys = [F.when(F.col("numbers"), number), F.col("label").cast("string")]
+    by = {None: [F.col("first")], "ascending": [k.asc_nulls_last() for k in keys], "descending": [k.desc_nulls_last() for k in keys]}[sort]
+    return each.orderBy(*by).select(F.concat(F.col("label").cast("string"), F.lit(suffix)).alias("label"), rgba_to_css(F.col("rgba")).alias("colour"))

@@ -88,6 +88,41 @@ def percentile_area(df: DataFrame, value: str, levels: list[float], by: list[str
     return rows.groupBy(*by, "percentile").agg(F.count(F.lit(1)).alias("cells"), (F.count(F.lit(1)) * cell_area).alias("area"))
 
 
+#: Levels of utilisation that are shown unless others are given.
+UTILISATION = (50.0, 60.0, 70.0, 80.0, 90.0, 100.0)
+
+
+def classed_utilisation(df: DataFrame, size: float, levels: tuple[float, ...] = UTILISATION) -> DataFrame:
+    """percentile, density, density_bins, cells, area: the cells of each class of utilisation of segments (x1, y1, x2, y2), by time spent.
+
+    A cell belongs to the least level whose cut (:func:`mass_cuts`) its share of the time reaches, so the classes do not overlap and
+    the densest come first; cells of no class are left out. density is the class itself, density_bins its label, area in
+    square units of size. Levels may repeat and come in any order; segments without length or time give no rows.
+    """
+    chosen = sorted({float(p) for p in levels})
+    if not chosen:
+        raise ValueError("no levels")
+    cells = time_density(df, size).withColumn("whole", F.lit(0))
+    rows = percentile_levels(cells, "density", chosen, ["whole"]).where("percentile is not null")
+    found = rows.groupBy("percentile").agg(F.count(F.lit(1)).alias("cells"))
+    return found.select("percentile", F.col("percentile").alias("density"), F.concat(F.col("percentile").cast("string"), F.lit(" %")).alias("density_bins"), "cells", (F.col("cells") * float(size) ** 2).alias("area"))
+
+
+def line_canvas(df: DataFrame, box: tuple[float, float, float, float], width: int, height: int, value: str | None = None) -> DataFrame:
+    """px, py, n: segments (x1, y1, x2, y2) that pass each pixel of a canvas over a box, or the sum of their values.
+
+    A segment counts once for a pixel, and not where it touches a corner only (less than a billionth of its length); its parts outside
+    the box, whose upper borders are outside, are left out, and segments without length take the pixel of their place.
+    """
+    x0, y0, x1, y1 = box
+    scaled = {f"{a}{k}": (F.col(f"{a}{k}") - low) / (high - low) * n for a, low, high, n in (("x", x0, x1, width), ("y", y0, y1, height)) for k in (1, 2)}
+    meets = (F.least("x1", "x2") <= width) & (F.greatest("x1", "x2") >= 0) & (F.least("y1", "y2") <= height) & (F.greatest("y1", "y2") >= 0)
+    rows = df.select(*[c.alias(n) for n, c in scaled.items()], (F.col(value) if value else F.lit(1)).alias("amount")).where(meets)
+    cells = grid_traversal(rows, "x1", "y1", "x2", "y2", 1.0)
+    inside = F.col("ix").between(0, width - 1) & F.col("iy").between(0, height - 1)
+    return cells.where(inside & (F.col("share") > 1e-9)).groupBy(F.col("ix").alias("px"), F.col("iy").alias("py")).agg(F.sum("amount").alias("n"))
+
+
 def canvas(df: DataFrame, x: str, y: str, box: tuple[float, float, float, float], width: int, height: int, amount: Column | None = None) -> DataFrame:
     """px, py, n: points on a canvas of width by height over a box."""
     x0, y0, x1, y1 = box

@@ -192,3 +192,9 @@ def grid_traversal(df: DataFrame, x1: str, y1: str, x2: str, y2: str, size: floa
     rows = rows.withColumns({"share": F.expr("ts[k] - ts[k - 1]"), "mid": F.expr("(ts[k] + ts[k - 1]) / 2")})
     cell = lambda a, b: F.floor((F.col(a) + F.col("mid") * (F.col(b) - F.col(a))) / size)
     return rows.withColumns({"ix": cell(x1, x2), "iy": cell(y1, y2)}).drop("ts", "k", "mid")
+
+
+def grid_size(df: DataFrame, lon: str = "lon", lat: str = "lat", factor: int = 100) -> DataFrame:
+    """size: metres of a grid cell, the geodesic diagonal of all points' box by factor, rounded half to even, at least 1; an empty table gives no row."""
+    box = df.agg(F.min(lon).alias("x0"), F.min(lat).alias("y0"), F.max(lon).alias("x1"), F.max(lat).alias("y1")).where("x0 is not null and y0 is not null")
+    return with_geodesic(box, "x0", "y0", "x1", "y1", "across").select(F.greatest(F.lit(1), F.rint(F.col("across") / factor).cast("long")).alias("size"))

@@ -14,6 +14,51 @@ def add_temporal_keys(df: DataFrame, time: str, directives: list[str]) -> DataFr
     return df.withColumns({f"TemporalGrouper_{d}": F.date_format(time, DIRECTIVES[d]) for d in directives if f"TemporalGrouper_{d}" not in df.columns})
 
 
+#: Fixed names of columns that hold times.
+TIME_COLUMNS = ["time", "created_at", "updated_at", "end_time", "last_position_date", "recorded_at", "fixtime", "patrol_start_time", "patrol_end_time"]
+
+
+def clean_times(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """df with text in the known time columns (:data:`TIME_COLUMNS`, or those given) read as times in UTC; offsets are applied.
+
+    Text without an offset is in UTC; null and text that is no time become null. Columns that are absent, or times already, stay.
+    """
+
+    def read(c: str) -> Column:
+        text, zoned = F.trim(c), F.trim(c).rlike(r":.*(Z|[+-]\d\d?(:?\d\d)?)$")
+        stamped = F.when(zoned, text).otherwise(F.concat(text, F.when(text.contains(":"), "Z").otherwise("T00:00:00Z")))
+        return F.timestamp_add("MICROSECOND", F.unix_micros(stamped.try_cast("timestamp")), F.expr("timestamp_ntz'1970-01-01 00:00:00'"))
+
+    kinds = dict(df.dtypes)
+    return df.withColumns({c: read(c) for c in (TIME_COLUMNS if columns is None else columns) if kinds.get(c) == "string"})
+
+
+def iso_time(time: str) -> Column:
+    """A time as ISO text in UTC."""
+    return F.date_format(time, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def to_zone(df: DataFrame, zone: str, columns: list[str] = (), auto_detect: bool = False) -> DataFrame:
+    """df with instants (TIMESTAMP) in the listed columns, or in all with auto_detect, as local times of a zone (TIMESTAMP_NTZ).
+
+    Times without a zone (TIMESTAMP_NTZ), other types and absent columns stay; both arguments at once raise ValueError.
+    """
+    if auto_detect and columns:
+        raise ValueError("give columns or auto_detect, not both")
+    kinds = dict(df.dtypes)
+    chosen = df.columns if auto_detect else columns
+    # from the instant itself, so that the session's zone plays no part
+    utc = lambda c: F.expr(f"timestampadd(MICROSECOND, unix_micros(`{c}`), timestamp_ntz'1970-01-01 00:00:00')")
+    return df.withColumns({c: F.convert_timezone(F.lit("UTC"), F.lit(zone), utc(c)) for c in chosen if kinds.get(c) == "timestamp"})
+
+
+def choices(df: DataFrame, time: str, directive: str) -> DataFrame:
+    """choice, place: the distinct values of a directive, in order; months and weekdays go by the calendar, weeks from Monday."""
+    place = {"%B": F.month(time), "%A": F.weekday(time) + 1}.get(directive, F.lit(0))
+    rows = df.where(F.col(time).isNotNull()).select(F.date_format(time, DIRECTIVES[directive]).alias("choice"), place.cast("long").alias("place"))
+    return rows.distinct().orderBy("place", "choice")
+
+
 def components(time: str) -> dict[str, Column]:
     c, day = F.col(time), F.to_date(time)
     weekday = F.weekday(day)

@@ -23,31 +23,70 @@ def read_fixes(spark: SparkSession, path: str, schema: str, fmt: str = "parquet"
     return placed(df) if "location" in df.columns else df
 
 
-def read_features(spark: SparkSession, path: str, properties: str) -> DataFrame:
-    """Features of GeoJSON collections: their properties, geom_type and coordinates as JSON text."""
+def read_features(spark: SparkSession, path: str, properties: str, lines: bool = False) -> DataFrame:
+    """Features of GeoJSON collections: their properties, geom_type and coordinates as JSON text; a file is one collection, or has one a line."""
     schema = f"features array<struct<properties:struct<{properties}>, geometry:struct<type:string, coordinates:string>>>"
-    rows = spark.read.schema(schema).json(path, multiLine=True).select(F.explode("features").alias("f"))
+    rows = spark.read.schema(schema).json(path, multiLine=not lines).select(F.explode("features").alias("f"))
     return rows.select("f.properties.*", F.col("f.geometry.type").alias("geom_type"), F.col("f.geometry.coordinates").alias("coordinates"))
 
 
+def read_feature_lines(spark: SparkSession, path: str, properties: str) -> DataFrame:
+    """Features written one a line, as :func:`persist` does: their properties, geom_type and coordinates as JSON text."""
+    rows = spark.read.schema(f"properties struct<{properties}>, geometry struct<type:string, coordinates:string>").json(path)
+    return rows.select("properties.*", F.col("geometry.type").alias("geom_type"), F.col("geometry.coordinates").alias("coordinates"))
+
+
 def point_of(coordinates: str) -> tuple:
     """lon and lat of a Point's coordinates in JSON; null where they are none."""
     return tuple(F.get_json_object(coordinates, f"$[{i}]").try_cast("double") for i in (0, 1))
 
 
+def _ring(points):
+    """Corners [lon, lat] of a closed ring as structs, the last left out."""
+    return F.transform(F.slice(points, 1, F.greatest(F.size(points) - 1, F.lit(1))), lambda p: F.struct(F.get(p, 0).alias("x"), F.get(p, 1).alias("y")))
+
+
 def geometry_of(column: str):
-    """struct<geom_type, lon, lat> of a GeoJSON text: a point, or the centroid of a polygon's outer ring; null for bad JSON."""
-    from faunaflow.functions.shapes import centroid
+    """struct<geom_type, lon, lat> of a GeoJSON text: a point, or the centroid of a polygon's outer ring, or of several by their areas; null for bad JSON."""
+    from faunaflow.functions.shapes import area, centroid
 
     kind = F.get_json_object(column, "$.type")
-    ring = F.from_json(F.get_json_object(column, "$.coordinates[0]"), "array<array<double>>")
-    points = F.transform(F.slice(ring, 1, F.greatest(F.size(ring) - 1, F.lit(1))), lambda p: F.struct(F.get(p, 0).alias("x"), F.get(p, 1).alias("y")))
-    middle = centroid(points)
-    lon = F.when(kind == "Point", F.get_json_object(column, "$.coordinates[0]").try_cast("double")).when(kind == "Polygon", middle["x"])
-    lat = F.when(kind == "Point", F.get_json_object(column, "$.coordinates[1]").try_cast("double")).when(kind == "Polygon", middle["y"])
+    coordinates = F.get_json_object(column, "$.coordinates")
+    middle = centroid(_ring(F.from_json(F.get_json_object(column, "$.coordinates[0]"), "array<array<double>>")))
+    several = F.transform(F.from_json(coordinates, "array<array<array<array<double>>>>"), lambda p: F.struct(area(_ring(p[0])).alias("area"), centroid(_ring(p[0])).alias("at")))
+    total = lambda value: F.aggregate(several, F.lit(0.0), lambda s, e: s + value(e))
+    common = lambda k: F.coalesce(F.try_divide(total(lambda e: e["area"] * e["at"][k]), total(lambda e: e["area"])), F.get(several, 0)["at"][k])
+    point = lambda i: F.get_json_object(column, f"$.coordinates[{i}]").try_cast("double")
+    lon = F.when(kind == "Point", point(0)).when(kind == "Polygon", middle["x"]).when(kind == "MultiPolygon", common("x"))
+    lat = F.when(kind == "Point", point(1)).when(kind == "Polygon", middle["y"]).when(kind == "MultiPolygon", common("y"))
     return F.when(lon.isNotNull() & lat.isNotNull(), F.struct(kind.alias("geom_type"), lon.alias("lon"), lat.alias("lat")))
 
 
+def with_points(df: DataFrame, geometry: str = "geometry", force_point: bool = True) -> DataFrame:
+    """df with geom_type, lon, lat from GeoJSON text; with force_point shapes become their centroid, without it only points have a place.
+
+    The text stays as it is. Null or bad text, and shapes without a centroid (lines), have no place.
+    """
+    got = geometry_of(geometry)
+    kept = got if force_point else F.when(got["geom_type"] == "Point", got)
+    return df.withColumns({"geom_type": F.get_json_object(geometry, "$.type"), "lon": kept["lon"], "lat": kept["lat"]})
+
+
+def track_vertices(df: DataFrame, geometry: str, id_col: str, subject_id: str) -> DataFrame:
+    """One row for each vertex with a time: subject_id, lon, lat, fixtime (UTC) and df's other columns; lines and sets of lines in GeoJSON text.
+
+    Vertices without a third coordinate are left out, and so are rows without a line.
+    """
+    text = F.get_json_object(geometry, "$.coordinates")
+    line = F.from_json(text, "array<array<double>>")
+    lines = F.flatten(F.from_json(text, "array<array<array<double>>>"))
+    points = F.when(F.get_json_object(geometry, "$.type") == "LineString", line).when(F.get_json_object(geometry, "$.type") == "MultiLineString", lines)
+    rest = [c for c in df.columns if c not in (geometry, id_col)]
+    rows = df.select(F.col(id_col).alias(subject_id), *rest, F.explode(F.filter(points, lambda p: F.get(p, 2).isNotNull())).alias("p"))
+    at = F.timestamp_add("MICROSECOND", (F.col("p")[2] * 1000).cast("long"), F.expr("timestamp_ntz'1970-01-01 00:00:00'"))
+    return rows.select(subject_id, *rest, F.col("p")[0].alias("lon"), F.col("p")[1].alias("lat"), at.alias("fixtime"))
+
+
 def timed_vertices(column: str):
     """Array of struct<lon, lat, time> of line vertices [lon, lat, milliseconds]; those without a time are left out."""
     line = F.from_json(F.get_json_object(column, "$.coordinates"), "array<array<double>>")
