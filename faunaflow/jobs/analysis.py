@@ -33,7 +33,28 @@ query("t7_sun", FIX + _ALT + "SELECT event_id, round(alt, 4) + 0 AS altitude, al
 )
 
 
-@query("t8_night_window")
+def _edge(source: str, noon: str, side: int, out: str) -> str:
+    """A subquery that adds a crossing of 6 degrees below the horizon, in microseconds, before or after a mean noon."""
+    steps = [
+        {"n_guess": f"({noon}) + {side} * 21600000000e0"},
+        {"n_days": "(n_guess - 946728000000000) / 86400000000e0"},
+        {"n_g": "radians(357.529e0 + 0.98560028e0 * n_days)", "n_q": "280.459e0 + 0.98564736e0 * n_days", "n_e": "radians(23.439e0 - 0.00000036e0 * n_days)"},
+        {"n_l": "radians(n_q + 1.915e0 * sin(n_g) + 0.020e0 * sin(2 * n_g))"},
+        {"n_dec": "asin(sin(n_e) * sin(n_l))", "n_late": "degrees(atan2(cos(n_e) * sin(n_l), cos(n_l))) - n_q + 180"},
+        {"n_cos": "(sin(radians(-6)) - sin(radians(lat)) * sin(n_dec)) / (cos(radians(lat)) * cos(n_dec))", "n_eq": "(n_late - 360 * floor(n_late / 360) - 180) / 15 * 3600000000e0"},
+        {out: f"({noon}) + n_eq + {side} * CASE WHEN n_cos BETWEEN -1 AND 1 THEN degrees(acos(n_cos)) END / 15 * 3600000000e0"},
+    ]
+    for step in steps:
+        source = f"(SELECT *, {', '.join(f'{e} AS {n}' for n, e in step.items())} FROM {source})"
+    return f"(SELECT * EXCLUDE ({', '.join(n for step in steps[:-1] for n in step)}) FROM {source})"
+
+
+_NOON = "(day + {}) * 86400000000e0 + 43200000000e0 - lon / 15 * 3600000000e0"
+_NIGHTS = _edge(_edge("f", _NOON.format(0), 1, "dusk"), _NOON.format(1), -1, "dawn")
+
+
+@query("t8_night_window", FIX + f""", f AS (SELECT groupby_col AS subject, epoch_us(date_trunc('day', fixtime)) // 86400000000 AS day, arg_min(lon, fixtime) AS lon, arg_min(lat, fixtime) AS lat FROM fixes GROUP BY 1, 2)
+SELECT subject, day, round(dusk / 1e6)::BIGINT AS dusk, round(dawn / 1e6)::BIGINT AS dawn FROM {_NIGHTS}""")
 def t8(s, d):
     days = fixes(s, d).groupBy("subject", F.unix_date(F.to_date("fixtime")).alias("day")).agg(F.min_by(F.struct("lon", "lat"), "fixtime").alias("p"))
     dusk, dawn = U.night_window(F.col("day"), F.col("p.lon"), F.col("p.lat"))

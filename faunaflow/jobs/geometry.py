@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from faunaflow.functions import geodesy as G
 from faunaflow.jobs.mapping import _CELLS
-from faunaflow.jobs.tables import SQL_FIXES, SQL_SEGMENTS, events, fixes, regions
+from faunaflow.jobs.tables import SQL_FIXES, SQL_SEGMENTS, events, fixes, regions, sql_utm, sql_zone
 from faunaflow.jobs.tracking import segments, standard
 from faunaflow.operators import classify as C
 from faunaflow.operators import density as D
@@ -36,7 +36,7 @@ def g3(s, d):
     return fixes(s, d).select(F.col("extra__event_id").alias("event_id"), F.round(x, 2).alias("x"), (F.round(y, 2) + 0).alias("y"))
 
 
-@query("g3_utm")
+@query("g3_utm", FIX + f", z AS (SELECT *, {sql_zone('lon', 'lat')} AS zone FROM fixes) SELECT event_id, round(x, 2) AS x, round(y, 2) + 0 AS y FROM {sql_utm('z', 'lon', 'lat', 'zone')}")
 def g3_utm(s, d):
     x, y = G.utm(F.col("lon"), F.col("lat"), G.utm_zone(F.col("lon"), F.col("lat")))
     return fixes(s, d).select(F.col("extra__event_id").alias("event_id"), F.round(x, 2).alias("x"), (F.round(y, 2) + 0).alias("y"))

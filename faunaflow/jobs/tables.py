@@ -90,3 +90,29 @@ SQL_SEGMENTS = (
     f"segments AS (SELECT *, dist_meters / nullif(timespan_seconds, 0) * 36e-1 AS speed_kmhr, (from_first / 1000) ** 2 AS nsd FROM "
     f"{sql_geodesic(sql_geodesic('paired', 'x1', 'y1', 'x2', 'y2', 'dist_meters', 'heading'), 'x0', 'y0', 'x2', 'y2', 'from_first', 'az0')})"
 )
+
+
+_UTM = [
+    {"u_t": "sinh(atanh(sin(radians({lat}))) - u_e * atanh(u_e * sin(radians({lat}))))", "u_lam": "radians({lon} - (({zone} % 100) * 6 - 183))"},
+    {"u_xi": "atan2(u_t, cos(u_lam))", "u_eta": "atanh(sin(u_lam) / sqrt(1 + u_t * u_t))"},
+]
+_N = FLAT / (2 - FLAT)
+_TERMS = {
+    1: _N / 2 - 2 * _N**2 / 3 + 5 * _N**3 / 16 + 41 * _N**4 / 180, 2: 13 * _N**2 / 48 - 3 * _N**3 / 5 + 557 * _N**4 / 1440,
+    3: 61 * _N**3 / 240 - 103 * _N**4 / 140, 4: 49561 * _N**4 / 161280,
+}
+
+
+def sql_zone(lon: str, lat: str) -> str:
+    return f"(CASE WHEN {lat} >= 0 THEN 32600 ELSE 32700 END + least(floor(({lon} + 180) / 6) + 1, 60))::INT"
+
+
+def sql_utm(source: str, lon: str, lat: str, zone: str) -> str:
+    """A subquery that adds x and y, metres in the UTM zone of each row, to source."""
+    source = f"(SELECT *, {_num(2 * _N**0.5 / (1 + _N))} AS u_e FROM {source})"
+    for step in _UTM:
+        source = f"(SELECT *, {', '.join(f'{e.format(lon=lon, lat=lat, zone=zone)} AS {k}' for k, e in step.items())} FROM {source})"
+    scale = _num(0.9996 * A / (1 + _N) * (1 + _N**2 / 4 + _N**4 / 64))
+    east = " + ".join(["u_eta", *[f"{_num(a)} * cos({2 * j} * u_xi) * sinh({2 * j} * u_eta)" for j, a in _TERMS.items()]])
+    north = " + ".join(["u_xi", *[f"{_num(a)} * sin({2 * j} * u_xi) * cosh({2 * j} * u_eta)" for j, a in _TERMS.items()]])
+    return f"(SELECT * EXCLUDE (u_e, u_t, u_lam, u_xi, u_eta), 500000 + {scale} * ({east}) AS x, CASE WHEN {zone} >= 32700 THEN 1e7 ELSE 0e0 END + {scale} * ({north}) AS y FROM {source})"

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faunaflow.functions.times import micros
-from faunaflow.jobs.tables import SQL_FIXES, SQL_SEGMENTS, fixes, sql_geodesic
+from faunaflow.jobs.tables import SQL_FIXES, SQL_SEGMENTS, fixes, sql_geodesic, sql_utm, sql_zone
 from faunaflow.operators import relocations as R
 from faunaflow.operators import trajectory as T
 
@@ -160,11 +160,16 @@ def a19(spark, sf_dir):
     return T.displacement(segments(spark, sf_dir)).select("groupby_col", *r3("displacement", "tortuosity"))
 
 
-@query("a20_cluster_stats")
+_CENTRED = FIX + f""", m AS (SELECT groupby_col, {sql_zone('avg(lon)', 'avg(lat)')} AS zone FROM fixes GROUP BY 1), z AS (SELECT * FROM fixes JOIN m USING (groupby_col)), u AS (SELECT * FROM {sql_utm('z', 'lon', 'lat', 'zone')}),
+c AS (SELECT groupby_col, avg(x) AS cx, avg(y) AS cy FROM (SELECT DISTINCT groupby_col, x, y FROM u) GROUP BY 1), e AS (SELECT u.*, sqrt((x - cx) ** 2 + (y - cy) ** 2) AS far FROM u JOIN c USING (groupby_col)) """
+
+
+@query("a20_cluster_stats", _CENTRED + "SELECT groupby_col, count(*) FILTER (far <= 5000) AS points_within, round(max(far), 3) AS cluster_radius, round(stddev_pop(far), 3) AS cluster_std_dev FROM e GROUP BY 1")
 def a20(spark, sf_dir):
     return R.cluster_stats(standard(spark, sf_dir), 5000).select("groupby_col", "points_within", *r3("cluster_radius", "cluster_std_dev"))
 
 
-@query("a21_immobility")
+@query("a21_immobility", _CENTRED + """, s AS (SELECT groupby_col, count(*) AS n, avg((far <= 5000)::INT) AS share, (epoch_us(max(fixtime)) - epoch_us(min(fixtime))) / 1e6 AS timespan FROM e GROUP BY 1)
+SELECT groupby_col, CASE WHEN timespan < 18000 THEN 'insufficient' WHEN share >= 8e-1 AND timespan > 18000 THEN 'immobile' ELSE 'mobile' END AS status, n, round(share, 3) AS share, round(timespan, 3) AS timespan FROM s""")
 def a21(spark, sf_dir):
     return R.immobility(standard(spark, sf_dir), radius=5000).select("groupby_col", "status", "n", *r3("share", "timespan"))
