@@ -33,15 +33,15 @@ query("t7_sun", FIX + _ALT + "SELECT event_id, round(alt, 4) + 0 AS altitude, al
 )
 
 
-def _edge(source: str, noon: str, side: int, out: str) -> str:
-    """A subquery that adds a crossing of 6 degrees below the horizon, in microseconds, before or after a mean noon."""
+def _edge(source: str, noon: str, side: int, out: str, horizon: int) -> str:
+    """A subquery that adds the crossing of an altitude in degrees, in microseconds, before or after a mean noon; needs day, lon and lat."""
     steps = [
         {"n_guess": f"({noon}) + {side} * 21600000000e0"},
         {"n_days": "(n_guess - 946728000000000) / 86400000000e0"},
         {"n_g": "radians(357.529e0 + 0.98560028e0 * n_days)", "n_q": "280.459e0 + 0.98564736e0 * n_days", "n_e": "radians(23.439e0 - 0.00000036e0 * n_days)"},
         {"n_l": "radians(n_q + 1.915e0 * sin(n_g) + 0.020e0 * sin(2 * n_g))"},
         {"n_dec": "asin(sin(n_e) * sin(n_l))", "n_late": "degrees(atan2(cos(n_e) * sin(n_l), cos(n_l))) - n_q + 180"},
-        {"n_cos": "(sin(radians(-6)) - sin(radians(lat)) * sin(n_dec)) / (cos(radians(lat)) * cos(n_dec))", "n_eq": "(n_late - 360 * floor(n_late / 360) - 180) / 15 * 3600000000e0"},
+        {"n_cos": f"(sin(radians({horizon})) - sin(radians(lat)) * sin(n_dec)) / (cos(radians(lat)) * cos(n_dec))", "n_eq": "(n_late - 360 * floor(n_late / 360) - 180) / 15 * 3600000000e0"},
         {out: f"({noon}) + n_eq + {side} * CASE WHEN n_cos BETWEEN -1 AND 1 THEN degrees(acos(n_cos)) END / 15 * 3600000000e0"},
     ]
     for step in steps:
@@ -50,11 +50,16 @@ def _edge(source: str, noon: str, side: int, out: str) -> str:
 
 
 _NOON = "(day + {}) * 86400000000e0 + 43200000000e0 - lon / 15 * 3600000000e0"
-_NIGHTS = _edge(_edge("f", _NOON.format(0), 1, "dusk"), _NOON.format(1), -1, "dawn")
+
+
+def _nights(source: str, horizon: int) -> str:
+    """A subquery that adds dusk of a solar day and the dawn after it."""
+    return _edge(_edge(source, _NOON.format(0), 1, "dusk", horizon), _NOON.format(1), -1, "dawn", horizon)
+
 
 
 @query("t8_night_window", FIX + f""", f AS (SELECT groupby_col AS subject, epoch_us(date_trunc('day', fixtime)) // 86400000000 AS day, arg_min(lon, fixtime) AS lon, arg_min(lat, fixtime) AS lat FROM fixes GROUP BY 1, 2)
-SELECT subject, day, round(dusk / 1e6)::BIGINT AS dusk, round(dawn / 1e6)::BIGINT AS dawn FROM {_NIGHTS}""")
+SELECT subject, day, round(dusk / 1e6)::BIGINT AS dusk, round(dawn / 1e6)::BIGINT AS dawn FROM {_nights('f', -6)}""")
 def t8(s, d):
     days = fixes(s, d).groupBy("subject", F.unix_date(F.to_date("fixtime")).alias("day")).agg(F.min_by(F.struct("lon", "lat"), "fixtime").alias("p"))
     dusk, dawn = U.night_window(F.col("day"), F.col("p.lon"), F.col("p.lat"))
@@ -65,8 +70,23 @@ _PIECES = SEG + """, n AS (SELECT *, epoch_us(segment_start) AS s, epoch_us(segm
 d AS (SELECT *, unnest(range(floor((s - shift) / 86400000000e0)::BIGINT, floor((e - shift - 1) / 86400000000e0)::BIGINT + 1)) AS solar_day FROM n)
 SELECT event_id, solar_day, round((least(e, solar_day * 86400000000e0 + shift + 86400000000e0) - greatest(s, solar_day * 86400000000e0 + shift)) / nullif(e - s, 0), 6) AS piece_share FROM d"""
 query("t10_solar_days", _PIECES)(lambda s, d: U.solar_day_pieces(segments(s, d)).select(F.col("extra__event_id").alias("event_id"), "solar_day", F.round("piece_share", 6).alias("piece_share")))
-query("t11_day_night_distance")(lambda s, d: U.day_night_distance(segments(s, d)).select("groupby_col", "solar_day", F.round("day_dist", 2).alias("day_dist"), F.round("night_dist", 2).alias("night_dist")))
-query("a5_night_day_ratio")(lambda s, d: U.night_day_ratio(segments(s, d), max_gap_hours=24).select("groupby_col", F.round("ratio", 4).alias("ratio"), "n_days"))
+
+def _split(where: str) -> str:
+    """Segments split at solar noons: p0, p1 and their share."""
+    return SEG + f""", n AS (SELECT *, epoch_us(segment_start) AS s, epoch_us(segment_end) AS e, (12 - x1 / 15) * 3600000000e0 AS shift FROM segments WHERE {where}),
+d AS (SELECT *, unnest(range(floor((s - shift) / 86400000000e0)::BIGINT, greatest(floor((s - shift) / 86400000000e0), floor((e - shift - 1) / 86400000000e0))::BIGINT + 1)) AS day FROM n),
+p AS (SELECT groupby_col, day, x1, y1, dist_meters, e - s AS span, greatest(s, day * 86400000000e0 + shift) AS p0, least(e, day * 86400000000e0 + shift + 86400000000e0) AS p1 FROM d),
+t AS (SELECT *, coalesce((p1 - p0) / nullif(span, 0), 1) AS share FROM p)"""
+
+
+_NIGHT = "CASE WHEN dusk IS NOT NULL AND dawn IS NOT NULL THEN greatest(least(p1, dawn) - greatest(p0, dusk), 0) / nullif(p1 - p0, 0) END AS night"
+query("t11_day_night_distance", _split("true") + f""", k AS (SELECT *, x1 AS lon, y1 AS lat FROM t), r AS (SELECT *, {_NIGHT} FROM {_nights("k", 0)})
+SELECT groupby_col, day AS solar_day, round(sum(dist_meters * share * (1 - coalesce(night, 0))), 2) + 0 AS day_dist, round(sum(dist_meters * share * coalesce(night, 0)), 2) + 0 AS night_dist FROM r GROUP BY 1, 2""")(lambda s, d: U.day_night_distance(segments(s, d)).select("groupby_col", "solar_day", F.round("day_dist", 2).alias("day_dist"), F.round("night_dist", 2).alias("night_dist")))
+query("a5_night_day_ratio", _split("timespan_seconds <= 86400") + f""", w AS (SELECT groupby_col, day, arg_min(x1, p0) AS lon, arg_min(y1, p0) AS lat FROM t GROUP BY 1, 2), k AS (SELECT * FROM {_nights("w", -6)}),
+r AS (SELECT groupby_col, day, (p1 - p0) / 3600000000e0 AS hours, dist_meters * share / 1000 AS km, {_NIGHT} FROM t JOIN k USING (groupby_col, day)),
+v AS (SELECT groupby_col, sum(hours * night) AS nh, sum(hours * (1 - night)) AS dh, sum(km * night) AS nk, sum(km * (1 - night)) AS dk FROM r WHERE night IS NOT NULL GROUP BY groupby_col, day),
+g AS (SELECT groupby_col, nh + dh AS hours, (nk / nh) / nullif(nk / nh + dk / dh, 0) AS share FROM v WHERE nh > 1 AND dh > 1),
+o AS (SELECT groupby_col, sum(share * hours) / sum(hours) AS s, count(*) AS n_days FROM g WHERE share IS NOT NULL GROUP BY 1) SELECT groupby_col, round(CASE WHEN s >= 1 THEN 'Infinity'::DOUBLE ELSE s / (1 - s) END, 4) AS ratio, n_days FROM o""")(lambda s, d: U.night_day_ratio(segments(s, d), max_gap_hours=24).select("groupby_col", F.round("ratio", 4).alias("ratio"), "n_days"))
 
 # classes and colours
 
