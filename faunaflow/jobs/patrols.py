@@ -159,19 +159,38 @@ for how in N.INTERPOLATIONS:
 _METRIC = ", ".join(f"radians(x{i}) * 6378137e0 AS x{i}, ln(tan(pi() / 4 + radians(y{i}) / 2)) * 6378137e0 AS y{i}" for i in (1, 2))
 
 
-@query("w12_step_features", SEG + f""", m AS (SELECT event_id, groupby_col, segment_start, segment_end, speed_kmhr, dist_meters, {_METRIC} FROM segments),
+
+
+def _in_metres(s, d):
+    at = lambda i: dict(zip((f"x{i}", f"y{i}"), mercator(F.col(f"x{i}"), F.col(f"y{i}"))))
+    return segments(s, d).withColumns(at(1) | at(2))
+
+
+_STEPS = SEG + f""", m AS (SELECT event_id, groupby_col, segment_start, segment_end, speed_kmhr, dist_meters, {_METRIC} FROM segments),
 l AS (SELECT *, {", ".join(f"lead({c}, {k}) OVER w AS {c}_{k}" for k in (1, 2) for c in ("x1", "y1", "x2", "y2"))}, lead(segment_end, 2) OVER w AS ends FROM m WINDOW w AS (PARTITION BY groupby_col ORDER BY segment_start)),
 f AS (SELECT *, sqrt((x2_2 - x1) ** 2 + (y2_2 - y1) ** 2) AS beeline, sqrt((x2 - x1) ** 2 + (y2 - y1) ** 2) + sqrt((x2_1 - x1_1) ** 2 + (y2_1 - y1_1) ** 2) + sqrt((x2_2 - x1_2) ** 2 + (y2_2 - y1_2) ** 2) AS path,
- floor(x2) = floor(x1_1) AND floor(y2) = floor(y1_1) AS a, floor(x2_1) = floor(x1_2) AND floor(y2_1) = floor(y1_2) AS b, (epoch_us(segment_start) % 86400000000) / 86400000000 * 2 * pi() AS angle FROM l WHERE ends IS NOT NULL)
+ floor(x2) = floor(x1_1) AND floor(y2) = floor(y1_1) AS a, floor(x2_1) = floor(x1_2) AND floor(y2_1) = floor(y1_2) AS b, (epoch_us(segment_start) % 86400000000) / 86400000000 * 2 * pi() AS angle FROM l WHERE ends IS NOT NULL)"""
+
+
+@query("w12_step_features", _STEPS + """
 SELECT event_id, round(CASE WHEN a THEN cos(atan2(y2_1 - y2, x2_1 - x2) - atan2(y2 - y1, x2 - x1)) END, 5) + 0 AS dot_product, round(CASE WHEN a AND b AND path > 0 THEN beeline / path END, 6) AS tortuosity_1,
  round(CASE WHEN beeline > 0 THEN ln((epoch_us(ends) - epoch_us(segment_start)) / 36e8 / beeline ** 2) END, 5) AS tortuosity_2, round(sin(angle), 5) + 0 AS sin_time, round(cos(angle), 5) + 0 AS cos_time, round(speed_kmhr, 3) AS speed, round(dist_meters, 2) AS step_length FROM f""")
 def w12(s, d):
-    at = lambda i: dict(zip((f"x{i}", f"y{i}"), mercator(F.col(f"x{i}"), F.col(f"y{i}"))))
-    rows = N.step_features(segments(s, d).withColumns(at(1) | at(2)))
+    rows = N.step_features(_in_metres(s, d))
     places = {"dot_product": 5, "tortuosity_1": 6, "tortuosity_2": 5, "sin_time": 5, "cos_time": 5, "speed": 3, "step_length": 2}
     return rows.select(F.col("extra__event_id").alias("event_id"), *[(F.round(c, k) + 0).alias(c) for c, k in places.items()])
 
 
+@query("n1_window_nodes", _STEPS + """, g AS (SELECT *, CASE WHEN a THEN cos(atan2(y2_1 - y2, x2_1 - x2) - atan2(y2 - y1, x2 - x1)) END AS dot_product, CASE WHEN a AND b AND path > 0 THEN beeline / path END AS tortuosity_1,
+  CASE WHEN beeline > 0 THEN ln((epoch_us(ends) - epoch_us(segment_start)) / 36e8 / beeline ** 2) END AS tortuosity_2 FROM f),
+v AS (SELECT *, 0 AS k, floor(x1 / 5000)::BIGINT AS cx, floor(y1 / 5000)::BIGINT AS cy FROM g UNION ALL SELECT *, 1, floor(x2 / 5000)::BIGINT, floor(y2 / 5000)::BIGINT FROM g)
+SELECT groupby_col, cx, cy, count(*) FILTER (k = 0) + arg_min(k, (segment_start, k)) AS weight, round(avg(dot_product) FILTER (k = 0), 4) + 0 AS dot_product, round(avg(tortuosity_1) FILTER (k = 0), 5) AS tortuosity_1, round(avg(tortuosity_2) FILTER (k = 0), 4) AS tortuosity_2,
+  round(avg(sin(angle)) FILTER (k = 0), 4) + 0 AS sin_time, round(avg(cos(angle)) FILTER (k = 0), 4) + 0 AS cos_time, round(avg(speed_kmhr) FILTER (k = 0), 3) AS speed, round(avg(dist_meters) FILTER (k = 0), 2) AS step_length FROM v GROUP BY 1, 2, 3""")
+def n1_windows(s, d):
+    places = {"dot_product": 4, "tortuosity_1": 5, "tortuosity_2": 4, "sin_time": 4, "cos_time": 4, "speed": 3, "step_length": 2}
+    return N.window_nodes(_in_metres(s, d), 5000.0).select("groupby_col", "cx", "cy", "weight", *[(F.round(c, k) + 0).alias(c) for c, k in places.items()])
+
+
 # trends
 
 

@@ -58,6 +58,20 @@ def nodes(df: DataFrame, size: float, features: list[str]) -> DataFrame:
     return got.select("groupby_col", "cx", "cy", (F.col("starts") + F.col("first_end")).alias("weight"), *features)
 
 
+#: What :func:`step_features` computes.
+FEATURES = ["dot_product", "tortuosity_1", "tortuosity_2", "sin_time", "cos_time", "speed", "step_length"]
+
+
+def window_nodes(df: DataFrame, size: float) -> DataFrame:
+    """Nodes with the mean of all step features; only segments that begin a full window of three count (:func:`step_features`, metres).
+
+    A feature that is missing in a window is left out of its mean; a node that is only an end has none.
+    """
+    ends = ["x1", "y1", "x2", "y2"]
+    rows = step_features(df.withColumns({f"extra__window_{c}": F.col(c) for c in ends})).withColumnsRenamed({f"extra__window_{c}": c for c in ends})
+    return nodes(rows, size, FEATURES)
+
+
 def edges(df: DataFrame, size: float) -> DataFrame:
     """groupby_col, a, b (cells as struct<cx, cy>, a below b): distinct undirected edges between different cells."""
     rows = cells(df, size)

@@ -5,9 +5,11 @@ import random
 
 import pytest
 
-from faunaflow.operators.adjacent import running_sum, with_adjacent
 from pyspark.sql import functions as F
 
+from faunaflow.operators import network
+from faunaflow.operators.adjacent import running_sum, with_adjacent
+
 SCHEMA = "k string, t timestamp_ntz, n long, v double"
 
 
@@ -67,3 +69,16 @@ def test_no_task_orders_a_whole_history(spark):
     df = with_adjacent(spark.createDataFrame(rows_of(5), SCHEMA), "k", "t", after=["n"])
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "adj_chunk" in plan and "SinglePartition" not in plan and "NestedLoop" not in plan
+
+
+def test_nodes_of_full_windows(spark):
+    at = [dt.datetime(2024, 1, 30) + dt.timedelta(days=i) for i in range(6)]
+    path = [(5.0, 5.0), (15.0, 5.0), (15.0, 15.0), (5.0, 15.0), (5.0, 5.0), (15.0, 5.0)]
+    rows = [("a", at[i], at[i + 1], *path[i], *path[i + 1], float(i), 10.0) for i in range(5)]
+    df = spark.createDataFrame(rows, "groupby_col string, segment_start timestamp_ntz, segment_end timestamp_ntz, x1 double, y1 double, x2 double, y2 double, speed_kmhr double, dist_meters double")
+    got = {(r.cx, r.cy): r for r in network.window_nodes(df, 10.0).collect()}
+    # three windows begin, at segments 0, 1 and 2; the end of the third is a node without features
+    assert set(got) == {(0, 0), (1, 0), (1, 1), (0, 1)} and got[0, 1].speed is None
+    assert [got[n].speed for n in ((0, 0), (1, 0), (1, 1))] == [0.0, 1.0, 2.0]
+    assert got[0, 0].dot_product == pytest.approx(0, abs=1e-9) and got[0, 0].tortuosity_1 == pytest.approx(1 / 3)
+    assert network.window_nodes(df.limit(0), 10.0).collect() == []
