@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from faunaflow.functions import geodesy as G
+from faunaflow.functions.stages import written
 from faunaflow.jobs.mapping import _CELLS
 from faunaflow.jobs.tables import SQL_FIXES, SQL_SEGMENTS, events, fixes, regions, sql_utm, sql_zone
 from faunaflow.jobs.tracking import segments, standard
@@ -118,7 +119,7 @@ def _metric_segments(s, d):
 
 @query("a16_elliptical_density")
 def a16(s, d):
-    rows = _metric_segments(s, d)
+    rows = written(_metric_segments(s, d).drop("groupby_col"))
     fit = R.weibull_fit(rows, "speed_kmhr")
     if fit is None:
         return s.createDataFrame([], "ix long, iy long, density double")

@@ -69,13 +69,14 @@ def _speed_table(least: float, most: float, shape: float, scale: float) -> tuple
     return first, np.logaddexp.accumulate(part[::-1])[::-1]
 
 
-def elliptical_density(df: DataFrame, size: float, max_speed_kmhr: float, shape: float, scale: float, step: float = 0.001, extent: tuple[float, float, float, float] | None = None) -> DataFrame:
+def elliptical_density(df: DataFrame, size: float, max_speed_kmhr: float, shape: float, scale: float, step: float = 0.001, extent: tuple[float, float, float, float] | None = None, tasks: int | None = None) -> DataFrame:
     """ix, iy, density: where a subject may have been between fixes, as a share of all. Planar x1, y1, x2, y2 in metres, timespan_seconds.
 
     A cell within reach of both ends needs the speed (d1 + d2) / t; its weight is the integral of the speed model from that speed,
     step at least, to the largest. Weights are normalised in their segment and divided by its time. An extent (x0, y0, x1, y1)
     bounds the cells by their centres. A segment's cells are gone through block by block in its task, so memory does not grow with
-    its reach; only sums by cell are shuffled.
+    its reach; only sums by cell are shuffled. Segments are narrow but dear, so they are dealt out evenly over ``tasks`` (four for
+    each shuffle partition, if not given): sizes in bytes, by which small partitions would be joined, say nothing about their work.
     """
     first, logs = _speed_table(step, max_speed_kmhr, shape, scale)
 
@@ -130,7 +131,8 @@ def elliptical_density(df: DataFrame, size: float, max_speed_kmhr: float, shape:
                         sums[key][place] += w * (1 / (total * t))
         yield flush()
 
-    rows = df.where("timespan_seconds > 0").select("x1", "y1", "x2", "y2", "timespan_seconds")
+    tasks = tasks or 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.where("timespan_seconds > 0").select("x1", "y1", "x2", "y2", "timespan_seconds").repartition(tasks)
     got = rows.mapInPandas(cells, "ix long, iy long, v double").groupBy("ix", "iy").agg(F.sum("v").alias("v"))
     total = got.agg(F.sum("v").alias("total"))
     return got.join(F.broadcast(total)).select("ix", "iy", F.try_divide("v", "total").alias("density"))
