@@ -30,9 +30,9 @@ from faunaflow.llm.components import components
 from faunaflow.llm.words import mix, window_hashes, word_hashes
 
 WORDS = 5
-#: Sample for the order: so many documents, hot from this share on. Bounds the list of hot tokens, and
-#: the share of all documents that one token's task may hold before step 3.
-SAMPLE_ROWS, HOT_SHARE = 16_384, 0.001
+#: Sample for the order: so many documents, hot from this share on, which bounds the share of all documents that
+#: one token's task may hold before step 3; and the longest list of hot tokens, the hottest of them (16 bytes each).
+SAMPLE_ROWS, HOT_SHARE, HOT_TOKENS = 16_384, 0.001, 1_000_000
 #: Classes whose ids may be broadcast (16 bytes each); more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 STAR_ROUNDS = 2
@@ -68,7 +68,10 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
 
 
 def hot_tokens(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of the shingles in at least HOT_SHARE of a sample, and in how many of its documents each is."""
+    """Sorted hashes of the shingles in at least HOT_SHARE of a sample, and in how many of its documents each is.
+
+    Texts may be long, so the list is bounded whatever their length; any list gives an exact order.
+    """
     part = _binary(docs.sample(False, sample_fraction(docs, SAMPLE_ROWS), seed=5)).select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,7 +80,7 @@ def hot_tokens(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                 yield pa.RecordBatch.from_arrays([pa.array(s)], ["token"])
 
     counts = part.mapInArrow(run, "token long").groupBy("token").agg(F.count(F.lit(1)).alias("c"))
-    hot = counts.where(F.col("c") >= max(16, int(SAMPLE_ROWS * HOT_SHARE))).toPandas().sort_values("token")
+    hot = counts.where(F.col("c") >= max(16, int(SAMPLE_ROWS * HOT_SHARE))).orderBy(F.desc("c"), "token").limit(HOT_TOKENS).toPandas().sort_values("token")
     return hot["token"].to_numpy(dtype=np.int64), hot["c"].to_numpy(dtype=np.int64)
 
 

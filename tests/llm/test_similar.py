@@ -75,7 +75,7 @@ def near_corpus(seed=1):
     return rows
 
 
-@pytest.mark.parametrize("settings_", [{}, {"HOT_SHARE": 1e-6, "STAR_ROUNDS": 1}, {"BROADCAST_ROWS": 0, "STAR_ROUNDS": 0}, {"STAR_ROUNDS": 0, "REMEMBERED": 3}])
+@pytest.mark.parametrize("settings_", [{}, {"HOT_SHARE": 1e-6, "STAR_ROUNDS": 1}, {"BROADCAST_ROWS": 0, "STAR_ROUNDS": 0}, {"STAR_ROUNDS": 0, "REMEMBERED": 3}, {"HOT_SHARE": 0.0, "HOT_TOKENS": 20}])
 def test_jaccard_components_against_brute_force(spark, monkeypatch, settings_):
     for k, v in settings_.items():
         monkeypatch.setattr(jaccard, k, v)
