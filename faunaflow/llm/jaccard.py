@@ -246,10 +246,13 @@ def _open_pairs(rows: DataFrame, pivots: DataFrame, prefixes: DataFrame) -> Data
     rows = rows.join(pivots.select("token"), "token", "left_semi").drop("u")
     sizes = rows.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c"))
     main = written(sizes.groupBy("token").agg(F.max(F.struct("c", "comp")).alias("m")).select("token", F.col("m.comp").alias("main")))
-    rows = rows.join(main, "token").join(prefixes.select("cls", "tokens", "second"), "cls").withColumn("step", F.floor(F.log("n") / F.log(F.lit(4 / 3))))
+    # what classes of different components share is among these tokens, so no others are carried
+    own = rows.groupBy("cls").agg(F.array_sort(F.collect_list(F.struct("i", "token"))).alias("t")).select("cls", F.col("t.token").alias("tokens"))
+    rows = rows.join(main, "token").join(own.join(prefixes.select("cls", "second"), "cls"), "cls").withColumn("step", F.floor(F.log("n") / F.log(F.lit(4 / 3))))
     rows = written(rows)
-    minor = rows.where("comp <> main").alias("r")
-    others = rows.withColumn("step", F.explode(F.expr("array(step - 1, step, step + 1)"))).alias("s")
+    settled(rows)
+    minor = rows.where("comp <> main").withColumn("step", F.explode(F.expr("array(step - 1, step, step + 1)"))).alias("r")
+    others = rows.alias("s")
     keys = [F.col(f"r.{k}") == F.col(f"s.{k}") for k in ("token", "step")]
     once = "arrays_overlap(r.second, s.second) and array_intersect(r.tokens, s.tokens)[0] = r.token"
     met = minor.join(others, [*keys, F.expr(f"r.comp <> s.comp and {_room('r', 's')} and {once}")])
