@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-DAY, HOUR = 86_400_000_000, 3_600_000_000
+DAY, HOUR, MINUTE = 86_400_000_000, 3_600_000_000, 60_000_000
 
 
 def micros(c: str) -> Column:

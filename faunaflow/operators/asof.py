@@ -1,9 +1,9 @@
-"""As-of lookups: rows meet the times of a table around their own, over buckets of time as an equi key.
+"""As-of lookups: rows meet the entries of a table around their own time, by the number of earlier entries as an equi key.
 
-The table is numbered in order of time: numbers within a bucket by a window over the bucket, and in front of it the sums of
-earlier buckets, carried up and down a tree of BRANCH children a node, so that no window spans the table. Each bucket that a row or an entry
-lies in then gets its line: its own entries, the last before it and the first after it, wherever they lie. A row needs
-one equi join with the line of its bucket, and finds its place by counting. Neither side is broadcast unless Spark finds it small.
+The distinct times of rows and table are numbered in order: sums within a bucket by a window over the bucket, and in front of it the
+sums of earlier buckets, carried up and down a tree of BRANCH children a node, so that no window spans the table. Each entry then
+goes to the few places between entries from which it can be seen, and a row meets the line of its own place. A line holds no more
+entries than were asked for, however many share a bucket or a time. Neither side is broadcast unless Spark finds it small.
 """
 
 from __future__ import annotations
@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from faunaflow.functions.times import DAY, micros
+from faunaflow.functions.stages import written
+from faunaflow.functions.times import MINUTE, micros
 
 #: Children of a node of the tree and its levels: 2^42 buckets, of a day or of a microsecond.
 BRANCH_BITS, LEVELS = 14, 3
@@ -39,22 +40,41 @@ def bucket_of(time: str, width: int) -> Column:
     return F.floor(micros(time) / width)
 
 
-def lines(df: DataFrame, time: str, table: DataFrame, before: int, after: int, bucket_us: int = DAY) -> DataFrame:
-    """df with line: the entries (img_time, img_id) of its bucket of time in order, with ``before`` earlier and ``after`` later ones.
+def _nearest_of_a_time(entries: DataFrame, before: int, after: int) -> DataFrame:
+    """img_id, img_time, first, last: of each time the first ``after`` and the last ``before`` entries, with their ranks from either end.
 
-    Entries of one time are in the order of their ids; null times have no line, and rows of no bucket an empty one. A line must fit
-    a row: choose buckets that hold no more than some thousand entries.
+    Others are hidden from every place by entries of their own time. Ranks in order and from the end are limited apart, so
+    that a time that many entries share is cut down before it is shuffled.
     """
-    rows = df.withColumn("bucket", bucket_of(time, bucket_us))
-    entries = table.where("img_time is not null").select("img_id", "img_time", bucket_of("img_time", bucket_us).alias("bucket"))
-    counts = rows.where("bucket is not null").select("bucket", F.lit(0).alias("n")).distinct().unionByName(entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")))
-    counts = counts.groupBy("bucket").agg(F.sum("n").alias("n"))
-    spine = counts.join(sums_before(counts, "bucket", "n"), "bucket")
-    numbered = entries.join(spine, "bucket").select(
-        "img_id", "img_time", (F.col("before") + F.row_number().over(Window.partitionBy("bucket").orderBy("img_time", "img_id"))).alias("k")
-    )
-    wanted = spine.select("bucket", F.explode(F.sequence(F.col("before") + 1 - before, F.col("before") + F.col("n") + after)).alias("k"))
-    found = wanted.join(numbered, "k").groupBy("bucket").agg(F.array_sort(F.collect_list(F.struct("k", "img_time", "img_id"))).alias("numbered"))
-    found = found.select("bucket", F.transform("numbered", lambda i: F.struct(i["img_time"].alias("img_time"), i["img_id"].alias("img_id"))).alias("line"))
+    by = Window.partitionBy("img_time")
+    head = entries.withColumn("first", F.row_number().over(by.orderBy("img_id"))).where(F.col("first") <= after).withColumn("last", F.lit(None).cast("int"))
+    tail = entries.withColumn("last", F.row_number().over(by.orderBy(F.desc("img_id")))).where(F.col("last") <= before).withColumn("first", F.lit(None).cast("int"))
+    return head.unionByName(tail)
+
+
+def lines(df: DataFrame, time: str, table: DataFrame, before: int, after: int, bucket_us: int = MINUTE, strict: bool = False) -> DataFrame:
+    """df with line: the last ``before`` entries (img_time, img_id) at or before its time and the first ``after`` ones later, in order.
+
+    With strict, entries of a row's very time count as later. Entries of one time are in the order of their ids; null times have no
+    line, rows without any entry an empty one. Buckets only deal out the numbering of distinct times: of a minute's length they hold
+    60 million of them at most.
+    """
+    entries = table.where("img_time is not null").select("img_id", "img_time")
+    moments = entries.groupBy(F.col("img_time").alias("asof_moment")).agg(F.count(F.lit(1)).alias("n"))
+    moments = moments.unionByName(df.where(F.col(time).isNotNull()).select(F.col(time).alias("asof_moment")).distinct().withColumn("n", F.lit(0).cast("long")))
+    moments = written(moments.groupBy("asof_moment").agg(F.sum("n").alias("n")).withColumn("bucket", bucket_of("asof_moment", bucket_us)))
+    counts = moments.groupBy("bucket").agg(F.sum("n").alias("amount"))
+    within = F.sum("n").over(Window.partitionBy("bucket").orderBy("asof_moment")) - F.col("n")
+    places = moments.withColumn("within", within).join(sums_before(counts, "bucket", "amount"), "bucket")
+    places = written(places.select("asof_moment", "n", (F.col("before") + F.col("within")).alias("below")))
+    # entry k lies in the lines of the places that have k - after to k + before - 1 entries below them
+    ranked = _nearest_of_a_time(entries, before, after).join(places.withColumnRenamed("asof_moment", "img_time"), "img_time")
+    ranked = ranked.withColumn("k", F.col("below") + F.coalesce(F.col("first"), F.col("n") - F.col("last") + 1))
+    seen = ranked.select("k", "img_time", "img_id", F.explode(F.sequence(F.greatest(F.col("k") - after, F.lit(0)), F.col("k") + before - 1)).alias("place"))
+    seen = seen.where((F.col("place") <= F.col("below")) | (F.col("place") >= F.col("below") + F.col("n")))
+    found = seen.groupBy("place").agg(F.array_sort(F.collect_set(F.struct("k", "img_time", "img_id"))).alias("numbered"))
+    found = found.select("place", F.transform("numbered", lambda i: F.struct(i["img_time"].alias("img_time"), i["img_id"].alias("img_id"))).alias("line"))
     empty = F.array().cast(found.schema["line"].dataType)
-    return rows.join(found, "bucket", "left").withColumn("line", F.when(F.col(time).isNotNull(), F.coalesce("line", empty))).select(*df.columns, "line")
+    asked = places.select("asof_moment", (F.col("below") if strict else F.col("below") + F.col("n")).alias("place"))
+    asked = asked.join(found, "place", "left").select("asof_moment", F.coalesce("line", empty).alias("line"))
+    return df.join(asked, F.col(time) == F.col("asof_moment"), "left").select(*df.columns, "line")

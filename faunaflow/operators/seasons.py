@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from faunaflow.functions.times import DAY
+from faunaflow.functions.times import MINUTE
 from faunaflow.operators.adjacent import running_sum
 from faunaflow.operators.asof import lines
 
@@ -77,11 +77,11 @@ def anomaly(df: DataFrame, feature: str, time: str, value: str, history: str, st
     return running_sum(rows, feature, time, F.col("anomaly"), "cumulative")
 
 
-def nearest_images(df: DataFrame, key: str, time: str, images: DataFrame, before: int, after: int, exact: bool = False, bucket_us: int = DAY) -> DataFrame:
+def nearest_images(df: DataFrame, key: str, time: str, images: DataFrame, before: int, after: int, exact: bool = False, bucket_us: int = MINUTE) -> DataFrame:
     """key, images: ids of the images (img_id, img_time) nearest in time, ``before`` at or before and ``after`` after each row, in order.
 
     With exact an image of the very time of a row comes on top of them. Where both counts are 0 it is the nearest one alone, of two as
-    near the later. Rows find them in the line of their bucket of time (:func:`faunaflow.operators.asof.lines`); a null time has none.
+    near the later. Rows find them in the line of their place among all images (:func:`faunaflow.operators.asof.lines`); a null time has none.
     """
     if before < 0 or after < 0:
         raise ValueError("counts must not be negative")
@@ -118,12 +118,12 @@ def images_within(df: DataFrame, key: str, time: str, images: DataFrame, before:
     return found.select(F.col("key").alias(key), F.transform("near", lambda i: i["img_id"]).alias("images"))
 
 
-def images_by_midpoint(df: DataFrame, time: str, images: DataFrame, radius: int = 0, bucket_us: int = DAY) -> DataFrame:
+def images_by_midpoint(df: DataFrame, time: str, images: DataFrame, radius: int = 0, bucket_us: int = MINUTE) -> DataFrame:
     """df with img_id, img_time: the image whose span between midpoints, open on the left, holds the time, and radius neighbours.
 
     One row for each of them. Of images of one time the first holds that time, the last what follows; a null time has no image.
     """
-    rows = lines(df, time, images, radius + 1, radius + 1, bucket_us)
+    rows = lines(df, time, images, radius + 1, radius + 1, bucket_us, strict=True)
     at = F.size(F.filter("line", lambda i: i["img_time"] < F.col(time)))
     last, following = F.try_element_at("line", F.nullif(at, F.lit(0)))["img_time"], F.try_element_at("line", at + 1)["img_time"]
     middle = F.timestamp_add("MICROSECOND", F.expr("timestampdiff(MICROSECOND, last, following) div 2"), F.col("last"))

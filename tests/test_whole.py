@@ -431,3 +431,23 @@ def test_features_of_three_steps(spark):
     assert got["gap"].dot_product is None and got["gap"].tortuosity_1 is None and got["gap"].tortuosity_2 == pytest.approx(math.log(3 / 16))
     assert got["late"].dot_product == pytest.approx(0, abs=1e-9) and got["late"].tortuosity_1 is None
     assert got["back"].tortuosity_1 == 0 and got["back"].tortuosity_2 is None
+
+
+def test_lines_of_crowded_buckets_are_short(spark):
+    """Thousands of images in one bucket, hundreds at one time: rows carry the images near them alone, the same as from lists."""
+    import random
+
+    from faunaflow.operators import asof, seasons
+
+    rng, zero = random.Random(3), dt.datetime(2024, 1, 1)
+    shots = sorted((zero + dt.timedelta(seconds=rng.randint(0, 3000)), k) for k in range(3000)) + [(zero + dt.timedelta(seconds=3600), 5000 + k) for k in range(300)]
+    rows = [(k, zero + dt.timedelta(seconds=rng.choice([3600, rng.randint(-5, 4000)]))) for k in range(200)]
+    images, df = spark.createDataFrame(shots, "img_time timestamp_ntz, img_id long"), spark.createDataFrame(rows, "id long, t timestamp_ntz")
+    for strict in (False, True):
+        for r in asof.lines(df, "t", images, 2, 3, strict=strict).collect():
+            earlier = [s for s in shots if s[0] < r.t or s[0] == r.t and not strict]
+            assert [(i.img_time, i.img_id) for i in r.line] == earlier[-2:] + shots[len(earlier) : len(earlier) + 3]
+    got = {r.id: r.images for r in seasons.nearest_images(df, "id", "t", images, 1, 1, exact=True).collect()}
+    for k, t in rows:
+        at, same = sum(s[0] <= t for s in shots), any(s[0] == t for s in shots)
+        assert got[k] == [i for _, i in shots[max(at - 1 - same, 0) : at + 1]]
