@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from faunaflow.functions.stages import written
 from faunaflow.operators.columns import convert_unit, half_even
 
 CAP_AREA = 64 * 0.5  # times sin(2 pi / 64) r^2: round ends drawn with 64 corners
@@ -134,34 +139,110 @@ def _islands(rows: DataFrame, by: list[str]) -> DataFrame:
     return marked.groupBy(*by, "island").agg(F.min("l").alias("l"), F.max("r").alias("r")).drop("island")
 
 
-def coverage_area(df: DataFrame, swath: float, by: list[str] = (), strips: int = 32, salts: int = 16) -> DataFrame:
+#: Intervals that a task lays out at once, islands that it holds before it passes them on, segments of one place that stay together.
+LAID_OUT, HELD, CROWD = 1 << 18, 1 << 19, 10_000
+
+
+def _united(line: np.ndarray, l: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The union of the intervals of each line, as intervals that do not meet."""
+    if not len(line):
+        return line, l, r
+    order = np.lexsort((l, line))
+    line, l, r = line[order], l[order], r[order]
+    new = np.r_[True, line[1:] != line[:-1]]
+    # the furthest end so far on the same line, by ranks that rise from line to line
+    rank = np.empty(len(r), np.int64)
+    rank[np.lexsort((r, line))] = np.arange(len(r))
+    ends = np.empty(len(r))
+    ends[rank] = r
+    far = np.maximum.accumulate(rank)
+    fresh = np.flatnonzero(new | np.r_[True, l[1:] > ends[far[:-1]]])
+    return line[fresh], l[fresh], ends[far[np.r_[fresh[1:], len(r)] - 1]]
+
+
+def _intervals(x1: np.ndarray, y1: np.ndarray, x2: np.ndarray, y2: np.ndarray, radius: float, height: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """line, l, r: where each line meets the ground within the radius of each segment, some LAID_OUT intervals at a time."""
+    first = np.ceil((np.minimum(y1, y2) - radius) / height - 0.5).astype(np.int64)
+    count = np.floor((np.maximum(y1, y2) + radius) / height - 0.5).astype(np.int64) - first + 1
+    count[count < 0] = 0
+    total = np.cumsum(count)
+    for low in range(0, int(total[-1]) if len(total) else 0, LAID_OUT):
+        n = np.arange(low, min(low + LAID_OUT, int(total[-1])))
+        at = np.searchsorted(total, n, side="right")
+        line = first[at] + n - (total[at] - count[at])
+        ax, ay, bx, by, y = x1[at], y1[at], x2[at], y2[at], (line + 0.5) * height
+        l, r, length = np.full(len(n), np.inf), np.full(len(n), -np.inf), np.hypot(bx - ax, by - ay)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            # the circles about both ends, and the straight sides to the left and right
+            for x, rest in ((ax, radius * radius - (y - ay) ** 2), (bx, radius * radius - (y - by) ** 2)):
+                half = np.sqrt(rest)
+                l, r = np.fmin(l, x - half), np.fmax(r, x + half)
+            for sign in (1, -1):
+                nx, ny = -(by - ay) * sign * radius / length, (bx - ax) * sign * radius / length
+                share = (y - ay - ny) / (by - ay)
+                x = np.where((share >= 0) & (share <= 1) & (length > 0), ax + nx + share * (bx - ax), np.nan)
+                l, r = np.fmin(l, x), np.fmax(r, x)
+        keep = l < r
+        yield line[keep], l[keep], r[keep]
+
+
+def coverage_area(df: DataFrame, swath: float, by: list[str] = (), strips: int = 32, salts: int = 16, tasks: int | None = None) -> DataFrame:
     """by, area_km2: the ground that lies within half a swath of any segment (planar x1, y1, x2, y2 in metres), overlaps once.
 
     A segment's ground is convex, so it meets each of the parallel lines, ``strips`` to a swath, in one interval, which follows from
     the row itself. The union of the intervals of a line is exact; between lines the area of a circle is off by about 0.5 / strips^1.5
-    of it, longer ground by less. Intervals are cut at tiles, and those of one tile and line are merged in salted groups before they
-    meet, so a place that a third of all segments share costs no task more than its islands. Without segments the area is 0.
+    of it, longer ground by less. Segments meet by the tile that they start in, crowded tiles in up to ``salts`` groups; a task lays their
+    intervals out a part at a time and passes on only islands, so neither a crowded place nor a long segment is held whole, and
+    intervals are not shuffled.
+    Islands are cut at tiles and merged along each line. Segments are narrow, so they are dealt out over ``tasks`` (four for each
+    shuffle partition, if not given) whatever their size in bytes. Without segments the area is 0.
     """
     by, radius, height, tile = list(by), swath / 2, swath / strips, 64 * swath
-    rows = df.where("x1 is not null and y1 is not null and x2 is not null and y2 is not null").select(*by, "x1", "y1", "x2", "y2").withColumn("salt", F.pmod(F.xxhash64("x1", "y1", "x2", "y2"), F.lit(salts)))
-    first, last = F.ceil((F.least("y1", "y2") - radius) / height - 0.5), F.floor((F.greatest("y1", "y2") + radius) / height - 0.5)
-    rows = rows.withColumns({"first": first, "last": last, "length": F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))}).where("first <= last")
-    rows = rows.withColumn("line", F.explode(F.sequence("first", "last"))).withColumn("y", (F.col("line") + 0.5) * height)
-
-    def cap(x: str, y: str) -> Column:
-        """Half the interval of the circle about an end; null beyond it."""
-        rest = radius * radius - (F.col("y") - F.col(y)) ** 2
-        return F.when(rest >= 0, F.sqrt(F.greatest(rest, F.lit(0.0))))
-
-    def side(sign: int) -> Column:
-        """Where the line meets the straight side to the left or right of the segment."""
-        nx, ny = -(F.col("y2") - F.col("y1")) * sign * radius / F.col("length"), (F.col("x2") - F.col("x1")) * sign * radius / F.col("length")
-        share = F.try_divide(F.col("y") - F.col("y1") - ny, F.col("y2") - F.col("y1"))
-        return F.when(F.col("length") > 0, F.when(share.between(0, 1), F.col("x1") + nx + share * (F.col("x2") - F.col("x1"))))
-
-    a, b, ends = cap("x1", "y1"), cap("x2", "y2"), [side(1), side(-1)]
-    rows = rows.select(*by, "line", "salt", F.least(F.col("x1") - a, F.col("x2") - b, *ends).alias("l"), F.greatest(F.col("x1") + a, F.col("x2") + b, *ends).alias("r")).where("l < r")
+    ends = ["x1", "y1", "x2", "y2"]
+    rows = df.where(" and ".join(f"{c} is not null and not isnan({c})" for c in ends)).select(*by, *ends)
+    rows = written(rows.withColumn("spot", F.xxhash64(*by, F.floor(F.col("x1") / tile), F.floor(F.col("y1") / tile))))
+    crowded = rows.groupBy("spot").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWD)
+    crowded = crowded.select("spot", F.least(F.lit(salts), F.ceil(F.col("n") / CROWD)).alias("groups"))
+    group = F.pmod(F.xxhash64(*ends), F.coalesce("groups", F.lit(1)))
+    rows = rows.join(F.broadcast(crowded), "spot", "left").withColumn("spot", F.xxhash64("spot", group))
+    tasks = tasks or 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(tasks, "spot").sortWithinPartitions(*by, "spot").select(*by, *ends)
+
+    def islands(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, key, waiting = None, None, []
+
+        def flush() -> pa.RecordBatch:
+            size = len(held[0])
+            keys = [pa.array([k.as_py()], k.type) for k in key]
+            return pa.RecordBatch.from_arrays([*[k.take(pa.array(np.zeros(size, np.int64))) for k in keys], *map(pa.array, held)], names=[*by, "line", "l", "r"])
+
+        for batch in parts:
+            if not batch.num_rows:
+                continue
+            xs = [batch.column(c).to_numpy(zero_copy_only=False) for c in ends]
+            cut = np.zeros(batch.num_rows, bool)
+            cut[0] = True
+            for c in by:
+                code = pc.dictionary_encode(batch.column(c), null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+                cut[1:] |= code[1:] != code[:-1]
+            starts = np.flatnonzero(cut)
+            for i, j in zip(starts, [*starts[1:], batch.num_rows]):
+                now = [batch.column(c)[int(i)] for c in by]
+                if held is not None and [k.as_py() for k in now] != [k.as_py() for k in key]:
+                    yield flush()
+                    held = None
+                key = now
+                for found in _intervals(*[x[i:j] for x in xs], radius, height):
+                    held = _united(*(found if held is None else map(np.concatenate, zip(held, found))))
+                    if len(held[0]) > HELD:
+                        yield flush()
+                        held = None
+        if held is not None:
+            yield flush()
+
+    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by)
+    rows = rows.mapInArrow(islands, f"{kinds + ', ' if by else ''}line long, l double, r double")
     rows = rows.withColumn("tile", F.explode(F.sequence(F.floor(F.col("l") / tile), F.floor(F.col("r") / tile))))
     rows = rows.withColumns({"l": F.greatest("l", F.col("tile") * tile), "r": F.least("r", (F.col("tile") + 1) * tile)})
-    merged = _islands(_islands(rows, [*by, "line", "tile", "salt"]).drop("salt"), [*by, "line", "tile"])
+    merged = _islands(rows, [*by, "line", "tile"])
     return merged.groupBy(*by).agg((F.coalesce(F.sum(F.col("r") - F.col("l")), F.lit(0.0)) * height / 1e6).alias("area_km2"))

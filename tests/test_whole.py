@@ -451,3 +451,30 @@ def test_lines_of_crowded_buckets_are_short(spark):
     for k, t in rows:
         at, same = sum(s[0] <= t for s in shots), any(s[0] == t for s in shots)
         assert got[k] == [i for _, i in shots[max(at - 1 - same, 0) : at + 1]]
+
+
+def test_area_lays_intervals_out_in_parts(spark, monkeypatch):
+    """Islands alone leave the tasks that lay intervals out, and parts, flushes and crowds do not change the area; null groups count."""
+    from faunaflow.operators import summary
+
+    rng = np.random.default_rng(5)
+    starts = rng.uniform(0, 4000, (400, 2))
+    rows = [(None if k % 3 == 0 else "ab"[k % 2], *map(float, s), *map(float, s + rng.normal(0, 600, 2))) for k, s in enumerate(starts)]
+    df = spark.createDataFrame(rows, "g string, x1 double, y1 double, x2 double, y2 double")
+    area = lambda **k: {r.g: r.area_km2 for r in summary.coverage_area(df, 500.0, ["g"], **k).collect()}
+    want = area()
+    assert set(want) == {None, "a", "b"}
+    for name, n in (("LAID_OUT", 100), ("HELD", 300), ("CROWD", 7)):
+        monkeypatch.setattr(summary, name, n)
+    assert area(tasks=3) == pytest.approx(want, rel=1e-12)
+    x = np.array([r[1:] for r in rows if r[0] == "a"]).T
+    got = list(summary._intervals(*x, 250.0, 500 / 32))
+    assert max(len(line) for line, _, _ in got) <= 100
+    line, left, right = map(np.concatenate, zip(*got))
+    islands, total = summary._united(line, left, right), 0.0
+    for k in np.unique(line):
+        end = -np.inf
+        for lo, hi in sorted(zip(left[line == k], right[line == k])):
+            total, end = total + max(0.0, hi - max(lo, end)), max(end, hi)
+    assert len(islands[0]) < len(line) / 4 and (islands[2] - islands[1]).sum() == pytest.approx(total, rel=1e-12)
+    assert total * 500 / 32 / 1e6 == pytest.approx(want["a"], rel=1e-12)
