@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def edges(ring: Column) -> Column:
@@ -84,20 +87,68 @@ def bounds(ring: str) -> list[Column]:
     return [F.array_min(xs).alias("bx0"), F.array_min(ys).alias("by0"), F.array_max(xs).alias("bx1"), F.array_max(ys).alias("by1")]
 
 
+def _share(top: np.ndarray, bottom: np.ndarray) -> np.ndarray:
+    """top by bottom, nan where that is zero."""
+    return np.divide(top, bottom, out=np.full(len(top), np.nan), where=bottom != 0)
+
+
+def _to_segments(px, py, ax, ay, bx, by) -> np.ndarray:
+    """The distance of points to segments, or to the point that a segment without length is."""
+    dx, dy = bx - ax, by - ay
+    along, square = (px - ax) * dx + (py - ay) * dy, dx * dx + dy * dy
+    t = np.clip(np.divide(along, square, out=np.zeros(len(along)), where=square != 0), 0.0, 1.0)
+    return np.hypot(px - ax - t * dx, py - ay - t * dy)
+
+
+#: Sides of shapes that a task compares at once.
+SIDES = 1 << 18
+
+
+def _nearest_sides(polygon: np.ndarray, size: np.ndarray, start: np.ndarray, xs: np.ndarray, ys: np.ndarray, ends: list[np.ndarray]) -> np.ndarray:
+    """The distance of each segment to its shape of ``size`` corners from ``start`` on; every shape has corners."""
+    owner = np.repeat(np.arange(len(size)), size)
+    first = np.cumsum(size) - size
+    step = np.arange(len(owner)) - first[owner]
+    last = step == size[owner] - 1
+    here = start[owner] + step
+    # a polygon's last side leads back to its first corner, that of a line is its last corner alone
+    then = np.where(last, np.where(polygon[owner], start[owner], here), here + 1)
+    ax, ay, bx, by = xs[here], ys[here], xs[then], ys[then]
+    x1, y1, x2, y2 = (e[owner] for e in ends)
+    away = np.minimum(np.minimum(_to_segments(ax, ay, x1, y1, x2, y2), _to_segments(bx, by, x1, y1, x2, y2)), np.minimum(_to_segments(x1, y1, ax, ay, bx, by), _to_segments(x2, y2, ax, ay, bx, by)))
+    det = (x2 - x1) * (by - ay) - (y2 - y1) * (bx - ax)
+    t, u = _share((ax - x1) * (by - ay) - (ay - y1) * (bx - ax), det), _share((ax - x1) * (y2 - y1) - (ay - y1) * (x2 - x1), det)
+    away[(t >= 0) & (t <= 1) & (u >= 0) & (u <= 1)] = 0.0
+    # a polygon holds the segment's start: on its border, or after an odd number of crossings
+    share = _share(y1 - ay, by - ay)
+    odd = np.add.reduceat(((ay > y1) != (by > y1)) & (x1 < (bx - ax) * share + ax), first, dtype=np.int64) % 2 == 1
+    out = np.minimum.reduceat(away, first)
+    out[polygon & odd] = 0.0
+    return out
+
+
+@F.arrow_udf(DoubleType())
+def _distances(polygon: pa.Array, path: pa.Array, x1: pa.Array, y1: pa.Array, x2: pa.Array, y2: pa.Array) -> pa.Array:
+    """Column by column over a batch of segments and shapes, some SIDES sides at a time; null where anything is missing."""
+    number = lambda a: a.cast("double").to_numpy(zero_copy_only=False)
+    ends, corners = [number(e) for e in (x1, y1, x2, y2)], path.flatten()
+    xs, ys = (number(corners.field(k)) for k in ("x", "y"))
+    size = path.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    start = np.cumsum(size) - size
+    is_polygon, out = polygon.fill_null(False).to_numpy(zero_copy_only=False), np.full(len(size), np.nan)
+    rows = np.flatnonzero(size)
+    parts = np.cumsum(size[rows]) // SIDES
+    for part in np.split(rows, np.flatnonzero(np.diff(parts)) + 1) if len(rows) else []:
+        out[part] = _nearest_sides(is_polygon[part], size[part], start[part], xs, ys, [e[part] for e in ends])
+    return pa.array(out, from_pandas=True)
+
+
 def segment_to_shape(kind: Column, path: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
     """The planar distance of a segment to a point, a line or a polygon, given as an array of struct<x, y>.
 
-    It is 0 where they meet and where the segment lies in the polygon.
+    It is 0 where they meet and where the segment lies in the polygon. It is computed for whole Arrow batches.
     """
-    after = F.concat(F.slice(path, 2, F.size(path)), F.array(F.when(kind == "polygon", path[0]).otherwise(F.element_at(path, -1))))
-    sides = F.zip_with(path, after, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-
-    def to(side: Column) -> Column:
-        a, b = (side["a"]["x"], side["a"]["y"]), (side["b"]["x"], side["b"]["y"])
-        ends = [point_to_segment(*p, x1, y1, x2, y2) for p in (a, b)] + [point_to_segment(*p, *a, *b) for p in ((x1, y1), (x2, y2))]
-        return F.when(crossing(x1, y1, x2, y2, *a, *b).isNotNull(), F.lit(0.0)).otherwise(F.least(*ends))
-
-    return F.when((kind == "polygon") & contains(path, x1, y1), F.lit(0.0)).otherwise(F.array_min(F.transform(sides, to)))
+    return _distances(kind == "polygon", path, x1, y1, x2, y2)
 
 
 def meets_box(ring: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
