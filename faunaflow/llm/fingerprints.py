@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from faunaflow.llm.common import documents, sha256, written
+from faunaflow.llm.common import documents, settled, sha256, written
 
 WHOLE, BITS = 4, 32
 LANE = 0xFFFFFFFF
@@ -94,17 +94,19 @@ def edited_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "
     ids repeat, every row is returned, and "the next document" is the least text of the next id. A row
     with a null id has an empty next document. An empty table gives no rows; other columns are not read.
     """
-    # rows without an id have a spread above 0; both readers of the join below share one shuffle of the texts
-    spread = F.when(F.isnull("doc_id"), F.pmod(F.xxhash64("text"), F.lit(SPREAD)) + 1).otherwise(F.lit(0).cast("long"))
-    docs = documents(df, id_col, text_col).select("text", F.coalesce("doc_id", F.lit(0)).alias("key"), spread.alias("spread"))
+    # rows without an id have a spread above 0. Both readers of the join below share one shuffle of the texts, and the rows stay where it
+    # brought them: keys can be seen never to be null and are no literals, so that no filter or fewer keys set the readers apart
+    spread = F.coalesce(F.when(F.isnull("doc_id"), F.pmod(F.xxhash64("text"), F.lit(SPREAD)) + 1).otherwise(F.lit(0).cast("long")), F.lit(0).cast("long"))
+    zero = lambda key: F.coalesce(F.pmod(F.col(key), F.lit(1).cast("long")), F.lit(0).cast("long")).alias("spread")
+    docs = documents(df, id_col, text_col).select("text", F.coalesce("doc_id", F.lit(0).cast("long")).alias("key"), spread.alias("spread"))
     real = F.when(F.col("spread") == 0, F.col("key")).alias("doc_id")
     order = ring(docs.select(real))
     lengths = docs.groupBy(real).agg(F.max(F.length("text")).alias("n"))
     asks = order.join(lengths, "doc_id").select(F.col("next_id").alias("of"), F.col("doc_id").alias("by"), F.expr("cast(n div 2 as int)").alias("need"))
-    here = F.lit(0).cast("long").alias("spread")
-    asks = order.join(asks, order["doc_id"] == asks["of"]).select(order["doc_id"].alias("key"), here, "next_id", "by", "need")
+    asks = order.join(asks, order["doc_id"] == asks["of"]).select(F.coalesce(order["doc_id"], F.lit(0).cast("long")).alias("key"), "next_id", "by", "need")
+    asks = asks.select("key", zero("key"), "next_id", "by", "need")
     found = docs.join(asks, ["key", "spread"], "left")
-    heads = found.where("by is not null").groupBy(F.col("by").alias("key"), here).agg(F.min(F.expr("left(text, need)")).alias("head"))
+    heads = found.where("by is not null").groupBy(F.col("by").alias("key"), zero("by")).agg(F.min(F.expr("left(text, need)")).alias("head"))
     own = found.select("key", "spread", real, "next_id", "text", F.length("text").alias("n")).join(heads, ["key", "spread"], "left")
     half = F.expr("cast(n div 2 as int)")
     # rows of one key are numbered by text: equal ones may change places, so a task that runs again does no harm
@@ -126,6 +128,7 @@ def edited_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "
     prints = fingerprint(each, [*keys, "kind"], "body")
     lanes = prints.groupBy(*keys).agg(F.max(F.when(F.col("kind") == 0, F.col("lanes"))).alias("a"), F.max(F.when(F.col("kind") == 1, F.col("lanes"))).alias("b"))
     lanes = written(lanes)
+    settled(df)
     least = lanes.where("doc_id is not null").groupBy(F.col("doc_id").alias("next_id")).agg(F.min("a").alias("c"))
     empty = F.array(*[F.lit(0).cast("long")] * (2 * WHOLE + 1 + 2 * BITS))
     joined = lanes.join(least, "next_id", "left")
