@@ -269,3 +269,23 @@ def test_redaction(spark):
     df = frame(spark, [(1, "😀 token=abcdefghij mid " + "ab12" * 10 + " end"), (2, "clean")], extra=False)
     got = df.select("doc_id", "text", secret_scan.spans_of("text").alias("s")).select("doc_id", secret_scan.redacted("text", "s").alias("t")).collect()
     assert {r.doc_id: r.t for r in got} == {1: "😀 [SECRET] mid [SECRET] end", 2: "clean"}
+
+
+def test_fingerprints_shuffle_texts_once(spark, monkeypatch):
+    """Both readers of the texts share one shuffle, and the heads of texts meet them where it brought them."""
+    from faunaflow.llm import fingerprints
+
+    plans, plain = [], fingerprints.written
+
+    def spy(df):
+        if {"a", "b"} <= set(df.columns):
+            plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return plain(df)
+
+    monkeypatch.setattr(fingerprints, "written", spy)
+    df = spark.createDataFrame([(k, "a b\nc" * k if k % 3 else None) for k in range(9)] + [(None, "x")], "doc_id long, text string")
+    assert fingerprints.edited_fingerprints(df).count() == 10
+    joins = [line for line in plans[0].splitlines() if "Join" in line and "key#" in line]
+    assert len(plans) == 1 and len(joins) == 3 and all(line.count("key#") == 2 and line.count("spread#") == 2 for line in joins)
+    # no filter sets the texts of one reader apart
+    assert "isnotnull(text" not in plans[0] and not [line for line in plans[0].splitlines() if "Filter" in line and "xxhash64" in line and "isnotnull(pmod" in line]
