@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from faunaflow.llm.common import documents, sample_fraction, written
+from faunaflow.llm.common import documents, sample_fraction, settled, written
 from faunaflow.llm.words import SECOND, window_hashes, word_hashes
 
 WIDTH = 50
@@ -166,6 +166,8 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     anchors = _anchors(docs, hot).withColumn("salt", salt)
     anchors = anchors.select("key", "spread", "at", (F.col("hot") | (F.min("key").over(same) != F.max("key").over(same))).alias("shared")).where("shared")
     places = written(anchors.groupBy("key", "spread").agg(F.collect_set("at").alias("places")))
+    # before the texts are shuffled, the anchors' files may go; at the end of the next phase only the texts are still read
+    settled(df)
     rows = docs.withColumn("nth", F.dense_rank().over(Window.partitionBy("key", "spread").orderBy("sum")))
     windows = _windows(rows, places, hot).withColumn("salt", salt)
     same = Window.partitionBy("h", "more", "salt")
@@ -173,4 +175,5 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     least = windows.where("hot").groupBy("h", "more").agg(F.min("key").alias("least"))
     repeated = each.join(F.broadcast(least), ["h", "more"], "left").where("key > coalesce(least, first)")
     starts = written(repeated.groupBy(*ROW).agg(F.collect_set("at").alias("starts")))
+    settled(df)
     return _kept(rows, starts)
