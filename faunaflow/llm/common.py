@@ -69,10 +69,12 @@ def settled(df: DataFrame) -> None:
     """Call after a phase whose result is written: Spark then removes the phase's shuffle files from disk.
 
     Spark removes them once the driver's garbage collection finds the plans that read them gone, which without
-    this may take as long as the job. It only saves disk; a session without a JVM at hand goes without it.
+    this may take as long as the job. Spark's listeners keep the plan of the last query at hand until another one has run,
+    so a query of one row comes first. It only saves disk; a session without a JVM at hand goes without it.
     """
     jvm = getattr(df.sparkSession, "_jvm", None)
     if jvm is not None:
+        df.sparkSession.range(1).collect()
         jvm.System.gc()
 
 

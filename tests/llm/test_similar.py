@@ -1,6 +1,8 @@
 import hashlib
+import os
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -11,12 +13,29 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from faunaflow.llm import jaccard, substrings
+from faunaflow.llm.common import settled, written
 from faunaflow.llm.components import components
 from faunaflow.llm.words import window_hashes
 
 SPLIT = re.compile(r"[^\x20\x09-\x0D]+")
 
 
+def _shuffle_files(spark):
+    folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    return {f for folder in folders for _, _, files in os.walk(folder.getPath()) for f in files if f.startswith("shuffle_")}
+
+
+def test_a_finished_phase_leaves_no_shuffle_files(spark):
+    before = _shuffle_files(spark)
+    phase = written(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    made = _shuffle_files(spark) - before
+    settled(phase)
+    until = time.time() + 10
+    while made & _shuffle_files(spark) and time.time() < until:
+        time.sleep(0.1)
+    assert made and not made & _shuffle_files(spark)
+
+
 # connected components
 
 
