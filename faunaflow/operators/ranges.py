@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -138,72 +139,108 @@ def elliptical_density(df: DataFrame, size: float, max_speed_kmhr: float, shape:
     return got.join(F.broadcast(total)).select("ix", "iy", F.try_divide("v", "total").alias("density"))
 
 
-def hull(points: np.ndarray) -> np.ndarray:
-    """Corners of the convex hull, by the monotone chain."""
-    points = np.unique(points, axis=0)
+def _corners(points: list[tuple]) -> list[tuple]:
+    """Corners of the convex hull of (x, y) in plain numbers, by the monotone chain; of fewer than three points themselves, sorted."""
+    points = sorted(set(points))
     if len(points) < 3:
         return points
-    turn = lambda o, a, b: (a[0] - o[0]) * (b[1] - o[1]) - (a[1] - o[1]) * (b[0] - o[0])
-    chains = []
+    found = []
     for line in (points, points[::-1]):
         chain: list = []
-        for p in line:
-            while len(chain) > 1 and turn(chain[-2], chain[-1], p) <= 0:
+        for x, y in line:
+            while len(chain) > 1:
+                (ox, oy), (ax, ay) = chain[-2], chain[-1]
+                if (ax - ox) * (y - oy) - (ay - oy) * (x - ox) > 0:
+                    break
                 chain.pop()
-            chain.append(p)
-        chains += chain[:-1]
-    return np.array(chains)
+            chain.append((x, y))
+        found += chain[:-1]
+    return found
+
+
+def hull(points: np.ndarray) -> np.ndarray:
+    """Corners of the convex hull, by the monotone chain."""
+    return np.array(_corners(list(map(tuple, np.asarray(points, dtype=float).tolist())))).reshape(-1, 2)
+
+
+def _area(corners: list[tuple]) -> float:
+    """The area within a ring; its first corner is taken as the origin, so that no large products cancel."""
+    if len(corners) < 3:
+        return 0.0
+    (x0, y0), total = corners[0], 0.0
+    for (ax, ay), (bx, by) in zip(corners[1:], corners[2:]):
+        total += (ax - x0) * (by - y0) - (bx - x0) * (ay - y0)
+    return abs(total) / 2
 
 
-def _merged(xs: pd.Series, ys: pd.Series, more_xs: pd.Series, more_ys: pd.Series) -> pd.DataFrame:
-    """The hull of each two hulls; a missing one adds nothing."""
-    each = [hull(np.c_[np.r_[x, u], np.r_[y, v]]) if u is not None else np.c_[x, y] for x, y, u, v in zip(xs, ys, more_xs, more_ys)]
-    return pd.DataFrame({"xs": [h[:, 0] for h in each], "ys": [h[:, 1] for h in each]})
+def _hulls(xs: pd.Series, ys: pd.Series) -> pd.DataFrame:
+    """The hull of each list of points; null for null."""
+    each = [None if x is None else _corners(list(zip(x.tolist(), y.tolist()))) for x, y in zip(xs, ys)]
+    return pd.DataFrame({k: [None if h is None else [p[i] for p in h] for h in each] for i, k in enumerate(("xs", "ys"))})
+
+
+#: Lists of so few points are left as they are: hulls in front of them cost more than they save.
+FEW = 8
+
+
+def _shrunk(df: DataFrame) -> DataFrame:
+    """df with the lists xs, ys of the corners of their hulls alone; lists of few points stay, and are not handed to Python."""
+    many, hulls = F.size("xs") > FEW, F.pandas_udf(_hulls, "xs array<double>, ys array<double>")
+    got = df.withColumn("h", hulls(F.when(many, F.col("xs")), F.when(many, F.col("ys"))))
+    return got.withColumns({c: F.coalesce(f"h.{c}", c) for c in ("xs", "ys")}).drop("h")
 
 
 def _hulls_through(chunks: DataFrame) -> DataFrame:
     """groupby_col, place, xs, ys: the hull of a subject's chunks up to and with each, by doubling the reach in each round."""
-    merged = F.pandas_udf(_merged, "xs array<double>, ys array<double>")
     now, reach = written(chunks.select("groupby_col", "place", "xs", "ys")), 1
     most = now.agg(F.max("place")).first()[0] or 0
     while reach < most:
         behind = now.select("groupby_col", (F.col("place") + reach).alias("place"), F.col("xs").alias("us"), F.col("ys").alias("vs"))
-        both = now.join(behind, ["groupby_col", "place"], "left").withColumn("h", merged("xs", "ys", "us", "vs"))
-        now, reach = written(both.select("groupby_col", "place", "h.xs", "h.ys")), 2 * reach
+        both = now.join(behind, ["groupby_col", "place"], "left")
+        joined = {a: F.concat(a, F.coalesce(b, F.array().cast("array<double>"))) for a, b in (("xs", "us"), ("ys", "vs"))}
+        now, reach = written(_shrunk(both.select("groupby_col", "place", *[c.alias(a) for a, c in joined.items()]))), 2 * reach
     return now
 
 
+def _grown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """groupby_col, day, area_km2 of rows (groupby_col, chunk, day, xs, ys) that stand in the order of the first three.
+
+    The hull so far is carried from row to row, across batches too; a chunk's row without a day is what stands before it.
+    """
+    last, now = None, []
+    for batch in batches:
+        xs, ys = batch.column("xs"), batch.column("ys")
+        ends, x, y = xs.offsets.to_pylist(), xs.values.to_pylist(), ys.values.to_pylist()
+        subjects, chunks, days = (batch.column(c).to_pylist() for c in ("groupby_col", "chunk", "day"))
+        areas = []
+        for i, key in enumerate(zip(subjects, chunks)):
+            points = list(zip(x[ends[i] : ends[i + 1]], y[ends[i] : ends[i + 1]]))
+            now = _corners(now + points if key == last else points)
+            last = key
+            areas.append(_area(now) / 1e6)
+        out = pa.RecordBatch.from_arrays([batch.column("groupby_col"), batch.column("day"), pa.array(areas, pa.float64())], ["groupby_col", "day", "area_km2"])
+        yield out.filter(pa.array([d is not None for d in days], pa.bool_()))
+
+
 def hull_growth(df: DataFrame, chunk: str = "month") -> DataFrame:
     """groupby_col, day, area_km2 of the hull of all fixes so far (planar x, y in metres, day a date).
 
-    Each day's fixes shrink to the corners of their hull, and so do the days of a chunk of time. Merging hulls is associative, so the
-    hull in front of every chunk comes from a parallel prefix over chunks; then a task grows the days of one chunk from it. Fixes
-    without a subject, day or place are left out.
+    A day's fixes are one row with a list of places, which shrinks to the corners of its hull where there are many. Merging hulls is
+    associative, so the hull in front of every chunk of time comes from a parallel prefix over chunks; then the days of a chunk are
+    gone through in order, from that hull. Tasks stream sorted rows, so that many small subjects cost no call each. Fixes without a
+    subject, day or place are left out.
     """
-    rows = df.where("groupby_col is not null and day is not null and x is not null and y is not null").select("groupby_col", "day", "x", "y")
-
-    def corners(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        h = hull(rows[["x", "y"]].to_numpy())
-        return pd.DataFrame({"groupby_col": key[0], "day": key[1], "x": h[:, 0], "y": h[:, 1]})
-
-    def whole(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        h = hull(rows[["x", "y"]].to_numpy())
-        return pd.DataFrame({"groupby_col": [key[0]], "chunk": [key[1]], "xs": [h[:, 0]], "ys": [h[:, 1]]})
-
-    def grow(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        now, out = rows.loc[rows["day"].isna(), ["x", "y"]].to_numpy(), []
-        for day, part in rows.dropna(subset=["day"]).sort_values("day").groupby("day"):
-            now = hull(np.r_[now, part[["x", "y"]].to_numpy()])
-            x, y = now[:, 0], now[:, 1]
-            out.append((key[0], day, abs(np.dot(x, np.roll(y, -1)) - np.dot(y, np.roll(x, -1))) / 2e6 if len(now) > 2 else 0.0))
-        return pd.DataFrame(out, columns=["groupby_col", "day", "area_km2"])
-
-    days = rows.groupBy("groupby_col", "day").applyInPandas(corners, "groupby_col string, day date, x double, y double")
-    days = written(days.withColumn("chunk", F.trunc("day", chunk)))
-    chunks = days.groupBy("groupby_col", "chunk").applyInPandas(whole, "groupby_col string, chunk date, xs array<double>, ys array<double>")
-    chunks = written(chunks.withColumn("place", F.row_number().over(Window.partitionBy("groupby_col").orderBy("chunk"))))
-    before = _hulls_through(chunks).withColumn("place", F.col("place") + 1).join(chunks.select("groupby_col", "place", "chunk"), ["groupby_col", "place"])
-    point = F.explode(F.arrays_zip("xs", "ys")).alias("p")
-    base = before.select("groupby_col", "chunk", F.lit(None).cast("date").alias("day"), point).select("groupby_col", "chunk", "day", F.col("p.xs").alias("x"), F.col("p.ys").alias("y"))
-    both = days.select("groupby_col", "chunk", "day", "x", "y").unionByName(base)
-    return both.groupBy("groupby_col", "chunk").applyInPandas(grow, "groupby_col string, day date, area_km2 double")
+    rows = df.where("groupby_col is not null and day is not null and x is not null and y is not null")
+    days = rows.groupBy("groupby_col", "day").agg(F.collect_set(F.struct(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))).alias("p"))
+    days = _shrunk(days.select("groupby_col", F.trunc("day", chunk).alias("chunk"), "day", F.col("p.x").alias("xs"), F.col("p.y").alias("ys")))
+    days = written(days)
+    along = Window.partitionBy("groupby_col").orderBy("chunk")
+    places = days.select("groupby_col", "chunk").distinct().select("groupby_col", "chunk", F.row_number().over(along).alias("place"), F.lead("chunk").over(along).alias("next"))
+    # the hull of a subject's last chunk stands before no other
+    places = written(places.where("next is not null"))
+    chunks = days.join(places, ["groupby_col", "chunk"]).groupBy("groupby_col", "place").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("xs", "ys")])
+    before = _hulls_through(_shrunk(chunks)).join(places, ["groupby_col", "place"])
+    base = before.select("groupby_col", F.col("next").alias("chunk"), F.lit(None).cast("date").alias("day"), "xs", "ys")
+    order = ["groupby_col", "chunk", "day"]
+    both = days.select(*order, "xs", "ys").unionByName(base).repartition("groupby_col", "chunk").sortWithinPartitions(*order)
+    return both.mapInArrow(_grown, "groupby_col string, day date, area_km2 double")

@@ -247,6 +247,19 @@ def test_hulls_grow_across_chunks(spark):
     assert {(r.groupby_col, r.day): r.area_km2 for r in got} == pytest.approx(want)
 
 
+def test_small_hulls_cost_no_call_each(spark):
+    """Days and subjects go through Python as streams of rows, also in batches of two, not as a call for each of them."""
+    d = dt.date(2024, 1, 31)
+    rows = [(f"s{i}", d + dt.timedelta(days=k), float(x), float(y)) for i in range(20) for k in range(3) for x, y in ((k, 0), (0, k), (k, k), (0, 0))]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        got = ranges.hull_growth(spark.createDataFrame(rows, "groupby_col string, day date, x double, y double"))
+        assert "FlatMapGroups" not in got._jdf.queryExecution().toString()
+        assert {(r.groupby_col, r.day): r.area_km2 for r in got.collect()} == pytest.approx({(f"s{i}", d + dt.timedelta(days=k)): k * k / 1e6 for i in range(20) for k in range(3)})
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_distances_to_shapes(spark):
     """Points, lines and polygons, crossed, touched, around and far away; the nearest of all, also far beyond the first tiles."""
     path = lambda *p: [{"x": float(x), "y": float(y)} for x, y in p]
