@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
@@ -69,16 +71,28 @@ def crossing(x1: Column, y1: Column, x2: Column, y2: Column, ax: Column, ay: Col
     return F.when(t.between(0, 1) & u.between(0, 1), t)
 
 
+def once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with value computed once however often ``then`` refers to it.
+
+    In the arguments of a lambda function Spark computes an expression anew wherever it stands, however dear it is.
+    """
+    return F.get(F.transform(F.array(value), then), 0)
+
+
+def _twice_area(sides: Column) -> Column:
+    return F.aggregate(sides, F.lit(0.0), lambda s, e: s + e["a"]["x"] * e["b"]["y"] - e["b"]["x"] * e["a"]["y"])
+
+
 def area(ring: Column) -> Column:
-    return F.abs(F.aggregate(edges(ring), F.lit(0.0), lambda s, e: s + e["a"]["x"] * e["b"]["y"] - e["b"]["x"] * e["a"]["y"])) / 2
+    return once(ring, lambda r: F.abs(_twice_area(edges(r)))) / 2
 
 
 def centroid(ring: Column) -> Column:
     """struct<x, y> of a ring's area; of its corners where it has none."""
-    weighed = lambda k: F.aggregate(edges(ring), F.lit(0.0), lambda s, e: s + (e["a"][k] + e["b"][k]) * (e["a"]["x"] * e["b"]["y"] - e["b"]["x"] * e["a"]["y"]))
-    twice = F.aggregate(edges(ring), F.lit(0.0), lambda s, e: s + e["a"]["x"] * e["b"]["y"] - e["b"]["x"] * e["a"]["y"])
-    mean = lambda k: F.aggregate(ring, F.lit(0.0), lambda s, p: s + p[k]) / F.size(ring)
-    return F.struct(*[F.coalesce(F.try_divide(weighed(k), 3 * twice), mean(k)).alias(k) for k in ("x", "y")])
+    weighed = lambda sides, k: F.aggregate(sides, F.lit(0.0), lambda s, e: s + (e["a"][k] + e["b"][k]) * (e["a"]["x"] * e["b"]["y"] - e["b"]["x"] * e["a"]["y"]))
+    mean = lambda r, k: F.aggregate(r, F.lit(0.0), lambda s, p: s + p[k]) / F.size(r)
+    found = lambda r, sides, twice: F.struct(*[F.coalesce(F.try_divide(weighed(sides, k), 3 * twice), mean(r, k)).alias(k) for k in ("x", "y")])
+    return once(ring, lambda r: once(edges(r), lambda sides: once(_twice_area(sides), lambda twice: found(r, sides, twice))))
 
 
 def bounds(ring: str) -> list[Column]:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from faunaflow.functions.shapes import once
+
 #: Manual and automatic flags by filter number.
 FLAGS = {0: [0], 1: [1], 2: [2], 3: [1, 2]}
 
@@ -110,10 +112,11 @@ def _by_type(fields: DataFrame) -> DataFrame:
     return got.withColumn("order", F.col("order.key"))
 
 
-def _last_of_each(entries: Column, key: str, value: str) -> tuple[Column, Column]:
-    """The distinct keys of an array of structs in order, and the last value of each."""
-    keys = F.array_distinct(F.transform(entries, lambda e: e[key]))
-    return keys, F.transform(keys, lambda k: F.element_at(F.filter(entries, lambda e: e[key] == k), -1)[value])
+def _last_of_each(entries: Column, key: str, value: str) -> Column:
+    """Of an array of structs, those with distinct keys in the order of their first, each with the last value of its key; entries are computed once."""
+    keys = lambda all: F.array_distinct(F.transform(all, lambda e: e[key]))
+    last = lambda all, k: F.element_at(F.filter(all, lambda e: e[key] == k), -1)
+    return once(entries, lambda all: F.transform(keys(all), lambda k: last(all, k)))
 
 
 def titled_details(events: DataFrame, fields: DataFrame) -> DataFrame:
@@ -124,20 +127,20 @@ def titled_details(events: DataFrame, fields: DataFrame) -> DataFrame:
     rows = events.join(_by_type(fields), "event_type", "left")
     found = lambda m, k, other: F.coalesce(F.try_element_at(F.col(m), k), other)
     entry = lambda e: F.struct(found("titles", e["key"], e["key"]).alias("key"), found("labels", F.concat_ws(PART, e["key"], e["value"]), e["value"]).alias("value"))
-    keys, values = _last_of_each(F.transform(F.map_entries("event_details"), entry), "key", "value")
-    return rows.select(*[c for c in events.columns if c != "event_details"], F.map_from_arrays(keys, values).alias("event_details"))
+    pairs = _last_of_each(F.transform(F.map_entries("event_details"), entry), "key", "value")
+    return rows.select(*[c for c in events.columns if c != "event_details"], F.map_from_entries(pairs).alias("event_details"))
 
 
 def _quoted(c: Column) -> Column:
     """A string as JSON; null stays null."""
-    text = F.to_json(F.array(c))
-    return F.when(c.isNotNull(), F.substring(text, F.lit(2), F.length(text) - 2))
+    text = once(F.to_json(F.array(c)), lambda t: F.substring(t, F.lit(2), F.length(t) - 2))
+    return F.when(c.isNotNull(), text)
 
 
 def _object(entries: Column) -> Column:
     """An array of (title, json) as a JSON object; of equal titles the last value, at the place of the first."""
-    titles, values = _last_of_each(entries, "title", "json")
-    return F.concat(F.lit("{"), F.array_join(F.zip_with(titles, values, lambda t, v: F.concat(_quoted(t), F.lit(":"), v)), ","), F.lit("}"))
+    written = F.transform(_last_of_each(entries, "title", "json"), lambda e: F.concat(_quoted(e["title"]), F.lit(":"), e["json"]))
+    return F.concat(F.lit("{"), F.array_join(written, ","), F.lit("}"))
 
 
 def resolved_details(events: DataFrame, fields: DataFrame, titles: bool = True, ordered: bool = True, details: str = "event_details") -> DataFrame:
@@ -154,7 +157,8 @@ def resolved_details(events: DataFrame, fields: DataFrame, titles: bool = True,
     rows = rows.withColumns({"values": F.from_json(details, "map<string,variant>"), "raw": F.from_json(details, "map<string,string>")})
     text = lambda v: F.try_variant_get(v, "$", "string")
     title = lambda path, key: F.coalesce(F.try_element_at("titles", path), key) if titles else key
-    resolve = lambda path, v: F.coalesce(_quoted(F.try_element_at("labels", F.concat_ws(PART, path, text(v)))), F.to_json(v))
+    label = lambda path, v: F.try_element_at("labels", F.concat_ws(PART, path, text(v)))
+    resolve = lambda path, v: F.coalesce(once(label(path, v), _quoted), F.to_json(v))
     listed = lambda items: F.concat(F.lit("["), F.array_join(items, ","), F.lit("]"))
 
     def sub_form(key: Column, item: Column) -> Column:
@@ -162,11 +166,11 @@ def resolved_details(events: DataFrame, fields: DataFrame, titles: bool = True,
         return _object(F.transform(F.map_entries(item), lambda e: F.struct(title(path(e), e["key"]).alias("title"), resolve(path(e), e["value"]).alias("json"))))
 
     def value(key: Column) -> Column:
-        v, raw = F.element_at("values", key), F.element_at("raw", key)
-        kind = F.schema_of_variant(v)
+        raw = F.element_at("raw", key)
         forms = F.transform(F.from_json(raw, "array<map<string,variant>>"), lambda item: sub_form(key, item))
         codes = F.transform(F.from_json(raw, "array<variant>"), lambda item: resolve(key, item))
-        return F.when(kind.startswith("ARRAY<OBJECT"), listed(forms)).when(kind.startswith("ARRAY<"), listed(codes)).otherwise(resolve(key, v))
+        chosen = lambda kind, v: F.when(kind.startswith("ARRAY<OBJECT"), listed(forms)).when(kind.startswith("ARRAY<"), listed(codes)).otherwise(resolve(key, v))
+        return once(F.element_at("values", key), lambda v: once(F.schema_of_variant(v), lambda kind: chosen(kind, v)))
 
     keys = F.map_keys("values")
     if ordered:

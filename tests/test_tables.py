@@ -173,6 +173,14 @@ def test_nested_patrols_and_names(spark):
     assert {r.event_type_display for r in events.display_names(seen.where("event_type = 'x'"), types, "duplicates").collect()} == {"Same"}
 
 
+def test_details_are_resolved_once(spark):
+    """Sub-forms and lists stand in the plan once each, not once for each use of what comes of them."""
+    table = spark.createDataFrame([("t", "a", None, 0, "A", None, None)], "event_type string, key string, sub_key string, place int, title string, code string, label string")
+    rows = events.resolved_details(spark.createDataFrame([("t", '{"a": 1}')], "event_type string, event_details string"), table)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") <= 4
+
+
 def test_titles_and_nested_details(spark):
     """Keys of one title keep the last value; codes are resolved in values, lists and sub-forms; other types keep their details."""
     fields = [("t", "a", None, 1, "A", None, None), ("t", "b", None, 0, "A", None, None), ("t", "c", None, 2, "See \"c\"", None, None), ("t", "c", "s", 0, "S", None, None)]
