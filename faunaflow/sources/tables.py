@@ -48,18 +48,18 @@ def _ring(points):
 
 def geometry_of(column: str):
     """struct<geom_type, lon, lat> of a GeoJSON text: a point, or the centroid of a polygon's outer ring, or of several by their areas; null for bad JSON."""
-    from faunaflow.functions.shapes import area, centroid
+    from faunaflow.functions.shapes import area, centroid, once
 
     kind = F.get_json_object(column, "$.type")
-    coordinates = F.get_json_object(column, "$.coordinates")
-    middle = centroid(_ring(F.from_json(F.get_json_object(column, "$.coordinates[0]"), "array<array<double>>")))
-    several = F.transform(F.from_json(coordinates, "array<array<array<array<double>>>>"), lambda p: F.struct(area(_ring(p[0])).alias("area"), centroid(_ring(p[0])).alias("at")))
-    total = lambda value: F.aggregate(several, F.lit(0.0), lambda s, e: s + value(e))
-    common = lambda k: F.coalesce(F.try_divide(total(lambda e: e["area"] * e["at"][k]), total(lambda e: e["area"])), F.get(several, 0)["at"][k])
-    point = lambda i: F.get_json_object(column, f"$.coordinates[{i}]").try_cast("double")
-    lon = F.when(kind == "Point", point(0)).when(kind == "Polygon", middle["x"]).when(kind == "MultiPolygon", common("x"))
-    lat = F.when(kind == "Point", point(1)).when(kind == "Polygon", middle["y"]).when(kind == "MultiPolygon", common("y"))
-    return F.when(lon.isNotNull() & lat.isNotNull(), F.struct(kind.alias("geom_type"), lon.alias("lon"), lat.alias("lat")))
+    place = lambda lon, lat: F.struct(lon.alias("x"), lat.alias("y"))
+    point = lambda text: place(*[F.get_json_object(text, f"$[{i}]").try_cast("double") for i in (0, 1)])
+    middle = lambda text: centroid(_ring(F.from_json(F.get_json_object(text, "$[0]"), "array<array<double>>")))
+    total = lambda several, value: F.aggregate(several, F.lit(0.0), lambda s, e: s + value(e))
+    common = lambda several, k: F.coalesce(F.try_divide(total(several, lambda e: e["area"] * e["at"][k]), total(several, lambda e: e["area"])), F.get(several, 0)["at"][k])
+    each = lambda text: F.transform(F.from_json(text, "array<array<array<array<double>>>>"), lambda p: once(_ring(p[0]), lambda r: F.struct(area(r).alias("area"), centroid(r).alias("at"))))
+    at = lambda kind, text: F.when(kind == "Point", point(text)).when(kind == "Polygon", middle(text)).when(kind == "MultiPolygon", once(each(text), lambda s: place(common(s, "x"), common(s, "y"))))
+    known = lambda kind, p: F.when(p["x"].isNotNull() & p["y"].isNotNull(), F.struct(kind.alias("geom_type"), p["x"].alias("lon"), p["y"].alias("lat")))
+    return once(kind, lambda k: once(at(k, F.get_json_object(column, "$.coordinates")), lambda p: known(k, p)))
 
 
 def with_points(df: DataFrame, geometry: str = "geometry", force_point: bool = True) -> DataFrame:
@@ -67,9 +67,11 @@ def with_points(df: DataFrame, geometry: str = "geometry", force_point: bool = T
 
     The text stays as it is. Null or bad text, and shapes without a centroid (lines), have no place.
     """
-    got = geometry_of(geometry)
+    # a column of its own, so that the shape is read once for lon and lat
+    rows = df.withColumn("point_of_shape", geometry_of(geometry))
+    got = F.col("point_of_shape")
     kept = got if force_point else F.when(got["geom_type"] == "Point", got)
-    return df.withColumns({"geom_type": F.get_json_object(geometry, "$.type"), "lon": kept["lon"], "lat": kept["lat"]})
+    return rows.withColumns({"geom_type": F.get_json_object(geometry, "$.type"), "lon": kept["lon"], "lat": kept["lat"]}).drop("point_of_shape")
 
 
 def track_vertices(df: DataFrame, geometry: str, id_col: str, subject_id: str) -> DataFrame:

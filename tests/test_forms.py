@@ -123,6 +123,13 @@ def test_points_of_shapes(spark):
     assert plain == {0: 1.0, 1: None, 2: None, 3: None, 4: None, 5: None, 6: None}
 
 
+def test_shapes_are_read_once(spark):
+    """The text of a shape is parsed once for each kind, however often its ring is used."""
+    df = spark.createDataFrame([('{"type": "Point", "coordinates": [1, 2]}',)], "geometry string")
+    plan = tables.with_points(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") <= 3
+
+
 def test_written_features_come_back(spark, tmp_path):
     df = spark.createDataFrame([(1, "a,\"b\"", 2.5, -1.0), (2, None, 3.0, 4.0)], "n long, t string, lon double, lat double")
     tables.persist(df, f"{tmp_path}/g", "geojson")
