@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -124,9 +126,46 @@ def _next_fix(wanted: DataFrame, fixes: DataFrame, heads: DataFrame, chunk_us: i
     return wanted.join(found, ["groupby_col", "at"])
 
 
-def _steps_ahead(t: np.ndarray, low: int) -> np.ndarray:
-    """The place of each fix's next one, len(t) where it lies beyond the chunk."""
-    return np.searchsorted(t, t + low, side="left")
+def _in_groups(step: Callable[[pa.Table, np.ndarray], pa.Table]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For rows that stand in the order of groupby_col, chunk, t: step(table, starts) of many whole groups at a time, and where each begins.
+
+    A group that goes on in the next batch is held back until it ends, so small groups share a call and none is cut.
+    """
+
+    def starts(table) -> np.ndarray:
+        subject, chunk = (table.column(c).to_numpy(zero_copy_only=False) if isinstance(table, pa.RecordBatch) else table.column(c).to_numpy() for c in ("groupby_col", "chunk"))
+        return np.r_[0, np.flatnonzero((subject[1:] != subject[:-1]) | (chunk[1:] != chunk[:-1])) + 1]
+
+    def whole(parts: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
+        table = pa.Table.from_batches(parts)
+        return step(table, starts(table)).combine_chunks().to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        key = lambda batch: tuple(batch.column(c)[0].as_py() for c in ("groupby_col", "chunk"))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            last = int(starts(batch)[-1])
+            if held and last == 0 and key(batch) == key(held[0]):
+                held.append(batch)
+                continue
+            if held or last:
+                yield from whole([*held, batch.slice(0, last)])
+            held = [batch.slice(last)]
+        if held:
+            yield from whole(held)
+
+    return run
+
+
+def _steps_ahead(t: np.ndarray, starts: np.ndarray, low: int, chunk_us: int) -> tuple[np.ndarray, np.ndarray]:
+    """The place of each fix's next one, and the end of the fix's group; where the next one lies beyond the chunk its place is not before that end."""
+    group = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(t)]))
+    # groups are laid one after the other on one line, too far apart for a step; a longer step than a chunk leaves it too
+    low = min(low, chunk_us + 1)
+    line = t - t[starts][group] + group * (chunk_us + low + 1)
+    return np.searchsorted(line, line + low, side="left"), np.r_[starts[1:], len(t)][group]
 
 
 def downsample(df: DataFrame, step_seconds: float, tolerance_seconds: float = 0, chunk_us: int = CHUNK) -> DataFrame:
@@ -152,21 +191,22 @@ def downsample(df: DataFrame, step_seconds: float, tolerance_seconds: float = 0,
     entries = leaves.where("next is not null").select("groupby_col", F.col("next").alias("entry")).unionByName(starts).distinct()
     entries = entries.withColumn("t", F.col("entry"))
 
-    def exits(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    def exits(rows: pa.Table, starts: np.ndarray) -> pa.Table:
         """Every entry's last fix in the chunk and the bursts begun on the way, by pointer doubling."""
-        rows = rows.sort_values("t")
         t = rows["t"].to_numpy()
-        ahead = _steps_ahead(t, low)
-        stay = ahead < len(t)
+        ahead, end = _steps_ahead(t, starts, low, chunk_us)
+        stay = ahead < end
         to = np.where(stay, ahead, np.arange(len(t)))
         bursts = np.where(stay & (t[to] > t + high), 1, 0)
         while not (to[to] == to).all():
             bursts, to = bursts + bursts[to], to[to]
-        here = rows["entry"].notna().to_numpy()
-        return pd.DataFrame({"groupby_col": key[0], "entry": t[here], "leave": t[to[here]], "bursts": bursts[here]})
+        here = np.flatnonzero(rows["entry"].is_valid().to_numpy())
+        return pa.table({"groupby_col": rows["groupby_col"].take(pa.array(here)), "entry": t[here], "leave": t[to[here]], "bursts": bursts[here].astype(np.int64)})
 
     times = fixes.select("groupby_col", "chunk", "t").join(entries, ["groupby_col", "t"], "left")
-    crossed = times.groupBy("groupby_col", "chunk").applyInPandas(exits, "groupby_col string, entry long, leave long, bursts long")
+    order = ["groupby_col", "chunk", "t"]
+    times = times.select(*order, "entry").repartition("groupby_col", "chunk").sortWithinPartitions(*order)
+    crossed = times.mapInArrow(_in_groups(exits), "groupby_col string, entry long, leave long, bursts long")
     jumps = crossed.join(leaves.where("next is not null"), ["groupby_col", "leave"])
     jumps = written(jumps.select("groupby_col", "entry", F.col("next").alias("to"), (F.col("bursts") + F.col("gap")).alias("bursts")))
     true = written(starts.select("groupby_col", "entry", F.lit(0).cast("long").alias("burst")))
@@ -179,21 +219,27 @@ def downsample(df: DataFrame, step_seconds: float, tolerance_seconds: float = 0,
         second = jumps.select("groupby_col", F.col("entry").alias("to"), F.col("to").alias("further"), F.col("bursts").alias("more"))
         jumps = written(jumps.join(second, ["groupby_col", "to"]).select("groupby_col", "entry", F.col("further").alias("to"), (F.col("bursts") + F.col("more")).alias("bursts")))
 
-    def walk(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("t")
-        t, started = rows["t"].to_numpy(), np.flatnonzero(rows["burst"].notna().to_numpy())
-        if not len(started):
-            return rows.iloc[:0].drop(columns=["chunk", "burst"]).assign(extra__burst=np.empty(0, np.int64))
-        ahead, i, keep, bursts, b = _steps_ahead(t, low), int(started[0]), [], [], int(rows["burst"].iloc[started[0]])
-        while i < len(t):
-            keep.append(i)
-            bursts.append(b)
-            b += int(ahead[i] < len(t) and t[ahead[i]] > t[i] + high)
-            i = int(ahead[i])
-        return rows.iloc[keep].drop(columns=["chunk", "burst"]).assign(extra__burst=np.array(bursts, dtype=np.int64))
+    def walk(rows: pa.Table, starts: np.ndarray) -> pa.Table:
+        t, burst = rows["t"].to_numpy(), rows["burst"].fill_null(0).to_numpy()
+        ahead, end = (a.tolist() for a in _steps_ahead(t, starts, low, chunk_us))
+        times, keep, bursts = t.tolist(), [], []
+        entered, done = np.flatnonzero(rows["burst"].is_valid().to_numpy()).tolist(), 0
+        for i in entered:
+            # the first entry of a chunk is the one
+            if i < done:
+                continue
+            b, done = int(burst[i]), end[i]
+            while i < done:
+                keep.append(i)
+                bursts.append(b)
+                b += ahead[i] < done and times[ahead[i]] > times[i] + high
+                i = ahead[i]
+        kept = rows.select(["groupby_col", "t", "lon", "lat"]).take(pa.array(keep, pa.int64()))
+        return kept.append_column("extra__burst", pa.array(bursts, pa.int64()))
 
     marked = fixes.join(true.select("groupby_col", F.col("entry").alias("t"), "burst"), ["groupby_col", "t"], "left")
-    walked = marked.groupBy("groupby_col", "chunk").applyInPandas(walk, "groupby_col string, t long, lon double, lat double, extra__burst long")
+    marked = marked.select(*order, "lon", "lat", "burst").repartition("groupby_col", "chunk").sortWithinPartitions(*order)
+    walked = marked.mapInArrow(_in_groups(walk), "groupby_col string, t long, lon double, lat double, extra__burst long")
     ends = leaves.where("next is null").select("groupby_col", F.col("leave").alias("t"))
     return walked.join(ends, ["groupby_col", "t"], "left_anti").select("groupby_col", at_micros("t").alias("fixtime"), "lon", "lat", "extra__burst")
 

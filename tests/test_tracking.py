@@ -247,6 +247,20 @@ def test_hulls_grow_across_chunks(spark):
     assert {(r.groupby_col, r.day): r.area_km2 for r in got} == pytest.approx(want)
 
 
+def test_walks_of_small_histories_share_calls(spark):
+    """Many subjects, also where a history is cut by batches of three rows, go through Python as streams of rows."""
+    rows = [(f"s{i}", dt.datetime(2024, 1, 30) + dt.timedelta(hours=7 * k), 0.0, 0.0) for i in range(9) for k in range(1 + i)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        got = trajectory.downsample(spark.createDataFrame(rows, "groupby_col string, fixtime timestamp_ntz, lon double, lat double"), 14 * 3600)
+        assert "FlatMapGroups" not in got._jdf.queryExecution().toString()
+        found = sorted((r.groupby_col, (r.fixtime - dt.datetime(2024, 1, 30)).total_seconds() / 3600, r.extra__burst) for r in got.collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    # every second fix; the last one of a walk is not returned
+    assert found == sorted((f"s{i}", 14.0 * k, 0) for i in range(9) for k in range(i // 2))
+
+
 def test_small_hulls_cost_no_call_each(spark):
     """Days and subjects go through Python as streams of rows, also in batches of two, not as a call for each of them."""
     d = dt.date(2024, 1, 31)
