@@ -48,9 +48,13 @@ def weibull_pdf(x, shape: float, scale: float):
     return shape / scale * F.pow(x / scale, F.lit(shape - 1)) * F.exp(-F.pow(x / scale, F.lit(shape)))
 
 
-#: Sides of the square blocks of cells in which densities are summed, the blocks that a task holds at most, and those of one
-#: segment whose weights are kept rather than computed again.
-BLOCK, HELD_BLOCKS, KEPT_BLOCKS = 256, 128, 16
+#: Sides of the square blocks of cells in which densities are summed, the blocks that a task holds at most, and those whose weights
+#: are kept, for all segments of a call together, rather than computed again.
+BLOCK, HELD_BLOCKS, KEPT_BLOCKS = 256, 128, 256
+#: Blocks of this side are weighed cell by cell; larger ones at POINTS x POINTS places, if both ends of the segment are GAP sides away.
+LEAF, POINTS, GAP = 8, 10, 0.5
+#: A weight may be off by this share of itself or by this share of the weight of the segment's first cell. Segments of one call.
+TOLERANCE, NEGLIGIBLE, CALL = 1e-3, 1e-9, 2048
 #: Bits of a float32 that are left out when a speed is looked up: 2^14 steps an octave, under 0.001 km/h up to 16 km/h.
 _DROPPED_BITS = 9
 
@@ -70,70 +74,189 @@ def _speed_table(least: float, most: float, shape: float, scale: float) -> tuple
     return first, np.logaddexp.accumulate(part[::-1])[::-1]
 
 
+class _Lattice:
+    """A block of side x side cells, and the POINTS x POINTS Chebyshev places between which a smooth weight is interpolated.
+
+    ``spread`` takes weights at the places of one axis to its cells, ``whole`` weights at all places to the sum over all cells. Away from
+    the ends of its segment a weight is smooth, and the error of its interpolation is largest where the first polynomial left out is: at
+    corners and near edges and the middle. ``at_probes`` takes weights to nine such cells, at ``probes``, to compare them.
+    """
+
+    def __init__(self, side: int):
+        half, angle = (side - 1) / 2, (np.arange(POINTS) + 0.5) * np.pi / POINTS
+        self.places, self.probes = side / 2 + half * np.cos(angle), np.array([0.5, side // 2 + 0.5, side - 0.5])
+        factor = (-1.0) ** np.arange(POINTS) * np.sin(angle)
+
+        def matrix(at: np.ndarray) -> np.ndarray:
+            gap = at[:, None] - self.places
+            met = np.abs(gap) < 1e-12
+            weight = np.where(met.any(1, keepdims=True), met, factor / np.where(met, 1.0, gap))
+            return weight / weight.sum(1, keepdims=True)
+
+        self.spread = matrix(np.arange(side) + 0.5)
+        self.whole = np.kron(self.spread.sum(0), self.spread.sum(0))
+        self.at_probes = np.kron(matrix(self.probes), matrix(self.probes))
+
+
 def elliptical_density(df: DataFrame, size: float, max_speed_kmhr: float, shape: float, scale: float, step: float = 0.001, extent: tuple[float, float, float, float] | None = None, tasks: int | None = None) -> DataFrame:
     """ix, iy, density: where a subject may have been between fixes, as a share of all. Planar x1, y1, x2, y2 in metres, timespan_seconds.
 
     A cell within reach of both ends needs the speed (d1 + d2) / t; its weight is the integral of the speed model from that speed,
     step at least, to the largest. Weights are normalised in their segment and divided by its time. An extent (x0, y0, x1, y1)
-    bounds the cells by their centres. A segment's cells are gone through block by block in its task, so memory does not grow with
-    its reach; only sums by cell are shuffled. Segments are narrow but dear, so they are dealt out evenly over ``tasks`` (four for
-    each shuffle partition, if not given): sizes in bytes, by which small partitions would be joined, say nothing about their work.
+    bounds the cells by their centres.
+
+    Every segment weighs every cell in its reach. Cells near its ends are weighed one by one. A block farther away, and wholly within
+    reach, is weighed at a few places; sums over segments of the weights there are interpolated to its cells once. Where that is off, at
+    nine cells, by more than TOLERANCE and NEGLIGIBLE allow, the segment takes the block in quarters. So the work for a segment grows
+    with the logarithm of its cells. Memory does not grow with the reach, and only sums by cell are shuffled. Tasks (four for each
+    shuffle partition, if not given) take equal numbers of segments that lie near each other, as those share their blocks; sizes in
+    bytes, by which small partitions would be joined, say nothing about their work.
     """
     first, logs = _speed_table(step, max_speed_kmhr, shape, scale)
 
-    def weigh(table: np.ndarray, segment: tuple, i0: int, i1: int, j0: int, j1: int) -> np.ndarray:
-        x1, y1, x2, y2, t = segment
-        square = lambda lo, hi, a: (((np.arange(lo, hi + 1) + 0.5) * size - a) ** 2).astype(np.float32)
-        speed = np.sqrt(square(i0, i1, x1)[:, None] + square(j0, j1, y1))
-        speed += np.sqrt(square(i0, i1, x2)[:, None] + square(j0, j1, y2))
-        speed *= np.float32(3.6 / t)
-        place = (speed.view(np.int32) >> _DROPPED_BITS) - first
-        return table.take(place, mode="clip") * (speed < max_speed_kmhr)
-
     def cells(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        plain, sums = np.exp(logs - logs[0]), {}
+        # cells (lowest, highest) of each axis whose centres lie in the extent
+        bounds = [(math.ceil(extent[k] / size - 0.5), math.floor(extent[k + 2] / size - 0.5)) if extent else (-math.inf, math.inf) for k in (0, 1)]
+        lattices, sums = {}, {}
+
+        def lattice(side: int) -> _Lattice:
+            return lattices.get(side) or lattices.setdefault(side, _Lattice(side))
+
+        def inside(start: int, side: int, axis: int) -> slice:
+            """The cells of a block, counted from its first, that lie in the extent."""
+            low, high = bounds[axis]
+            return slice(int(min(max(low - start, 0), side)), int(max(min(high + 1 - start, side), 0)))
 
         def flush() -> pd.DataFrame:
-            out = [pd.DataFrame({"ix": i + bx * BLOCK, "iy": j + by * BLOCK, "v": s[i, j]}) for (bx, by), s in sums.items() for i, j in [np.nonzero(s)]]
+            out = []
+            for (bx, by), (plain, coarse) in sums.items():
+                for (side, i, j), at in coarse.items():
+                    across, along = inside(bx + i, side, 0), inside(by + j, side, 1)
+                    spread = lattice(side).spread
+                    # every weight in such a block is above zero, so its cells stay, however small
+                    plain[i : i + side, j : j + side][across, along] += np.maximum(spread[across] @ at.reshape(POINTS, POINTS) @ spread[along].T, np.finfo(float).tiny)
+                i, j = np.nonzero(plain)
+                out.append(pd.DataFrame({"ix": i + bx, "iy": j + by, "v": plain[i, j]}))
             sums.clear()
             return pd.concat(out) if out else pd.DataFrame({"ix": [], "iy": [], "v": []})
 
-        def pieces(segment: tuple, table: np.ndarray, blocks: list, box: tuple) -> Iterator[tuple]:
-            i0, i1, j0, j1 = box
-            for bx, by in blocks:
-                a, b, c, d = max(i0, bx * BLOCK), min(i1, bx * BLOCK + BLOCK - 1), max(j0, by * BLOCK), min(j1, by * BLOCK + BLOCK - 1)
-                yield (bx, by), (slice(a - bx * BLOCK, b - bx * BLOCK + 1), slice(c - by * BLOCK, d - by * BLOCK + 1)), weigh(table, segment, a, b, c, d)
+        def away(at: np.ndarray, start: int, side: int) -> np.ndarray:
+            """Metres along one axis from a place to a block."""
+            return np.maximum(np.maximum(start * size - at, at - (start + side) * size), 0.0)
+
+        def speeds(ends: np.ndarray, xs: np.ndarray, ys: np.ndarray) -> np.ndarray:
+            """The speed that each place (x, y), in cells, takes of each segment; segments stand in the last axis, which is long."""
+            square = lambda places, a: ((places[:, None] * size - a) ** 2).astype(np.float32)
+            speed = np.sqrt(square(xs, ends[0])[:, None] + square(ys, ends[1]))
+            speed += np.sqrt(square(xs, ends[2])[:, None] + square(ys, ends[3]))
+            speed *= np.float32(3.6) / ends[4].astype(np.float32)
+            return speed.reshape(len(xs) * len(ys), -1)
+
+        def look_up(table: np.ndarray, speed: np.ndarray) -> np.ndarray:
+            place = speed.view(np.int32) >> _DROPPED_BITS
+            place -= first
+            return table[np.clip(place, 0, len(table) - 1, out=place)]
+
+        def pieces(ends: np.ndarray, table: np.ndarray, x: int, y: int, side: int, who: np.ndarray, least: np.ndarray, reach: list) -> Iterator[tuple]:
+            """(first cells of the block, its side, whether its places are taken, segments, their weights), which make up the block."""
+            across, along = inside(x, side, 0), inside(y, side, 1)
+            if across.start >= across.stop or along.start >= along.stop:
+                return
+            if not (reach[0] <= x * size and (x + side) * size <= reach[2] and reach[1] <= y * size and (y + side) * size <= reach[3]):
+                cx, cy, r = (ends[0, who] + ends[2, who]) / 2, (ends[1, who] + ends[3, who]) / 2, max_speed_kmhr / 3.6 * ends[4, who] / 2
+                who = who[(away(cx, x, side) <= r) & (away(cy, y, side) <= r)]
+            if side > LEAF and side % 2 == 0:
+                gap = np.minimum(*[np.hypot(away(ends[k, who], x, side), away(ends[k + 1, who], y, side)) for k in (0, 2)])
+                # not where the weight of the least speed, step, begins
+                far = (gap >= GAP * side * size) & (2 * 3.6 * gap >= 2 * step * ends[4, who])
+                if far.any():
+                    net, some = lattice(side), who[far]
+                    own = ends[:, some]
+                    probed = speeds(own, x + net.probes, y + net.probes)
+                    want, at = look_up(table, probed), look_up(table, speeds(own, x + net.places, y + net.places))
+                    off = np.abs(net.at_probes @ at - want)
+                    # a sum of distances is largest at a corner
+                    good = (off <= np.maximum(TOLERANCE * want, NEGLIGIBLE * least[some])).all(0) & (want > 0).all(0) & (probed < max_speed_kmhr).all(0)
+                    if good.any():
+                        yield (x, y), side, True, some[good], at[:, good]
+                    far[far] = good
+                    who = who[~far]
+                if len(who):
+                    for i in (x, x + side // 2):
+                        for j in (y, y + side // 2):
+                            yield from pieces(ends, table, i, j, side // 2, who, least, reach)
+            elif len(who):
+                speed = speeds(ends[:, who], x + np.arange(across.start, across.stop) + 0.5, y + np.arange(along.start, along.stop) + 0.5)
+                yield (x, y), side, False, who, look_up(table, speed) * (speed < max_speed_kmhr)
+
+        def share(x: int, y: int, side: int) -> np.ndarray:
+            """What a weight at each place counts in the sum over the block's cells."""
+            spread = lattice(side).spread
+            if all(bounds[k][0] <= a and a + side - 1 <= bounds[k][1] for k, a in enumerate((x, y))):
+                return lattice(side).whole
+            return np.kron(spread[inside(x, side, 0)].sum(0), spread[inside(y, side, 1)].sum(0))
+
+        def call(ends: np.ndarray, table: np.ndarray) -> Iterator[pd.DataFrame]:
+            reach = max_speed_kmhr / 3.6 * ends[4] / 2
+            # the weight of the cell in which a segment starts is no less than this, if it lies in the extent
+            speed = (np.hypot(ends[2] - ends[0], ends[3] - ends[1]) + 1.5 * size) / ends[4] * 3.6
+            begun = np.logical_and(*[(a <= (at := np.floor(ends[k] / size))) & (at <= b) for k, (a, b) in enumerate(bounds)]) & (speed < max_speed_kmhr)
+            least = look_up(table, speed.astype(np.float32)) * begun
+            middles = [(ends[k] + ends[k + 2]) / 2 for k in (0, 1)]
+            # the box in which all reaches agree
+            common = [(m - reach).max() for m in middles] + [(m + reach).min() for m in middles]
+            ranges = []
+            for k, middle in enumerate(middles):
+                low, high = max((middle - reach).min() / size - 0.5, bounds[k][0]), min((middle + reach).max() / size - 0.5, bounds[k][1])
+                ranges.append(range(math.ceil(low) // BLOCK, math.floor(high) // BLOCK + 1))
+            again = lambda: (p for bx in ranges[0] for by in ranges[1] for p in pieces(ends, table, bx * BLOCK, by * BLOCK, BLOCK, np.arange(ends.shape[1]), least, common))
+            total, kept, held = np.zeros(ends.shape[1]), [], 0
+            for piece in again():
+                (x, y), side, coarse, who, weights = piece
+                total[who] += share(x, y, side) @ weights if coarse else weights.sum(0)
+                held += weights.size
+                if kept is not None:
+                    kept.append(piece)
+                    if held > KEPT_BLOCKS * BLOCK * BLOCK:
+                        kept = None
+                        if ends.shape[1] > 1:
+                            for half in np.array_split(ends, 2, axis=1):
+                                yield from call(half, table)
+                            return
+            factor = np.divide(1.0, total * ends[4], out=np.zeros_like(total), where=total > 0)
+            for (x, y), side, coarse, who, weights in again() if kept is None else kept:
+                key = x // BLOCK * BLOCK, y // BLOCK * BLOCK
+                if key not in sums:
+                    if len(sums) >= HELD_BLOCKS:
+                        yield flush()
+                    sums[key] = np.zeros((BLOCK, BLOCK)), {}
+                plain, at = sums[key]
+                i, j, value = x - key[0], y - key[1], weights @ factor[who]
+                if coarse:
+                    at[side, i, j] = at.get((side, i, j), 0.0) + value
+                else:
+                    across, along = inside(x, side, 0), inside(y, side, 1)
+                    plain[i : i + side, j : j + side][across, along] += value.reshape(across.stop - across.start, -1)
 
         for part in parts:
-            for segment in part.itertuples(index=False, name=None):
-                x1, y1, x2, y2, t = segment
-                cx, cy, r = (x1 + x2) / 2, (y1 + y2) / 2, max_speed_kmhr / 3.6 * t / 2
-                x0, y0, xn, yn = cx - r, cy - r, cx + r, cy + r
-                if extent:
-                    x0, y0, xn, yn = max(x0, extent[0]), max(y0, extent[1]), min(xn, extent[2]), min(yn, extent[3])
-                # the cells whose centres lie in the box
-                box = i0, i1, j0, j1 = math.ceil(x0 / size - 0.5), math.floor(xn / size - 0.5), math.ceil(y0 / size - 0.5), math.floor(yn / size - 0.5)
-                if i0 > i1 or j0 > j1:
-                    continue
-                blocks = range(i0 // BLOCK, i1 // BLOCK + 1), range(j0 // BLOCK, j1 // BLOCK + 1)
-                straight = np.hypot(x2 - x1, y2 - y1) / t * 3.6
-                low = logs[min(max((int(np.float32(straight).view(np.int32)) >> _DROPPED_BITS) - first, 0), len(logs) - 1)]
-                # as factors of a segment cancel, very small weights are taken relative to its largest
-                table = plain if low - logs[0] > -40 else np.exp(np.minimum(logs - low, 0.0))
-                again = lambda: pieces(segment, table, ((a, b) for a in blocks[0] for b in blocks[1]), box)  # noqa: E731, B023
-                kept = list(again()) if len(blocks[0]) * len(blocks[1]) <= KEPT_BLOCKS else None
-                total = sum(float(w.sum()) for _, _, w in kept or again())
-                if total > 0:
-                    for key, place, w in kept or again():
-                        if key not in sums:
-                            if len(sums) >= HELD_BLOCKS:
-                                yield flush()
-                            sums[key] = np.zeros((BLOCK, BLOCK))
-                        sums[key][place] += w * (1 / (total * t))
+            ends = part.to_numpy(dtype=float).T
+            straight = (np.hypot(ends[2] - ends[0], ends[3] - ends[1]) / ends[4] * 3.6).astype(np.float32)
+            low = logs[np.clip((straight.view(np.int32) >> _DROPPED_BITS) - first, 0, len(logs) - 1)]
+            # as factors of a segment cancel, very small weights are taken relative to one near its largest
+            depth = ((logs[0] - low) // 40).astype(int)
+            near = np.floor(ends[:2] / (size * LEAF))
+            order = np.lexsort((near[1], near[0], depth))
+            for d in np.unique(depth):
+                table = np.exp(np.minimum(logs - (logs[0] - 40 * (d + 1) * (d > 0)), 80.0))
+                own = order[depth[order] == d]
+                for k in range(0, len(own), CALL):
+                    yield from call(ends[:, own[k : k + CALL]], table)
         yield flush()
 
     tasks = tasks or 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = df.where("timespan_seconds > 0").select("x1", "y1", "x2", "y2", "timespan_seconds").repartition(tasks)
+    ends = ["x1", "y1", "x2", "y2", "timespan_seconds"]
+    tiles = [F.floor(F.col(c) / (size * 4 * LEAF)).alias(f"tile_{c}") for c in ends[:2]]
+    rows = df.where("timespan_seconds > 0").select(*ends, *tiles, F.rand(0).alias("u")).repartitionByRange(tasks, "tile_x1", "tile_y1", "u").select(*ends)
     got = rows.mapInPandas(cells, "ix long, iy long, v double").groupBy("ix", "iy").agg(F.sum("v").alias("v"))
     total = got.agg(F.sum("v").alias("total"))
     return got.join(F.broadcast(total)).select("ix", "iy", F.try_divide("v", "total").alias("density"))

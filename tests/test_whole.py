@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+import time
 
 import numpy as np
 import pytest
@@ -98,6 +99,49 @@ def test_elliptical_density_of_long_and_fast_segments(spark, monkeypatch, block)
     assert max(abs(got[c] - want[c]) for c in want) < 1e-4 * top
 
 
+@pytest.mark.parametrize("shape,kept,call", [(0.55, 256, 2048), (2.5, 256, 2048), (0.55, 1, 3)])
+def test_elliptical_density_of_blocks_and_of_cells(spark, monkeypatch, shape, kept, call):
+    """Blocks weighed at a few places give what each cell gives: still, slow, fast and long segments, a reach that ends among the cells."""
+    segments = [(0.0, 0.0, 900.0, 0.0, 3600.0), (-9000.0, 500.0, 22_500.0, 900.0, 90_000.0), (100.0, 100.0, 5100.0, -4000.0, 400.0), (3300.0, 300.0, 3300.0, 300.0, 900.0)]
+    segments += [(40_000.0, 30_000.0, 40_010.0, 30_000.0, 40_000.0), (-7000.0, 100.0, -7010.0, 100.0, 4e8), (900.0 * math.pi, 0.0, 990.0, 800.0, 7200.0), (5.0, 5.0, 6.0, 6.0, 36_000.0)]
+
+    def found(segments):
+        df = spark.createDataFrame(segments, "x1 double, y1 double, x2 double, y2 double, timespan_seconds double")
+        got = ranges.elliptical_density(df, 250.0, 70.0, shape, 1.7, extent=(-31_000.0, -28_000.0, 52_500.0, 41_000.0))
+        return {(r.ix, r.iy): r.density for r in got.collect()}
+
+    for some in (segments, segments[:1], segments[4:5]):
+        with monkeypatch.context() as patched:
+            patched.setattr(ranges, "LEAF", ranges.BLOCK)
+            cells = found(some)
+        with monkeypatch.context() as patched:
+            patched.setattr(ranges, "KEPT_BLOCKS", kept)
+            patched.setattr(ranges, "CALL", call)
+            blocks = found(some)
+        assert set(blocks) == set(cells) and len(cells) == (92_184 if len(some) > 1 else len(cells))
+        assert all(v > 0 and abs(v - cells[c]) <= 1e-3 * cells[c] + 1e-9 for c, v in blocks.items())
+        assert sum(blocks.values()) == pytest.approx(1)
+
+
+def test_elliptical_density_weighs_far_fewer_places_than_cells(spark):
+    """A segment that reaches 200,000 cells takes a small part of the time of weighing them all."""
+    rng = np.random.default_rng(5)
+    many = np.c_[rng.uniform(0, 30_000, (3000, 4)), rng.uniform(20_000, 90_000, 3000)]
+    df = spark.createDataFrame(many.tolist(), "x1 double, y1 double, x2 double, y2 double, timespan_seconds double").cache()
+    assert df.count() == 3000
+    extent, i = (-550_000.0, -550_000.0, 550_000.0, 550_000.0), np.arange(-220, 220)
+    xs, table = (i + 0.5) * 2500, np.linspace(1.0, 0.0, 400_000)
+    start = time.process_time()
+    for x1, y1, x2, y2, t in many[:60]:
+        speed = np.sqrt(((xs - x1) ** 2)[:, None] + (xs - y1) ** 2) + np.sqrt(((xs - x2) ** 2)[:, None] + (xs - y2) ** 2)
+        assert table[np.minimum(speed / t * 1000, 399_999).astype(int)].sum() > 0
+    plain = (time.process_time() - start) * 3000 / 60
+    start = time.time()
+    got = ranges.elliptical_density(df, 2500.0, 4000.0, 0.55, 1.7, extent=extent, tasks=1).agg({"density": "sum", "ix": "count"}).first()
+    assert time.time() - start < plain / 2
+    assert got["sum(density)"] == pytest.approx(1) and got["count(ix)"] == len(i) ** 2
+
+
 def test_density_and_cover_take_every_segment(spark, tables):
     segments = geometry._metric_segments(spark, tables)
     rows = [tuple(r) for r in segments.select("x1", "y1", "x2", "y2", "timespan_seconds").collect()]
